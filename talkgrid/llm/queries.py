@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from talkgrid.llm import bpe
+from pyspark.sql import functions as F
+
+from talkgrid.llm import bpe, spans
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import table
 
@@ -19,3 +21,16 @@ BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 def p8_ids(spark, sf_dir):
     """Token ids of every document; the empty list for an empty or null text."""
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE)
+
+
+@REGISTRY.add("p10_found")
+def p10_found(spark, sf_dir):
+    """Pairs of documents that share a run of 200 characters or more."""
+    return spans.shared_spans(table(spark, sf_dir, "documents")).select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b")).distinct()
+
+
+@REGISTRY.add("p10_shared")
+def p10_shared(spark, sf_dir):
+    """How much of every document stands in another one."""
+    documents = table(spark, sf_dir, "documents")
+    return spans.shared_parts(documents, spans.shared_spans(documents))
