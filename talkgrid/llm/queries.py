@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from talkgrid.llm import bpe, spans
+from talkgrid.llm import bpe, pieces, spans
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import table
 
@@ -17,6 +17,34 @@ TOKENIZERS = os.environ.get("TALKGRID_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
+_P1 = """
+WITH item AS (
+  SELECT DISTINCT 'utterances.text' AS target, utt_id AS item_id, text FROM utterances
+  UNION
+  SELECT DISTINCT 'clips.whisper', clip_id, whisper FROM clips
+)
+SELECT DISTINCT target, item_id FROM item JOIN size_limits USING (target)
+WHERE CASE unit WHEN 'chars' THEN length(text) WHEN 'bytes' THEN strlen(text) END > max_size
+"""
+
+
+def _items(spark, sf_dir):
+    one = lambda name, key, text: table(spark, sf_dir, name).select(F.lit(f"{name}.{text}").alias("target"), F.col(key).alias("item_id"), F.col(text).alias("text"))
+    return one("utterances", "utt_id", "text").unionByName(one("clips", "clip_id", "whisper"))
+
+
+@REGISTRY.add("p1_pieces")
+def p1_pieces(spark, sf_dir):
+    """Ordered, overlapping pieces of every text above its limit."""
+    return pieces.split_items(_items(spark, sf_dir), table(spark, sf_dir, "size_limits"))
+
+
+@REGISTRY.add("p1_found", _P1)
+def p1_found(spark, sf_dir):
+    """The texts that had to be cut."""
+    return p1_pieces(spark, sf_dir).where("piece_no = 0 AND n_pieces > 1").select("target", "item_id")
+
+
 @REGISTRY.add("p8_ids")
 def p8_ids(spark, sf_dir):
     """Token ids of every document; the empty list for an empty or null text."""
