@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from talkgrid.llm import bpe, pieces, spans
+from talkgrid.llm import bpe, lookalike, pieces, spans
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import table
 
@@ -45,6 +45,19 @@ def p1_found(spark, sf_dir):
     return p1_pieces(spark, sf_dir).where("piece_no = 0 AND n_pieces > 1").select("target", "item_id")
 
 
+@REGISTRY.add("p7_found")
+def p7_found(spark, sf_dir):
+    """Utterances that look alike but differ in characters."""
+    return lookalike.same_looks(table(spark, sf_dir, "utterances")).distinct()
+
+
+@REGISTRY.add("p7_forms")
+def p7_forms(spark, sf_dir):
+    """The consistent form of every utterance's text."""
+    once = table(spark, sf_dir, "utterances").select("utt_id", "text").dropDuplicates(["utt_id"])
+    return lookalike.canonical(spark, once, ["utt_id"], "text").select("utt_id", "form")
+
+
 @REGISTRY.add("p8_ids")
 def p8_ids(spark, sf_dir):
     """Token ids of every document; the empty list for an empty or null text."""
