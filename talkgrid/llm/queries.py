@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from talkgrid.llm import bpe, lookalike, pieces, spans
+from talkgrid.llm import bpe, lookalike, names, pieces, spans, turns
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import table
 
@@ -45,6 +45,24 @@ def p1_found(spark, sf_dir):
     return p1_pieces(spark, sf_dir).where("piece_no = 0 AND n_pieces > 1").select("target", "item_id")
 
 
+@REGISTRY.add("p4_found")
+def p4_found(spark, sf_dir):
+    """Speaker turns, as the first and last utterance of each."""
+    return turns.speaker_turns(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "people"), with_text=False).select("job_id", "first_utt_id", "last_utt_id")
+
+
+@REGISTRY.add("p4_turns")
+def p4_turns(spark, sf_dir):
+    """Speaker turns with their clean text and the time they span."""
+    return turns.speaker_turns(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "people"))
+
+
+@REGISTRY.add("p5_found")
+def p5_found(spark, sf_dir):
+    """Every spelling of a registered person or firm, tied to it."""
+    return names.linked_names(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "people"))
+
+
 @REGISTRY.add("p7_found")
 def p7_found(spark, sf_dir):
     """Utterances that look alike but differ in characters."""
