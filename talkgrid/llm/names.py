@@ -169,6 +169,15 @@ class Register:
         surnames = {s for group in firsts.values() for s in group}
         self.givens = set(firsts) | {g for g, heads in ends.items() if len(heads) > 1 and any(readings(g)) and len(g) <= 3} | {s[len(n) :] for s in solids for n in surnames if s.startswith(n) and len(s) > len(n)}
         self.givens = {g for g in self.givens if g and not any(g != o and g.endswith(o) and (g[: -len(o)] in "".join(surnames)) and g not in firsts for o in firsts)}
+        for _, display, aliases in rows:  # a row that writes its name in Latin letters as well shows where the parts meet
+            texts = [Spelling(t) for t in (display, *aliases)]
+            latin = [[short(_latin(w)) for w in s.words] for s in texts if not s.han and not s.kana and len(s.words) == 2]
+            for s in texts:
+                if s.han and not s.firm and len(s.words) == 1 and not s.inside and _split_han(s.solid, self.givens) is None:
+                    for cut in range(1, len(s.solid)):
+                        a, b = readings(s.solid[:cut]), readings(s.solid[cut:])
+                        if any(x in a and y in b or y in a and x in b for x, y in latin):
+                            self.givens.add(s.solid[cut:])
         self.read: dict[str, set[str]] = defaultdict(set)
         for _, display, aliases in rows:
             texts = [Spelling(t) for t in (display, *aliases)]
@@ -188,8 +197,6 @@ class Register:
         for _ in range(4):  # what is known of one part tells the other
             for sur, given, words in pairs:
                 known_g, known_s = self.read[given] | readings(given), self.read[sur] | readings(sur)
-                for a, b in ((words, words[::-1]) if len(words) == 2 else []):
-                    pass
                 if len(words) == 2:
                     for a, b in (tuple(words), tuple(words[::-1])):
                         if b in known_g or a in known_s:
@@ -205,7 +212,13 @@ class Register:
     def _parts(self, s: Spelling) -> tuple[str, str] | None:
         if len(s.words) == 2:
             return s.words[0], s.words[1]
-        return _split_han(s.solid, self.givens) if len(s.words) == 1 else None
+        if len(s.words) != 1 or s.firm:
+            return None
+        found = _split_han(s.solid, self.givens)
+        if found is None and len(s.solid) > 2:  # most given names have two characters
+            cut = len(s.solid) - (2 if len(s.solid) > 3 else 1)
+            found = (s.solid[:cut], s.solid[cut:]) if readings(s.solid[:cut]) and readings(s.solid[cut:]) else None
+        return found
 
     def _latin_of(self, part: str) -> set[str]:
         return {r for r in (self.read.get(part) or set()) | (set() if self.read.get(part) else set(readings(part))) if r}
@@ -258,6 +271,8 @@ class Register:
 
     def _spelled(self, put, s: Spelling, minor: bool) -> None:
         words = [short(romaji(w)) if s.kana else _latin(w) for w in s.words]
+        if not all(words) or not words:
+            return
         if s.kana or len(words) == 1:
             words = [short(w) for w in words]
             put("l:" + "".join(words), FULL)
@@ -331,8 +346,10 @@ class Register:
         words = [w for w in words if w]
         solid = "".join(words)
         if s.kana:
-            parts = [p for run in re.findall(r"[a-z]|[^a-z]+", s.solid.casefold()) for p in ([run] if run.isascii() else syllables(short(romaji(run))))]
-            out.append(("y:" + sound_key(parts), 0.0))
+            runs = re.findall(r"[a-z]|[^a-z]+", s.solid.casefold())
+            for spell in (short, str):  # a lost kana may leave two vowels that are no long one
+                parts = [p for run in runs for p in ([run] if run.isascii() else syllables(spell(romaji(run))))]
+                out.append(("y:" + sound_key(parts), 0.0))
         out += [("l:" + solid, 0.0), ("l:" + short(solid), 0.0)]
         if len(words) == 1:
             out += [("p:" + solid, 0.0), ("p:" + short(solid), 0.0)]

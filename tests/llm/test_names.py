@@ -34,7 +34,7 @@ def test_no_case():
 def test_a_frequent_spelling_is_a_name_of_its_own():
     r = register()
     r.prior[7] = 10.0
-    assert r.attach("Hoshioki Kengoo", 2) == 7 and r.attach("Hoshioki Kengoo", 500) is None
+    assert r.attach("Hoshioki Kenngo", 2) == 7 and r.attach("Hoshioki Kenngo", 500) is None
 
 
 def test_linked_names(spark):
