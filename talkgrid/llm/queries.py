@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from talkgrid.llm import bpe, lookalike, names, pieces, spans, turns
+from talkgrid.llm import bpe, lookalike, names, pieces, sentences, spans, turns
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import table
 
@@ -63,6 +63,12 @@ def p5_found(spark, sf_dir):
     return names.linked_names(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "people"))
 
 
+@REGISTRY.add("p6_found")
+def p6_found(spark, sf_dir):
+    """Sentence ends of texts and of the words that make them up."""
+    return sentences.sentences(table(spark, sf_dir, "utterances"), table(spark, sf_dir, "words"))
+
+
 @REGISTRY.add("p7_found")
 def p7_found(spark, sf_dir):
     """Utterances that look alike but differ in characters."""
