@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from talkgrid.llm import bpe, lookalike, names, pieces, sentences, spans, turns
+from talkgrid.llm import bpe, lookalike, names, pieces, pii, sentences, spans, turns
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import table
 
@@ -45,6 +45,19 @@ def p1_found(spark, sf_dir):
     return p1_pieces(spark, sf_dir).where("piece_no = 0 AND n_pieces > 1").select("target", "item_id")
 
 
+@REGISTRY.add("p3_found")
+def p3_found(spark, sf_dir):
+    """Mentions of personal information in texts and memos."""
+    found = pii.personal_information(table(spark, sf_dir, "utterances"))
+    return found.select("utt_id", "field", F.explode("mentions").alias("m")).select("utt_id", "field", "m.kind", "m.value").distinct()
+
+
+@REGISTRY.add("p3_redacted")
+def p3_redacted(spark, sf_dir):
+    """Texts and memos with typed placeholders."""
+    return pii.personal_information(table(spark, sf_dir, "utterances")).select("utt_id", "field", "redacted")
+
+
 @REGISTRY.add("p4_found")
 def p4_found(spark, sf_dir):
     """Speaker turns, as the first and last utterance of each."""
