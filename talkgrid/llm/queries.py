@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from talkgrid.llm import bpe, lookalike, names, pieces, pii, sentences, spans, turns
+from talkgrid.llm import bpe, lookalike, names, packing, pieces, pii, sentences, spans, turns
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import table
 
@@ -101,6 +101,14 @@ def p8_ids(spark, sf_dir):
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE)
 
 
+@REGISTRY.add("p9_containers")
+def p9_containers(spark, sf_dir):
+    """The container of every document, or of each part of one that is longer than a container."""
+    capacity = table(spark, sf_dir, "size_limits").where("target = 'documents.text'").first()["max_size"]
+    sizes = bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE, lengths_only=True)
+    return packing.pack(sizes, "doc_id", "n_tokens", capacity)
+
+
 @REGISTRY.add("p10_found")
 def p10_found(spark, sf_dir):
     """Pairs of documents that share a run of 200 characters or more."""
