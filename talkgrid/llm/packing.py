@@ -52,19 +52,12 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int
             size = sizes[k]
             take = min(room // size, left[size])
             if take:
-                # A gap that another length closes exactly is better closed than filled longest first.
-                rest = room - size
-                if filling and rest and rest not in left and room in left:
-                    size, take = room, 1
                 filling.append((size, take))
                 room -= size * take
             k = min(k, bisect_right(sizes, room)) - 1
-        used: dict[int, int] = {}
-        for size, take in filling:
-            used[size] = used.get(size, 0) + take
-        times = min(left[s] // n for s, n in used.items())
-        out.append((tuple(sorted(used.items(), reverse=True)), times))
-        for size, n in used.items():
+        times = min(left[s] // n for s, n in filling)
+        out.append((tuple(filling), times))
+        for size, n in filling:
             left[size] -= n * times
             if not left[size]:
                 del left[size]
