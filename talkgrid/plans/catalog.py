@@ -1,5 +1,5 @@
 """All registries of the core."""
 
-from talkgrid.plans import interval_queries, transcript_queries
+from talkgrid.plans import interval_queries, sequence_queries, transcript_queries
 
-REGISTRIES = [interval_queries.REGISTRY, transcript_queries.REGISTRY]
+REGISTRIES = [sequence_queries.REGISTRY, interval_queries.REGISTRY, transcript_queries.REGISTRY]

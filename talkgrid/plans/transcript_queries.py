@@ -47,8 +47,8 @@ def replace_text(spark, d):
     return O.replace_text(utts(spark, d), "確認", "点検")
 
 
-@add("preview_replace", CTE + """, h AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY utt_idx, utt_id) AS n, instr(text, '確認') AS at FROM u WHERE contains(text, '確認'))
-SELECT job_id, utt_id, substr(text, greatest(at - 19, 0) + 1, at - 1 + 2 + 18 - greatest(at - 19, 0)) AS example FROM h WHERE n <= 4""")
+@add("preview_replace", CTE + """, h AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY utt_idx, utt_id) AS n, instr(text, '確認') AS pos FROM u WHERE contains(text, '確認'))
+SELECT job_id, utt_id, substr(text, greatest(pos - 19, 0) + 1, pos - 1 + 2 + 18 - greatest(pos - 19, 0)) AS example FROM h WHERE n <= 4""")
 def preview_replace(spark, d):
     return O.preview_replace(utts(spark, d), "確認")
 
