@@ -1,5 +1,5 @@
 """All registries of the core."""
 
-from talkgrid.plans import interval_queries, sequence_queries, transcript_queries
+from talkgrid.plans import document_queries, interval_queries, sequence_queries, transcript_queries, vector_queries
 
-REGISTRIES = [sequence_queries.REGISTRY, interval_queries.REGISTRY, transcript_queries.REGISTRY]
+REGISTRIES = [document_queries.REGISTRY, vector_queries.REGISTRY, sequence_queries.REGISTRY, interval_queries.REGISTRY, transcript_queries.REGISTRY]
