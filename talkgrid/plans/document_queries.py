@@ -160,7 +160,7 @@ def restore(spark, d):
     return h.where("version = 1").select("job_id", "id", (F.col("n") + 1).alias("version"))
 
 
-@add("history_coalesce", """WITH RECURSIVE x AS (SELECT job_id, doc_id AS id, epoch_ms(created_at) AS t, row_number() OVER (PARTITION BY job_id ORDER BY epoch_ms(created_at), doc_id) AS rn FROM documents WHERE job_id IS NOT NULL),
+@add("history_coalesce", """WITH RECURSIVE x AS (SELECT job_id, doc_id AS id, (epoch_us(created_at) // 1000) AS t, row_number() OVER (PARTITION BY job_id ORDER BY (epoch_us(created_at) // 1000), doc_id) AS rn FROM documents WHERE job_id IS NOT NULL),
 f AS (SELECT job_id, id, rn, t AS pos, true AS kept FROM x WHERE rn = 1 UNION ALL SELECT x.job_id, x.id, x.rn, CASE WHEN x.t - f.pos >= 600000 THEN x.t ELSE f.pos END, x.t - f.pos >= 600000 FROM f JOIN x ON x.job_id = f.job_id AND x.rn = f.rn + 1) SELECT job_id, id FROM f WHERE kept""")
 def history_coalesce(spark, d):
     """One backup of a job in ten minutes."""

@@ -190,7 +190,7 @@ def overlap_tail(spark, d):
     return x.where("rn <= 3 AND (rn = 1 OR total <= 200)").groupBy("job_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("tail"))
 
 
-@add("checkpoint_throttle", """WITH RECURSIVE x AS (SELECT user_id, event_id AS id, epoch_ms(ts) AS t, event_type AS phase, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events WHERE event_type IN ('view', 'click')),
+@add("checkpoint_throttle", """WITH RECURSIVE x AS (SELECT user_id, event_id AS id, (epoch_us(ts) // 1000) AS t, event_type AS phase, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS rn FROM events WHERE event_type IN ('view', 'click')),
 f AS (SELECT user_id, id, rn, t AS at, phase, true AS saved FROM x WHERE rn = 1 UNION ALL SELECT x.user_id, x.id, x.rn, CASE WHEN x.t - f.at >= 3600000 OR x.phase <> f.phase THEN x.t ELSE f.at END, CASE WHEN x.t - f.at >= 3600000 OR x.phase <> f.phase THEN x.phase ELSE f.phase END, x.t - f.at >= 3600000 OR x.phase <> f.phase
 FROM f JOIN x ON x.user_id = f.user_id AND x.rn = f.rn + 1) SELECT user_id, id FROM f WHERE saved""")
 def checkpoint_throttle(spark, d):
