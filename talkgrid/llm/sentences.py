@@ -79,47 +79,98 @@ _QUOTES = _OPENING | _CLOSING | {'"'}
 BARE = -4.5
 
 
-class Gaps:
-    """The gaps of one text: its visible characters, and for each gap its place and what it shows."""
+class Batch:
+    """The gaps of many texts in arrays: places in the texts, what the gaps show, and the n-grams around them.
 
-    __slots__ = ("chars", "places", "index", "shows", "labels", "end")
+    The texts are joined, so that all but the doubtful gaps are found by array operations over all of them.
+    """
 
-    def __init__(self, text: str, found):
-        codes = np.frombuffer(text.translate(_codes).encode("latin-1"), np.uint8)
+    def __init__(self, texts: list[str], found):
+        joined = "\x00".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        codes = np.frombuffer(joined.translate(_codes).encode("latin-1"), np.uint8)
         shown = np.flatnonzero(codes != _BLANK)
-        self.end = int(shown[-1]) + 1 if len(shown) else 0  # the sentence end that every visible text has
-        gone = _noted(text, found)
+        last = np.searchsorted(shown, starts + sizes) - 1
+        has = (last >= 0) & (len(shown) > 0)
+        ends = np.where(has, shown[np.maximum(last, 0)] + 1 if len(shown) else 0, 0) - starts
+        self.end = np.where(ends > 0, ends, 0)  # the sentence end that every visible text has
         visible = codes >= _SINGLE
-        for s, e in gone:
-            visible[s:e] = False
+        gone: list[list[tuple[int, int]]] = []
+        quoted = np.zeros(len(joined), np.int64)
+        for text, start in zip(texts, starts.tolist()):
+            notes = [(s + start, e + start) for s, e in _noted(text, found)]
+            gone.append(notes)
+            for s, e in notes:
+                visible[s:e] = False
+            if not _QUOTES.isdisjoint(text):
+                quoted[start : start + len(text)] = _quoted(text)
         at = np.flatnonzero(visible)
-        self.chars = np.frombuffer(text.translate(_folds).encode("utf-32-le", "surrogatepass"), np.uint32)[at]  # of the n-grams
+        number = np.searchsorted(starts, at, side="right") - 1
+        pad = max(ORDERS)
+        points = np.zeros(len(at) + 2 * pad * len(texts), np.uint32)
+        place_of = np.arange(len(at)) + pad * (2 * number + 1)
+        points[place_of] = np.frombuffer(joined.translate(_folds).encode("utf-32-le", "surrogatepass"), np.uint32)[at]
+        self.hashes = _Hashes(points)
         before, after = at[:-1], at[1:]
+        own = number[:-1] == number[1:] if len(at) else np.zeros(0, bool)
         direct = after - before == 1
         left, right = codes[before], codes[after]
         one_word = (right >= _JOINED_COMBINING) | (right == _JOINED) & ((left == _JOINED) | (left == _JOINED_COMBINING))
-        places, shows = after.copy(), np.full(len(after), BARE)
-        labels = np.zeros(len(after), np.int64)
-        kept = direct & ~one_word
-        quoted = _quoted(text, gone) if not _QUOTES.isdisjoint(text) else None
-        for k in np.flatnonzero(~direct).tolist():
-            i, j = int(before[k]) + 1, int(after[k])
-            inside = [(s, e) for s, e in gone if s >= i and e <= j]
+        places, shows, labels = after.copy(), np.full(len(after), BARE), np.zeros(len(after), np.int64)
+        kept = own & direct & ~one_word & ~(quoted[before] > 0)
+        far = np.flatnonzero(own & ~direct)
+        # A space after a word of a script that parts words by spaces, outside quotations and notes.
+        spaced = (after[far] - before[far] == 2) & (left[far] >= _JOINED) & (left[far] <= _JOINED_COMBINING)
+        for k, i, j, n, simple in zip(far.tolist(), (before[far] + 1).tolist(), after[far].tolist(), number[far].tolist(), spaced.tolist()):
+            notes = gone[n]
+            plain = not (quoted[j] or quoted[i - 1]) and not (notes and _meets(notes, i, j))
+            if plain:
+                if simple and joined[i] == " ":
+                    places[k], shows[k], kept[k] = i, _WORD_GAP, True
+                    continue
+                # Most other gaps are a single mark.
+                known = None if joined[j].islower() else _PLAIN_GAPS.get(joined[i:j])
+                if known is not None:
+                    places[k], shows[k], labels[k], kept[k] = i + 1, known[0], known[1], True
+                    continue
+            inside = [(s, e) for s, e in notes if s >= i and e <= j]
             stop = inside[0][0] if inside else j
-            own = text[i:stop]  # belongs to the sentence before, as far as it is visible and opens nothing
             place = i
-            for n, ch in enumerate(own):
-                if ch in _OPENING or ch in _LEADING or ch == '"' and n and own[n - 1].isspace():
+            for m in range(i, stop):  # marks belong to the sentence before, as far as they are visible and open nothing
+                ch = joined[m]
+                if ch in _OPENING or ch in _LEADING or ch == '"' and m > i and joined[m - 1].isspace():
                     break
-                if codes[i + n] != _BLANK:
-                    place = i + n + 1
-            between = [c for n, c in enumerate(text[i:j], i) if not any(s <= n < e for s, e in inside)]
-            value, label = _evidence(between, text, i - 1, text[j], bool(quoted is not None and quoted[j] and quoted[i - 1] and quoted[j] == quoted[i - 1]), bool(inside), codes)
+                if codes[m] != _BLANK:
+                    place = m + 1
+            between = [joined[m] for m in range(i, j) if not any(s <= m < e for s, e in inside)] if inside else list(joined[i:j])
+            value, label = _evidence(between, joined, i - 1, joined[j], bool(quoted[j] and quoted[j] == quoted[i - 1]), bool(inside), codes)
             places[k], shows[k], labels[k], kept[k] = place, value, label, value > -50
-        if quoted is not None:
-            kept &= ~(direct & (quoted[before] > 0))
-        self.index = (np.arange(1, len(at)) if len(at) else np.zeros(0, np.int64))[kept]  # visible characters before the gap
-        self.places, self.shows, self.labels = places[kept], shows[kept], labels[kept]
+        self.places = (places - starts[number[1:]])[kept] if len(at) else np.zeros(0, np.int64)
+        self.shows, self.labels = shows[kept], labels[kept]
+        self.at = place_of[1:][kept] if len(at) else np.zeros(0, np.int64)  # of the character after the gap
+        self.counts = np.bincount(number[1:][kept], minlength=len(texts)) if len(at) else np.zeros(len(texts), np.int64)
+        # The ends of texts end sentences, their beginnings begin them.
+        filled = np.bincount(number, minlength=len(texts))
+        full = filled > 0
+        first = pad * (2 * np.arange(len(texts)) + 1) + np.cumsum(filled) - filled
+        self.first, self.last = first[full], (first + filled)[full]
+
+    def buckets(self, at: np.ndarray, order: int, right: bool) -> np.ndarray:
+        h = self.hashes.of(at, at + order) if right else self.hashes.of(at - order, at)
+        return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+#: What single marks show where no small letter follows: log-odds and label.
+_PLAIN_GAPS = {**{c: (9.0, 1, 1) for c in "。｡！？।॥"}, **{c: (-4.5, 0, 1) for c in "、､"}}
+
+
+#: Log-odds at a space after a word of a script that parts words by spaces.
+_WORD_GAP = -6.5
+
+
+def _meets(gone: list[tuple[int, int]], i: int, j: int) -> bool:
+    return any(s < j and e > i for s, e in gone) if gone else False
 
 
 def _noted(text: str, found) -> list[tuple[int, int]]:
@@ -130,7 +181,7 @@ def _noted(text: str, found) -> list[tuple[int, int]]:
     return [(0, head[0]), *gone] if head is not None else gone
 
 
-def _quoted(text: str, gone: list[tuple[int, int]]) -> np.ndarray:
+def _quoted(text: str) -> np.ndarray:
     """The number of the quotation that each character is in, 0 outside; the marks themselves are outside."""
     out = np.zeros(len(text), np.int64)
     opened, straight, number = [], -1, 0
@@ -218,32 +269,6 @@ def _evidence(between: list[str], text: str, at: int, nxt: str, inside: bool, no
     return BARE, 0
 
 
-class Batch:
-    """The gaps of many texts in arrays."""
-
-    def __init__(self, texts: list[str], found):
-        self.gaps = [Gaps(t, found) for t in texts]
-        pad = max(ORDERS)
-        sizes = [len(g.chars) + 2 * pad for g in self.gaps]
-        starts = np.cumsum([0, *sizes])[:-1]
-        points = np.zeros(sum(sizes), np.uint32)
-        for g, at in zip(self.gaps, starts):
-            points[at + pad : at + pad + len(g.chars)] = g.chars
-        self.hashes = _Hashes(points)
-        self.counts = np.array([len(g.places) for g in self.gaps], np.int64)
-        self.at = np.repeat(starts + pad, self.counts) + np.concatenate([g.index for g in self.gaps])
-        self.shows = np.concatenate([g.shows for g in self.gaps])
-        self.labels = np.concatenate([g.labels for g in self.gaps])
-        # The ends of texts end sentences, their beginnings begin them.
-        full = np.array([len(g.chars) > 0 for g in self.gaps], bool)
-        self.first = (starts + pad)[full]
-        self.last = (starts + pad + np.array([len(g.chars) for g in self.gaps], np.int64))[full]
-
-    def buckets(self, at: np.ndarray, order: int, right: bool) -> np.ndarray:
-        h = self.hashes.of(at, at + order) if right else self.hashes.of(at - order, at)
-        return (h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
 def _tables() -> list[tuple[int, bool]]:
     return [(order, right) for right in (False, True) for order in ORDERS]
 
@@ -304,7 +329,8 @@ class Model:
         odds = self.log_odds(b)
         width = int(b.counts.max()) if len(b.counts) else 0
         rows = np.repeat(np.arange(len(b.counts)), b.counts)
-        cols = np.arange(len(odds)) - np.repeat(np.cumsum(b.counts) - b.counts, b.counts)
+        starts = np.cumsum(b.counts) - b.counts
+        cols = np.arange(len(odds)) - np.repeat(starts, b.counts)
         grid = np.full((len(b.counts), width), -60.0)
         grid[rows, cols] = odds
         near = np.zeros((len(b.counts), width))
@@ -312,11 +338,11 @@ class Model:
         near[rows, cols] = np.where((gap > 0) & (gap <= 2), CROWDED, 0.0)
         post = posteriors(grid, near)
         out = []
-        for i, g in enumerate(b.gaps):
-            ends = g.places[post[i, : len(g.places)] > 0.5].tolist()
-            if g.end:
-                ends.append(g.end)
-            out.append(sorted(set(e for e in ends if e > 0)))
+        for i, (start, n, end) in enumerate(zip(starts.tolist(), b.counts.tolist(), b.end.tolist())):
+            ends = b.places[start : start + n][post[i, :n] > 0.5].tolist()
+            if end:
+                ends.append(end)
+            out.append(sorted({e for e in ends if e > 0}))
         return out
 
 
