@@ -93,10 +93,13 @@ def _ranges(points: list[int]) -> str:
     return "".join(out)
 
 
-def _active() -> str:
-    """The class of characters that are exploded one by one: mapped, combining, or white space."""
-    points = {ord(c) for c, _ in mapping_rows()} | {cp for cp in range(0x30000) if unicodedata.combining(chr(cp))} | {0x20}
-    return _ranges(sorted(points))
+# Blocks of Unicode that most texts are written in (first and last code point), the most common first.
+_COMMON = ((0x21, 0x7E), (0x3041, 0x3096), (0x30A1, 0x30FC), (0x4E00, 0x9FFF), (0x3001, 0x3011), (0xC0, 0x17F), (0x0E01, 0x0E5B), (0x0900, 0x097F))
+
+
+def _stable() -> str:
+    """The class of common characters that stand for themselves, alone or composed again; few ranges, so that matching is fast."""
+    return "".join(_ranges([cp for cp in range(lo, hi + 1) if unicodedata.normalize("NFC", _form(cp)) == chr(cp)]) for lo, hi in _COMMON)
 
 
 _cache: dict[str, object] = {}
@@ -104,8 +107,8 @@ _cache: dict[str, object] = {}
 
 def _tables() -> tuple[list[tuple[str, str]], str]:
     if not _cache:
-        _cache["rows"], _cache["active"] = mapping_rows(), _active()
-    return _cache["rows"], _cache["active"]
+        _cache["rows"], _cache["stable"] = mapping_rows(), _stable()
+    return _cache["rows"], _cache["stable"]
 
 
 @F.pandas_udf(T.StringType())
@@ -120,9 +123,9 @@ def canonical(spark: SparkSession, texts: DataFrame, key: list[str], text: str)
     Letter case, digits against letters, and marks that are drawn differently stay apart.  White space of
     any kind counts as one plain space, and at the ends of the text as nothing.
     """
-    rows, active = _tables()
+    rows, stable = _tables()
     table = F.broadcast(spark.createDataFrame(rows, "c string, form string"))  # bounded by Unicode
-    token = f"[{active}]|[^{active}]+"
+    token = f"[{stable}]+|[^{stable}]"
     exploded = texts.select(*key, text, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0))).alias("pos", "c"))
     mapped = exploded.join(table, "c", "left").select(*key, text, "pos", F.coalesce("form", "c").alias("form"))
     built = mapped.groupBy(*key, text).agg(F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("parts"))
