@@ -61,7 +61,7 @@ def _shape(token: str) -> str:
         return case + ("1" if len(token) == 1 else "2" if len(token) < 4 else "")
     if first in _KANJI_DIGITS:
         return "hd"
-    if "一" <= first <= "鿿" or first in "々ヶケノ":
+    if "一" <= first <= "鿿" or "豈" <= first <= "﫿" or first in "々ヶケノ":
         return "h"
     if "ぁ" <= first <= "ん":
         return "k"
@@ -315,8 +315,11 @@ _DATE = re.compile(r"^\d{4}-\d{1,2}-\d{1,2}$")
 _UNNAMED = re.compile(r"^(?:話者|speaker|不明|unknown|組長|组长)", re.IGNORECASE)
 _LETTER = "A-Za-z0-9０-９Ａ-Ｚａ-ｚͰ-ϿЀ-ӿ_+\\-­​-‏⁠﻿"
 _EMAIL = re.compile(rf"[{_LETTER}](?:[{_LETTER}.．]|ドット)*(?:@|＠|アットマーク|\s?[\[(（]at[\])）]\s?| at )[{_LETTER}]+(?:(?:[.．]|ドット| dot )[{_LETTER}]+)+", re.IGNORECASE)
-_HAN_NAME = re.compile(r"[一-鿿々ヶノ]")
+_HAN_NAME = re.compile(r"[一-鿿豈-﫿々ヶノ]")
 _CALLED = re.compile("さん|様|さま|くん|氏|が担当")
+_OF = re.compile(r"(?:^|[。、！？!?\s」）)・\]】*])([一-鿿豈-﫿]の)$")
+_HYPHENED = re.compile(r"-[A-ZÀ-Þ][A-Za-zÀ-ÿ]+")
+_ASKED = re.compile("找([一-鿿]{2,4})(?=[。！？，])")
 _REST = re.compile("([一-鿿々ヶノ]{0,3}[ぁ-ん]{0,3}?)(?:さん|様|さま|くん|氏|が担当)")
 
 
@@ -346,6 +349,12 @@ def checked(text: str, start: int, end: int, kind: str) -> list[tuple[int, int,
         if _CALLED.match(text, end):
             while start > 0 and _HAN_NAME.match(text[start : start + 1]) and _HAN_NAME.match(text[start - 1]):
                 start -= 1
+            of = _OF.search(text, max(0, start - 3), start)
+            start = of.start(1) if of else start
+        more = _HYPHENED.match(text, end)
+        end = more.end() if more else end
+        asked = _ASKED.match(text, start - 1) if start > 0 else None
+        end = asked.end(1) if asked else end
         value = text[start:end]
         if any(c.isdigit() for c in value) or _UNNAMED.match(value) or not any(c.isalpha() for c in value) or _FIRM.search(value):
             return []

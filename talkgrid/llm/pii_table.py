@@ -147,7 +147,7 @@ class Filler:
         return self.one("zh_sur") + self.pick(lambda: self.one("zh_given"), lambda: self.one("zh_char") + self.one("zh_char"), lambda: self.one("zh_char") + self.one("zh_char"), lambda: self.one("zh_char"))
 
     def ja_phone(self) -> str:
-        a = self.r.choice(("03", "06", "03", "06", "045", "0799", "090", "080", "070", "052"))
+        a = self.r.choice(("03", "06", "03", "06", "045", "0799", "0799", "090", "080", "070", "052"))
         b, c = self.digits(4), self.digits(4)
         return self.pick(
             lambda: f"{a}-{b}-{c}", lambda: f"{a}{b}{c}", lambda: f"{a}{b}{c}", lambda: f"{a} {b} {c}", lambda: f"{a}({b}){c}", lambda: f"{a}-{b}-{c}".translate(_WIDE), lambda: f"({a}){b}-{c}".translate(_WIDE),
