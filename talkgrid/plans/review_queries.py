@@ -10,6 +10,7 @@ from talkgrid.operators.documents import unambiguous_names
 from talkgrid.plans.base import CTE, utts, words
 from talkgrid.plans.registry import Registry
 from talkgrid.plans.sequence_queries import _SPOKEN, _spoken
+from talkgrid.plans.vector_queries import _MEAN, _VP
 from talkgrid.sources.tables import table
 
 REGISTRY = Registry()
@@ -277,7 +278,8 @@ def embed_clips(spark, d):
     return models.embedded(clips, "path", models.HashEmbedder()).select("clip_id", F.size("embedding").alias("size"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
 
 
-@add("recheck_long_segments")
+@add("recheck_long_segments", _VP + _MEAN + """, sc AS (SELECT vec_id, vp.person AS own, mean.person AS other, list_inner_product(v, mean) AS x FROM vp, mean), b AS (SELECT vec_id, max(CASE WHEN own = other THEN x END) AS mine, max(x) AS best, arg_max(other, x) AS person FROM sc GROUP BY vec_id)
+SELECT vec_id, substr(person, 2) AS person FROM b WHERE best - mine > 0.08""")
 def recheck_long_segments(spark, d):
     """Vectors whose own label's centroid is worse by the margin than another's, with the better label."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("person"), "embedding")
