@@ -47,6 +47,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int
     sizes = sorted(left)
     out = []
     while sizes:
+        # The longest length left is of the first tier that is not empty yet.  The search goes down through that tier,
+        # then through the shorter ones, so a window takes its own tier's lengths first and the gap takes shorter ones.
         room, filling, k = capacity, [], len(sizes) - 1
         while k >= 0:
             size = sizes[k]
