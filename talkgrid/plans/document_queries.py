@@ -69,9 +69,9 @@ def search_outputs(spark, d):
     return O.search(table(spark, d, "documents"), "管理　確認")
 
 
-@add("list_jobs", "SELECT job_id, job_dir, row_number() OVER (ORDER BY job_dir DESC, job_id) AS pos FROM jobs")
+@add("list_jobs", "SELECT job_id, job_dir FROM jobs ORDER BY job_dir DESC, job_id")
 def list_jobs(spark, d):
-    return table(spark, d, "jobs").select("job_id", "job_dir", F.row_number().over(W.orderBy(F.desc("job_dir"), "job_id")).cast("bigint").alias("pos"))
+    return table(spark, d, "jobs").select("job_id", "job_dir").orderBy(F.desc("job_dir"), "job_id")
 
 
 @add("list_editable_jobs", "SELECT job_id FROM jobs WHERE job_id IN (SELECT job_id FROM utterances UNION SELECT job_id FROM clips)")

@@ -294,8 +294,8 @@ def recheck_long_segments(spark, d):
 def merge_tiny_clusters(spark, d):
     """Clusters of few vectors (under a tenth of the largest) given, vector by vector, to the nearest larger one."""
     e = table(spark, d, "embeddings").select("vec_id", (F.when(F.col("vec_id") % 50 == 7, 100 + F.col("label")).otherwise(F.col("label"))).cast("string").alias("person"), "embedding")
-    size = e.groupBy("person").agg(F.count(F.lit(1)).alias("n")).withColumn("most", F.max("n").over(W.partitionBy(F.lit(1))))
-    tiny = size.where(F.col("n") < F.col("most") / 10).select("person")
+    size = e.groupBy("person").agg(F.count(F.lit(1)).alias("n"))
+    tiny = size.join(F.broadcast(size.agg(F.max("n").alias("most"))), F.col("n") < F.col("most") / 10).select("person")  # one row
     big = vectors.mean_unit(e.join(tiny, "person", "left_anti"), ["person"]).withColumnRenamed("mean", "embedding")
     moved = vectors.best(vectors.similarities(e.join(tiny, "person", "left_semi").select(F.col("vec_id").alias("probe"), "embedding"), big), 1)
     return e.join(moved.select(F.col("probe").alias("vec_id"), F.col("person").alias("new")), "vec_id", "left").select("vec_id", F.coalesce("new", "person").alias("person"))
