@@ -121,9 +121,28 @@ def text_edges(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np
     inside = end <= first[number] + size[number]
     number, start, end = number[inside], start[inside], end[inside]
     h = hashes.of(start, end).view(np.int64)
-    fresh = np.ones(len(h), bool)  # one long repetition gives one edge again and again
-    fresh[1:] = (h[1:] != h[:-1]) | (number[1:] != number[:-1])
-    return number[fresh], h[fresh], (start - first[number])[fresh], (end - first[number])[fresh]
+    kept = _thinned(number, h, start, reach)
+    return number[kept], h[kept], (start - first[number])[kept], (end - first[number])[kept]
+
+
+def _thinned(number: np.ndarray, h: np.ndarray, start: np.ndarray, reach: int) -> np.ndarray:
+    """Which edges stay: of one that follows itself, as in a row of dashes, the first two, the last two and some between.
+
+    Such edges stand one period apart.  Two repetitions of unequal length meet at their starts, at their ends or
+    one period off, so the outer edges decide every pair; those between, counted from both ends and less than
+    `reach` apart, carry what is shared over the whole length.  As at least two stay, the counts part the path here.
+    """
+    if not len(h):
+        return np.zeros(0, bool)
+    new = np.append(True, (h[1:] != h[:-1]) | (number[1:] != number[:-1]))
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(h)))
+    rank = np.arange(len(h)) - np.repeat(begin, length)
+    back = np.repeat(length, length) - 1 - rank
+    second = np.minimum(begin + 1, len(h) - 1)
+    period = np.where(length > 1, start[second] - start[begin], 1)
+    step = np.repeat(np.maximum(1, reach // (2 * period)), length)
+    return (rank < 2) | (back < 2) | (rank % step == 0) | (back % step == 0)
 
 
 def _edge_batches(least: int, limit: int = 1 << 19):

@@ -44,6 +44,27 @@ def test_pairs_and_parts_match_brute_force(spark):
     assert all(parts[d][1] == cover[d] for d in texts if texts[d] and d != 202 and d != 203)
 
 
+def test_unequal_repetitions_inside_shared_text(spark):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefgh 会議予算") for _ in range(n))
+    texts, units = {}, ["-", "はい", "ご視聴", "thank you ", "a phrase of thirty letters....", "twenty-nine letters and a dot."]
+    for k, unit in enumerate(units):
+        head, tail = word(400), word(400)
+        texts |= {10 * k: head + unit * 150 + tail, 10 * k + 1: head + unit * 190 + tail, 10 * k + 2: word(50) + unit * 170 + word(50)}
+        # The shared run is hardly longer than the repetition, and begins or ends at another place of the unit.
+        line = unit * 400
+        texts |= {10 * k + 3: word(40) + line[3:203] + word(40), 10 * k + 4: word(40) + line[1:194] + tail[:12] + word(40), 10 * k + 5: word(40) + line[2:900] + tail[:12] + word(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs, cover = brute(texts, 200)
+    assert all((10 * k, 10 * k + 1) in pairs for k in range(len(units)))
+    for block in (8, 64, 4096):
+        found = shared_spans(df, block=block).collect()
+        assert {(x.doc_a, x.doc_b) for x in found} == pairs
+        assert all(texts[x.doc_a][x.from_a : x.to_a] == texts[x.doc_b][x.from_b : x.to_b] and x.to_a - x.from_a >= 200 for x in found)
+    parts = {x.doc_id: x.shared_chars for x in shared_parts(df, shared_spans(df, block=1 << 30)).collect()}
+    assert parts == cover
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert rows(shared_spans(df)) == [] and rows(shared_parts(df, shared_spans(df))) == []
