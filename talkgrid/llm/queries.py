@@ -112,7 +112,7 @@ def p9_containers(spark, sf_dir):
 @REGISTRY.add("p10_found")
 def p10_found(spark, sf_dir):
     """Pairs of documents that share a run of 200 characters or more."""
-    return spans.shared_spans(table(spark, sf_dir, "documents")).select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b")).distinct()
+    return spans.shared_spans(table(spark, sf_dir, "documents"), cover=False).select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b")).distinct()
 
 
 @REGISTRY.add("p10_shared")

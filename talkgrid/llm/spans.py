@@ -11,7 +11,8 @@ same edge, as often as either stands, the two are one nonbranching path; paths c
 on the pair counts.  The occurrences of a compacted path are compared at their source coordinates, in
 the texts themselves: with the characters on both sides that two of them share, they are a span if it
 is long enough.  A path that stands in very many records is not compared in pairs: its occurrences
-are grouped by every window of `least` characters that covers it, which is exact and linear.
+are grouped by every window of `least` characters that covers it, which is exact and linear.  What they share
+around it, and over all of a longer path, comes from the windows too, with one other record for each.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 
 def text_edges(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, hash, start and end of every edge of the texts, each text by itself."""
-    reach = least + 4 - 4 * WINDOW
+    reach = _reach(least)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.cumsum(size) - size
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -183,7 +184,7 @@ def repeated_paths(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _flanks(least: int):
-    """Characters of the path and on both sides of it, from the record's text."""
+    """Characters of the path (the first and last `least` of a long one) and on both sides of it, from the record's text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -191,7 +192,7 @@ def _flanks(least: int):
             for doc, text, spots in zip(pdf["doc"], pdf["text"], pdf["spots"]):
                 for spot in spots:
                     s, e = spot["s"], spot["e"]
-                    rows.append((doc, spot["path"], s, e, text[max(0, s - least) : s], text[s:e] if e - s < least else text[s : s + least], text[e : e + least]))
+                    rows.append((doc, spot["path"], s, e, text[max(0, s - least) : s], text[s : min(e, s + least)] + text[max(s + least, e - least) : e], text[e : e + least]))
             yield pd.DataFrame(rows, columns=["doc", "path", "s", "e", "left", "mid", "right"])
 
     return run
@@ -232,37 +233,57 @@ def _compare(least: int):
     return run
 
 
-def _windows(least: int):
-    """Every window of `least` characters that covers a path, as a hash; for a path that is longer itself, its start."""
+def _windows(least: int, cover: bool):
+    """Windows of `least` characters over a path, as hashes, and where they stand; k counts from the path's start.
+
+    Those that decide pairs cover the path whole; a path that is longer itself is one such row of its own length.
+    With `cover` come all others that may hold an edge of the path: they tell how far what is shared reaches beyond it.
+    """
+    beyond = least - _reach(least) if cover else 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            docs, counts, parts = [], [], []
             for doc, path, s, e, left, mid, right in zip(pdf["doc"], pdf["path"], pdf["s"], pdf["e"], pdf["left"], pdf["mid"], pdf["right"]):
-                text = left + mid + right if e - s < least else mid
-                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                first = max(0, len(left) + (e - s) - least) if e - s < least else 0
-                last = min(len(left), len(points) - least) if e - s < least else 0
-                if last < first:
-                    continue
-                at = np.arange(first, last + 1)
-                h = _Hashes(points).of(at, at + least).view(np.int64)
-                offset = s - len(left) + at if e - s < least else np.array([s])
-                out.append(pd.DataFrame({"doc": doc, "path": path, "k": at - len(left) if e - s < least else 0, "w": h, "at": offset}))
-            yield pd.concat(out) if out else pd.DataFrame({"doc": [], "path": [], "k": [], "w": [], "at": []}).astype("int64")
+                long = e - s >= least
+                # Stretches of text, the place in each that counts as its path's start, and the first and last k.
+                if long:
+                    stretches = [(left + mid[:least], len(left), -beyond, -1), (mid[-least:] + right, s - e + least, e - s - least + 1, e - s - least + beyond)]
+                else:
+                    low, high = (-beyond, e - s - least + beyond) if cover else (e - s - least, 0)
+                    stretches = [(left + mid + right, len(left), low, high)]
+                found = [(np.zeros(1, np.int64), np.zeros(1, np.int64), e - s, True)] if long else []
+                for text, zero, low, high in stretches:
+                    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    k = np.arange(max(low, -zero), min(high, len(points) - least - zero) + 1)
+                    if len(k):
+                        h = _Hashes(points).of(k + zero, k + zero + least).view(np.int64)
+                        found.append((k, h, least, (not long) & (k >= e - s - least) & (k <= 0)))
+                for k, h, n, pair in found:
+                    docs.append((doc, path)), counts.append(len(k))
+                    parts.append((k, h, s + k, np.full(len(k), n), np.broadcast_to(pair, len(k))))
+            if parts:
+                k, w, at, n, pair = (np.concatenate(x) for x in zip(*parts))
+                of = np.repeat(np.array(docs, np.int64), counts, axis=0)
+                yield pd.DataFrame({"doc": of[:, 0], "path": of[:, 1], "k": k, "w": w, "at": at, "n": n, "pair": pair})
 
     return run
 
 
+def _reach(least: int) -> int:
+    return least + 4 - 4 * WINDOW
+
+
 _PAIRS = "doc_a bigint, doc_b bigint, from_a bigint, to_a bigint, from_b bigint, to_b bigint"
 
 
-def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200, block: int = BLOCK) -> DataFrame:
+def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200, block: int = BLOCK, cover: bool = True) -> DataFrame:
     """doc_a < doc_b and where a span of `least` characters or more stands in each (from inclusive, to exclusive).
 
     Spans are found once or more for every pair that shares one; a pair's longest spans are reported whole
     up to `least` characters beyond the compacted path.  Null, empty and shorter texts share nothing; rows
-    of one key that repeat each other count once; a null key is left out.
+    of one key that repeat each other count once; a null key is left out.  Without `cover` every pair is
+    found, but of a path that stands in very many records not every place and not its whole extent.
     """
     docs = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= least))
     paths = cut_lineage(repeated_paths(docs, least))
@@ -280,21 +301,38 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     few = groups.where(F.size("spots") > 1).mapInPandas(_compare(least), _PAIRS)
     if hot.isEmpty():
         return few
-    windows = sides(hot).mapInPandas(_windows(least), "doc bigint, path bigint, k bigint, w bigint, at bigint")
-    chosen = cut_lineage(windows.groupBy("path", "k", "w", "doc").agg(F.min("at").alias("at")))
+    windows = sides(hot).mapInPandas(_windows(least, cover), "doc bigint, path bigint, k bigint, w bigint, at bigint, n bigint, pair boolean")
+    windows = cut_lineage(windows) if cover else windows
+    chosen = cut_lineage(windows.where("pair").groupBy("path", "k", "w", "doc").agg(F.min("at").alias("at"), F.min("n").alias("size")))
     group = ["path", "k", "w"]
     count = chosen.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Members of one window group, in blocks, so that no task holds a group: block i meets every block j >= i.
     numbered = chosen.join(count, group).withColumn("b", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / block)))
-    blocks = numbered.groupBy(*group, "b").agg(F.collect_list(F.struct("doc", "at")).alias("m"))
+    blocks = numbered.groupBy(*group, "b").agg(F.collect_list(F.struct("doc", "at", "size")).alias("m"))
     met = blocks.join(blocks.select(*group, F.col("b").alias("b2"), F.col("m").alias("m2")), group).where("b <= b2")
     x = met.select(F.explode("m").alias("x"), "m2").select("x", F.explode("m2").alias("y")).where("x.doc != y.doc")
-    swap = F.col("x.doc") > F.col("y.doc")
-    low, high = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
-    many = x.select(low.alias("p"), high.alias("q")).select(
-        F.col("p.doc").alias("doc_a"), F.col("q.doc").alias("doc_b"), F.col("p.at").alias("from_a"), (F.col("p.at") + least).alias("to_a"), F.col("q.at").alias("from_b"), (F.col("q.at") + least).alias("to_b")
-    )
-    return few.unionByName(many)
+    found = few.unionByName(_ordered(x.select(F.col("x.doc").alias("doc"), F.col("x.at").alias("s"), F.col("y.doc").alias("other"), F.col("y.at").alias("t"), F.col("x.size").alias("size"))))
+    return found.unionByName(_extents(windows)) if cover else found
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    """Spans of doc (from s) and other (from t), `size` characters long, with the lesser document first."""
+    swap = F.col("doc") > F.col("other")
+    low = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    met = met.select(low("doc", "other").alias("doc_a"), low("other", "doc").alias("doc_b"), low("s", "t").alias("from_a"), low("t", "s").alias("from_b"), "size")
+    return met.select("doc_a", "doc_b", "from_a", (F.col("from_a") + F.col("size")).alias("to_a"), "from_b", (F.col("from_b") + F.col("size")).alias("to_b"))
+
+
+def _extents(windows: DataFrame) -> DataFrame:
+    """What is shared around every occurrence of a path, with one other record for each window: as many rows as windows at most.
+
+    Windows that an occurrence shares with one and the same other occurrence are one span: they all overlap the path.
+    """
+    group = ["path", "k", "w"]
+    ends = windows.groupBy(*group).agg(F.min(F.struct("doc", "at")).alias("lo"), F.max(F.struct("doc", "at")).alias("hi")).where("lo.doc < hi.doc")
+    met = windows.join(ends, group).withColumn("o", F.when(F.col("doc") == F.col("lo.doc"), F.col("hi")).otherwise(F.col("lo")))
+    one = met.groupBy("path", "doc", (F.col("at") - F.col("k")).alias("p"), F.col("o.doc").alias("other"), (F.col("o.at") - F.col("at")).alias("shift")).agg(F.min("at").alias("s"), F.max(F.col("at") + F.col("n")).alias("e"))
+    return _ordered(one.select("doc", "s", "other", (F.col("s") + F.col("shift")).alias("t"), (F.col("e") - F.col("s")).alias("size")))
 
 
 def shared_parts(documents: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

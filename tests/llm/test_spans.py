@@ -61,8 +61,32 @@ def test_unequal_repetitions_inside_shared_text(spark):
         found = shared_spans(df, block=block).collect()
         assert {(x.doc_a, x.doc_b) for x in found} == pairs
         assert all(texts[x.doc_a][x.from_a : x.to_a] == texts[x.doc_b][x.from_b : x.to_b] and x.to_a - x.from_a >= 200 for x in found)
-    parts = {x.doc_id: x.shared_chars for x in shared_parts(df, shared_spans(df, block=1 << 30)).collect()}
-    assert parts == cover
+    for block in (8, 1 << 30):
+        assert {x.doc_id: x.shared_chars for x in shared_parts(df, shared_spans(df, block=block)).collect()} == cover
+
+
+def test_parts_of_hot_passages_match_brute_force(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefgh 会議予算") for _ in range(n))
+    long, short, sides = word(3000), word(150), [word(n) for n in (30, 90, 170)]
+    texts = {}
+    for d in range(40):
+        parts = [word(r.randint(0, 90)), r.choice(sides), long, r.choice(sides)[::-1], word(r.randint(0, 90))]
+        if d % 3 == 0:
+            parts += [long, word(30)]  # twice in one document
+        if d % 2:
+            parts += [r.choice(sides), short, r.choice(sides), word(60), short, word(r.randint(0, 90))]
+        texts[d] = "".join(parts)
+    texts |= {50: "=" * 700, 51: "x" + "=" * 300 + "y" + word(99), 52: word(40) + "はい" * 101 + word(10), 53: word(9) + "はい" * 250 + word(10)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs, cover = brute(texts, 200)
+    for block in (1, 8):
+        spans = shared_spans(df, block=block)
+        found = spans.collect()
+        assert {(x.doc_a, x.doc_b) for x in found} == pairs
+        assert all(texts[x.doc_a][x.from_a : x.to_a] == texts[x.doc_b][x.from_b : x.to_b] and x.to_a - x.from_a >= 200 for x in found)
+        assert {x.doc_id: x.shared_chars for x in shared_parts(df, spans).collect()} == cover
+        assert {(x.doc_a, x.doc_b) for x in shared_spans(df, block=block, cover=False).collect()} == pairs
 
 
 def test_empty(spark):
