@@ -1,16 +1,15 @@
 """Splitting oversized texts at natural boundaries, with overlap.
 
 A text is read in ranges with a halo on both sides.  A worker finds the boundaries of its own range and
-returns them with the range's length in characters and bytes: a small table, thinned to the last boundary
-of each kind in every eighth of the size limit, so it is never longer than some ten entries a piece.
-The ranges' lengths are summed up (prefix sums give every boundary its place in the whole text), the
-pieces are laid out on the stitched table, and then cut by their offsets.  The whole text is needed for
-none of these steps; texts in files are read by byte offset only.
+returns one byte for every code point: the kind of boundary after it, and its width.  Nothing is thinned, as
+any boundary may be the last one before a limit or the first one of an overlap.  The pieces are laid out on
+these bytes, range after range (running sums of the widths give every boundary its place in the whole text),
+and then cut by their offsets.  The whole text is needed for none of these steps; texts in files are read by
+byte offset only, and their layout holds one block and one piece at a time.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 RANGE_CHARS, HALO_CHARS = 1 << 16, 64
 #: The same for files, in bytes.
 RANGE_BYTES, HALO_BYTES = 1 << 22, 256
+#: Code points of a file that travel in one row.
+BLOCK = 1 << 13
 
 # Kinds of boundaries, from the strongest: after a sentence or line, after a clause, after a word, between
 # characters that belong together less than others, and between any two code points.
@@ -32,6 +33,8 @@ _SENTENCE = regex.compile(rf"(?:[。｡！？!?।॥؟…]+{_CLOSING}\s*|\.{_CL
 _CLAUSE = regex.compile(rf"[、､，,;；:：—–]+{_CLOSING}(?!\d)\s*|\.+{_CLOSING}\s+")
 _WORD = regex.compile(r"\s+")
 _CLUSTER = regex.compile(r"\X")
+#: Code points that may belong together with a neighbour.
+_JOINING = regex.compile(r"[^\p{GCB=Other}\p{GCB=Control}\p{GCB=LF}]")
 
 
 def boundaries(text: str, first: int, last: int) -> list[tuple[int, int]]:
@@ -44,113 +47,121 @@ def boundaries(text: str, first: int, last: int) -> list[tuple[int, int]]:
     return sorted(kinds.items())
 
 
-def range_table(text: str, first: int, last: int, unit: str, max_size: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """Size of text[first:last] in `unit` and its boundaries (place in characters from `first`, size up to there, kind), thinned."""
-    own = text[first:last]
+def range_marks(text: str, first: int, last: int, unit: str) -> np.ndarray:
+    """One byte for every code point of text[first:last]: the kind of the boundary after it, and eight times its width in `unit`."""
+    width = np.ones(last - first, np.uint8)
     if unit == "bytes":
-        width = np.frombuffer(own.encode("utf-32-le", "surrogatepass"), np.uint32)
-        upto = np.concatenate([[0], np.cumsum(1 + (width > 0x7F) + (width > 0x7FF) + (width > 0xFFFF))])
-    else:
-        upto = np.arange(len(own) + 1)
-    slot = max(1, max_size // 8)
-    kept: dict[tuple[int, int], int] = {}
-    for place, kind in boundaries(text, first, last):
-        kept[int(upto[place - first]) // slot, kind] = place - first
-    # The last code point of every slot, and the last place there that parts no cluster.
-    edges = np.flatnonzero(np.diff(upto[1:] // slot)) + 1 if len(own) else np.zeros(0, np.int64)
-    for place in edges.tolist():
-        kept.setdefault((int(upto[place]) // slot, POINT), place)
-        back = max(0, place - 32)
-        safe = back
-        for match in _CLUSTER.finditer(own, back):
-            if match.end() > place:
-                break
-            safe = match.end()
-        if safe > back:
-            kept[int(upto[safe]) // slot, CLUSTER] = safe
-    best: dict[int, int] = {}
-    for (_, kind), place in kept.items():
-        best[place] = max(kind, best.get(place, kind))
-    return int(upto[-1]), [(place, int(upto[place]), kind) for place, kind in sorted(best.items())]
+        points = np.frombuffer(text[first:last].encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = (width + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).astype(np.uint8)
+        width[(points >= 0xDC80) & (points <= 0xDCFF)] = 1  # a byte of a file that is not UTF-8
+    kind = np.full(last - first, CLUSTER, np.uint8)
+    if _JOINING.search(text):
+        kind[:] = POINT
+        ends = np.fromiter((m.end() for m in _CLUSTER.finditer(text)), np.int64)
+        kind[ends[(ends > first) & (ends <= last)] - first - 1] = CLUSTER
+    for place, k in boundaries(text, first, last):
+        kind[place - first - 1] = k
+    return kind | width << 3
+
+
+def _table(marks: np.ndarray, chars: int = 0, size: int = 0) -> np.ndarray:
+    """(characters, units, kind) of every boundary, counted on from `chars` and `size`."""
+    return np.stack([chars + 1 + np.arange(len(marks)), size + np.cumsum(marks >> 3, dtype=np.int64), marks & 7], axis=1)
+
+
+def range_table(text: str, first: int, last: int, unit: str, max_size: int | None = None) -> tuple[int, np.ndarray]:
+    """Size of text[first:last] in `unit` and all its boundaries (place in characters from `first`, size up to there, kind), whatever the limit."""
+    table = _table(range_marks(text, first, last, unit))
+    return int(table[-1, 1]) if len(table) else 0, table
 
 
 #: Where to look for the end of a piece: kinds and the least part of the limit that the piece must fill.
 _CHOICES = ((SENTENCE, 0.5), (CLAUSE, 0.5), (SENTENCE, 0.0), (CLAUSE, 0.0), (WORD, 0.0), (CLUSTER, 0.0), (POINT, 0.0))
 
 
+class Layout:
+    """Pieces of one text, whose boundaries come in order and are dropped when no later piece can need them."""
+
+    def __init__(self, max_size: int, overlap: int):
+        self.max_size, self.overlap = max_size, min(overlap, max_size - 1)
+        self.start_c = self.start = self.done = self.chars = self.size = 0
+        self.table = np.zeros((0, 3), np.int64)
+
+    def marks(self, marks: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """The pieces that end before the next of these code points can matter."""
+        step = max(1 << 16, self.max_size)
+        for i in range(0, len(marks), step):
+            table = _table(marks[i : i + step], self.chars, self.size)
+            yield from self.feed(table, *table[-1, :2].tolist())
+
+    def feed(self, table: np.ndarray, chars: int, size: int) -> Iterator[tuple[int, int, int, int]]:
+        """The pieces that can be told when the text is known up to `chars` and `size`."""
+        self.table = np.concatenate([self.table[np.searchsorted(self.table[:, 1], self.start, "right") :], table])
+        self.chars, self.size = chars, size
+        if size - self.start <= self.max_size:
+            return
+        by_kind = {kind: self.table[self.table[:, 2] >= kind, :2].T.copy() for kind in (SENTENCE, CLAUSE, WORD, CLUSTER, POINT)}
+        while size - self.start > self.max_size:
+            end = None
+            for kind, fill in _CHOICES:
+                units, places = by_kind[kind][1], by_kind[kind][0]
+                k = int(np.searchsorted(units, self.start + self.max_size, "right")) - 1
+                # A piece must pass what the one before it repeats, or it would bring nothing new.
+                if k >= 0 and units[k] > max(self.done, self.start + fill * self.max_size):
+                    end, end_c = int(units[k]), int(places[k])
+                    break
+            if end is None:
+                raise ValueError(f"no code point ends within {self.max_size} units of {self.start}")
+            yield self.start_c, end_c, self.start, end
+            new_start, new_c = end, end_c
+            points = by_kind[POINT][1]
+            k = int(np.searchsorted(points, end, "right"))
+            # The next piece needs room for one more code point than it repeats.
+            room = int(points[k]) - self.max_size if k < len(points) else 0
+            for kind in (WORD, CLUSTER):
+                units, places = by_kind[kind][1], by_kind[kind][0]
+                k = int(np.searchsorted(units, max(end - self.overlap, self.start + 1, room)))
+                if k < len(units) and units[k] < end:
+                    new_start, new_c = int(units[k]), int(places[k])
+                    break
+            self.start, self.start_c, self.done = new_start, new_c, end
+
+    def rest(self) -> tuple[int, int, int, int]:
+        """The last piece, when all has been fed."""
+        return self.start_c, self.chars, self.start, self.size
+
+
 def lay_out(table: Sequence[tuple[int, int, int]], chars: int, size: int, max_size: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """Pieces (from, to in characters; from, to in the unit) of a text of `chars` characters and `size` units.
 
     `table` holds (characters, units, kind) of the boundaries.  Every piece is within max_size; it begins at
     most `overlap` units before the end of the piece before it, and after that piece's start.
     """
-    if size <= max_size:
-        return [(0, chars, 0, size)]
-    by_kind = {kind: [(u, c) for c, u, k in table if k >= kind] for kind in (SENTENCE, CLAUSE, WORD, CLUSTER, POINT)}
-    pieces, start_c, start = [], 0, 0
-    while True:
-        if size - start <= max_size:
-            pieces.append((start_c, chars, start, size))
-            return pieces
-        end = None
-        for kind, fill in _CHOICES:
-            places = by_kind[kind]
-            k = bisect_right(places, (start + max_size, chars)) - 1
-            # A piece must pass what the one before it repeats, or it would bring nothing new.
-            done = pieces[-1][3] if pieces else start
-            if k >= 0 and places[k][0] > max(done, start + fill * max_size):
-                end = places[k]
-                break
-        if end is None:
-            raise ValueError(f"no code point ends within {max_size} units of {start}")
-        pieces.append((start_c, end[1], start, end[0]))
-        new_start, new_c = end
-        for kind in (WORD, CLUSTER):
-            places = by_kind[kind]
-            k = bisect_left(places, (end[0] - overlap, 0))
-            if k < len(places) and start < places[k][0] < end[0]:
-                new_start, new_c = places[k]
-                break
-        start, start_c = new_start, new_c
-
-
-_BOUND = "array<struct<c:int,u:int,k:int>>"
-_PIECE = "array<struct<from_char:bigint,to_char:bigint,from_unit:bigint,to_unit:bigint>>"
+    layout = Layout(max_size, overlap)
+    return [*layout.feed(np.asarray(table, np.int64).reshape(-1, 3), chars, size), layout.rest()]
 
 
-def _range_rows(key_schema: pa.Schema):
-    """Ranges with halo become rows of boundary tables; `text` stays on each item's first range only."""
+_PIECE = "array<struct<from_char:bigint,to_char:bigint,from_unit:bigint,to_unit:bigint>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("c", pa.int32()), ("u", pa.int32()), ("k", pa.int32())]))
-        for batch in batches:
-            cols = {n: batch.column(n) for n in batch.schema.names}
-            tables, sizes, chars = [], [], []
-            rows = zip(*(cols[n].to_pylist() for n in ("chunk", "before", "own", "unit", "max_size")))
-            for chunk, before, own, unit, max_size in rows:
-                n, table = range_table(chunk, before, before + own, unit, max_size)
-                sizes.append(n), chars.append(own)
-                tables.append([{"c": c, "u": u, "k": k} for c, u, k in table])
-            keep = [cols[n] for n in ("target", "item_id", "no", "text", "max_size", "overlap_size")]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(chars, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tables, kind)], names=["target", "item_id", "no", "text", "max_size", "overlap_size", "chars", "size", "bounds"]
-            )
 
-    return run
+def _range_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges with halo become rows of boundaries; `text` stays on each item's first range only."""
+    for batch in batches:
+        rows = zip(*(batch.column(n).to_pylist() for n in ("chunk", "before", "own", "unit")))
+        marks = [range_marks(chunk, before, before + own, unit).tobytes() for chunk, before, own, unit in rows]
+        names = ["target", "item_id", "no", "text", "max_size", "overlap_size"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(marks, pa.binary())], names=[*names, "marks"])
 
 
 def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per item: its ranges' tables, shifted by the prefix sums of lengths, and the pieces on them."""
+    """One row per item: the pieces on the boundaries of its ranges, in their order."""
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("from_char", "to_char", "from_unit", "to_unit")]))
     for batch in batches:
         out = []
         for ranges, max_size, overlap in zip(batch.column("ranges").to_pylist(), batch.column("max_size").to_pylist(), batch.column("overlap_size").to_pylist()):
-            table, chars, size = [], 0, 0
-            for r in sorted(ranges, key=lambda r: r["no"]):
-                table += [(chars + b["c"], size + b["u"], b["k"]) for b in r["bounds"]]
-                chars, size = chars + r["chars"], size + r["size"]
-            pieces = lay_out(table, chars, size, max_size, min(overlap or 0, max_size - 1))
-            out.append([dict(zip(("from_char", "to_char", "from_unit", "to_unit"), p)) for p in pieces])
+            layout = Layout(max_size, overlap or 0)
+            pieces = [p for r in sorted(ranges, key=lambda r: r["no"]) for p in layout.marks(np.frombuffer(r["marks"], np.uint8))]
+            out.append([dict(zip(("from_char", "to_char", "from_unit", "to_unit"), p)) for p in [*pieces, layout.rest()]])
         keep = [batch.column(n) for n in ("target", "item_id", "text", "max_size")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(out, kind)], names=["target", "item_id", "text", "max_size", "pieces"])
 
@@ -180,8 +191,8 @@ def split_items(items: DataFrame, limits: DataFrame, range_chars: int = RANGE_CH
         F.least(F.lit(range_chars), F.char_length("text") - begin).cast("int").alias("own"),
         F.substr("text", begin - before + 1, before + range_chars + halo).alias("chunk"),
     )
-    tables = cut.mapInArrow(_range_rows(None), f"target string, item_id bigint, no int, text string, max_size bigint, overlap_size bigint, chars bigint, size bigint, bounds {_BOUND}")
-    per_item = tables.groupBy("target", "item_id").agg(F.max("text").alias("text"), F.max("max_size").alias("max_size"), F.max("overlap_size").alias("overlap_size"), F.collect_list(F.struct("no", "chars", "size", "bounds")).alias("ranges"))
+    marked = cut.mapInArrow(_range_rows, "target string, item_id bigint, no int, text string, max_size bigint, overlap_size bigint, marks binary")
+    per_item = marked.groupBy("target", "item_id").agg(F.max("text").alias("text"), F.max("max_size").alias("max_size"), F.max("overlap_size").alias("overlap_size"), F.collect_list(F.struct("no", "marks")).alias("ranges"))
     planned = per_item.mapInArrow(_stitch, f"target string, item_id bigint, text string, max_size bigint, pieces {_PIECE}")
     return planned.select("target", "item_id", "text", F.size("pieces").cast("bigint").alias("n_pieces"), F.posexplode("pieces").alias("pos", "p")).select(
         "target", "item_id", F.col("pos").cast("bigint").alias("piece_no"), "n_pieces", F.col("p.from_char").alias("from_char"), F.col("p.to_char").alias("to_char"),
@@ -210,21 +221,41 @@ def split_files(spark: SparkSession, files: DataFrame, max_size: int, overlap: i
     """
     ranges = files.where("n_bytes > 0").select("path", "n_bytes", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_bytes") / range_bytes).cast("int") - 1)).alias("no"))
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("c", pa.int32()), ("u", pa.int32()), ("k", pa.int32())]))
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for path, n_bytes, no in zip(*(c.to_pylist() for c in batch.columns)):
                 begin, end = no * range_bytes, min(n_bytes, (no + 1) * range_bytes)
                 low, high = max(0, begin - halo), min(n_bytes, end + halo)
                 data = _read_range(path, low, high)
                 a, b = _aligned(data, begin - low), _aligned(data, end - low)  # a code point belongs to the range it begins in
-                head = data[_aligned(data, 0) : a].decode("utf-8", "replace")
-                own = data[a:b].decode("utf-8", "replace")
+                head = data[_aligned(data, 0) : a].decode("utf-8", "surrogateescape")
+                own = data[a:b].decode("utf-8", "surrogateescape")
                 tail = data[b:].decode("utf-8", "ignore")
-                size, table = range_table(head + own + tail, len(head), len(head) + len(own), "bytes", max_size)
-                out.append((path, no, len(own), b - a, [{"c": c, "u": u, "k": k} for c, u, k in table]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.int64(), kind))], names=["path", "no", "chars", "size", "bounds"])
+                marks = range_marks(head + own + tail, len(head), len(head) + len(own), "bytes").tobytes()
+                blocks = [marks[i : i + BLOCK] for i in range(0, len(marks), BLOCK)]
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([no] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], names=["path", "no", "block", "marks"])
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come in order, file after file; of each file only the layout's state is held."""
+        current, layout, n = None, None, 0
+
+        def rows(path: str, pieces: list) -> Iterator[pa.RecordBatch]:
+            nonlocal n
+            numbers, n = range(n, n + len(pieces)), n + len(pieces)
+            columns = [path] * len(pieces), numbers, [p[2] for p in pieces], [p[3] for p in pieces]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["path", "piece_no", "from_byte", "to_byte"])
+
+        for batch in batches:
+            for path, marks in zip(batch.column("path").to_pylist(), batch.column("marks").to_pylist()):
+                if path != current:
+                    if layout:
+                        yield from rows(current, [layout.rest()])
+                    current, layout, n = path, Layout(max_size, overlap), 0
+                if pieces := list(layout.marks(np.frombuffer(marks, np.uint8))):
+                    yield from rows(path, pieces)
+        if layout:
+            yield from rows(current, [layout.rest()])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,10 +263,7 @@ def split_files(spark: SparkSession, files: DataFrame, max_size: int, overlap: i
             texts = [_read_range(path, a, b).decode("utf-8", "replace") for path, _, a, b in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
-    found = ranges.repartition("path", "no").mapInArrow(tables, f"path string, no int, chars bigint, size bigint, bounds {_BOUND}")
-    per_file = found.groupBy("path").agg(F.collect_list(F.struct("no", "chars", "size", "bounds")).alias("ranges")).select(
-        F.col("path").alias("target"), F.lit(0).cast("bigint").alias("item_id"), F.lit(None).cast("string").alias("text"), F.lit(max_size).cast("bigint").alias("max_size"), F.lit(overlap).cast("bigint").alias("overlap_size"), "ranges"
-    )
-    planned = per_file.mapInArrow(_stitch, f"target string, item_id bigint, text string, max_size bigint, pieces {_PIECE}")
-    offsets = planned.select(F.col("target").alias("path"), F.posexplode("pieces").alias("piece_no", "p")).select("path", "piece_no", F.col("p.from_unit").alias("from_byte"), F.col("p.to_unit").alias("to_byte"))
+    found = ranges.repartition("path", "no").mapInArrow(marked, "path string, no int, block int, marks binary")
+    in_order = found.repartition("path").sortWithinPartitions("path", "no", "block")
+    offsets = in_order.mapInArrow(planned, "path string, piece_no int, from_byte bigint, to_byte bigint")
     return offsets.repartition("path", "piece_no").mapInArrow(emit, "path string, piece_no int, from_byte bigint, to_byte bigint, text string")
