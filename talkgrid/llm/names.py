@@ -228,7 +228,7 @@ class Register:
         forms: dict[str, float] = {}
 
         def put(key: str, cost: float) -> None:
-            if len(key) > 3:
+            if len(key) > 3 or _HAN.fullmatch(key[2:]):  # one written character may be a surname, one letter is none
                 forms[key] = min(cost, forms.get(key, cost))
 
         texts = [Spelling(t) for t in (display, *aliases)]

@@ -31,6 +31,11 @@ def test_no_case():
         assert r.attach(s) is None, s
 
 
+def test_surnames_of_one_character():
+    r = Register([(1, "林 健吾", []), (2, "森 透", []), (3, "森 芙美", []), (4, "原", None), (5, "槙尾崎 東", [])])
+    assert [r.attach(s) for s in ("林さん", "林", "林 健吾", "原さん", "森", "森さん", "森 透", "東", "J")] == [1, 1, 1, 4, None, None, 2, None, None]
+
+
 def test_a_frequent_spelling_is_a_name_of_its_own():
     r = register()
     r.prior[7] = 10.0
