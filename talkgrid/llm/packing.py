@@ -1,9 +1,11 @@
 """Filling containers of fixed capacity with items of varying length.
 
-Items go to tiers by the context window they need (a half of the capacity, a quarter, ...).  The plan is
-made on the histogram of lengths alone, which has at most as many entries as the capacity, whatever the
-number of items: each tier is packed longest first, the gaps of long windows are filled from the shorter
-tiers, and every distinct filling is used as often as the counts allow.  Then each item finds its place
+The plan is made on the histogram of lengths alone, which has at most as many entries as the capacity,
+whatever the number of items.  It is a greedy one: the longest length left opens a container of the whole
+capacity, the longest that fit fill it, and every distinct filling is used as often as the counts allow.
+This replaces packing tier by tier: as tiers are ranges of length, the order of lengths is the same.  The
+tier (the context window an item needs: the capacity, a half, a quarter, ...) is a label in the result; the
+plan knows no tiers and no windows of several sizes.  Then each item finds its place
 by its rank among the items of its length.  Ranks come from counts per length and bucket, so no length,
 however frequent, is ordered in one task.  Containers are dealt to step groups so that the groups carry
 like loads.
@@ -38,8 +40,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int
     """Fillings and how often each is used: a filling is ((length, pieces of that length), ...).
 
     Every piece of the histogram is used; no filling is above the capacity.  Containers are opened by the
-    longest length left and filled, window by window, with the longest that fit; one filling is used for
-    as many containers as all of its lengths allow.
+    longest length left and filled with the longest that fit; one filling is used for as many containers as
+    all of its lengths allow.
     """
     left = {s: n for s, n in sorted(histogram.items()) if n > 0}
     if any(not 0 < s <= capacity for s in left):
@@ -47,8 +49,6 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int
     sizes = sorted(left)
     out = []
     while sizes:
-        # The longest length left is of the first tier that is not empty yet.  The search goes down through that tier,
-        # then through the shorter ones, so a window takes its own tier's lengths first and the gap takes shorter ones.
         room, filling, k = capacity, [], len(sizes) - 1
         while k >= 0:
             size = sizes[k]
