@@ -51,11 +51,12 @@ def similarities(probes: DataFrame, people: DataFrame) -> DataFrame:
     return scored.groupBy("probe", "person").agg(F.max(dot(F.col("a"), F.col("b"))).alias("score"))
 
 
-def best(scores: DataFrame, k: int, key: str = "probe", digits: int = 4) -> DataFrame:
-    """key, person, score, rank: the k most similar people; ties by name."""
+def best(scores: DataFrame, k: int | None, key: str = "probe", digits: int = 4) -> DataFrame:
+    """key, person, score, rank: the k most similar people, or all of them for None; ties by name."""
     rounded = scores.withColumn("score", F.round("score", digits))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "person"))
-    return rounded.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+    ranked = rounded.withColumn("rank", rank.cast("bigint"))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def assign_names(scores: DataFrame, threshold: float = 0.5, margin: float = 0.08, floor: float = 0.30) -> DataFrame:

@@ -62,7 +62,7 @@ SELECT probe, person, score, row_number() OVER (PARTITION BY probe ORDER BY scor
 def identify(spark, d):
     v = _vp(spark, d)
     probes = v.where("vec_id % 25 = 1").select(F.col("vec_id").alias("probe"), "embedding")
-    return O.best(O.similarities(probes, O.mean_unit(v, ["person"]).withColumnRenamed("mean", "embedding")), 1000)
+    return O.best(O.similarities(probes, O.mean_unit(v, ["person"]).withColumnRenamed("mean", "embedding")), None)
 
 
 @add("voice_decision", _VP + _MEAN + _PROBE + "SELECT probe, person, round(list_inner_product(v, mean), 4) >= 0.5 AS known FROM probe, mean")

@@ -117,3 +117,14 @@ def test_every_query_is_registered_once():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 100
+
+
+def test_identify_ranks_everyone(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    n = 1030
+    data = [(i, str(i), [float(i % 7 + 1), float(i % 11), 1.0]) for i in range(n)]
+    spark.createDataFrame(data, "vec_id long, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    probes = len(range(1, n, 25))
+    assert queries()["identify"](spark, str(tmp_path)).groupBy("probe").agg(F.count("person"), F.max("rank")).distinct().select("count(person)", "max(rank)").distinct().collect() == [(n, n)]
+    assert queries()["voice_decision"](spark, str(tmp_path)).count() == probes * n
