@@ -300,6 +300,17 @@ def quote_support(spark, d):
     return q.join(u.select("utt_id", "job_id", "text"), ["utt_id", "job_id"]).where(F.contains("text", F.col("quote"))).groupBy("utt_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@add("quote_verdict", CTE + """, q AS (SELECT utt_id, job_id, s // 1000 AS stamp, substr(marked, 3, 12) AS quote FROM u WHERE length(marked) >= 20 AND s IS NOT NULL)
+SELECT q.utt_id, count(x.utt_id) AS n, count(x.utt_id) > 0 AS supported FROM q LEFT JOIN u x ON x.job_id = q.job_id AND x.s // 1000 = q.stamp AND contains(x.text, q.quote) GROUP BY q.utt_id""")
+def quote_verdict(spark, d):
+    """Quotes from the marked text against all lines of the job with the same stamp (a second); one that no line holds is not supported."""
+    u = utts(spark, d).where("s IS NOT NULL").withColumn("stamp", F.floor(F.col("s") / 1000))
+    q = u.where(F.char_length("marked") >= 20).select("utt_id", "job_id", "stamp", F.substring("marked", 3, 12).alias("quote"))
+    held = q.join(u.select("job_id", "stamp", "text"), ["job_id", "stamp"]).where(F.contains("text", F.col("quote"))).groupBy("utt_id").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    return q.select("utt_id").join(held, "utt_id", "left").select("utt_id", n.alias("n"), (n > 0).alias("supported"))
+
+
 @add("dedupe_search_source", "SELECT doc_id FROM documents a WHERE NOT (kind = 'transcript' AND EXISTS (SELECT 1 FROM documents b WHERE b.source = a.source AND b.kind = 'summary' AND b.job_id = a.job_id))")
 def dedupe_search_source(spark, d):
     """Transcripts are left out where the same folder and job has a summary."""

@@ -128,3 +128,14 @@ def test_identify_ranks_everyone(spark, tmp_path):
     probes = len(range(1, n, 25))
     assert queries()["identify"](spark, str(tmp_path)).groupBy("probe").agg(F.count("person"), F.max("rank")).distinct().select("count(person)", "max(rank)").distinct().collect() == [(n, n)]
     assert queries()["voice_decision"](spark, str(tmp_path)).count() == probes * n
+
+
+def test_quotes_meet_other_lines_and_fail(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    said = "we agreed on the budget of May and left"
+    data = [(1, 7, 0, 1.2, "nothing of the kind", said), (2, 7, 1, 1.9, "so " + said, None), (3, 8, 0, 1.2, said, "x" * 30), (4, 7, 2, 5.0, said, said), (5, 7, 3, 9.0, "something else", said), (6, 7, 4, None, said, said)]
+    full = [(i, j, 1, n, s, s, "A", text, marked, None, None, None, None) for i, j, n, s, text, marked in data]
+    schema = "utt_id long, job_id long, series_id long, utt_idx long, start double, end double, speaker string, text string, marked string, memo string, human boolean, proofread string, proofread_pending boolean"
+    spark.createDataFrame(full + full[:1], schema).write.parquet(str(tmp_path / "utterances.parquet"))
+    assert rows(queries()["quote_verdict"](spark, str(tmp_path))) == [(1, 1, True), (3, 0, False), (4, 1, True), (5, 0, False)]
