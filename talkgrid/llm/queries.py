@@ -119,4 +119,4 @@ def p10_found(spark, sf_dir):
 def p10_shared(spark, sf_dir):
     """How much of every document stands in another one."""
     documents = table(spark, sf_dir, "documents")
-    return spans.shared_parts(documents, spans.shared_spans(documents))
+    return spans.shared_parts(documents, spans.shared_spans(documents, pairs=False))

@@ -237,6 +237,7 @@ def _windows(least: int, cover: bool):
     """Windows of `least` characters over a path, as hashes, and where they stand; k counts from the path's start.
 
     Those that decide pairs cover the path whole; a path that is longer itself is one such row of its own length.
+    `prev` is the hash of the deciding window one place before: two records that share it have met there already.
     With `cover` come all others that may hold an edge of the path: they tell how far what is shared reaches beyond it.
     """
     beyond = least - _reach(least) if cover else 0
@@ -252,7 +253,7 @@ def _windows(least: int, cover: bool):
                 else:
                     low, high = (-beyond, e - s - least + beyond) if cover else (e - s - least, 0)
                     stretches = [(left + mid + right, len(left), low, high)]
-                found = [(np.zeros(1, np.int64), np.zeros(1, np.int64), e - s, True)] if long else []
+                found = [(np.zeros(1, np.int64), np.zeros(1, np.int64), e - s, np.ones(1, bool))] if long else []
                 for text, zero, low, high in stretches:
                     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
                     k = np.arange(max(low, -zero), min(high, len(points) - least - zero) + 1)
@@ -261,11 +262,11 @@ def _windows(least: int, cover: bool):
                         found.append((k, h, least, (not long) & (k >= e - s - least) & (k <= 0)))
                 for k, h, n, pair in found:
                     docs.append((doc, path)), counts.append(len(k))
-                    parts.append((k, h, s + k, np.full(len(k), n), np.broadcast_to(pair, len(k))))
+                    parts.append((k, h, s + k, np.full(len(k), n), pair, np.append(0, h[:-1]), np.append(False, pair[:-1])))
             if parts:
-                k, w, at, n, pair = (np.concatenate(x) for x in zip(*parts))
+                k, w, at, n, pair, prev, met = (np.concatenate(x) for x in zip(*parts))
                 of = np.repeat(np.array(docs, np.int64), counts, axis=0)
-                yield pd.DataFrame({"doc": of[:, 0], "path": of[:, 1], "k": k, "w": w, "at": at, "n": n, "pair": pair})
+                yield pd.DataFrame({"doc": of[:, 0], "path": of[:, 1], "k": k, "w": w, "at": at, "n": n, "pair": pair, "prev": pd.Series(prev, dtype="Int64").where(met)})
 
     return run
 
@@ -277,13 +278,15 @@ def _reach(least: int) -> int:
 _PAIRS = "doc_a bigint, doc_b bigint, from_a bigint, to_a bigint, from_b bigint, to_b bigint"
 
 
-def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200, block: int = BLOCK, cover: bool = True) -> DataFrame:
+def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = 200, block: int = BLOCK, pairs: bool = True, cover: bool = True) -> DataFrame:
     """doc_a < doc_b and where a span of `least` characters or more stands in each (from inclusive, to exclusive).
 
     Spans are found once or more for every pair that shares one; a pair's longest spans are reported whole
     up to `least` characters beyond the compacted path.  Null, empty and shorter texts share nothing; rows
     of one key that repeat each other count once; a null key is left out.  Without `cover` every pair is
-    found, but of a path that stands in very many records not every place and not its whole extent.
+    found, but of a path that stands in very many records not every place and not its whole extent.  Without
+    `pairs` all that is shared is covered, with one other record for each stretch of such a path: as many rows
+    as its occurrences have windows, and not one for every two of its records.
     """
     docs = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= least))
     paths = cut_lineage(repeated_paths(docs, least))
@@ -298,21 +301,30 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     small, hot = paths.where(F.col("n") <= block), paths.where(F.col("n") > block)
     groups = sides(small).groupBy("path").agg(F.collect_list(F.struct("doc", "s", "e", "left", "mid", "right")).alias("spots"))
-    few = groups.where(F.size("spots") > 1).mapInPandas(_compare(least), _PAIRS)
+    found = groups.where(F.size("spots") > 1).mapInPandas(_compare(least), _PAIRS)
     if hot.isEmpty():
-        return few
-    windows = sides(hot).mapInPandas(_windows(least, cover), "doc bigint, path bigint, k bigint, w bigint, at bigint, n bigint, pair boolean")
+        return found
+    windows = sides(hot).mapInPandas(_windows(least, cover), "doc bigint, path bigint, k bigint, w bigint, at bigint, n bigint, pair boolean, prev bigint")
     windows = cut_lineage(windows) if cover else windows
-    chosen = cut_lineage(windows.where("pair").groupBy("path", "k", "w", "doc").agg(F.min("at").alias("at"), F.min("n").alias("size")))
+    found = found.unionByName(_met(windows, block)) if pairs else found
+    return found.unionByName(_extents(windows)) if cover else found
+
+
+def _met(windows: DataFrame, block: int) -> DataFrame:
+    """The pairs of records that share a window which decides; each pair at the first of its neighbouring windows only.
+
+    What two records share around a path is one stretch, so the windows they share follow one another.
+    """
+    chosen = cut_lineage(windows.where("pair").groupBy("path", "k", "w", "doc", "prev").agg(F.min("at").alias("at"), F.min("n").alias("size")))
     group = ["path", "k", "w"]
-    count = chosen.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Where all came by one and the same window, all have met before.
+    count = chosen.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("prev").isNotNull()).alias("came"), F.min("prev").alias("p"), F.max("prev").alias("q")).where("n > 1 AND NOT (came AND p = q)").select(*group, "n")
     # Members of one window group, in blocks, so that no task holds a group: block i meets every block j >= i.
     numbered = chosen.join(count, group).withColumn("b", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / block)))
-    blocks = numbered.groupBy(*group, "b").agg(F.collect_list(F.struct("doc", "at", "size")).alias("m"))
+    blocks = numbered.groupBy(*group, "b").agg(F.collect_list(F.struct("doc", "at", "size", "prev")).alias("m"))
     met = blocks.join(blocks.select(*group, F.col("b").alias("b2"), F.col("m").alias("m2")), group).where("b <= b2")
-    x = met.select(F.explode("m").alias("x"), "m2").select("x", F.explode("m2").alias("y")).where("x.doc != y.doc")
-    found = few.unionByName(_ordered(x.select(F.col("x.doc").alias("doc"), F.col("x.at").alias("s"), F.col("y.doc").alias("other"), F.col("y.at").alias("t"), F.col("x.size").alias("size"))))
-    return found.unionByName(_extents(windows)) if cover else found
+    x = met.select("b", "b2", F.explode("m").alias("x"), "m2").select("b", "b2", "x", F.explode("m2").alias("y")).where("(b < b2 OR x.doc < y.doc) AND (x.prev IS NULL OR y.prev IS NULL OR x.prev != y.prev)")
+    return _ordered(x.select(F.col("x.doc").alias("doc"), F.col("x.at").alias("s"), F.col("y.doc").alias("other"), F.col("y.at").alias("t"), F.col("x.size").alias("size")))
 
 
 def _ordered(met: DataFrame) -> DataFrame:

@@ -89,6 +89,21 @@ def test_parts_of_hot_passages_match_brute_force(spark):
         assert {(x.doc_a, x.doc_b) for x in shared_spans(df, block=block, cover=False).collect()} == pairs
 
 
+def test_hot_passages_are_whole_and_few_rows(spark):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefgh 会議予算") for _ in range(n))
+    long, short = word(5000), word(210)
+    texts = {d: word(r.randint(0, 60)) + long + word(r.randint(0, 60)) for d in range(70)} | {100 + d: word(r.randint(1, 60)) + short + word(r.randint(1, 60)) for d in range(100)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs, cover = brute(texts, 200)
+    spans = shared_spans(df, pairs=False)
+    assert {x.doc_id: x.shared_chars for x in shared_parts(df, spans).collect()} == cover
+    assert min(cover[d] for d in range(70)) >= 5000
+    assert spans.count() < 12 * len(texts)  # linear in the members
+    found = shared_spans(df, cover=False).collect()
+    assert {(x.doc_a, x.doc_b) for x in found} == pairs and len(found) < 2 * len(pairs)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert rows(shared_spans(df)) == [] and rows(shared_parts(df, shared_spans(df))) == []
