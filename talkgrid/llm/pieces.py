@@ -3,9 +3,11 @@
 A text is read in ranges with a halo on both sides.  A worker finds the boundaries of its own range and
 returns one byte for every code point: the kind of boundary after it, and its width.  Nothing is thinned, as
 any boundary may be the last one before a limit or the first one of an overlap.  The pieces are laid out on
-these bytes, range after range (running sums of the widths give every boundary its place in the whole text),
-and then cut by their offsets.  The whole text is needed for none of these steps; texts in files are read by
-byte offset only, and their layout holds one block and one piece at a time.
+these bytes, range after range (running sums of the widths give every boundary its place in the whole text
+and tell whether the text is too large at all), and then cut by their offsets from the range they begin in,
+whose halo reaches as far as a piece may.  The whole text is needed for none of these steps: a text in a table
+leaves the scan as ranges, texts in files are read by byte offset only, and a layout holds one block and one
+piece at a time.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from talkgrid.operators.durable import cut_lineage
 
 #: Characters of a range of a text in a table, and of its halo.
 RANGE_CHARS, HALO_CHARS = 1 << 16, 64
@@ -141,29 +145,16 @@ def lay_out(table: Sequence[tuple[int, int, int]], chars: int, size: int, max_si
     return [*layout.feed(np.asarray(table, np.int64).reshape(-1, 3), chars, size), layout.rest()]
 
 
-_PIECE = "array<struct<from_char:bigint,to_char:bigint,from_unit:bigint,to_unit:bigint>>"
-
+_RANGE = "target string, item_id bigint, version bigint, no int, unit string, max_size bigint, overlap_size bigint, before int, own int, chunk string"
+_MARKS = "target string, item_id bigint, version bigint, no int, block int, max_size bigint, overlap_size bigint, marks binary"
+_PIECE = "target string, item_id bigint, version bigint, piece_no bigint, from_char bigint, to_char bigint, from_unit bigint, to_unit bigint"
+#: Characters of ranges that leave a worker in one batch.
+SEND = 1 << 22
 
-def _range_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges with halo become rows of boundaries; `text` stays on each item's first range only."""
-    for batch in batches:
-        rows = zip(*(batch.column(n).to_pylist() for n in ("chunk", "before", "own", "unit")))
-        marks = [range_marks(chunk, before, before + own, unit).tobytes() for chunk, before, own, unit in rows]
-        names = ["target", "item_id", "no", "text", "max_size", "overlap_size"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(marks, pa.binary())], names=[*names, "marks"])
 
-
-def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per item: the pieces on the boundaries of its ranges, in their order."""
-    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("from_char", "to_char", "from_unit", "to_unit")]))
-    for batch in batches:
-        out = []
-        for ranges, max_size, overlap in zip(batch.column("ranges").to_pylist(), batch.column("max_size").to_pylist(), batch.column("overlap_size").to_pylist()):
-            layout = Layout(max_size, overlap or 0)
-            pieces = [p for r in sorted(ranges, key=lambda r: r["no"]) for p in layout.marks(np.frombuffer(r["marks"], np.uint8))]
-            out.append([dict(zip(("from_char", "to_char", "from_unit", "to_unit"), p)) for p in [*pieces, layout.rest()]])
-        keep = [batch.column(n) for n in ("target", "item_id", "text", "max_size")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(out, kind)], names=["target", "item_id", "text", "max_size", "pieces"])
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in ddl.split(", "))])
 
 
 def size_of(text: Column, unit: Column) -> Column:
@@ -171,33 +162,124 @@ def size_of(text: Column, unit: Column) -> Column:
     return F.when(unit == "bytes", F.octet_length(text)).otherwise(F.char_length(text)).cast("bigint")
 
 
+def _cut_ranges(range_chars: int, halo: int):
+    """Texts become ranges with halo, one text at a time; a text of one range within its limit gives none."""
+    schema = _schema(_RANGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            texts = batch.column("text")
+            for i, (target, item, version, unit, most, overlap) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("target", "item_id", "version", "unit", "max_size", "overlap_size")))):
+                text = texts[i].as_py()
+                width = max(range_chars, most)  # a piece reaches into the range after its own at most
+                if len(text) <= width and (len(text) if unit == "chars" else len(text.encode("utf-8", "surrogatepass"))) <= most:
+                    continue
+                for no, begin in enumerate(range(0, len(text), width)):
+                    before = min(halo, begin)
+                    chunk = text[begin - before : begin + width + max(halo, most)]
+                    rows.append((target, item, version, no, unit, most, overlap, before, min(width, len(text) - begin), chunk))
+                    held += len(chunk)
+                    if held > SEND:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _range_marks(halo: int):
+    """The boundaries of ranges, in blocks of code points."""
+    schema = _schema(_MARKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for target, item, version, no, unit, most, overlap, before, own, chunk in zip(*(c.to_pylist() for c in batch.columns)):
+                marks = range_marks(chunk[: before + own + halo], before, before + own, unit).tobytes()
+                rows += [(target, item, version, no, k, most, overlap, marks[i : i + BLOCK]) for k, i in enumerate(range(0, len(marks), BLOCK))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+    return run
+
+
+def _lay_out_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks come in order, item after item; of each item only the layout's state is held.  Items within their limit give no rows."""
+    schema = _schema(_PIECE)
+    current, version, layout, n, rows = None, None, None, 0, []
+
+    def closed() -> None:
+        if layout is not None and n:
+            rows.append((*current, version, n, *layout.rest()))
+
+    for batch in batches:
+        for target, item, ver, _, _, most, overlap, marks in zip(*(c.to_pylist() for c in batch.columns)):
+            if (target, item) != current:
+                closed()
+                current, version, layout, n = (target, item), ver, Layout(most, overlap), 0
+            if ver != version:
+                continue  # another text under the same id: the first one counts
+            for piece in layout.marks(np.frombuffer(marks, np.uint8)):
+                rows.append((*current, version, n, *piece))
+                n += 1
+            if len(rows) > 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows.clear()
+    closed()
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def item_ranges(items: DataFrame, limits: DataFrame, range_chars: int = RANGE_CHARS, halo: int = HALO_CHARS) -> DataFrame:
+    """Ranges with halo of every text that may be above its limit; repeated deliveries count once.
+
+    No text whose bytes are within the limit is above it in any unit, so these never leave the scan.
+    """
+    known = limits.where("unit IN ('chars', 'bytes')").select("target", "unit", "max_size", F.coalesce("overlap_size", F.lit(0)).alias("overlap_size"))
+    read = items.select("target", "item_id", "text", F.xxhash64("text").alias("version")).join(known, "target").where(F.octet_length("text") > F.col("max_size"))
+    return read.mapInArrow(_cut_ranges(range_chars, halo), _RANGE).dropDuplicates(["target", "item_id", "version", "no"])
+
+
+def piece_offsets(ranges: DataFrame, halo: int = HALO_CHARS) -> DataFrame:
+    """target, item_id, version, piece_no, from and to (in characters and in units) of every item above its limit, from its ranges."""
+    marked = ranges.mapInArrow(_range_marks(halo), _MARKS)
+    in_order = marked.repartition("target", "item_id").sortWithinPartitions("target", "item_id", "version", "no", "block")
+    return in_order.mapInArrow(_lay_out_items, _PIECE)
+
+
+def _cut_pieces(range_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ["target", "item_id", "piece_no", "from_char", "to_char", "size", "n_pieces", "text"]
+            rows = []
+            for target, item, no, most, before, chunk, n, pieces in zip(*(c.to_pylist() for c in batch.columns)):
+                zero = no * max(range_chars, most) - before
+                rows += [(target, item, p["piece_no"], p["from_char"], p["to_char"], p["size"], n, chunk[p["from_char"] - zero : p["to_char"] - zero]) for p in pieces]
+            kinds = [pa.string(), *[pa.int64()] * 6, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names=names)
+
+    return run
+
+
 def split_items(items: DataFrame, limits: DataFrame, range_chars: int = RANGE_CHARS, halo: int = HALO_CHARS) -> DataFrame:
     """target, item_id, piece_no (from 0), n_pieces, from_char, to_char, size, text of every item above its limit.
 
     `items` has target, item_id, text; `limits` target, unit ('chars' or 'bytes'), max_size, overlap_size.
     Items within their limit, null texts and targets without a limit give no rows.  An item that is
-    delivered more than once counts once.  Only oversized items are shuffled, once, by their id.
+    delivered more than once counts once; of different texts under one id one counts.
     """
-    known = limits.where("unit IN ('chars', 'bytes')").select("target", "unit", "max_size", F.coalesce("overlap_size", F.lit(0)).alias("overlap_size"))
-    large = items.select("target", "item_id", "text").join(known, "target").where(size_of(F.col("text"), F.col("unit")) > F.col("max_size"))
-    once = large.dropDuplicates(["target", "item_id"])
-    n = F.ceil(F.char_length("text") / F.lit(range_chars)).cast("int")
-    ranges = once.withColumn("no", F.explode(F.sequence(F.lit(0), n - 1)))
-    begin = F.col("no") * range_chars
-    before = F.least(F.lit(halo), begin)
-    cut = ranges.select(
-        "target", "item_id", "no", "unit", "max_size", "overlap_size",
-        F.when(F.col("no") == 0, F.col("text")).alias("text"), before.cast("int").alias("before"),
-        F.least(F.lit(range_chars), F.char_length("text") - begin).cast("int").alias("own"),
-        F.substr("text", begin - before + 1, before + range_chars + halo).alias("chunk"),
-    )
-    marked = cut.mapInArrow(_range_rows, "target string, item_id bigint, no int, text string, max_size bigint, overlap_size bigint, marks binary")
-    per_item = marked.groupBy("target", "item_id").agg(F.max("text").alias("text"), F.max("max_size").alias("max_size"), F.max("overlap_size").alias("overlap_size"), F.collect_list(F.struct("no", "marks")).alias("ranges"))
-    planned = per_item.mapInArrow(_stitch, f"target string, item_id bigint, text string, max_size bigint, pieces {_PIECE}")
-    return planned.select("target", "item_id", "text", F.size("pieces").cast("bigint").alias("n_pieces"), F.posexplode("pieces").alias("pos", "p")).select(
-        "target", "item_id", F.col("pos").cast("bigint").alias("piece_no"), "n_pieces", F.col("p.from_char").alias("from_char"), F.col("p.to_char").alias("to_char"),
-        (F.col("p.to_unit") - F.col("p.from_unit")).alias("size"), F.substr("text", F.col("p.from_char") + 1, F.col("p.to_char") - F.col("p.from_char")).alias("text"),
-    )
+    ranges = cut_lineage(item_ranges(items, limits, range_chars, halo))
+    offsets = piece_offsets(ranges, halo)
+    counted = offsets.withColumn("n_pieces", F.count(F.lit(1)).over(W.partitionBy("target", "item_id")))
+    key = ["target", "item_id", "version", "no"]
+    wide = F.greatest(F.lit(range_chars), F.col("max_size"))
+    # Pieces of one range: as many as it has characters at most.
+    sized = counted.join(limits.where("unit IN ('chars', 'bytes')").select("target", "max_size"), "target").withColumn("no", F.floor(F.col("from_char") / wide).cast("int"))
+    grouped = sized.groupBy(*key).agg(F.first("n_pieces").alias("n_pieces"), F.collect_list(F.struct("piece_no", "from_char", "to_char", (F.col("to_unit") - F.col("from_unit")).alias("size"))).alias("pieces"))
+    cut = ranges.join(grouped, key).select("target", "item_id", "no", "max_size", "before", "chunk", "n_pieces", "pieces")
+    made = cut.mapInArrow(_cut_pieces(range_chars), "target string, item_id bigint, piece_no bigint, from_char bigint, to_char bigint, size bigint, n_pieces bigint, text string")
+    return made.select("target", "item_id", "piece_no", "n_pieces", "from_char", "to_char", "size", "text")
 
 
 def _read_range(path: str, begin: int, end: int) -> bytes:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from talkgrid.llm import bpe, lookalike, names, packing, pieces, pii, sentences, spans, turns
 from talkgrid.plans.registry import Registry
@@ -41,8 +41,34 @@ def p1_pieces(spark, sf_dir):
 
 @REGISTRY.add("p1_found", _P1)
 def p1_found(spark, sf_dir):
-    """The texts that had to be cut."""
-    return p1_pieces(spark, sf_dir).where("piece_no = 0 AND n_pieces > 1").select("target", "item_id")
+    """The texts that had to be cut: those whose ranges add up to more than one piece."""
+    offsets = pieces.piece_offsets(pieces.item_ranges(_items(spark, sf_dir), table(spark, sf_dir, "size_limits")))
+    return offsets.where("piece_no = 1").select("target", "item_id")
+
+
+_P1_REBUILT = """
+WITH item AS (
+  SELECT DISTINCT 'utterances.text' AS target, utt_id AS item_id, text FROM utterances
+  UNION
+  SELECT DISTINCT 'clips.whisper', clip_id, whisper FROM clips
+)
+SELECT DISTINCT target, item_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5, TRUE AS within, TRUE AS in_order
+FROM item JOIN size_limits USING (target)
+WHERE CASE unit WHEN 'chars' THEN length(text) WHEN 'bytes' THEN strlen(text) END > max_size
+"""
+
+
+@REGISTRY.add("p1_rebuilt", _P1_REBUILT)
+def p1_rebuilt(spark, sf_dir):
+    """Every cut text put together again from its pieces without what they repeat, and whether the pieces keep to their limits."""
+    limits = table(spark, sf_dir, "size_limits").select("target", "max_size", "overlap_size")
+    before = F.lag("to_char").over(W.partitionBy("target", "item_id").orderBy("piece_no"))
+    rows = p1_pieces(spark, sf_dir).withColumn("before", F.coalesce(before, F.lit(0))).join(limits, "target")
+    fresh = F.substr("text", (F.col("before") - F.col("from_char") + 1).cast("int"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("t")))), lambda p: p["t"]), "")
+    # What is repeated has no more characters than units.
+    ok = (F.col("from_char") <= F.col("before")) & (F.col("before") - F.col("from_char") <= F.col("overlap_size")) & (F.col("to_char") > F.col("before"))
+    return rows.groupBy("target", "item_id").agg(F.max("to_char").alias("n_chars"), F.md5(parts.cast("binary")).alias("text_md5"), F.min(F.col("size") <= F.col("max_size")).alias("within"), F.min(ok).alias("in_order"))
 
 
 @REGISTRY.add("p3_found")
