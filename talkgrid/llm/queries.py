@@ -118,7 +118,7 @@ def p7_found(spark, sf_dir):
 def p7_forms(spark, sf_dir):
     """The consistent form of every utterance's text."""
     once = table(spark, sf_dir, "utterances").select("utt_id", "text").dropDuplicates(["utt_id"])
-    return lookalike.canonical(spark, once, ["utt_id"], "text").select("utt_id", "form")
+    return lookalike.canonical(spark, once, ["utt_id"], "text").select("utt_id", lookalike.legible(F.col("form")).alias("form"))
 
 
 @REGISTRY.add("p8_ids")
