@@ -17,6 +17,7 @@ import json
 import sys
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from talkgrid.operators.durable import cut_lineage
@@ -157,11 +158,13 @@ def _token(rows: list[tuple[str, list]]) -> str:
 _cache: dict[str, object] = {}
 
 
-def _tables() -> tuple[list, str, str]:
+def _tables() -> tuple[pa.Table, str, str]:
     """Rows of the mapping, the pattern of tokens, and the pairs of a character and a mark that compose."""
     if not _cache:
         rows = mapping_rows()
-        _cache["all"] = rows, _token(rows), json.dumps({pair: c for pair, c in _pairs().items() if unicodedata.combining(pair[1])})
+        part = pa.list_(pa.struct([("seg", pa.int32()), ("ccc", pa.int32()), ("k", pa.int32()), ("c", pa.string())]))
+        held = pa.table([pa.array([c for c, _ in rows]), pa.array([[dict(zip(("seg", "ccc", "k", "c"), p)) for p in parts] for _, parts in rows], part)], names=["c", "parts"])
+        _cache["all"] = held, _token(rows), json.dumps({pair: c for pair, c in _pairs().items() if unicodedata.combining(pair[1])})
     return _cache["all"]
 
 
@@ -193,7 +196,7 @@ def canonical(spark: SparkSession, texts: DataFrame, key: list[str], text: str)
     any kind counts as one plain space, and at the ends of the text as nothing.  `key` must tell the rows apart.
     """
     rows, token, pairs = _tables()
-    table = F.broadcast(spark.createDataFrame(rows, "c string, parts array<struct<seg:int,ccc:int,k:int,c:string>>"))  # bounded by Unicode
+    table = F.broadcast(spark.createDataFrame(rows))  # bounded by Unicode
     held = texts.select(*key, text)
     tokens = held.select(*key, F.col(text).isNull().alias("_null"), F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0))).alias("pos", "t"))
     # A cluster of several code points gives a row for each, all others one row.
@@ -206,8 +209,11 @@ def canonical(spark: SparkSession, texts: DataFrame, key: list[str], text: str)
     placed = F.flatten(F.transform("subs", lambda s: F.transform(s["parts"], lambda p: F.struct(p["seg"].alias("seg"), p["ccc"].alias("ccc"), s["sub"].alias("sub"), p["k"].alias("k"), p["c"].alias("c")))))
     alone = (F.size("subs") == 1) & (F.size(F.col("subs")[0]["parts"]) == 1)
     compositions = F.from_json(F.lit(pairs), "map<string,string>")
-    cluster = F.when(alone, F.col("subs")[0]["parts"][0]["c"]).otherwise(_composed(F.array_sort(placed), compositions))
-    clusters = full.select(*key, "_null", "pos", cluster.alias("form"))
+    ordered = full.select(*key, "_null", "pos", F.when(~alone, F.array_sort(placed)).alias("_parts"), F.when(alone, F.col("subs")[0]["parts"][0]["c"]).alias("_one"))
+    plain = ordered.withColumn("_plain", F.coalesce("_one", F.array_join(F.col("_parts")["c"], "")))
+    # Only clusters with a mark that composes with anything go through the steps of composition.
+    seconds = _ranges(sorted({ord(pair[1]) for pair in json.loads(pairs)}))
+    clusters = plain.select(*key, "_null", "pos", F.when(F.col("_one").isNull() & F.col("_plain").rlike(f"[{seconds}]"), _composed(F.col("_parts"), compositions)).otherwise(F.col("_plain")).alias("form"))
     built = clusters.groupBy(*key, "_null").agg(F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p["form"]), "")
     form = F.trim(F.regexp_replace(joined, " +", " "))
