@@ -135,6 +135,13 @@ def p9_containers(spark, sf_dir):
     return packing.pack(sizes, "doc_id", "n_tokens", capacity)
 
 
+@REGISTRY.add("p9_tiers")
+def p9_tiers(spark, sf_dir):
+    """How full the windows of every tier are, and how much of shorter tiers lies in them."""
+    capacity = table(spark, sf_dir, "size_limits").where("target = 'documents.text'").first()["max_size"]
+    return packing.tier_report(p9_containers(spark, sf_dir), capacity)
+
+
 @REGISTRY.add("p10_found")
 def p10_found(spark, sf_dir):
     """Pairs of documents that share a run of 200 characters or more."""

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from talkgrid.llm.packing import fill_report, pack, plan
+from talkgrid.llm.packing import fill_report, pack, plan, tier_report
 from tests.helpers import rows
 
 
@@ -12,8 +12,8 @@ def test_plan_uses_every_piece():
         cap = r.randint(1, 60)
         hist = {r.randint(1, cap): r.randint(1, 50) for _ in range(r.randint(0, 20))}
         used = {}
-        for filling, times in plan(hist, cap):
-            assert times > 0 and sum(s * n for s, n in filling) <= cap
+        for tier, filling, times in plan(hist, cap):
+            assert times > 0 and sum(s * n for s, n in filling) <= cap >> tier
             for s, n in filling:
                 used[s] = used.get(s, 0) + n * times
         assert used == hist
@@ -41,6 +41,12 @@ def test_pack(spark):
     for c, ps in by.items():
         groups.setdefault(ps[0].step_group, set()).add(c)
     assert max(map(len, groups.values())) <= 8
-    report = rows(fill_report(spark.createDataFrame(got), 100))[0]
+    for p in got:
+        assert p.window_tier <= p.tier and p.window_from <= p.offset and p.offset + p.size <= p.window_from + (100 >> p.window_tier)
+        assert p.window_from % (100 >> p.window_tier) == 0
+    made = spark.createDataFrame(got)
+    report = rows(fill_report(made, 100))[0]
     assert report[3] > 0.9
+    tiers = tier_report(made, 100).collect()
+    assert sum(t.used for t in tiers) == report[1] and sum(t.pieces for t in tiers) == len(got) and any(t.from_shorter for t in tiers)
     assert rows(pack(df.limit(0), "id", "n", 100)) == []
