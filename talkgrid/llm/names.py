@@ -1,33 +1,34 @@
 """Variant spellings of names, attached to the registered person or firm they denote.
 
-A noisy channel: a registered name is written in some form (order, script, initials, nickname, part of
-the name, honorific) and then mistyped.  The forms of all registered rows are the candidate canonical
-spellings, with the frequency of their exact spellings in the corpus as prior; the channel charges for
-the kind of form and for every typing error.  A spelling goes to the person of greatest posterior unless
-another person fits as well by its form, or the spelling is so frequent itself that it is no error but
-the canonical spelling of somebody who is not registered.
-
-Errors are searched by deletions: a spelling and a form within k errors share a string that arises from
-both by k deletions, so no spelling is compared with all forms.
+A noisy channel.  A registered name is written in some form (order, script, initials, nickname, part of the
+name, honorific), which the channel charges for, and then mistyped, which it charges for by the error.  The
+candidate canonical spellings are the forms of all registered rows, with the frequency of their exact spellings
+in the corpus as prior, and all other spellings that are frequent enough to have variants, with their own
+frequency.  A spelling goes to the candidate of greatest posterior; it is tied to nobody if that is a name that
+is not registered (the spelling itself included), or if two registered people fit it alike.
+
+All of it is joins: forms, and strings that arise from spellings and forms by deletions, are keys in tables (a
+spelling and a form within k errors share a string that arises from both by k deletions, so no spelling is
+compared with all forms).  Nothing of the register or of the labels is held on the driver or broadcast, and
+of the people that share a form only the least and the greatest travel: two that fit are as good as all.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from talkgrid.operators.durable import cut_lineage
 from talkgrid.llm.readings import folded, readings, romaji, short, sound_key, syllables
 
-#: Registered rows whose forms are broadcast; a larger register raises an error rather than a large broadcast.
-REGISTER_LIMIT = 20_000
 #: Share of a name's occurrences that one particular error may have.
 ERROR_SHARE = 0.25
 
@@ -106,14 +107,6 @@ class Spelling:
 FULL, JOINED, INITIAL, SHORTENED, PART = 0.5, 1.0, 2.5, 2.5, 3.0
 
 
-class Person:
-    """One registered row: its parts in writing and in Latin letters."""
-
-    def __init__(self, person_id: int, spellings: Iterable[str]):
-        self.ids = {person_id}
-        self.spellings = [s for s in spellings if s and s.strip()]
-
-
 def _split_han(solid: str, givens: set[str]) -> tuple[str, str] | None:
     for cut in range(1, len(solid)):
         if solid[cut:] in givens:
@@ -121,93 +114,82 @@ def _split_han(solid: str, givens: set[str]) -> tuple[str, str] | None:
     return None
 
 
-class Register:
-    """All forms of the registered people and firms, and the search among them."""
-
-    def __init__(self, rows: Iterable[tuple[int, str | None, Iterable[str | None] | None]]):
-        rows = sorted((int(i), d or "", [a for a in aliases or [] if a and a.strip()]) for i, d, aliases in rows if i is not None)
-        self.literal: dict[str, set[int]] = defaultdict(set)
-        self._learn(rows)
-        self.forms: dict[str, dict[int, float]] = defaultdict(dict)
-        self.root: dict[int, int] = {}
-        self.near: dict[str, set[str]] = defaultdict(set)
-        self.prior: dict[int, float] = defaultdict(float)
-        late = []
-        for person_id, display, aliases in rows:
-            forms = self._forms(display, aliases)
-            if not forms:
-                continue
-            same = self._registered_before(display, aliases, forms)
-            self.root[person_id] = same if same is not None else person_id
-            late.append((person_id, display, aliases, forms))
-            self._enter(self.root[person_id], forms if same is None else {k: v for k, v in forms.items() if v < PART})
-        for person_id, display, aliases, _ in late:
-            for text in aliases:
-                self.note_middle(self.root[person_id], text)
-        for person_id, display, aliases, _ in late:
-            for text in (display, *aliases):
-                self.literal[cleaned(text).casefold()].add(self.root[person_id])
-
-    def _learn(self, rows) -> None:
-        """Given names as written, and readings of written parts, from the register itself."""
-        pairs = []  # (written, latin parts or solid)
-        firsts: dict[str, set[str]] = defaultdict(set)
-        solids = set()
-        for _, display, aliases in rows:
-            for text in (display, *aliases):
-                s = Spelling(text)
-                if s.firm or not s.han:
-                    continue
-                if len(s.words) == 2 and not s.inside:
-                    firsts[s.words[1]].add(s.words[0])
-                elif len(s.words) == 1:
-                    solids.add(s.solid)
-        ends: dict[str, set[str]] = defaultdict(set)
-        for solid in solids:
-            for cut in range(2, len(solid)):
-                ends[solid[cut:]].add(solid[:cut])
-        surnames = {s for group in firsts.values() for s in group}
-        self.givens = set(firsts) | {g for g, heads in ends.items() if len(heads) > 1 and any(readings(g)) and len(g) <= 3} | {s[len(n) :] for s in solids for n in surnames if s.startswith(n) and len(s) > len(n)}
-        self.givens = {g for g in self.givens if g and not any(g != o and g.endswith(o) and (g[: -len(o)] in "".join(surnames)) and g not in firsts for o in firsts)}
-        for _, display, aliases in rows:  # a row that writes its name in Latin letters as well shows where the parts meet
-            texts = [Spelling(t) for t in (display, *aliases)]
-            latin = [[short(_latin(w)) for w in s.words] for s in texts if not s.han and not s.kana and len(s.words) == 2]
-            for s in texts:
-                if s.han and not s.firm and len(s.words) == 1 and not s.inside and _split_han(s.solid, self.givens) is None:
-                    for cut in range(1, len(s.solid)):
-                        a, b = readings(s.solid[:cut]), readings(s.solid[cut:])
-                        if any(x in a and y in b or y in a and x in b for x, y in latin):
-                            self.givens.add(s.solid[cut:])
+class Row:
+    """One registered row: how its name is parted and read, and the forms it may be written in.
+
+    `known` are parts of names and their readings (None where only known to be a given name) that other rows show.
+    """
+
+    def __init__(self, display: str | None, aliases: Iterable[str | None] | None, known: Iterable[tuple[str, str | None]] = ()):
+        self.display = display or ""
+        self.aliases = sorted(a for a in (aliases if aliases is not None else ()) if a and a.strip())
+        self.spelled = [Spelling(t) for t in (self.display, *self.aliases)]
+        self.givens: set[str] = set()
         self.read: dict[str, set[str]] = defaultdict(set)
-        for _, display, aliases in rows:
-            texts = [Spelling(t) for t in (display, *aliases)]
-            written = next((s for s in texts if s.han and not s.inside and not s.firm and self._parts(s)), None)
-            if written is not None:
-                sur, given = self._parts(written)
-                for s in texts:
-                    if s.inside:
-                        self.read[given].add(s.inside)
-                    if s.han or s.firm:
-                        continue
-                    words = [short(romaji(w)) if s.kana else short(_latin(w)) for w in s.words]
-                    if len(words) == 2 and all(len(w) > 1 for w in words):
-                        pairs.append((sur, given, words))
-                    elif len(words) == 1 and len(words[0]) > 5:
-                        pairs.append((sur, given, [words[0]]))
-        for _ in range(4):  # what is known of one part tells the other
-            for sur, given, words in pairs:
-                known_g, known_s = self.read[given] | readings(given), self.read[sur] | readings(sur)
-                if len(words) == 2:
-                    for a, b in (tuple(words), tuple(words[::-1])):
-                        if b in known_g or a in known_s:
-                            self.read[sur].add(a), self.read[given].add(b)
-                else:
-                    for g in list(known_g):
-                        if words[0].endswith(g) and len(words[0]) > len(g):
-                            self.read[sur].add(words[0][: -len(g)]), self.read[given].add(g)
-                    for s in list(known_s):
-                        if words[0].startswith(s) and len(words[0]) > len(s) and not known_g:
-                            self.read[given].add(words[0][len(s) :])
+        for part, reading in known:
+            if reading is None:
+                self.givens.add(part)
+            else:
+                self.read[part].add(reading)
+        self._learn()
+
+    def written(self) -> set[str]:
+        """All beginnings and ends of the names in Chinese characters, and their words: what other rows may tell about."""
+        out: set[str] = set()
+        for s in self.spelled:
+            if s.han and not s.firm:
+                out |= {*s.words, *(s.solid[:k] for k in range(1, len(s.solid))), *(s.solid[k:] for k in range(1, len(s.solid)))}
+        return out
+
+    def ends(self) -> list[tuple[str, str]]:
+        """Two or three characters that end a name and have a reading, with what stands before them."""
+        solid = {s.solid for s in self.spelled if s.han and not s.firm and not s.inside and len(s.words) == 1}
+        return [(t[-k:], t[:-k]) for t in solid for k in (2, 3) if len(t) > k and readings(t[-k:])]
+
+    def shown(self) -> list[tuple[str, str | None]]:
+        """The parts of names and their readings that this row shows, and its given names."""
+        return [*((part, r) for part, rs in self.read.items() for r in rs if self.sure), *((given, None) for given in self.givens)]
+
+    def _learn(self) -> None:
+        """Given names as written, and readings of the parts, as far as this row's spellings show them."""
+        latin = [[short(_latin(w)) for w in s.words] for s in self.spelled if not s.han and not s.kana and len(s.words) == 2]
+        inside = {s.inside for s in self.spelled if s.inside}
+        self.sure = False  # whether it is known where the parts meet
+        for s in self.spelled:
+            if s.firm or not s.han or s.inside:
+                continue
+            if len(s.words) == 2:
+                self.givens.add(s.words[1])
+            elif len(s.words) == 1 and _split_han(s.solid, self.givens) is None:
+                # A row that writes its name in Latin letters as well shows where the parts meet.
+                for cut in range(1, len(s.solid)):
+                    a, b = readings(s.solid[:cut]), readings(s.solid[cut:])
+                    if any(x in a and y in b or y in a and x in b for x, y in latin) or any(i in b for i in inside):
+                        self.givens.add(s.solid[cut:])
+        whole = next((s for s in self.spelled if s.han and not s.inside and not s.firm and self._parts(s)), None)
+        if whole is None:
+            return
+        sur, given = self._parts(whole)
+        self.sure = given in self.givens
+        for s in self.spelled:
+            if s.inside:
+                self.read[given].add(s.inside)
+        known_g, known_s = self.read[given] | readings(given), self.read[sur] | readings(sur)
+        for s in self.spelled:
+            if s.han or s.firm:
+                continue
+            words = [short(romaji(w)) if s.kana else short(_latin(w)) for w in s.words]
+            if len(words) == 2 and all(len(w) > 1 for w in words):
+                for a, b in (words, words[::-1]):
+                    if b in known_g or a in known_s:
+                        self.read[sur].add(a), self.read[given].add(b)
+            elif len(words) == 1 and len(words[0]) > 5:
+                for g in known_g:
+                    if words[0].endswith(g) and len(words[0]) > len(g):
+                        self.read[sur].add(words[0][: -len(g)]), self.read[given].add(g)
+                for r in known_s if not known_g else ():
+                    if words[0].startswith(r) and len(words[0]) > len(r):
+                        self.read[sur].add(r), self.read[given].add(words[0][len(r) :])
 
     def _parts(self, s: Spelling) -> tuple[str, str] | None:
         if len(s.words) == 2:
@@ -223,7 +205,7 @@ class Register:
     def _latin_of(self, part: str) -> set[str]:
         return {r for r in (self.read.get(part) or set()) | (set() if self.read.get(part) else set(readings(part))) if r}
 
-    def _forms(self, display: str, aliases: list[str]) -> dict[str, float]:
+    def forms(self) -> dict[str, float]:
         """Form to cost.  Keys tell scripts apart: 'h:' written, 'l:' Latin letters, 'i:' initial and surname, 'p:' one part, 'f:' firm."""
         forms: dict[str, float] = {}
 
@@ -231,7 +213,7 @@ class Register:
             if len(key) > 3 or _HAN.fullmatch(key[2:]):  # one written character may be a surname, one letter is none
                 forms[key] = min(cost, forms.get(key, cost))
 
-        texts = [Spelling(t) for t in (display, *aliases)]
+        texts = self.spelled
         if any(s.firm for s in texts):
             for s in texts:
                 if not s.solid or not (s.firm or s is texts[0] or len(s.solid) > 3):
@@ -299,149 +281,89 @@ class Register:
                 put(("i:" if len(f) <= 2 else "a:") + (f[0] if len(f) <= 2 else f) + "|" + l, INITIAL)
             put("p:" + l, PART)
 
-    def _enter(self, root: int, forms: dict[str, float]) -> None:
-        for key, cost in forms.items():
-            kept = self.forms[key]
-            kept[root] = min(cost, kept.get(root, cost))
-            if key[:2] in ("l:", "f:") and len(key) >= 8:
-                for gone in deletions(key[2:], 2 if len(key) >= 10 else 1):
-                    self.near[gone].add(key)
-            elif key[0] == "y" or key[0] == "h" and len(key) >= 5:
-                for gone in deletions(key[2:], 1):
-                    self.near[gone].add(key)
-            elif key[0] in "iap" and len(key) >= 8:
-                for gone in deletions(key[2:], 1):
-                    self.near[gone].add(key)
-
-    def _registered_before(self, display: str, aliases: list[str], forms: dict[str, float]) -> int | None:
-        """An earlier row that this row repeats: by its display name, else by an alias that spells a whole name."""
-        found = self._fits(display)
-        if found is not None and len(found[1]) == 1:
-            return next(iter(found[1]))
-        if not _HAN.search(display):
-            for alias in aliases:
-                s = Spelling(alias)
-                if len(s.solid) > 6 and not s.firm:
-                    found = self._fits(alias)
-                    if found is not None and found[2] == 0 and found[0] <= JOINED and len(found[1]) == 1:
-                        return next(iter(found[1]))
-        return None
-
-    def _queries(self, text: str) -> list[tuple[str, float]]:
-        """Forms under which a spelling may be found, with what they cost beside the form itself."""
-        s = Spelling(text)
-        if not s.solid:
-            return []
-        out: list[tuple[str, float]] = [("f:" + s.solid.casefold(), 0.0)]
-        if s.han:
-            if s.inside:
-                return [("g:" + s.solid + "|" + s.inside, 0.0)]
-            out += [("h:" + s.solid, 0.0), ("s:" + s.solid, 0.0)]
-            for cut in range(1, len(s.solid)):
-                # Another character of the same sound.
-                for r in readings(s.solid[cut:]):
-                    out.append(("g:" + s.solid[:cut] + "|" + r, 1.5))
-            return [*out, *(("l:" + r, 2.0) for r in sorted(readings(s.solid)))] if s.firm or len(s.solid) > 3 else out
-        words = [short(romaji(w)) if s.kana else _latin(w) for w in s.words]
-        words = [w for w in words if w]
-        solid = "".join(words)
-        if s.kana:
-            runs = re.findall(r"[a-z]|[^a-z]+", s.solid.casefold())
-            for spell in (short, str):  # a lost kana may leave two vowels that are no long one
-                parts = [p for run in runs for p in ([run] if run.isascii() else syllables(spell(romaji(run))))]
-                out.append(("y:" + sound_key(parts), 0.0))
-        out += [("l:" + solid, 0.0), ("l:" + short(solid), 0.0)]
-        if len(words) == 1:
-            out += [("p:" + solid, 0.0), ("p:" + short(solid), 0.0)]
-        if len(words) == 2 and not s.kana:
-            for a, b in (words, words[::-1]):
-                raw = s.words[0] if a == words[0] else s.words[1]
-                if len(a) == 1 or len(a) == 2 and raw.isupper():
-                    out += [("i:" + a[0] + "|" + b, 0.2 * len(a)), ("i:" + a[0] + "|" + short(b), 0.2 * len(a))]
-                    out += [("m:" + a + "|" + b, 0.0)] if len(a) == 2 else []
-                elif len(a) <= 5:
-                    out.append(("a:" + a + "|" + b, 0.0))
-            out.append(("l:" + words[1] + words[0], 0.0))
-        if len(words) == 3 and len(words[1]) == 1:
-            out.append(("l:" + words[0] + words[2], 0.3))
-        if len(words) == 3 and len(words[2]) == 1:
-            out.append(("l:" + words[1] + words[0], 0.3))
-        return out
 
-    def _fits(self, text: str) -> tuple[float, dict[int, float], int] | None:
-        """(cost, {person: cost}, errors) of the best fit: all persons of the least cost, without errors if that gives any."""
-        queries = self._queries(text)
-        best: dict[int, float] = {}
-        for key, extra in queries:
-            for person, cost in self.forms.get(key, {}).items():
-                best[person] = min(cost + extra, best.get(person, 99.0))
-        if best:
-            low = min(best.values())
-            return low, {p: c for p, c in best.items() if c < low + 0.45}, 0
-        errors: dict[int, tuple[int, float]] = {}
-        written = any(key[0] == "h" for key, _ in queries)
-        for key, extra in queries:
-            word = key[2:]
-            if written and key[0] != "h" or key[0] not in "lfiapyh" or len(word) < (5 if key[0] in "lfiap" else 3):
-                continue
-            seen = set()
-            for gone in deletions(word, 2 if len(word) >= 8 else 1):
-                seen |= self.near.get(gone, set())
-            for form in seen:
-                if form[0] != key[0] and not (form[0] in "lf" and key[0] in "lf"):
-                    continue
-                if form[0] in "ia" and word.find("|") < 4 and word.split("|")[0] != form[2:].split("|")[0]:
-                    continue  # initials are not mistyped for others
-                limit = 2 if len(word) >= 8 and form[0] in "lf" else 1
-                # Of written characters only one too many or too few is an error: another one is another name.
-                d = distance(word, form[2:], limit) if form[0] != "h" or len(word) != len(form) - 2 else 9
-                if d <= limit:
-                    for person, cost in self.forms[form].items():
-                        errors[person] = min((d, cost + extra), errors.get(person, (9, 99.0)))
-        if not errors:
-            return None
-        fewest = min(d for d, _ in errors.values())
-        at = {p: c for p, (d, c) in errors.items() if d == fewest}
-        low = min(at.values())
-        return low, {p: c for p, c in at.items() if c < low + 0.45}, fewest
-
-    @staticmethod
-    def middle(text: str) -> str:
-        """'fm|last' of First M. Last, '' of anything else."""
-        words = [_latin(w) for w in Spelling(text).words]
-        return f"{words[0][0]}{words[1]}|{words[2]}" if len(words) == 3 and len(words[1]) == 1 and len(words[0]) > 1 and len(words[2]) > 1 else ""
-
-    def note_middle(self, person: int, text: str) -> None:
-        """Middle initials tell persons of one initial apart."""
-        key = self.middle(text)
-        if key and self.exact(text) == person:
-            self.forms["m:" + key][person] = INITIAL - 1.0
-
-    def exact(self, text: str) -> int | None:
-        """The one person that a spelling denotes without a typing error, or None."""
-        owners = self.literal.get(cleaned(text).casefold(), set())
-        found = self._fits(text)
-        fits = set(found[1]) if found is not None and found[2] == 0 else set()
-        both = owners | fits
-        return next(iter(both)) if len(both) == 1 else None
-
-    def attach(self, text: str, count: float = 0.0) -> int | None:
-        """The person of greatest posterior; None for nobody, an unregistered name, or two persons that fit."""
-        if not text or lettered(text) is not None:
-            return None
-        found = self._fits(text)
-        owners = self.literal.get(cleaned(text).casefold(), set())
-        if owners or found is not None and found[2] == 0:
-            return self.exact(text)
-        if found is None:
-            return None
-        _, persons, errors = found
-        if len(persons) > 1:
-            return None
-        person = next(iter(persons))
-        # The spelling as an error of this person's name against the spelling as a name of its own.
-        as_error = math.log(self.prior[person] + 8.0) + errors * math.log(ERROR_SHARE) + math.log(2.0)
-        return person if as_error > math.log(max(count, 1e-9)) else None
+def queries(text: str) -> list[tuple[str, float]]:
+    """Forms under which a spelling may be found, with what they cost beside the form itself."""
+    s = Spelling(text)
+    if not s.solid:
+        return []
+    out: list[tuple[str, float]] = [("f:" + s.solid.casefold(), 0.0)]
+    if s.han:
+        if s.inside:
+            return [("g:" + s.solid + "|" + s.inside, 0.0)]
+        out += [("h:" + s.solid, 0.0), ("s:" + s.solid, 0.0)]
+        for cut in range(1, len(s.solid)):
+            # Another character of the same sound.
+            for r in readings(s.solid[cut:]):
+                out.append(("g:" + s.solid[:cut] + "|" + r, 1.5))
+        return [*out, *(("l:" + r, 2.0) for r in sorted(readings(s.solid)))] if s.firm or len(s.solid) > 3 else out
+    words = [short(romaji(w)) if s.kana else _latin(w) for w in s.words]
+    words = [w for w in words if w]
+    solid = "".join(words)
+    if s.kana:
+        runs = re.findall(r"[a-z]|[^a-z]+", s.solid.casefold())
+        for spell in (short, str):  # a lost kana may leave two vowels that are no long one
+            parts = [p for run in runs for p in ([run] if run.isascii() else syllables(spell(romaji(run))))]
+            out.append(("y:" + sound_key(parts), 0.0))
+    out += [("l:" + solid, 0.0), ("l:" + short(solid), 0.0)]
+    if len(words) == 1:
+        out += [("p:" + solid, 0.0), ("p:" + short(solid), 0.0)]
+    if len(words) == 2 and not s.kana:
+        for a, b in (words, words[::-1]):
+            raw = s.words[0] if a == words[0] else s.words[1]
+            if len(a) == 1 or len(a) == 2 and raw.isupper():
+                out += [("i:" + a[0] + "|" + b, 0.2 * len(a)), ("i:" + a[0] + "|" + short(b), 0.2 * len(a))]
+                out += [("m:" + a + "|" + b, 0.0)] if len(a) == 2 else []
+            elif len(a) <= 5:
+                out.append(("a:" + a + "|" + b, 0.0))
+        out.append(("l:" + words[1] + words[0], 0.0))
+    if len(words) == 3 and len(words[1]) == 1:
+        out.append(("l:" + words[0] + words[2], 0.3))
+    if len(words) == 3 and len(words[2]) == 1:
+        out.append(("l:" + words[1] + words[0], 0.3))
+    return out
+
+
+def middle(text: str) -> str | None:
+    """'m:fm|last' of First M. Last, None of anything else."""
+    words = [_latin(w) for w in Spelling(text).words]
+    return f"m:{words[0][0]}{words[1]}|{words[2]}" if len(words) == 3 and len(words[1]) == 1 and len(words[0]) > 1 and len(words[2]) > 1 else None
+
+
+def _hashes(word: str, k: int) -> list[int]:
+    return [xxhash.xxh64_intdigest(w) - (1 << 63) for w in deletions(word, k)]
+
+
+def form_hashes(key: str) -> list[int]:
+    """Keys under which mistyped spellings of a form are found; none for short forms."""
+    if key[:2] in ("l:", "f:") and len(key) >= 8:
+        return _hashes(key[2:], 2 if len(key) >= 10 else 1)
+    if key[0] == "y" or key[0] == "h" and len(key) >= 5 or key[0] in "iap" and len(key) >= 8:
+        return _hashes(key[2:], 1)
+    return []
+
+
+def query_hashes(key: str, written: bool) -> list[int]:
+    """Keys under which a spelling looks for the forms that it may be an error of."""
+    word = key[2:]
+    if written and key[0] != "h" or key[0] not in "lfiapyh" or len(word) < (5 if key[0] in "lfiap" else 3):
+        return []
+    return _hashes(word, 2 if len(word) >= 8 else 1)
+
+
+def errors(key: str, form: str) -> int | None:
+    """How many errors lead from a form to what was written, None if more than the form allows."""
+    if form[0] != key[0] and not (form[0] in "lf" and key[0] in "lf"):
+        return None
+    word, target = key[2:], form[2:]
+    if form[0] in "ia" and word.find("|") < 4 and word.split("|")[0] != target.split("|")[0]:
+        return None  # initials are not mistyped for others
+    limit = 2 if len(word) >= 8 and form[0] in "lf" else 1
+    # Of written characters only one too many or too few is an error: another one is another name.
+    if form[0] == "h" and len(word) == len(target):
+        return None
+    d = distance(word, target, limit)
+    return d if d <= limit else None
 
 
 @lru_cache(maxsize=1 << 15)
@@ -472,39 +394,153 @@ def distance(a: str, b: str, limit: int) -> int:
     return last[-1]
 
 
-def load_register(people: DataFrame) -> Register:
-    """The register of a people table, on the driver; its size is checked first."""
-    if people.limit(REGISTER_LIMIT + 1).count() > REGISTER_LIMIT:
-        raise ValueError(f"more than {REGISTER_LIMIT} registered people")
-    return Register((r.person_id, r.display_name, r.aliases) for r in people.select("person_id", "display_name", "aliases").distinct().collect())
+#: Forms whose costs differ by less than this fit a spelling alike.
+ALIKE = 0.45
+#: Occurrences that every registered person counts as having beside those seen.
+PSEUDO = 8.0
 
 
-def attached_labels(utterances: DataFrame, people: DataFrame) -> tuple[DataFrame, Register]:
-    """speaker, person_id (null where it denotes nobody registered) of every distinct label, and the register with its priors."""
-    spark = utterances.sparkSession
-    register = load_register(people)
-    labels = utterances.where(F.col("speaker").isNotNull()).groupBy("speaker").agg(F.count(F.lit(1)).alias("n"))
-    plain = spark.sparkContext.broadcast(register)
+def _rows(df: DataFrame, schema: str, make: Callable[..., Iterable[tuple]], *columns: str) -> DataFrame:
+    """Rows made from each row of `df`, in batches, over as many tasks as shuffles have."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["person_id"] = pd.array([plain.value.exact(s) for s in pdf["speaker"]], dtype="Int64")
-            pdf["middle"] = [Register.middle(s) for s in pdf["speaker"]]
-            yield pdf[["person_id", "middle", "speaker", "n"]]
-
-    # The prior of each registered person and the middle initials: at most 27 rows for each registered row.
-    prior = labels.mapInPandas(first, "person_id bigint, middle string, speaker string, n bigint").where("person_id IS NOT NULL")
-    for row in prior.groupBy("person_id", "middle").agg(F.sum("n").alias("n"), F.min("speaker").alias("speaker")).orderBy("person_id", "middle").collect():
-        register.prior[row.person_id] += float(row.n)
-        register.note_middle(row.person_id, row.speaker)
-    full = spark.sparkContext.broadcast(register)
-
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["person_id"] = pd.array([full.value.attach(s, n) for s, n in zip(pdf["speaker"], pdf["n"])], dtype="Int64")
-            yield pdf[["speaker", "person_id"]]
+            yield pd.DataFrame([out for row in zip(*(pdf[c] for c in columns)) for out in make(*row)], columns=names)
+
+    return df.select(*columns).mapInPandas(run, schema)
+
+
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def registered_forms(people: DataFrame) -> DataFrame:
+    """person_id, key, cost of every form of every registered row."""
+    rows = _spread(people.where("person_id IS NOT NULL").select(F.col("person_id").cast("bigint").alias("person_id"), "display_name", "aliases").distinct(), "person_id")
+    # What one row shows of a part of a name holds for all rows that have the part.
+    learned = _rows(rows, "part string, reading string", lambda d, a: Row(d, a).shown(), "display_name", "aliases").distinct()
+    # What two names end with alike may be a given name too, unless a shorter one is known to end it.
+    ends = _rows(rows, "part string, head string", lambda d, a: Row(d, a).ends(), "display_name", "aliases").distinct().groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    longer = ends.select("part", F.explode(F.transform(F.sequence(F.lit(2), F.char_length("part")), lambda k: F.substr("part", k))).alias("given"))
+    known = longer.join(learned.where("reading IS NULL").select(F.col("part").alias("given")), "given", "left_semi").select("part").distinct()
+    learned = learned.unionByName(ends.join(known, "part", "left_anti").select("part", F.lit(None).cast("string").alias("reading"))).distinct()
+    parts = _rows(rows, "person_id bigint, display_name string, aliases array<string>, part string", lambda i, d, a: ((i, d, a, p) for p in (Row(d, a).written() or [""])), "person_id", "display_name", "aliases")
+    told = parts.join(learned.groupBy("part").agg(F.collect_set(F.struct("reading")).alias("readings")), "part", "left")
+    # Of one row: as many parts as its name has characters, twice.
+    hinted = told.groupBy("person_id", "display_name", "aliases").agg(F.collect_list(F.struct("part", "readings")).alias("known"))
+
+    def forms(person, display, aliases, known):
+        hints = [(k["part"], r["reading"]) for k in known for r in (k["readings"] if k["readings"] is not None else ())]
+        return [(person, key, cost) for key, cost in Row(display, aliases, hints).forms().items()]
+
+    return _rows(hinted, "person_id bigint, key string, cost double", forms, "person_id", "display_name", "aliases", "known").groupBy("person_id", "key").agg(F.min("cost").alias("cost"))
+
+
+def _asked(spellings: DataFrame, name: str, kind: str) -> DataFrame:
+    """`name`, key, extra and hashes of every form that a spelling may be found under."""
+
+    def ask(label):
+        found = queries(label)
+        written = any(key[0] == "h" for key, _ in found)
+        return [(label, key, extra, query_hashes(key, written)) for key, extra in found]
 
-    return labels.mapInPandas(second, "speaker string, person_id bigint"), register
+    return _rows(spellings, f"{name} {kind}, key string, extra double, hashes array<bigint>", ask, name)
+
+
+def _near(asked: DataFrame, forms: DataFrame, q: str) -> DataFrame:
+    """`q`, form, d and extra of every form that a spelling may be an error of."""
+    hashed = _rows(forms.select("key").distinct(), "form string, h bigint", lambda key: ((key, h) for h in form_hashes(key)), "key")
+    met = asked.select(q, "key", "extra", F.explode("hashes").alias("h")).join(hashed, "h").select(q, "key", "extra", "form").distinct()
+    return _rows(met, f"{q} {asked.schema[q].dataType.simpleString()}, form string, d int, extra double", lambda label, key, extra, form: [] if (d := errors(key, form)) is None else [(label, form, d, extra)], q, "key", "extra", "form")
+
+
+def _decided(matches: DataFrame, q: str) -> DataFrame:
+    """`q`, lo, hi and d: the least and greatest person of those that fit best; fewer errors come first.  Literal spellings (cost null) always count."""
+    by = W.partitionBy(q)
+    least = matches.withColumn("_d", F.min("d").over(by)).where("d = _d").withColumn("_c", F.min("cost").over(by))
+    fit = least.where(F.col("cost").isNull() | (F.col("cost") < F.col("_c") + ALIKE))
+    return fit.groupBy(q).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("d").alias("d"))
+
+
+def _roots(people: DataFrame, forms: DataFrame) -> DataFrame:
+    """person_id, root: the least row that registers the same person or firm; rows registered once are left out.
+
+    A row repeats an earlier one if its display name, or else an alias that spells a whole name, fits that one only.
+    """
+    first = forms.groupBy("key", "cost").agg(F.min("person_id").alias("p1"))
+    second = forms.join(first, ["key", "cost"]).where("person_id != p1").groupBy("key", "cost").agg(F.min("person_id").alias("p2"))
+    two = first.join(second, ["key", "cost"], "left")
+    named = people.where("person_id IS NOT NULL").select(F.col("person_id").cast("bigint").alias("person_id"), F.explode(F.concat(F.array(F.struct(F.lit(True).alias("own"), F.col("display_name").alias("label"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lit(False).alias("own"), a.alias("label"))))).alias("x"))
+    named = named.select("person_id", "x.*").where("label IS NOT NULL AND trim(label) != ''").distinct()
+    asked = cut_lineage(_asked(_spread(named.select("label").distinct(), "label"), "label", "string"))
+    who = named.withColumn("q", F.struct("person_id", "own", "label"))
+    earlier = lambda df: df.where("p1 < q.person_id").select("q", "d", "cost", F.col("p1").alias("lo"), F.when(F.col("p2") < F.col("q.person_id"), F.col("p2")).otherwise(F.col("p1")).alias("hi"))
+    exact = earlier(who.join(asked, "label").join(two, "key").select("q", F.lit(0).alias("d"), (F.col("cost") + F.col("extra")).alias("cost"), "p1", "p2"))
+    near = earlier(who.where("own").join(_near(asked, forms, "label"), "label").join(two.withColumnRenamed("key", "form"), "form").select("q", F.col("d").cast("int").alias("d"), (F.col("cost") + F.col("extra")).alias("cost"), "p1", "p2"))
+    # Aliases count only where they spell a whole name exactly, and the display name is not in Chinese characters.
+    whole = lambda person, own, label, display: [(person, own, label)] if own or not _HAN.search(display or "") and len((s := Spelling(label)).solid) > 6 and not s.firm else []
+    displays = people.where("person_id IS NOT NULL").select(F.col("person_id").cast("bigint").alias("person_id"), "display_name").distinct()
+    counts = _rows(named.join(displays, "person_id"), "person_id bigint, own boolean, label string", whole, "person_id", "own", "label", "display_name").distinct()
+    links = _decided(exact.where(F.col("q.own") | (F.col("cost") <= JOINED)).unionByName(near), "q").select("q.*", "lo", "hi", "d").join(counts, ["person_id", "own", "label"])
+    links = cut_lineage(links.groupBy("person_id").agg(F.min(F.struct(~F.col("own"), "d", "lo", "hi")).alias("x")).select("person_id", "x.lo", "x.hi"))
+    # A row may repeat one that repeats another: as many rounds as one person is registered times.
+    done = links.limit(0).select("person_id", F.col("lo").alias("root"))
+    while not links.isEmpty():
+        open_ = links.select("person_id")
+        free = lambda c: links.select(F.col(c).alias("p")).distinct().join(open_, F.col("p") == F.col("person_id"), "left_anti")  # noqa: B023, E731
+        known = free("lo").union(free("hi")).distinct().join(done, F.col("p") == F.col("person_id"), "left").select("p", F.coalesce("root", "p").alias("r"))
+        ready = links.join(known.select(F.col("p").alias("lo"), F.col("r").alias("a")), "lo").join(known.select(F.col("p").alias("hi"), F.col("r").alias("b")), "hi")
+        ready = cut_lineage(ready.select("person_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("person_id")).alias("root")))
+        done = cut_lineage(done.unionByName(ready))
+        links = cut_lineage(links.join(ready, "person_id", "left_anti"))
+    return done
+
+
+def _summed(forms: DataFrame) -> DataFrame:
+    """key, cost, lo, hi: the least and greatest person of each form."""
+    return forms.groupBy("key", "cost").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+
+
+def attached(labels: DataFrame, people: DataFrame) -> DataFrame:
+    """label, person_id (null where it denotes nobody registered) and exact (whether without a typing error) of every label.
+
+    `labels` has label and n, how often it stands; each label once.  Blank and unnamed labels denote nobody.
+    """
+    forms = cut_lineage(registered_forms(people))
+    roots = _roots(people, forms)
+    to_root = lambda df: df.join(roots, "person_id", "left").withColumn("root", F.coalesce("root", "person_id"))
+    # A row that repeats another adds whole forms to it, but no parts of names.
+    of_root = to_root(forms).where((F.col("root") == F.col("person_id")) | (F.col("cost") < PART)).select("key", "cost", "root")
+    own = people.where("person_id IS NOT NULL").select(F.col("person_id").cast("bigint").alias("person_id"), F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("label")).where("trim(label) != ''").distinct()
+    literal = to_root(_rows(own, "person_id bigint, key string", lambda i, t: [(i, "=" + cleaned(t).casefold())], "person_id", "label")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).withColumn("cost", F.lit(None).cast("double"))
+    known = cut_lineage(_summed(of_root).unionByName(literal))
+    named = _rows(_spread(labels, "label"), "label string, n bigint, plain string", lambda t, n: [(t, n, "=" + cleaned(t).casefold())] if t and lettered(t) is None else [], "label", "n")
+    asked = cut_lineage(named.join(_asked(named.select("label"), "label", "string"), "label", "left"))
+    keys = asked.select("label", "key", "extra").where("key IS NOT NULL").unionByName(asked.select("label", F.col("plain").alias("key"), F.lit(0.0).alias("extra")).distinct())
+    fit = lambda table: keys.join(table, "key").select("label", F.lit(0).alias("d"), (F.col("cost") + F.col("extra")).alias("cost"), "lo", "hi")
+    matches = cut_lineage(fit(known))
+    first = _decided(matches, "label").where("lo = hi")
+    # Middle initials of whole names tell persons of one initial apart.
+    spelled = first.select("label", F.col("lo").alias("root"))
+    middles = _rows(spelled, "key string, root bigint", lambda t, p: [(m, p)] if (m := middle(t)) else [], "label", "root").distinct().withColumn("cost", F.lit(INITIAL - 1.0))
+    exact = cut_lineage(_decided(matches.unionByName(fit(_summed(middles))), "label"))
+    prior = exact.where("lo = hi").join(labels, "label").groupBy(F.col("lo").alias("person")).agg(F.sum("n").alias("prior"))
+    # The rest may be mistyped.  A spelling that stands often enough to have variants is a candidate of its own.
+    rest = asked.join(exact, "label", "left_anti").where("n > 0")
+    near = _near(rest.where("size(hashes) > 0"), known.where("cost IS NOT NULL"), "label")
+    person = _decided(near.join(known.withColumnRenamed("key", "form"), "form").select("label", "d", (F.col("cost") + F.col("extra")).alias("cost"), "lo", "hi"), "label").where("lo = hi")
+    share = float(ERROR_SHARE)
+    frequent = rest.where((F.col("n") > 1 / share) & (F.col("extra") == 0) & F.col("key").rlike("^[lfhy]:")).select("key", "label", "n").groupBy("key").agg(F.max(F.struct("n", "label")).alias("x"))
+    other = _near(rest.where("size(hashes) > 0"), frequent, "label").join(frequent.withColumnRenamed("key", "form"), "form").where("x.label != label").groupBy("label").agg(F.max(F.log(F.col("x.n")) + F.col("d") * F.log(F.lit(share))).alias("other"))
+    scored = person.join(prior.withColumnRenamed("person", "lo"), "lo", "left").join(labels, "label").join(other, "label", "left")
+    posterior = F.log(F.coalesce("prior", F.lit(0)) + PSEUDO) + F.col("d") * F.log(F.lit(share)) + F.log(F.lit(2.0))
+    mistyped = scored.where(posterior > F.greatest(F.log("n"), F.coalesce("other", F.lit(-99.0)))).select("label", F.col("lo").alias("person_id"), F.lit(False).alias("exact"))
+    return exact.where("lo = hi").select("label", F.col("lo").alias("person_id"), F.lit(True).alias("exact")).unionByName(mistyped)
+
+
+def _counted(utterances: DataFrame) -> DataFrame:
+    return utterances.where("speaker IS NOT NULL AND speaker != ''").groupBy(F.col("speaker").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def linked_names(utterances: DataFrame, people: DataFrame) -> DataFrame:
@@ -513,17 +549,10 @@ def linked_names(utterances: DataFrame, people: DataFrame) -> DataFrame:
     person_id is the least of that person's rows.  Null, empty and unnamed labels, unregistered names and
     spellings that fit two registered people give no row.
     """
-    attached, register = attached_labels(utterances, people)
-    known = attached.where("person_id IS NOT NULL")
-    of_jobs = utterances.select("job_id", "speaker").distinct().join(known, "speaker").select("job_id", F.col("speaker").alias("spelling"), "person_id")
-    spelled = people.select(F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("spelling")).where("spelling IS NOT NULL AND spelling != ''").distinct()
-    shared = utterances.sparkSession.sparkContext.broadcast(register)
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["job_id"] = 0
-            pdf["person_id"] = pd.array([shared.value.exact(s) for s in pdf["spelling"]], dtype="Int64")
-            yield pdf[["job_id", "spelling", "person_id"]]
-
-    registered = spelled.mapInPandas(own, "job_id bigint, spelling string, person_id bigint").where("person_id IS NOT NULL")
-    return of_jobs.unionByName(registered).distinct()
+    spelled = people.select(F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("label")).where("label IS NOT NULL AND label != ''").distinct()
+    labels = _counted(utterances).unionByName(spelled.withColumn("n", F.lit(0).cast("bigint"))).groupBy("label").agg(F.sum("n").alias("n"))
+    known = cut_lineage(attached(labels, people))
+    of_jobs = utterances.select("job_id", F.col("speaker").alias("label")).where("label IS NOT NULL").distinct().join(known.select("label", "person_id"), "label")
+    registered = spelled.join(known.where("exact").select("label", "person_id"), "label").withColumn("job_id", F.lit(0).cast("bigint"))
+    both = of_jobs.unionByName(registered.select(of_jobs.columns))
+    return both.select("job_id", F.col("label").alias("spelling"), "person_id").distinct()

@@ -47,7 +47,7 @@ def _syllables() -> dict[str, str]:
             for small, vowel in _SMALL.items():
                 stem = base[:-1]
                 table[kana + small] = stem + vowel if stem in ("sh", "ch", "j") else stem + "y" + vowel
-    return table | _VOWELS | {"ゃ": "ya", "ゅ": "yu", "ょ": "yo"}
+    return table | _VOWELS | {"ん": "n", "ゃ": "ya", "ゅ": "yu", "ょ": "yo"}
 
 
 SYLLABLES = _syllables()

@@ -176,7 +176,7 @@ def _meets(gone: list[tuple[int, int]], i: int, j: int) -> bool:
 def _noted(text: str, found) -> list[tuple[int, int]]:
     """Disjoint stretches that belong to the sentence after them: notes, stamps, hesitations and the speaker at the head."""
     marks = spans(text, found)
-    head = head_speaker(text, None, marks)
+    head = head_speaker(text, marks)
     gone = [(s, e) for s, e, _ in marks if head is None or s >= head[0]]
     return [(0, head[0]), *gone] if head is not None else gone
 
