@@ -117,10 +117,11 @@ def _split_han(solid: str, givens: set[str]) -> tuple[str, str] | None:
 class Row:
     """One registered row: how its name is parted and read, and the forms it may be written in.
 
-    `known` are parts of names and their readings (None where only known to be a given name) that other rows show.
+    `known` are parts of names and their readings (None where only known to be a given name) that other rows show,
+    `ends` what several names end with alike: given names too, unless a shorter one is known to end them.
     """
 
-    def __init__(self, display: str | None, aliases: Iterable[str | None] | None, known: Iterable[tuple[str, str | None]] = ()):
+    def __init__(self, display: str | None, aliases: Iterable[str | None] | None, known: Iterable[tuple[str, str | None]] = (), ends: Iterable[str] = ()):
         self.display = display or ""
         self.aliases = sorted(a for a in (aliases if aliases is not None else ()) if a and a.strip())
         self.spelled = [Spelling(t) for t in (self.display, *self.aliases)]
@@ -131,6 +132,7 @@ class Row:
                 self.givens.add(part)
             else:
                 self.read[part].add(reading)
+        self.givens |= {e for e in ends if not any(e[k:] in self.givens for k in range(1, len(e)))}
         self._learn()
 
     def written(self) -> set[str]:
@@ -141,14 +143,11 @@ class Row:
                 out |= {*s.words, *(s.solid[:k] for k in range(1, len(s.solid))), *(s.solid[k:] for k in range(1, len(s.solid)))}
         return out
 
-    def ends(self) -> list[tuple[str, str]]:
-        """Two or three characters that end a name and have a reading, with what stands before them."""
+    def shown(self) -> list[tuple[str, str | None, bool, str | None]]:
+        """(part, reading, whether it is a given name, what stands before it): what this row shows of parts of names."""
         solid = {s.solid for s in self.spelled if s.han and not s.firm and not s.inside and len(s.words) == 1}
-        return [(t[-k:], t[:-k]) for t in solid for k in (2, 3) if len(t) > k and readings(t[-k:])]
-
-    def shown(self) -> list[tuple[str, str | None]]:
-        """The parts of names and their readings that this row shows, and its given names."""
-        return [*((part, r) for part, rs in self.read.items() for r in rs if self.sure), *((given, None) for given in self.givens)]
+        ends = ((t[-k:], None, False, t[:-k]) for t in solid for k in (2, 3) if len(t) > k and readings(t[-k:]))
+        return [*((part, r, False, None) for part, rs in self.read.items() for r in rs if self.sure), *((given, None, True, None) for given in self.givens), *ends]
 
     def _learn(self) -> None:
         """Given names as written, and readings of the parts, as far as this row's spellings show them."""
@@ -419,35 +418,20 @@ def registered_forms(people: DataFrame) -> DataFrame:
     """person_id, key, cost of every form of every registered row."""
     rows = _spread(people.where("person_id IS NOT NULL").select(F.col("person_id").cast("bigint").alias("person_id"), "display_name", "aliases").distinct(), "person_id")
     # What one row shows of a part of a name holds for all rows that have the part.
-    learned = _rows(rows, "part string, reading string", lambda d, a: Row(d, a).shown(), "display_name", "aliases").distinct()
-    # What two names end with alike may be a given name too, unless a shorter one is known to end it.
-    ends = _rows(rows, "part string, head string", lambda d, a: Row(d, a).ends(), "display_name", "aliases").distinct().groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    longer = ends.select("part", F.explode(F.transform(F.sequence(F.lit(2), F.char_length("part")), lambda k: F.substr("part", k))).alias("given"))
-    known = longer.join(learned.where("reading IS NULL").select(F.col("part").alias("given")), "given", "left_semi").select("part").distinct()
-    learned = learned.unionByName(ends.join(known, "part", "left_anti").select("part", F.lit(None).cast("string").alias("reading"))).distinct()
+    shown = _rows(rows, "part string, reading string, given boolean, head string", lambda d, a: Row(d, a).shown(), "display_name", "aliases").distinct()
+    told = shown.groupBy("part").agg(F.collect_set("reading").alias("readings"), F.max("given").alias("given"), (F.min("head") < F.max("head")).alias("several"))
     parts = _rows(rows, "person_id bigint, display_name string, aliases array<string>, part string", lambda i, d, a: ((i, d, a, p) for p in (Row(d, a).written() or [""])), "person_id", "display_name", "aliases")
-    told = parts.join(learned.groupBy("part").agg(F.collect_set(F.struct("reading")).alias("readings")), "part", "left")
     # Of one row: as many parts as its name has characters, twice.
-    hinted = told.groupBy("person_id", "display_name", "aliases").agg(F.collect_list(F.struct("part", "readings")).alias("known"))
+    hinted = parts.join(told, "part", "left").groupBy("person_id", "display_name", "aliases").agg(F.collect_list(F.struct("part", "readings", "given", "several")).alias("known"))
 
     def forms(person, display, aliases, known):
-        hints = [(k["part"], r["reading"]) for k in known for r in (k["readings"] if k["readings"] is not None else ())]
-        return [(person, key, cost) for key, cost in Row(display, aliases, hints).forms().items()]
+        hints = [(k["part"], r) for k in known for r in (k["readings"] if k["readings"] is not None else ())] + [(k["part"], None) for k in known if k["given"]]
+        row = Row(display, aliases, hints, [k["part"] for k in known if k["several"] and not k["given"]])
+        return [(person, key, cost) for key, cost in row.forms().items()]
 
     return _rows(hinted, "person_id bigint, key string, cost double", forms, "person_id", "display_name", "aliases", "known").groupBy("person_id", "key").agg(F.min("cost").alias("cost"))
 
 
-def _asked(spellings: DataFrame, name: str, kind: str) -> DataFrame:
-    """`name`, key, extra and hashes of every form that a spelling may be found under."""
-
-    def ask(label):
-        found = queries(label)
-        written = any(key[0] == "h" for key, _ in found)
-        return [(label, key, extra, query_hashes(key, written)) for key, extra in found]
-
-    return _rows(spellings, f"{name} {kind}, key string, extra double, hashes array<bigint>", ask, name)
-
-
 def _near(asked: DataFrame, forms: DataFrame, q: str) -> DataFrame:
     """`q`, form, d and extra of every form that a spelling may be an error of."""
     hashed = _rows(forms.select("key").distinct(), "form string, h bigint", lambda key: ((key, h) for h in form_hashes(key)), "key")
@@ -463,38 +447,48 @@ def _decided(matches: DataFrame, q: str) -> DataFrame:
     return fit.groupBy(q).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("d").alias("d"))
 
 
-def _roots(people: DataFrame, forms: DataFrame) -> DataFrame:
+def _spelled(people: DataFrame) -> DataFrame:
+    """person_id, own, label, whole: display names (own) and aliases, and whether one may show that its row repeats another.
+
+    Aliases count for that only where they spell a whole name, and the display name is not in Chinese characters.
+    """
+    rows = people.where("person_id IS NOT NULL").select(F.col("person_id").cast("bigint").alias("person_id"), "display_name", "aliases")
+
+    def each(person, display, aliases):
+        latin = not _HAN.search(display or "")
+        yield person, True, display, True
+        for alias in aliases if aliases is not None else ():
+            if alias:
+                s = Spelling(alias)
+                yield person, False, alias, latin and len(s.solid) > 6 and not s.firm
+
+    made = _rows(_spread(rows.distinct(), "person_id"), "person_id bigint, own boolean, label string, whole boolean", each, "person_id", "display_name", "aliases")
+    return made.where("trim(label) != ''").distinct()
+
+
+def _roots(spelled: DataFrame, asked: DataFrame, near: DataFrame, forms: DataFrame) -> DataFrame:
     """person_id, root: the least row that registers the same person or firm; rows registered once are left out.
 
     A row repeats an earlier one if its display name, or else an alias that spells a whole name, fits that one only.
     """
-    first = forms.groupBy("key", "cost").agg(F.min("person_id").alias("p1"))
-    second = forms.join(first, ["key", "cost"]).where("person_id != p1").groupBy("key", "cost").agg(F.min("person_id").alias("p2"))
-    two = first.join(second, ["key", "cost"], "left")
-    named = people.where("person_id IS NOT NULL").select(F.col("person_id").cast("bigint").alias("person_id"), F.explode(F.concat(F.array(F.struct(F.lit(True).alias("own"), F.col("display_name").alias("label"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lit(False).alias("own"), a.alias("label"))))).alias("x"))
-    named = named.select("person_id", "x.*").where("label IS NOT NULL AND trim(label) != ''").distinct()
-    asked = cut_lineage(_asked(_spread(named.select("label").distinct(), "label"), "label", "string"))
-    who = named.withColumn("q", F.struct("person_id", "own", "label"))
-    earlier = lambda df: df.where("p1 < q.person_id").select("q", "d", "cost", F.col("p1").alias("lo"), F.when(F.col("p2") < F.col("q.person_id"), F.col("p2")).otherwise(F.col("p1")).alias("hi"))
-    exact = earlier(who.join(asked, "label").join(two, "key").select("q", F.lit(0).alias("d"), (F.col("cost") + F.col("extra")).alias("cost"), "p1", "p2"))
-    near = earlier(who.where("own").join(_near(asked, forms, "label"), "label").join(two.withColumnRenamed("key", "form"), "form").select("q", F.col("d").cast("int").alias("d"), (F.col("cost") + F.col("extra")).alias("cost"), "p1", "p2"))
-    # Aliases count only where they spell a whole name exactly, and the display name is not in Chinese characters.
-    whole = lambda person, own, label, display: [(person, own, label)] if own or not _HAN.search(display or "") and len((s := Spelling(label)).solid) > 6 and not s.firm else []
-    displays = people.where("person_id IS NOT NULL").select(F.col("person_id").cast("bigint").alias("person_id"), "display_name").distinct()
-    counts = _rows(named.join(displays, "person_id"), "person_id bigint, own boolean, label string", whole, "person_id", "own", "label", "display_name").distinct()
-    links = _decided(exact.where(F.col("q.own") | (F.col("cost") <= JOINED)).unionByName(near), "q").select("q.*", "lo", "hi", "d").join(counts, ["person_id", "own", "label"])
-    links = cut_lineage(links.groupBy("person_id").agg(F.min(F.struct(~F.col("own"), "d", "lo", "hi")).alias("x")).select("person_id", "x.lo", "x.hi"))
-    # A row may repeat one that repeats another: as many rounds as one person is registered times.
-    done = links.limit(0).select("person_id", F.col("lo").alias("root"))
-    while not links.isEmpty():
-        open_ = links.select("person_id")
-        free = lambda c: links.select(F.col(c).alias("p")).distinct().join(open_, F.col("p") == F.col("person_id"), "left_anti")  # noqa: B023, E731
-        known = free("lo").union(free("hi")).distinct().join(done, F.col("p") == F.col("person_id"), "left").select("p", F.coalesce("root", "p").alias("r"))
-        ready = links.join(known.select(F.col("p").alias("lo"), F.col("r").alias("a")), "lo").join(known.select(F.col("p").alias("hi"), F.col("r").alias("b")), "hi")
-        ready = cut_lineage(ready.select("person_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("person_id")).alias("root")))
-        done = cut_lineage(done.unionByName(ready))
-        links = cut_lineage(links.join(ready, "person_id", "left_anti"))
-    return done
+    # The two least rows of each form tell whether one or several come before a row.
+    rank = F.row_number().over(W.partitionBy("key", "cost").orderBy("person_id"))
+    two = forms.withColumn("r", rank).where("r <= 2").groupBy("key", "cost").agg(F.min("person_id").alias("p1"), F.max("person_id").alias("p2"))
+    who = spelled.where("whole").select("person_id", "own", "label")
+    exact = who.join(asked.select("label", "key", "extra", F.lit(0).alias("d")), "label").where(F.col("own") | (F.col("extra") <= JOINED))
+    mistyped = who.where("own").join(near.select("label", F.col("form").alias("key"), "extra", "d"), "label")
+    met = exact.unionByName(mistyped).join(two, "key").where("p1 < person_id").withColumn("cost", F.col("cost") + F.col("extra")).where(F.col("own") | (F.col("cost") <= JOINED))
+    fits = met.select(F.struct("person_id", "own", "label").alias("q"), "d", "cost", F.col("p1").alias("lo"), F.when(F.col("p2") < F.col("person_id"), F.col("p2")).otherwise(F.col("p1")).alias("hi"))
+    best = _decided(fits, "q").groupBy("q.person_id").agg(F.min(F.struct(~F.col("q.own"), "d", "lo", "hi")).alias("x"))
+    links = cut_lineage(best.select("person_id", "x.lo", "x.hi"))
+    up = links.select(F.col("person_id").alias("hi"), F.col("lo").alias("up_lo"), F.col("hi").alias("up_hi"))
+    # Two that come before are one if the later of them repeats the earlier.
+    roots = cut_lineage(links.join(up, "hi", "left").where("lo = hi OR (up_lo = lo AND up_hi = lo)").select("person_id", F.col("lo").alias("root")))
+    while True:  # a row may repeat one that repeats another
+        above = roots.select(F.col("person_id").alias("root"), F.col("root").alias("top"))
+        if roots.join(above, "root", "left_semi").isEmpty():
+            return roots
+        roots = cut_lineage(roots.join(above, "root", "left").select("person_id", F.coalesce("top", "root").alias("root")))
 
 
 def _summed(forms: DataFrame) -> DataFrame:
@@ -503,37 +497,46 @@ def _summed(forms: DataFrame) -> DataFrame:
 
 
 def attached(labels: DataFrame, people: DataFrame) -> DataFrame:
-    """label, person_id (null where it denotes nobody registered) and exact (whether without a typing error) of every label.
+    """label, person_id and exact (whether without a typing error) of every label and registered spelling that denotes one person.
 
     `labels` has label and n, how often it stands; each label once.  Blank and unnamed labels denote nobody.
     """
     forms = cut_lineage(registered_forms(people))
-    roots = _roots(people, forms)
+    spelled = cut_lineage(_spelled(people))
+    every = labels.unionByName(spelled.select("label", F.lit(0).cast("bigint").alias("n"))).groupBy("label").agg(F.sum("n").alias("n"))
+
+    def ask(label, n):
+        found = queries(label)
+        written = any(key[0] == "h" for key, _ in found)
+        named = lettered(label) is None
+        return [(label, n, named, "=" + cleaned(label).casefold(), 0.0, [])] + [(label, n, named, key, extra, query_hashes(key, written)) for key, extra in found]
+
+    asked = cut_lineage(_rows(_spread(every, "label"), "label string, n bigint, named boolean, key string, extra double, hashes array<bigint>", ask, "label", "n"))
+    # Registered spellings may be errors of others; of the labels only those that are no known form.
+    fitting = asked.join(forms, "key", "left_semi").select("label").distinct()
+    unknown = asked.where("named AND size(hashes) > 0").join(fitting, "label", "left_anti")
+    own = asked.where("size(hashes) > 0").join(spelled.where("own").select("label").distinct(), "label", "left_semi")
+    near = cut_lineage(_near(unknown.unionByName(own), forms, "label").distinct())
+    roots = _roots(spelled, asked, near, forms)
     to_root = lambda df: df.join(roots, "person_id", "left").withColumn("root", F.coalesce("root", "person_id"))
-    # A row that repeats another adds whole forms to it, but no parts of names.
-    of_root = to_root(forms).where((F.col("root") == F.col("person_id")) | (F.col("cost") < PART)).select("key", "cost", "root")
-    own = people.where("person_id IS NOT NULL").select(F.col("person_id").cast("bigint").alias("person_id"), F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("label")).where("trim(label) != ''").distinct()
-    literal = to_root(_rows(own, "person_id bigint, key string", lambda i, t: [(i, "=" + cleaned(t).casefold())], "person_id", "label")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).withColumn("cost", F.lit(None).cast("double"))
-    known = cut_lineage(_summed(of_root).unionByName(literal))
-    named = _rows(_spread(labels, "label"), "label string, n bigint, plain string", lambda t, n: [(t, n, "=" + cleaned(t).casefold())] if t and lettered(t) is None else [], "label", "n")
-    asked = cut_lineage(named.join(_asked(named.select("label"), "label", "string"), "label", "left"))
-    keys = asked.select("label", "key", "extra").where("key IS NOT NULL").unionByName(asked.select("label", F.col("plain").alias("key"), F.lit(0.0).alias("extra")).distinct())
-    fit = lambda table: keys.join(table, "key").select("label", F.lit(0).alias("d"), (F.col("cost") + F.col("extra")).alias("cost"), "lo", "hi")
+    # A row that repeats another adds whole forms to it, but no parts of names.  Literal spellings have no cost.
+    literal = _rows(spelled, "person_id bigint, key string", lambda i, t: [(i, "=" + cleaned(t).casefold())], "person_id", "label").withColumn("cost", F.lit(None).cast("double"))
+    of_root = to_root(forms.unionByName(literal.select(forms.columns))).where("cost IS NULL OR root = person_id OR cost < " + str(PART))
+    known = cut_lineage(_summed(of_root))
+    named = asked.where("named").select("label", "n", "key", "extra")
+    fit = lambda table: named.join(table, "key").select("label", F.lit(0).alias("d"), (F.col("cost") + F.col("extra")).alias("cost"), "lo", "hi")
     matches = cut_lineage(fit(known))
-    first = _decided(matches, "label").where("lo = hi")
     # Middle initials of whole names tell persons of one initial apart.
-    spelled = first.select("label", F.col("lo").alias("root"))
-    middles = _rows(spelled, "key string, root bigint", lambda t, p: [(m, p)] if (m := middle(t)) else [], "label", "root").distinct().withColumn("cost", F.lit(INITIAL - 1.0))
+    middles = _rows(_decided(matches, "label").where("lo = hi"), "key string, root bigint", lambda t, p: [(m, p)] if (m := middle(t)) else [], "label", "lo").distinct().withColumn("cost", F.lit(INITIAL - 1.0))
     exact = cut_lineage(_decided(matches.unionByName(fit(_summed(middles))), "label"))
-    prior = exact.where("lo = hi").join(labels, "label").groupBy(F.col("lo").alias("person")).agg(F.sum("n").alias("prior"))
+    sums = every.join(exact.where("lo = hi"), "label").groupBy("lo").agg(F.sum("n").alias("prior"))
     # The rest may be mistyped.  A spelling that stands often enough to have variants is a candidate of its own.
-    rest = asked.join(exact, "label", "left_anti").where("n > 0")
-    near = _near(rest.where("size(hashes) > 0"), known.where("cost IS NOT NULL"), "label")
+    rest = unknown.where("n > 0").join(exact, "label", "left_anti")
     person = _decided(near.join(known.withColumnRenamed("key", "form"), "form").select("label", "d", (F.col("cost") + F.col("extra")).alias("cost"), "lo", "hi"), "label").where("lo = hi")
     share = float(ERROR_SHARE)
-    frequent = rest.where((F.col("n") > 1 / share) & (F.col("extra") == 0) & F.col("key").rlike("^[lfhy]:")).select("key", "label", "n").groupBy("key").agg(F.max(F.struct("n", "label")).alias("x"))
-    other = _near(rest.where("size(hashes) > 0"), frequent, "label").join(frequent.withColumnRenamed("key", "form"), "form").where("x.label != label").groupBy("label").agg(F.max(F.log(F.col("x.n")) + F.col("d") * F.log(F.lit(share))).alias("other"))
-    scored = person.join(prior.withColumnRenamed("person", "lo"), "lo", "left").join(labels, "label").join(other, "label", "left")
+    frequent = rest.where((F.col("n") > 1 / share) & (F.col("extra") == 0) & F.col("key").rlike("^[lfhy]:")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("x"))
+    other = _near(rest, frequent, "label").join(frequent.withColumnRenamed("key", "form"), "form").where("x.label != label").groupBy("label").agg(F.max(F.log("x.n") + F.col("d") * F.log(F.lit(share))).alias("other"))
+    scored = person.join(rest.select("label", "n").distinct(), "label").join(sums, "lo", "left").join(other, "label", "left")
     posterior = F.log(F.coalesce("prior", F.lit(0)) + PSEUDO) + F.col("d") * F.log(F.lit(share)) + F.log(F.lit(2.0))
     mistyped = scored.where(posterior > F.greatest(F.log("n"), F.coalesce("other", F.lit(-99.0)))).select("label", F.col("lo").alias("person_id"), F.lit(False).alias("exact"))
     return exact.where("lo = hi").select("label", F.col("lo").alias("person_id"), F.lit(True).alias("exact")).unionByName(mistyped)
@@ -549,10 +552,9 @@ def linked_names(utterances: DataFrame, people: DataFrame) -> DataFrame:
     person_id is the least of that person's rows.  Null, empty and unnamed labels, unregistered names and
     spellings that fit two registered people give no row.
     """
-    spelled = people.select(F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("label")).where("label IS NOT NULL AND label != ''").distinct()
-    labels = _counted(utterances).unionByName(spelled.withColumn("n", F.lit(0).cast("bigint"))).groupBy("label").agg(F.sum("n").alias("n"))
-    known = cut_lineage(attached(labels, people))
+    known = cut_lineage(attached(_counted(utterances), people))
     of_jobs = utterances.select("job_id", F.col("speaker").alias("label")).where("label IS NOT NULL").distinct().join(known.select("label", "person_id"), "label")
+    spelled = people.select(F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("label")).where("label IS NOT NULL AND label != ''").distinct()
     registered = spelled.join(known.where("exact").select("label", "person_id"), "label").withColumn("job_id", F.lit(0).cast("bigint"))
     both = of_jobs.unionByName(registered.select(of_jobs.columns))
     return both.select("job_id", F.col("label").alias("spelling"), "person_id").distinct()

@@ -26,6 +26,8 @@ from talkgrid.llm.lookalike import LATIN_LOOKS
 from talkgrid.llm.pii_table import KINDS, labelled
 
 BITS = 17
+#: Distinct tokens whose scores a process holds: some 30 MB.
+HELD = 1 << 16
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _TAG = {t: i for i, t in enumerate(TAGS)}
 #: Offsets of the neighbours whose own features count, and of the pairs of neighbours that count together.
@@ -36,8 +38,11 @@ _TOKEN = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿＡ-Ｚａ-ｚﬁ̀-ͯ­​-‏⁠
 _INVISIBLE = {0xAD: None, 0xFEFF: None, 0x2060: None, **{c: None for c in range(0x200B, 0x2010)}}
 _FOLD = str.maketrans(LATIN_LOOKS)
 _KANJI_DIGITS = "〇一二三四五六七八九"
-# Words of places in addresses, honorifics and words for digits.
+# Characters of places in addresses, of parts of organisations, and at the ends of surnames and given names; words for digits.
 _PLACE_UNITS = frozenset("都道府県市区町村郡番号室丁目地栋楼单元省路街巷通坂沢台")
+_ORG_UNITS = frozenset("課係部室班局科组処处社店")
+_NAME_ENDS = frozenset("田川山野原沢澤谷崎島井村本木森林橋口池岡坂藤瀬尾浦城")
+_GIVEN_ENDS = frozenset("子美香奈恵江代乃里也郎助介司人吾平夫男雄彦輝樹斗")
 _DIGIT_WORDS = frozenset("zero one two three four five six seven eight nine oh double".split())
 _ROADS = frozenset("lane road street close row ave avenue mews drive terrace way court st flat apt calle avda plaza straße weg gasse allee".split())
 
@@ -53,7 +58,7 @@ def _shape(token: str) -> str:
     if first.isspace():
         return "s"
     if token.isdigit():
-        return "d" + str(min(len(token), 13))
+        return ("z" if token[0] == "0" else "d") + str(min(len(token), 13))
     if first.isalpha() and first < "ɐ":
         if token.lower() in _DIGIT_WORDS:
             return "dw"
@@ -78,6 +83,13 @@ def folded(token: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", token.translate(_INVISIBLE)).translate(_FOLD)) or " "
 
 
+@lru_cache(maxsize=1 << 16)
+def _plain(token: str) -> str:
+    """The folded token; of digits only how many there are and whether the first is a zero."""
+    out = folded(token)
+    return ("0" if out[0] == "0" else "5") + "5" * min(len(out) - 1, 12) if out.isdigit() else out
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh32_intdigest(text) & ((1 << BITS) - 1)
 
@@ -94,8 +106,9 @@ def _own(token: str) -> tuple[str, ...]:
         out += [f"e={low[-3:]}", f"b={low[:2]}"]
         if low in _ROADS:
             out.append("road")
-    if token in _PLACE_UNITS:
-        out.append("place")
+    for kind, held in (("place", _PLACE_UNITS), ("org", _ORG_UNITS), ("sur", _NAME_ENDS), ("given", _GIVEN_ENDS)):
+        if token in held:
+            out.append(kind)
     return tuple(out)
 
 
@@ -105,6 +118,11 @@ def _pair(token: str) -> tuple[str, str]:
     return ("0" if token.isdigit() else token.lower()), shape
 
 
+@lru_cache(maxsize=1 << 16)
+def _name_hash(name: str) -> int:
+    return _hash("n" + name)
+
+
 class Encoded:
     """Texts as numbers of distinct tokens, padded with a mark at both ends."""
 
@@ -115,7 +133,7 @@ class Encoded:
         number: dict[str, int] = {"\x00": 0}
         rows = []
         for text, spans in zip(texts, self.spans):
-            rows.append([number.setdefault(folded(text[a:b]), len(number)) for a, b in spans])
+            rows.append([number.setdefault(_plain(text[a:b]), len(number)) for a, b in spans])
         self.words = list(number)
         self.lengths = np.array([len(r) for r in rows], np.int64)
         self.flat = np.zeros(int(self.lengths.sum()) + self.PAD * (len(rows) + 1), np.int64)
@@ -126,6 +144,9 @@ class Encoded:
 
     def features(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each offset, the buckets (tokens x features, -1 for none) of each distinct token; for each pair and naming, the bucket of each place."""
+        return self.singles(), self.pairs()
+
+    def singles(self) -> list[np.ndarray]:
         own = [_own(w) for w in self.words]
         width = max(map(len, own))
         single = []
@@ -134,10 +155,13 @@ class Encoded:
             for i, fs in enumerate(own):
                 table[i, : len(fs)] = [_hash(f"{o}{f}") for f in fs]
             single.append(table)
+        return single
+
+    def pairs(self) -> list[np.ndarray]:
         names = [_pair(w) for w in self.words]
         pairs = []
         for kind in (0, 1):
-            ids = np.array([_hash("n" + n[kind]) for n in names], np.uint64)
+            ids = np.array([_name_hash(n[kind]) for n in names], np.uint64)
             for n, (a, b) in enumerate(PAIRS):
                 x, y = ids[self.flat[self.at + a]], ids[self.flat[self.at + b]]
                 h = (x * np.uint64(0x9E3779B97F4A7C15) ^ (y + np.uint64(n * 2 + kind + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -146,7 +170,7 @@ class Encoded:
         x, y, z = (ids[self.flat[self.at + o]] for o in (-1, 0, 1))
         h = (x * np.uint64(0x9E3779B97F4A7C15) ^ y * np.uint64(0xC2B2AE3D27D4EB4F) ^ z * np.uint64(0x165667B19E3779F9)) * np.uint64(0xBF58476D1CE4E5B9)
         pairs.append((h >> np.uint64(64 - BITS)).astype(np.int64))
-        return single, pairs
+        return pairs
 
 
 class Field:
@@ -173,6 +197,33 @@ class Field:
             out += self.weights[bucket]
         return out
 
+    def own_scores(self, e: Encoded) -> np.ndarray:
+        """Scores that each distinct token gives the places around it, by offset and tag; worked out once a process."""
+        held = self.__dict__.setdefault("_held", {})
+        if len(held) > HELD:
+            held.clear()
+        new = [w for w in e.words if w not in held]
+        if new:
+            table = np.zeros((len(new), len(WINDOW), len(TAGS)), np.float32)
+            for i, word in enumerate(new):
+                own = _own(word)
+                table[i] = self.weights[np.array([[_hash(f"{o}{f}") for f in own] for o in WINDOW])].sum(axis=1)
+            held.update(zip(new, table))
+        return np.stack([held[w] for w in e.words])
+
+    def place_scores(self, e: Encoded) -> np.ndarray:
+        """The same as `scores`, by the tokens' own scores."""
+        own = self.own_scores(e)
+        out = np.zeros((len(e.at), len(TAGS)), np.float32)
+        for k, o in enumerate(WINDOW):
+            out += own[e.flat[e.at + o], k]
+        for bucket in e.pairs():
+            out += self.weights[bucket]
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_held"}
+
     def transitions(self) -> np.ndarray:
         return np.where(self.allowed, self.moves, np.float32(-1e4))
 
@@ -270,7 +321,7 @@ class Field:
         if not len(e.at):
             return [[] for _ in texts]
         full = e.lengths > 0
-        tags = self.viterbi(self.scores(e, *e.features()), e.lengths[full])
+        tags = self.viterbi(self.place_scores(e), e.lengths[full])
         out, at = [], 0
         for text, spans in zip(texts, e.spans):
             found = runs(tags[at : at + len(spans)].tolist(), spans)
@@ -304,23 +355,20 @@ def runs(tags: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int,
 
 _HONORIFIC = re.compile(r"(?:さん|様|さま|くん|君|氏|ちゃん|先生|殿|先輩)$")
 _TITLE = re.compile(r"^(?:Frau|Herr|Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Don|Doña)\.?\s+")
-_FIRM = re.compile(r"株式会社|（株）|㈱|\(株\)|\bInc\b|\bK\.K|\bLtd\b")
-# Words before or inside addresses, and what a street by one word and a number must end with.
-_SENT_TO = re.compile("^(?:寄到|家住|住在|发到|送到|地址是)")
+_FIRM = re.compile(r"株式会社|（株）|㈱|\(株\)|\bInc\b|\bK\.K|\bLtd\b|(?:課|係|室|班|局|チーム|支店|センター|委員会)$")
+#: A capital word and then a small one that is no particle of a name.
+_PHRASE = re.compile(r"^[A-ZÀ-Þ][a-zß-ÿ]+\.? (?!(?:de|del|la|von|van|der|zu|bin|da|di|dos)\b)[a-zß-ÿ]")
+# What a street by one word and a number must end with, and months, which are no streets.
 _STREET_WORD = re.compile(r"(?:straße|strasse|weg|gasse|allee|platz|ring|damm|ufer|hof)\s+\d", re.IGNORECASE)
-_STREET_START = re.compile(r"(?:C/|Calle|Avda\.|Avenida|Plaza|Paseo)\s+(?:de\s+la\s+|de\s+las\s+|de\s+los\s+|del\s+|de\s+|[A-ZÁÉÍÓÚ]\w+\s+){0,3}$")
-_TOWN_END = re.compile(r"(?: (?:del?|de la) [A-ZÁÉÍÓÚ]\w+| [A-Z][a-z]+)(?=[.,]|\s(?:as of|now|ahora|please)|$)")
 _MONTH = re.compile(r"^(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}\b")
 _DATE = re.compile(r"^\d{4}-\d{1,2}-\d{1,2}$")
 _UNNAMED = re.compile(r"^(?:話者|speaker|不明|unknown|組長|组长)", re.IGNORECASE)
 _LETTER = "A-Za-z0-9０-９Ａ-Ｚａ-ｚͰ-ϿЀ-ӿ_+\\-­​-‏⁠﻿"
 _EMAIL = re.compile(rf"[{_LETTER}](?:[{_LETTER}.．]|ドット)*(?:@|＠|アットマーク|\s?[\[(（]at[\])）]\s?| at )[{_LETTER}]+(?:(?:[.．]|ドット| dot )[{_LETTER}]+)+", re.IGNORECASE)
 _HAN_NAME = re.compile(r"[一-鿿豈-﫿々ヶノ]")
-_CALLED = re.compile("さん|様|さま|くん|氏|が担当")
-_OF = re.compile(r"(?:^|[。、！？!?\s」）)・\]】*])([一-鿿豈-﫿]の)$")
+_CALLED = re.compile("さん|様|さま|くん|氏|先生|ちゃん|殿")
 _HYPHENED = re.compile(r"-[A-ZÀ-Þ][A-Za-zÀ-ÿ]+")
-_ASKED = re.compile("找([一-鿿]{2,4})(?=[。！？，])")
-_REST = re.compile("([一-鿿々ヶノ]{0,3}[ぁ-ん]{0,3}?)(?:さん|様|さま|くん|氏|が担当)")
+_REST = re.compile("([一-鿿々ヶノ]{0,3}[ぁ-ん]{0,3}?)(?:さん|様|さま|くん|氏)")
 
 
 def _digits(text: str) -> int:
@@ -349,20 +397,18 @@ def checked(text: str, start: int, end: int, kind: str) -> list[tuple[int, int,
         if _CALLED.match(text, end):
             while start > 0 and _HAN_NAME.match(text[start : start + 1]) and _HAN_NAME.match(text[start - 1]):
                 start -= 1
-            of = _OF.search(text, max(0, start - 3), start)
-            start = of.start(1) if of else start
         more = _HYPHENED.match(text, end)
         end = more.end() if more else end
-        asked = _ASKED.match(text, start - 1) if start > 0 else None
-        end = asked.end(1) if asked else end
         value = text[start:end]
-        if any(c.isdigit() for c in value) or _UNNAMED.match(value) or not any(c.isalpha() for c in value) or _FIRM.search(value):
+        if any(c.isdigit() for c in value) or _UNNAMED.match(value) or not any(c.isalpha() for c in value) or _FIRM.search(value) or _PHRASE.match(value):
             return []
     elif kind == "email":
-        # The stretch is widened to what an address may consist of; two addresses in a row are two mentions.
-        low = max(0, start - 40)
-        found = [(low + m.start(), low + m.end()) for m in _EMAIL.finditer(text[low : end + 40])]
-        return [(s, e, kind) for s, e in found if s < end and e > start]
+        # No address ends inside a word, and none lacks its two parts.
+        while start > 0 and re.match(rf"[{_LETTER}]", text[start - 1]) and re.match(rf"[{_LETTER}]", text[start]):
+            start -= 1
+        while end < len(text) and re.match(rf"[{_LETTER}]", text[end]) and re.match(rf"[{_LETTER}]", text[end - 1]):
+            end += 1
+        return [(m.start(), m.end(), kind) for m in _EMAIL.finditer(text, start, end)]
     elif kind == "phone":
         # Brackets that open the number belong to it.
         if start > 0 and text[start - 1] in "(（+" and not (text[start - 1] == "+" and start > 1 and text[start - 2].isdigit()):
@@ -371,25 +417,23 @@ def checked(text: str, start: int, end: int, kind: str) -> list[tuple[int, int,
         end = start + stop.start() if stop else end
         if _digits(text[start:end]) < 7 or _DATE.match(text[start:end].translate(_INVISIBLE)):
             return []
-    elif kind == "id_number" and _digits(value) < 6:
+    elif kind == "id_number" and (_digits(value) < 6 or _DATE.match(value.translate(_INVISIBLE))):
         return []
     elif kind == "address":
-        # No address goes on beyond a full stop of Japanese or Chinese.
+        # No address goes on beyond a full stop of Japanese or Chinese; the stop of an abbreviation belongs to it.
         parts = [(m.start(), m.end()) for m in re.finditer(r"[^。！？!?\n]+", value)]
         best = max(parts, key=lambda p: _digits(value[p[0] : p[1]]), default=(0, 0))
         start, end = start + best[0], start + best[1]
-        lead = _SENT_TO.match(text[start:end])
-        start += lead.end() if lead else 0
         if re.match("[一-鿿]", text[start : start + 1]):
-            while start > 0 and re.match("[一-鿿ヶノ]", text[start - 1]) and not _SENT_TO.match(text[max(0, start - 2) : start]):
-                start -= 1
+            # In Japanese no Chinese character stands before an address that does not belong to it.
+            if re.search("[ぁ-んァ-ヺ]", text[max(0, start - 15) : end + 15]):
+                while start > 0 and re.match("[一-鿿ヶノ]", text[start - 1]):
+                    start -= 1
         else:
-            before = _STREET_START.search(text, max(0, start - 40), start)
-            start = before.start() if before else start
-            more = _TOWN_END.match(text, end)
-            end = more.end() if more else end
             if text[end : end + 1] == "." and re.search(r"\b(?:Ave|Rd|Blvd|Dr)$", text[start:end]):
                 end += 1
+            more = _HYPHENED.match(text, end)
+            end = more.end() if more else end
         value = text[start:end]
         one_word = re.match(r"^\w+\s+\d+\w?$|^\d+\s+\w+$", value)
         if _digits(value) == 0 or len(value) < 5 or _MONTH.match(value) or one_word and not _STREET_WORD.search(value):
