@@ -31,7 +31,7 @@ HELD = 1 << 16
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _TAG = {t: i for i, t in enumerate(TAGS)}
 #: Offsets of the neighbours whose own features count, and of the pairs of neighbours that count together.
-WINDOW = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
+WINDOW = (-8, -7, -6, -5, -4, -3, -2, -1, 0, 1, 2, 3, 4)
 PAIRS = ((-2, -1), (-1, 0), (0, 1), (1, 2), (-1, 1))
 
 _TOKEN = re.compile(r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿＡ-Ｚａ-ｚﬁ̀-ͯ­​-‏⁠﻿]+|[0-9０-９]+|\s|.", re.DOTALL)
@@ -126,7 +126,7 @@ def _name_hash(name: str) -> int:
 class Encoded:
     """Texts as numbers of distinct tokens, padded with a mark at both ends."""
 
-    PAD = 5
+    PAD = 9
 
     def __init__(self, texts: list[str]):
         self.spans = [tokens(t) for t in texts]
@@ -362,6 +362,7 @@ _PHRASE = re.compile(r"^[A-ZÀ-Þ][a-zß-ÿ]+\.? (?!(?:de|del|la|von|van|der|zu|
 _STREET_WORD = re.compile(r"(?:straße|strasse|weg|gasse|allee|platz|ring|damm|ufer|hof)\s+\d", re.IGNORECASE)
 _MONTH = re.compile(r"^(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}\b")
 _DATE = re.compile(r"^\d{4}-\d{1,2}-\d{1,2}$")
+_CALLABLE = re.compile(r"^(?:\+?1[ .-])?\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}$")
 _UNNAMED = re.compile(r"^(?:話者|speaker|不明|unknown|組長|组长)", re.IGNORECASE)
 _LETTER = "A-Za-z0-9０-９Ａ-Ｚａ-ｚͰ-ϿЀ-ӿ_+\\-­​-‏⁠﻿"
 _EMAIL = re.compile(rf"[{_LETTER}](?:[{_LETTER}.．]|ドット)*(?:@|＠|アットマーク|\s?[\[(（]at[\])）]\s?| at )[{_LETTER}]+(?:(?:[.．]|ドット| dot )[{_LETTER}]+)+", re.IGNORECASE)
@@ -382,6 +383,8 @@ def checked(text: str, start: int, end: int, kind: str) -> list[tuple[int, int,
     while end > start and (text[end - 1].isspace() or text[end - 1] in "、。，,：:；;「」『』“”\"'!！?？>＞"):
         end -= 1
     value = text[start:end]
+    if kind == "id_number" and _CALLABLE.match(value):
+        kind = "phone"  # no identity number is written in groups of three, three and four
     if kind == "name":
         cut = max((value.rfind(c) for c in ")]>）】"), default=-1) + 1
         start, value = start + cut + len(value[cut:]) - len(value[cut:].lstrip()), value[cut:].strip()

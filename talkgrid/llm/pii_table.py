@@ -34,6 +34,16 @@ Die Telefonnummer ist {de_phone}.|Ruf mich unter {de_phone} an.|{de_phone} ist b
 手机号是{zh_phone}。|打{zh_phone}找我。|打给{zh_phone}。|拨打{zh_phone}即可。|给{zh_phone}打电话。|电话号码{zh_phone}。|你先打{zh_phone}问问。|身份证号码是{zh_id}。|证件号码是{zh_id}。|我的身份证号：{zh_id}|身份证上写着{zh_id}。|办理时填了{zh_id}。|身份证号：{zh_id}，没错。|请拨{zh_phone}。|{zh_phone}没人接。|联系电话：{zh_phone}|你可以打{zh_phone}找我。|传真发到{zh_phone}。|护照号码{zh_id}。|他的证件号：{zh_id}|身份证{zh_id}丢了。|号码{zh_id}是我的身份证。|我们搬到{zh_address}了。|地址：{zh_address}|面包店在{zh_address}。|包裹退回{zh_address}了。|她住{zh_address}，离这儿不远。|我在{zh_address}等你。|请把信送到{zh_address}。|照片发给{email}。|我的邮箱：{email}|{email}收不到信。|请写信到 {email} 。|老家在{zh_address}。
 """.strip().replace("\n", "|").split("|")
 
+# Sentences put together from parts: what is told, how, and what follows; each several times, as each stands for many.
+SENTENCES += 3 * """
+{_idword}{_link}{ja_id}{_tail}|{_lead_ja}、{_idword}{_link}{ja_id}{_tail}|{_phword}{_link}{ja_phone}{_tail}|{_lead_ja}、{_phword}{_link}{ja_phone}{_tail}|{_adword}{_link}{ja_address}{_tail}|{_emword}{_link}{email}{_tail}|{_phword}{_link} {ja_phone} {_tail}|{_emword}{_link} {email} {_tail}
+{ja_name}{_hon}{_act}|{ja_name}{_hon}{_act}|{_n}は{ja_name}{_hon}{_act}|{_lead_ja}、{ja_name}{_hon}{_act}|{_role}は{ja_name}{_tail}|{_role}の{ja_name}{_act}|{ja_name}{_ga}|{_n}を{ja_name}{_ga}|それは{ja_name}{_ga}|{ja_name}{_hon}、{_n}はどうですか。|{_role}、{ja_name}{_hon}|{_n}の件は{ja_name}に{_n}を渡した。|{_lead_ja}、{ja_name}{_ga}
+{_lead_en}, {_idword_en} {_link_en} {en_id}{_tail_en}|{_idword_en} {_link_en} {en_id}{_tail_en}|{_phword_en} {_link_en} {en_phone}{_tail_en}|{_adword_en} {_link_en} {en_address}{_tail_en}|{_emword_en} {_link_en} {email}{_tail_en}|{en_name} {_did} the {_e}.|The {_e} {_link_name} {en_name}{_tail_en}|{_verb} {en_name}{_tail_en}|{_verb} {ro_name}{_tail_en}|{_lead_en}, {en_name} {_did} the {_e}.|{ro_name} {_did} the {_e}.
+{_idword_zh}{_link_zh}{zh_id}{_tail_zh}|{_phword_zh}{_link_zh}{zh_phone}{_tail_zh}|{_adword_zh}{_link_zh}{zh_address}{_tail_zh}|{_before_zh}{zh_name}{_after_zh}|{zh_name}{_after_zh}|{_emword_zh}{_link_zh}{email}{_tail_zh}
+{_idword_de} {_link_de} {en_id}{_tail_de}|{_phword_de} {_link_de} {de_phone}{_tail_de}|{_verb_de} {de_name}{_tail_de}|{de_name} {_did_de}.|{_adword_de} {de_address}{_tail_de}
+{_idword_es} {_link_es} {es_id}{_tail_es}|{_phword_es} {_link_es} {es_phone}{_tail_es}|{_verb_es} {es_name}{_tail_es}|{es_name} {_did_es}.|{_adword_es} {es_address}{_tail_es}
+""".strip().replace("\n", "|").split("|")
+
 # Sentences without any mention, and with what only looks like one.
 PLAIN = """
 {_room}号室の窓が開いている。|受付番号{_slip}の方、どうぞ。|お荷物の追跡番号は{_order}です。|部品{_part}が足りない。|{_date}は休館日です。|{_time}は昼休みになります。|伝票の{_order}を探している。|{_ticket}の札を付けた箱がある。|@all 全員集合です。|気温は12.5度まで下がった。|全部で1,280円になります。|第3章の42ページを開いて。|{_topic_ja}が届いた。|{_topic_ja}を{_group}に頼んだ。|{_topic_ja}はまだ冷たい。|きのう、{_topic_ja}の夢を見た。|{_group}の人が{_topic_ja}を運んだ。|{_topic_ja}の値段が倍になった。|雨が降ってきた。|もう寝ましょう。|それはいい考えですね。|ちょっと待って。|どういたしまして。|賛成です！|参加者A：{_topic_ja}はどこですか？|発言者3：右です。|株式会社{_firm_ja}の看板が見える。|{_firm_ja}株式会社：ご来店ありがとうございます。|（株）{_firm_ja}に就職した。|{_firm_ja}さんの商品は丈夫だ。|「{_topic_ja}はいらない」と祖母が言った。|体重が2.4キロ増えた。|{_date}から{_date}まで旅に出る。|試合は3-2で終わった。|午後{_time}のあいだ閉めます。|議長はいません。|部長が笑った。|先生、質問があります。|お客様がお待ちです。|皆さん、静かに。|店長に聞いた。|{_room}の棚に置いた。|型式{_part}、色は青。|図書カード{_slip}を拾った。|{_ticket}番の抽選に当たった。|5月3日の{_time}に集まる。|うーん、わかりません。|えーと、{_topic_ja}、ですかね。
@@ -53,11 +63,28 @@ La {_s} y el {_s} faltan.|El {_s} cuesta {_num} euros.|La {_s} tarda {_num} minu
 {_z}和{_z}还不够。|我们讨论{_z}。|{_z}要{_num}天。|{_z}增加了{_num}个。|{_lead_zh}，{_z}晚了。|{_lead_zh}：{_z}继续。|{_z}比{_z}便宜{_num}元。|{_z}大概{_num}分钟做完！|“{_z}最重要。”他们说。|请检查{_z}的{_z}。|{_z}在第{_num}页。|订单{_order}已取消。|发票{_slip}是{_z}的。|{_z}交给{_gz}。|{_gz}负责{_z}吗？|{_z}从{_num}月开始，第{_num}周结束。|{_z}平均{_num}.{_num}秒。|没有{_z}就没有{_z}。|编号{_ticket}是{_z}。
 """.strip().replace("\n", "|").split("|")
 
+PLAIN += 4 * """
+{_noword}{_link}{_order}{_tail}|{_noword}{_link}{_slip}{_tail}|{_noword_en} {_link_en} {_order}{_tail_en}|{_noword_zh}{_link_zh}{_order}{_tail_zh}|{_noword}{_order}{_tail}|{_noword}{_ticket}{_tail}|{_noword}は{_ticket}{_tail}|会議室{_room}{_tail}|{_noword_en} {_ticket}{_tail_en}|{_noword_en} {_slip}{_tail_en}|{_noword_en} {_order} {_did_it}.|{_n}{_act}|{_n}{_act}|{_g}{_act}|{_g}{_ga}|{_n}{_ga}|「{_n}{_act}」と{_g}が言う。|{_role}{_act}|{_role}は{_n}{_tail}|{_before_zh}{_gz}{_after_zh}|{_verb} the {_e}{_tail_en}
+""".strip().split("|")
+
 #: What may stand before a sentence: hesitations, notes of sounds and clock stamps.
-LEADS = ("[BLANK_AUDIO] ", "[noise]", "(laughs) ", "【笑い声】", "*coughs* ", "（笑）", "えー、", "あのー、", "ええと、", "um, ", "uh, ", "ähm, ", "este… ", "呃，", "(笑)", "[music] ", "（拍手）", "00:01:02 - ", "[12.5] ", "(00:12) ", "♪ ", "・", "- ", "「", "* ")
+LEADS = ("ええと ", "えーと ", "あの ", "うーん ", "んー、", "em ", "äh ", "[BLANK_AUDIO] ", "[noise]", "(laughs) ", "【笑い声】", "*coughs* ", "（笑）", "えー、", "あのー、", "ええと、", "um, ", "uh, ", "ähm, ", "este… ", "呃，", "(笑)", "[music] ", "（拍手）", "00:01:02 - ", "[12.5] ", "(00:12) ", "♪ ", "・", "- ", "「", "* ")
 
 _W = {
     # Common words of the languages, to fill ordinary sentences with.
+    "idword": "旅券 パスポート 免許証 運転免許 保険証 健康保険 身分証 身分証明書 マイナンバー 個人番号 在留カード 年金手帳 本人の番号 本人番号 住民票 納税者番号 本人確認番号 旅券番号 保険の番号 免許の番号 基礎年金番号",
+    "phword": "電話 電話番号 携帯 連絡先 ファックス 直通 代表番号 受付 内線 自宅の電話 職場の電話 緊急の連絡先 店の番号 折り返し先 問い合わせ先", "adword": "住所 届け先 自宅 実家 勤め先 会場 事務所 宛先 本籍 送付先 引っ越し先 納品先 新居 倉庫", "emword": "メール アドレス 宛先 連絡先 送信先 返信先 窓口 メールアドレス 転送先",
+    "link": "は が の番号は 番号が 、 ： として には で は、 が、 を", "tail": "です。|でした。|と書いた。|を控えた。|で登録しておく。|、期限は春まで。|らしい。|を受け取った。|をなくした。|を見せた。|のはずだ。|と聞いた。|を確認した。|に間違いない。|だそうです。|、以上です。|にしてください。|へお願いします。|になりました。|まで。|だよ。|に変えた。||と伝えて。",
+    "hon": "さん さん さん 様 さま くん 氏 先生 ちゃん", "role": "幹事 司会 書記 議長 作者 発表者 担任 窓口 運転手 代表 店長 会長 監督 主役 講師 大家 部長 課長 社長 主任",
+    "act": "が来ました。|に会った。|へ渡す。|から聞いた。|は留守です。|も賛成した。|と話した。|の番です。|を待とう。|が歌う。|に任せる。|の意見です。|は休暇中。|が転んだ。|を呼ぶ。|のおかげだ。|に頼みます。|は元気そうだ。|が引っ越した。|には内緒で。|がやるそうです。|から連絡があった。|にお願いしたい。|が決めます。|に見てもらう。|は来週戻る。|によろしく。|が持っている。|をお呼びください。|が間違えた。",
+    "ga": "がやるそうです。|が引き受けた。|が決めた。|が見ています。|が直した。|が来る。|が当番です。|が書いた。|が運ぶ。|がまとめる。|が説明する。|が持っている。",
+    "idword_en": "her passport|his passport|my licence|the driving licence|the insurance number|my tax number|the national ID|her identity card|social security number|the ID card|your licence number|passport no.", "phword_en": "the number|my mobile|her phone|the office line|the fax|his cell|the hotline|the front desk|my landline", "adword_en": "the address|her flat|his house|the parcel went to|we live at|the party is at|my office is at|drop it off at", "emword_en": "the mail|my address|her inbox|the contact|write to|reply to|the mailbox|cc",
+    "link_en": "is was says reads : = , now stays became", "tail_en": ".|, I think.| since spring.| for now.|, as far as I know.|, right?| again.|!|| and nothing else.| by noon.| instead.| tomorrow.| or not.", "did": "lost fixed bought painted wanted forgot sold moved cleaned broke ordered hated", "did_it": "got lost|came late|is wrong|was paid|is open|went out", "link_name": "came from|goes to|was for|belongs with|is with|was made by|annoyed|helped|needs", "verb": "Call|Ask|Tell|Invite|Wake|Follow|Thank|Join|Help|Meet|Greet|Remind|Trust|Watch",
+    "idword_zh": "护照 身份证 驾照 社保卡 证件 身份证号 护照号码 居民身份证 我的证件号 社保号", "phword_zh": "手机 电话 联系方式 传真 座机 热线 前台电话 打 拨 打给", "adword_zh": "地址 住址 家 公司 收件地址 寄到 送到 搬到 住在 老家", "emword_zh": "邮箱 邮件 发给 抄送 回复 电子邮件", "link_zh": "是 ： 为 是： 改成 ，", "tail_zh": "。|，没错。|就可以。|，记一下。|了。||吧。|，谢谢。|！|丢了。|。没问题。",
+    "before_zh": "请 告诉 找 问 叫 通知 感谢 等 听 和 给 让 麻烦 感谢 联系 我是", "after_zh": "。|来了。|签字。|女士到前台。|先生说不行。|老师今天在。|吗？|帮忙。|负责。|还没到。|去了。|做的。|知道。|，谢谢。|开会。|，好吗？|也同意。",
+    "idword_de": "Mein Führerschein|Der Reisepass|Die Steuernummer|Der Ausweis|Ihre Versicherungsnummer|Die Passnummer", "phword_de": "Die Nummer|Mein Handy|Das Büro|Telefon|Das Fax|Der Anschluss", "link_de": "ist lautet : war hat heißt", "tail_de": ".| seit Mai.|, glaube ich.| bitte.| zurück.|!|| noch.", "verb_de": "Ruf Frag Grüß Hol Kennst Sag Bitte Mit Für Von Ohne", "did_de": "kommt später|ist krank|hat Urlaub|ruft an|weiß es|wartet|lacht|zieht um|schreibt", "adword_de": "Wir wohnen|Adresse:|Das Haus steht|Treffpunkt ist|Lieferung an|Er wohnt in|Sie zog nach",
+    "idword_es": "El pasaporte|Mi carné|El documento|El DNI|La licencia|Su número fiscal", "phword_es": "El número|Mi móvil|El fijo|La oficina|El fax|La centralita", "link_es": "es : era dice lleva tiene", "tail_es": ".| desde mayo.|, creo.| por favor.| otra vez.|!|| todavía.| luego.", "verb_es": "Llama a|Pregunta a|Dile a|Saluda a|Con|Para|De|Según|Ayuda a|Espera a", "did_es": "llega tarde|está enfermo|tiene vacaciones|llama luego|lo sabe|espera|se ríe|se muda|escribe", "adword_es": "Vivimos en|Dirección:|La casa está en|Quedamos en|Envío a|Se mudó a",
+    "noword": "注文番号 伝票番号 請求書 追跡番号 製造番号 部品番号 予約番号 管理番号 問い合わせ番号 受注番号 商品番号 発注番号 整理番号 注文 請求番号 納品書 見積番号 口座番号 会議番号", "noword_en": "order|invoice|the order number|tracking number|receipt|serial number|part|booking|ticket|the shipment|purchase order|quote|job number|batch|Order|Invoice|Parcel|Shipment", "noword_zh": "订单号 发票号 快递单号 编号 订单 发票 零件号 预约号 序列号",
     "noun_ja": "会議 予算 計画 資料 仕事 問題 時間 場所 電車 天気 料理 音楽 映画 写真 学校 病院 図書館 市場 工場 農家 道路 建物 機械 部品 商品 値段 注文 契約 保険 税金 給料 休暇 旅行 切符 荷物 手紙 新聞 雑誌 小説 辞書 教室 授業 宿題 試験 結果 原因 理由 方法 手順 規則 法律 政治 経済 歴史 地理 科学 技術 研究 実験 調査 報告 発表 質問 回答 意見 提案 決定 変更 修理 点検 掃除 洗濯 買物 散歩 運動 競技 選手 監督 観客 舞台 衣装 照明 録音 放送 番組 記事 見出し 編集 印刷 製本 配達 倉庫 在庫 出荷 返品 交換 保証 品質 検査 測定 温度 湿度 水道 電気 燃料 空気 環境 森林 河川 海岸 動物 植物 野菜 果物 牛乳 砂糖 食事 朝食 弁当 食堂 台所 玄関 廊下 階段 屋上 駐車場 受付 窓口 改札 空港 港湾 船便 航路 経路 地図 案内 通訳 翻訳 字幕 文章 用語 名簿 予定 日程 期限 締切 進捗 担当 責任 権限 安全 避難 訓練 防災 消防 警備 健康 診断 治療 手術 看護 介護 福祉 教育 育児 人事 採用 面接 研修 評価 昇給 退職 営業 広告 宣伝 販売 仕入 経費 売上 利益 損失 借入 投資 株価 為替 貿易 輸入 輸出 関税 外交 条約 選挙 投票 議会 委員会 審査 承認 申請 許可 登録 更新 削除 追加 集計 分析 設計 開発 試作 量産 改良 運用 監視 障害 復旧 移行 導入 設定 接続 通信 回線 端末 画面 鍵盤 配線 電池 充電 音声 映像 画像 文字 数字 記号 色彩 形状 材料 木材 鉄鋼 硝子 布地 包装 容器 廃棄 回収 再利用 新人 全員 来客 社員 学生 住民 委託 外部 内部 前回 次回 今回 本日 来週 先月 年度 後半 午前 夕方 深夜",
     "kata": "テーブル カメラ レンズ ノート ペン ドア ベランダ エレベーター バス トラック タクシー ホテル レストラン メニュー スープ サラダ パン チーズ ワイン コーヒー ケーキ アイス セーター コート ブーツ ボタン ポケット データ ファイル フォルダ サーバー ネットワーク プログラム テスト エラー ログ コード メモリ ディスク プリンター モニター マイク スピーカー ケーブル バッテリー センサー モーター ポンプ バルブ パイプ タンク ボルト プラン コスト リスク スケジュール イベント アンケート ポスター パンフレット ホームページ キャンペーン セミナー プロジェクト マニュアル レポート サービス システム バージョン リスト グラフ ページ スタッフ メンバー リーダー クラス コース レベル ゲーム スポーツ プール スキー ピアノ ギター コンサート ニュース ドラマ アルバム",
     "unit": "課 係 部 室 班 局 チーム グループ 委員会 支店 支部 本部 窓口 事務局 センター 担当",
@@ -98,6 +125,7 @@ _W = {
     "user": "ken77.z9 kyoko88 m31.x2 jane tom.baker s_ito mika77 front-desk.lee a.k.b bob hiroko q_roy", "host": "example.net mail.example.jp news.sample.org corp.invalid lab.test shop-c.example.co",
 }
 LISTS = {k: v.split("|") if "|" in v else v.split() if " " in v else list(v) for k, v in _W.items()}
+LISTS["link_zh"].append("")
 
 _WIDE = str.maketrans("0123456789-()", "０１２３４５６７８９－（）")
 _HAN = str.maketrans("0123456789", "〇一二三四五六七八九")
@@ -229,10 +257,14 @@ class Filler:
         c = lambda: self.one("ja_char")
         return self.pick(lambda: self.one("flat"), lambda: c() + c() + self.r.choice(("ハイツ", "マンション", "コーポ", "荘", "ハウス", "団地")), lambda: self.r.choice(("メゾン", "コーポ", "グランド", "ヴィラ", "レジデンス", "シャトー")) + self.r.choice(("", c(), c() + c())))
 
+    def _town(self) -> str:
+        """A town, in one word or two."""
+        return self.pick(lambda: self.one("town"), lambda: f"{self.r.choice(('Upper', 'Lower', 'Great', 'Little', 'North', 'New', 'Old', 'St.'))} {self.one('en_last')}", lambda: f"{self.one('en_last')} {self.r.choice(('Cross', 'Green', 'Heath', 'Bridge', 'End', 'Mill', 'Bay'))}")
+
     def en_address(self) -> str:
         n = str(self.r.randint(1, 2999))
         s = f"{n} {self.one('street')} {self.one('road')}"
-        return self.pick(lambda: s, lambda: f"{s}, {self.one('town')}", lambda: f"{s}, Apt {self.r.randint(1, 9)}{self.r.choice('ABCD')}, {self.one('town')}", lambda: f"Flat {self.r.randint(1, 9)}, {s}, {self.one('town')}", lambda: f"{s}, Apt {self.r.randint(1, 9)}{self.r.choice('ABCD')}")
+        return self.pick(lambda: s, lambda: f"{s}, {self._town()}", lambda: f"{s}, Apt {self.r.randint(1, 9)}{self.r.choice('ABCD')}, {self._town()}", lambda: f"Flat {self.r.randint(1, 9)}, {s}, {self._town()}", lambda: f"{s}, Apt {self.r.randint(1, 9)}{self.r.choice('ABCD')}")
 
     def de_address(self) -> str:
         s = f"{self.one('strasse')} {self.r.randint(1, 30)}{self.r.choice(('', '', 'a', 'b', 'c'))}"
@@ -310,7 +342,7 @@ class Filler:
         raise AttributeError(name)
 
 
-def labelled(copies: int = 12, seed: int = 20, chosen: Callable[[str], bool] = lambda sentence: True) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled(copies: int = 10, seed: int = 20, chosen: Callable[[str], bool] = lambda sentence: True) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, mentions as start, end, kind): every chosen sentence `copies` times (those without a mention half as often), alone or behind others."""
     filler = Filler(seed)
     pool = [s for s in SENTENCES if chosen(s) for _ in range(copies)] + [s for s in PLAIN if chosen(s) for _ in range((copies + 1) // 2)]
