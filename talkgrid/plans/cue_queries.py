@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkgrid.functions.text import RED_CLOSE, RED_OPEN
-from talkgrid.operators import cues as O
+from talkgrid.operators import cues as O, labels as L
 from talkgrid.plans.base import CTE, utts, words
 from talkgrid.plans.registry import Registry
 
@@ -13,36 +13,57 @@ REGISTRY = Registry()
 add = REGISTRY.add
 
 
+def _words(spark, d):
+    """Words with labels that flicker (by arithmetic on their numbers)."""
+    k = F.pmod(F.col("word_idx") * F.col("word_idx") * 3 + F.col("word_idx") + F.col("utt_id"), F.lit(11))
+    label = F.when(k < 4, "b").when(k == 7, "c").otherwise("a")
+    return words(spark, d).where("s IS NOT NULL AND e IS NOT NULL").withColumn("label", label)
+
+
 def _labelled(spark, d):
-    """Words of each utterance with labels that flicker (by the word's number)."""
-    label = F.when(F.pmod(F.col("word_idx") * 7 + F.col("utt_id"), F.lit(5)) == 0, "b").otherwise("a")
-    return O.grouped_words(words(spark, d).where("s IS NOT NULL AND e IS NOT NULL").withColumn("label", label))
+    return O.grouped_words(_words(spark, d))
 
 
-def _relabelled(spark, d, function):
-    out = lambda row: [(row["utt_id"], w["word_idx"], label) for w, label in zip(row["words"], function(row["words"]))]
-    return O.flat_map(_labelled(spark, d), out, "utt_id bigint, word_idx int, label string")
+#: Labelled words (wl), the same with the number of their run (wr), and runs.
+_RUNS = """WITH RECURSIVE """ + CTE[len("\nWITH ") :] + """, wl AS (SELECT *, CASE WHEN k < 4 THEN 'b' WHEN k = 7 THEN 'c' ELSE 'a' END AS label FROM (SELECT *, (word_idx::BIGINT * word_idx * 3 + word_idx + utt_id) % 11 AS k FROM w WHERE s IS NOT NULL AND e IS NOT NULL)),
+wr AS (SELECT *, sum(new) OVER (PARTITION BY utt_id ORDER BY word_idx) AS r FROM (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY utt_id ORDER BY word_idx) = label THEN 0 ELSE 1 END AS new FROM wl)),
+run0 AS (SELECT utt_id, r, count(*) AS n, any_value(label) AS label, arg_min(s, word_idx) AS lo, arg_max(e, word_idx) AS hi, min(s) AS low, max(e) AS high FROM wr GROUP BY utt_id, r),
+run AS (SELECT *, lead(label) OVER (PARTITION BY utt_id ORDER BY r) AS nxt, max(r) OVER (PARTITION BY utt_id) AS last FROM run0)
+"""
+_TO_WORDS = "SELECT wr.utt_id, wr.word_idx, f.label FROM wr JOIN f ON f.utt_id = wr.utt_id AND f.r = wr.r"
 
 
-@add("smooth_flicker")
+@add("smooth_flicker", _RUNS + """, f AS (SELECT utt_id, r, CASE WHEN n <= 2 AND hi - lo < 600 THEN coalesce(nxt, label) ELSE label END AS label FROM run WHERE r = 1
+UNION ALL SELECT run.utt_id, run.r, CASE WHEN n <= 2 AND hi - lo < 600 THEN f.label ELSE run.label END FROM f JOIN run ON run.utt_id = f.utt_id AND run.r = f.r + 1) """ + _TO_WORDS)
 def smooth_flicker(spark, d):
-    return _relabelled(spark, d, O.smoothed)
+    return L.without_flicker(_words(spark, d))
 
 
-@add("smooth_windows")
+@add("smooth_windows", _RUNS + """, f AS (SELECT utt_id, r, label FROM run WHERE r = 1
+UNION ALL SELECT run.utt_id, run.r, CASE WHEN n = 1 AND run.r < last AND f.label = nxt THEN f.label ELSE run.label END FROM f JOIN run ON run.utt_id = f.utt_id AND run.r = f.r + 1) """ + _TO_WORDS)
 def smooth_windows(spark, d):
     """Single windows between two of one label take that label."""
-    return _relabelled(spark, d, lambda ws: O.smoothed(ws, most=1, shorter=1 << 40))
+    return L.without_single_windows(_words(spark, d))
 
 
-@add("snap_edges")
+@add("snap_edges", _RUNS + """, c AS (SELECT utt_id, list(label ORDER BY word_idx) AS ls FROM wl GROUP BY utt_id),
+h AS (SELECT a.utt_id, CASE WHEN len(ls) >= 4 AND a.n <= 2 AND a.last > 1 AND a.high - a.low < 800 AND len(list_filter(ls, lambda x: x = a.nxt)) >= 0.6 * len(ls) THEN a.n ELSE 0 END AS k, a.nxt, c.ls FROM run a JOIN c USING (utt_id) WHERE a.r = 1),
+h2 AS (SELECT utt_id, k, list_transform(ls, lambda x, i: CASE WHEN i <= k THEN nxt ELSE x END) AS ls FROM h),
+t AS (SELECT z.utt_id, h2.ls, CASE WHEN len(h2.ls) >= 4 AND z.n <= 2 AND z.last > 1 AND NOT (z.last = 2 AND h2.k > 0) AND z.high - z.low < 800 AND len(list_filter(h2.ls, lambda x: x = h2.ls[len(h2.ls) - z.n])) >= 0.6 * len(h2.ls) THEN z.n ELSE 0 END AS k FROM run z JOIN h2 USING (utt_id) WHERE z.r = z.last),
+o AS (SELECT utt_id, list_transform(ls, lambda x, i: CASE WHEN i > len(ls) - k THEN ls[len(ls) - k] ELSE x END) AS ls FROM t)
+SELECT utt_id, word_idx, ls[row_number() OVER (PARTITION BY utt_id ORDER BY word_idx)] AS label FROM wl JOIN o USING (utt_id)""")
 def snap_edges(spark, d):
-    return _relabelled(spark, d, O.snapped)
+    return L.snapped_edges(_words(spark, d))
 
 
-@add("phrase_vote")
+@add("phrase_vote", _RUNS + """, e AS (SELECT *, coalesce(regexp_matches(rtrim(word), '[。？！?!、，,]$') OR lead(s) OVER (PARTITION BY utt_id ORDER BY word_idx) - e >= 300, false) AS stop FROM wl),
+p AS (SELECT *, coalesce(sum(CASE WHEN stop THEN 1 ELSE 0 END) OVER (PARTITION BY utt_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM e),
+q AS (SELECT *, sum(new) OVER (PARTITION BY utt_id ORDER BY word_idx) AS no FROM (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY utt_id, p ORDER BY word_idx) = label THEN 0 ELSE 1 END AS new FROM p)),
+g AS (SELECT utt_id, p, no, any_value(label) AS label, arg_max(e, word_idx) - arg_min(s, word_idx) AS long FROM q GROUP BY utt_id, p, no),
+m AS (SELECT utt_id, p, label, sum(long) AS weight, min(no) AS since FROM g GROUP BY utt_id, p, label), b AS (SELECT DISTINCT ON (utt_id, p) utt_id, p, label AS main FROM m ORDER BY utt_id, p, weight DESC, since)
+SELECT q.utt_id, q.word_idx, CASE WHEN g.long < 1500 THEN b.main ELSE q.label END AS label FROM q JOIN g ON g.utt_id = q.utt_id AND g.no = q.no JOIN b ON b.utt_id = q.utt_id AND b.p = q.p""")
 def phrase_vote(spark, d):
-    return _relabelled(spark, d, O.voted)
+    return L.voted_phrases(_words(spark, d))
 
 
 @add("sentence_rows", """WITH RECURSIVE """ + CTE[len("\nWITH "):] + """, c AS (SELECT utt_id, s, e, text, 0 AS i, 0 AS last, false AS cut FROM u WHERE text <> '' UNION ALL

@@ -152,78 +152,108 @@ def render_md(spark, d):
     return joined_by_job(u, ["s", "utt_idx"], line, "\n", "body").select("job_id", F.concat(F.lit("# "), F.col("job_id").cast("string"), F.lit("\n\n"), "body", F.lit("\n")).alias("md"))
 
 
-def _per_text(spark, d, function, schema):
-    return cues.flat_map(utts(spark, d).where("text IS NOT NULL").select("utt_id", "text", "marked"), function, schema)
+def _texts(spark, d):
+    return utts(spark, d).where("text IS NOT NULL").select("utt_id", "text", "marked")
 
 
 @add("fix_ichi")
 def fix_ichi(spark, d):
-    return _per_text(spark, d, lambda r: [(r["utt_id"], M.fixed_ichi(r["text"]))], "utt_id bigint, text string")
+    return _texts(spark, d).select("utt_id", M.fixed_ichi(F.col("text")).alias("text"))
 
 
-def _aliases(spark, d):
-    """The spellings that belong to one display name; a register of people, whose size is checked."""
-    rows = unambiguous_names(table(spark, d, "people")).where("alias != display").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 aliases")
-    return M.Aliases({r.alias: r.display for r in rows})
+def _names(spark, d):
+    """The spellings that belong to one display name, of two characters or more."""
+    return unambiguous_names(table(spark, d, "people")).where("length(alias) >= 2")
+
+
+_KNOWN = """, al AS (SELECT alias, any_value(display) AS display FROM (SELECT display_name AS display, unnest(list_append(coalesce(aliases, []), display_name)) AS alias FROM people) WHERE trim(alias) <> '' AND length(alias) >= 2 GROUP BY alias HAVING count(DISTINCT display) = 1),
+kn AS (SELECT alias, any_value(display) AS display FROM (SELECT alias, display FROM al WHERE alias <> display UNION SELECT DISTINCT display, display FROM al) GROUP BY alias),
+"""
+#: Names found at places of texts (tx: id, t), the longest of a place, then those that no earlier one reaches into (rows of ok).
+_FOUND = """pl AS (SELECT id, t, unnest(range(1, length(t) + 1)) AS pos FROM tx), ca AS (SELECT id, pos, alias, display, length(alias) AS n FROM pl JOIN kn ON starts_with(substr(t, pos), alias) AND NOT (contains(regexp_replace(substr(t, 1, pos - 1), '<[^>]*>', '', 'g'), '<') AND contains(substr(t, pos), '>'))),
+be AS (SELECT DISTINCT ON (id, pos) * FROM ca ORDER BY id, pos, n DESC), nu AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM be),
+ok AS (SELECT id, k, pos, alias, display, pos + n AS nxt, true AS kept FROM nu WHERE k = 1 UNION ALL SELECT nu.id, nu.k, nu.pos, nu.alias, nu.display, CASE WHEN nu.pos >= ok.nxt THEN nu.pos + nu.n ELSE ok.nxt END, nu.pos >= ok.nxt FROM ok JOIN nu ON nu.id = ok.id AND nu.k = ok.k + 1)
+"""
+_REC = "WITH RECURSIVE " + CTE[len("\nWITH ") :]
 
 
 @add("apply_aliases")
 def apply_aliases(spark, d):
-    names = _aliases(spark, d)
-    return _per_text(spark, d, lambda r: [(r["utt_id"], names.apply(r["text"]), names.apply(r["marked"]))], "utt_id bigint, text string, marked string")
+    return M.aliases_applied(_texts(spark, d), "utt_id", ["text", "marked"], _names(spark, d))
 
 
-@add("names_in")
+@add("names_in", _REC + _KNOWN + "tx AS (SELECT utt_id AS id, text AS t FROM u WHERE text IS NOT NULL), " + _FOUND + "SELECT DISTINCT id AS utt_id, display AS name FROM ok WHERE kept")
 def names_in(spark, d):
-    names = _aliases(spark, d)
-    return _per_text(spark, d, lambda r: [(r["utt_id"], n) for n in sorted(names.found(r["text"]))], "utt_id bigint, name string")
+    return M.names_found(_texts(spark, d), "utt_id", "text", _names(spark, d))
+
 
+_QUAL = " OR ".join(f"contains(old, '{q}') <> contains(new, '{q}')" for q in M.QUALIFIERS)
+_NUMS = "list_sort(regexp_extract_all(translate({}, '０１２３４５６７８９．，：／', '0123456789.,:/'), '[0-9]+(?:[.,:/][0-9]+)*'))"
 
-@add("changes_facts")
+
+@add("changes_facts", _REC + _KNOWN + """pr AS (SELECT utt_id, text AS old, regexp_replace(marked, '<span style="color:red">(.*?)</span>', '\\1', 'g') AS new FROM u WHERE text IS NOT NULL AND marked IS NOT NULL),
+tx AS (SELECT utt_id * 2 AS id, old AS t FROM pr UNION ALL SELECT utt_id * 2 + 1, new FROM pr), """ + _FOUND + f""", sd AS (SELECT DISTINCT id // 2 AS utt_id, id % 2 AS side, display FROM ok WHERE kept), mv AS (SELECT DISTINCT utt_id FROM (SELECT utt_id FROM sd GROUP BY utt_id, display HAVING count(*) = 1))
+SELECT utt_id, {_NUMS.format('old')} <> {_NUMS.format('new')} OR utt_id IN (SELECT utt_id FROM mv) OR {_QUAL} AS changed FROM pr""")
 def changes_facts(spark, d):
     """Whether the marked text, as a correction, changes facts of the text."""
-    names = _aliases(spark, d)
     rows = utts(spark, d).where("text IS NOT NULL AND marked IS NOT NULL").select("utt_id", "text", X.strip_marks(F.col("marked")).alias("new"))
-    return cues.flat_map(rows, lambda r: [(r["utt_id"], M.changes_facts(r["text"], r["new"], names))], "utt_id bigint, changed boolean")
-
+    return M.facts_changed(rows, "utt_id", "text", "new", _names(spark, d))
+
+
+@add("parse_markdown_blocks", """WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT *, contains(line, '|') AND bare <> '' AS pipe, list_transform(string_split(regexp_replace(replace(bare, '\\|', chr(1)), '^\\|+|\\|+$', '', 'g'), '|'), lambda q: replace(regexp_replace(q, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g'), chr(1), '|')) AS cells FROM (SELECT *, regexp_replace(line, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS bare FROM l)),
+r AS (SELECT *, pipe AND len(list_filter(cells, lambda q: NOT regexp_matches(q, '^:?-{3,}:?$'))) = 0 AS rule FROM c),
+st AS (SELECT *, pipe AND coalesce(lead(rule) OVER w AND lead(len(cells)) OVER w = len(cells), false) AS starts, sum(CASE WHEN pipe THEN 0 ELSE 1 END) OVER w AS island FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+f AS (SELECT *, CASE WHEN pipe THEN min(CASE WHEN starts THEN line_no END) OVER (PARTITION BY doc_id, island, pipe) END AS first FROM st),
+t AS (SELECT *, coalesce(line_no >= first, false) AS tab, regexp_replace(line, '[\\s\\x0B]+$', '') AS z FROM f),
+k AS (SELECT doc_id, CASE WHEN tab THEN first ELSE line_no END AS pos, line_no, cells, tab, CASE WHEN tab THEN 'table' WHEN z = '' THEN 'blank' WHEN regexp_matches(z, '^#{1,6}\\s+') THEN 'h' || least(3, length(regexp_extract(z, '^#+'))) WHEN regexp_matches(z, '^\\s*-\\s*\\[[ xX]?\\]') THEN 'check' WHEN regexp_matches(z, '^\\s*[-*]\\s+') THEN 'bullet' ELSE 'text' END AS kind, z FROM t WHERE NOT tab OR line_no <> first + 1),
+g AS (SELECT doc_id, pos, any_value(kind) AS kind, any_value(z) AS z, max(len(cells)) AS width, list(cells ORDER BY line_no) AS rows FROM k GROUP BY doc_id, pos)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS no, kind, CASE kind WHEN 'table' THEN NULL WHEN 'check' THEN regexp_replace(z, '^\\s*-\\s*\\[[ xX]?\\]\\s*', '') WHEN 'bullet' THEN regexp_replace(z, '^\\s*[-*]\\s+', '') WHEN 'text' THEN z WHEN 'blank' THEN '' ELSE regexp_replace(z, '^#{1,6}\\s+', '') END AS content,
+CASE WHEN kind = 'table' THEN list_transform(rows, lambda q: list_resize(q, width, '')) END AS rows FROM g""")
+def parse_markdown_blocks(spark, d):
+    from talkgrid.operators.documents import lines
 
-def _per_document(spark, d, function, schema):
-    return cues.flat_map(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), function, schema)
+    return M.blocks(lines(table(spark, d, "documents")))
 
 
-@add("parse_markdown_blocks")
-def parse_markdown_blocks(spark, d):
-    def run(r):
-        return [(r["doc_id"], i, kind, content if isinstance(content, str) else None, content if not isinstance(content, str) else None) for i, (kind, content) in enumerate(M.blocks(r["text"]))]
+@add("tidy_minutes", """WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)<think>.*?</think>[\\s\\x0B]*', '', 'g'), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS p FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, CASE WHEN regexp_matches(p, '(?s)^```[^\\n]*\\n.*\\n\\s*```$') THEN regexp_replace(regexp_extract(p, '(?s)^```[^\\n]*\\n(.*)\\n\\s*```$', 1), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') ELSE p END AS p FROM p),
+l AS (SELECT doc_id, list_transform(string_split(regexp_replace(p, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: CASE WHEN regexp_matches(regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g'), '^【[^】]+】$') THEN chr(10) || regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') || chr(10) WHEN regexp_matches(regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g'), '^[^\\s\\x0B#|\\-*>][^:：]{0,12}[:：]\\s*[^\\s\\x0B]') THEN regexp_replace(x, '[\\s\\x0B]+$', '') || '  ' ELSE x END) AS x FROM q)
+SELECT doc_id, regexp_replace(regexp_replace(array_to_string(x, chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') || chr(10) AS text FROM l""")
+def tidy_minutes(spark, d):
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", M.tidied(M.unfenced(F.col("text"))).alias("text"))
 
-    return _per_document(spark, d, run, "doc_id bigint, no int, kind string, content string, rows array<array<string>>")
 
+@add("append_mark", """WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS x FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, line_no, regexp_replace(substr(line, 3), '[\\s\\x0B]+$', '') || '？' || CASE WHEN suffix(line, '  ') THEN '  ' ELSE '' END AS line FROM l WHERE starts_with(line, '- ')""")
+def append_mark(spark, d):
+    """Bullets with a mark at their end that keep the line breaks of the old line."""
+    from talkgrid.operators.documents import lines
 
-@add("tidy_minutes")
-def tidy_minutes(spark, d):
-    return _per_document(spark, d, lambda r: [(r["doc_id"], M.tidied(M.unfenced(r["text"])))], "doc_id bigint, text string")
+    body = F.substring("line", 3, 1 << 30)
+    return lines(table(spark, d, "documents")).where(F.startswith("line", F.lit("- "))).select("doc_id", "line_no", M.kept_break(F.col("line"), M.appended_mark(F.lit(""), body, "？")).alias("line"))
 
 
 def _labelled(spark, d):
-    return cues.grouped_words(_spoken(spark, d).withColumn("label", F.col("speaker")))
+    return _spoken(spark, d).withColumn("label", F.col("speaker"))
 
 
 @add("glue_word_heads")
 def glue_word_heads(spark, d):
-    return cues.flat_map(_labelled(spark, d), lambda r: [(r["utt_id"], w["word_idx"], w["s"], w["e"], w["word"]) for w in M.glued(r["words"])], "utt_id bigint, word_idx int, s bigint, e bigint, word string")
+    made = cues.grouped_words(_labelled(spark, d)).select("utt_id", F.explode(M.glued(F.col("words"))).alias("w"))
+    return made.select("utt_id", "w.word_idx", "w.s", "w.e", "w.word")
 
 
 @add("repair_punctuation")
 def repair_punctuation(spark, d):
-    return cues.flat_map(_labelled(spark, d), lambda r: [(r["utt_id"], "".join(M.repaired(r["words"])))], "utt_id bigint, text string")
+    fixed = M.repaired(_labelled(spark, d)).groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word"))).alias("ws"))
+    return fixed.select("utt_id", F.array_join(F.col("ws")["word"], "").alias("text"))
 
 
 @add("reflow")
 def reflow(spark, d):
     """Utterances built anew from repaired words; utterances without words stay as they are."""
-    fixed = cues.flat_map(_labelled(spark, d), lambda r: [(r["utt_id"], w["word_idx"], w["s"], w["e"], t, w["label"]) for w, t in zip(r["words"], M.repaired(r["words"]))], "utt_id bigint, word_idx int, s bigint, e bigint, word string, speaker string")
+    fixed = M.repaired(_labelled(spark, d)).withColumnRenamed("label", "speaker")
     u = utts(spark, d)
     built = sequence.built_utterances(fixed.join(u.select("utt_id", "job_id"), "utt_id"))
     rest = u.join(fixed.select("utt_id").distinct(), "utt_id", "left_anti").select("job_id", (F.col("utt_idx") + 1_000_000).cast("bigint").alias("no"), "speaker", "s", "e", F.lit(0).cast("bigint").alias("n"))

@@ -81,8 +81,6 @@ def test_nearest_turn(spark):
 def test_smoothing_and_cues():
     word = lambda s, e, label, text="x": {"s": s, "e": e, "label": label, "word": text}
     ws = [word(0, 900, "a"), word(900, 1100, "b"), word(1100, 1300, "c"), word(1300, 2500, "a")]
-    assert cues.smoothed(ws) == ["a", "a", "a", "a"]
-    assert cues.snapped([word(0, 200, "b"), *[word(i * 300, i * 300 + 300, "a") for i in range(1, 5)]]) == ["a"] * 5
     assert cues.sentence_rows({"utt_id": 1, "s": 0, "e": 100, "text": "あ。い！。"}) == [(1, 0, 0, 40, "あ。"), (1, 1, 40, 80, "い！。")]
     assert cues.sentence_rows({"utt_id": 1, "s": None, "e": 3, "text": " "}) == [] and cues.sentence_rows({"utt_id": 1, "s": 0, "e": 1, "text": None}) == []
     made = cues.cues({"utt_id": 1, "words": [word(i * 500, i * 500 + 400, "a", "言葉です、") for i in range(20)]})
