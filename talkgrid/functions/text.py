@@ -66,9 +66,73 @@ def for_compare(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s　、。？！?!，,]", "")
 
 
+# Words that are keywords of no item, and phrases that recognisers make up out of silence.
+STOPWORDS = ("根拠", "担当", "期限", "未定", "確認", "必要", "事項")
+MADE_UP = r"ご視聴ありがとうございました|チャンネル登録|高評価|字幕(は|を|作成|提供)|最後まで(ご覧|見て)|次回もお楽しみに|^(ん|う|あ)+[。、]?$"
+#: Words by which a speaker tells of their own doings.
+FIRST_PERSON = r"私(?:が|は|も)|私たち(?:が|は)|こちら(?:で|が)"
+
+
 def keywords(text: Column) -> Column:
-    """Runs of two or more Chinese characters, katakana, or Latin letters and digits, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[一-龥々]{2,}|[ァ-ヺー]{2,}|[A-Za-z0-9]{2,}"), F.lit(0)))
+    """Runs of two or more Chinese characters, katakana, or Latin letters and digits, each once, without words that say nothing of an item."""
+    found = F.regexp_extract_all(strip_marks(text), F.lit(r"[一-鿿々]{2,}|[ァ-ヺー]{2,}|[A-Za-z0-9０-９]{2,}"), F.lit(0))
+    return F.array_except(found, F.array(*map(F.lit, STOPWORDS)))
+
+
+def made_up(text: Column, silent: Column, logprob: Column, compression: Column, most: float = 2.6) -> Column:
+    """Whether a text was made up rather than heard: empty, silent and doubtful, repeating itself, or a stock phrase that is short and one of both."""
+    plain = F.trim(text)
+    stock = plain.rlike(MADE_UP) & (F.char_length(plain) <= 30) & ((silent > 0.3) | (logprob < -0.7))
+    return (F.coalesce(plain, F.lit("")) == "") | ((silent > 0.6) & (logprob < -1.0)) | (compression > most) | stock
+
+
+def char_class(c: Column) -> Column:
+    """hira, kata, kanji, digit, alpha or other."""
+    kinds = (("hira", "^[\u3040-\u309f]"), ("kata", "^[\u30a0-\u30ffー]"), ("kanji", "^[\u4e00-\u9fff々〆]"), ("digit", "^[0-9０-９]"), ("alpha", "^[A-Za-z]"))
+    out = F.lit("other")
+    for name, pattern in reversed(kinds):
+        out = F.when(c.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def best_split(text: Column, most: int) -> Column:
+    """Where to part a text into two lines of `most` characters: near the middle, behind a mark or particle, not inside a word.
+
+    The number of characters of the first line; of equal places the first, and the middle where none will do.
+    """
+    n = F.char_length(text)
+
+    def score(i: Column) -> Column:
+        a, b = F.substr(text, i, F.lit(1)), F.substr(text, i + 1, F.lit(1))
+        head, rest = F.char_length(F.trim(F.substr(text, F.lit(1), i))), F.char_length(F.trim(F.substr(text, i + 1)))
+        over = F.greatest(F.lit(0), head - most) + F.greatest(F.lit(0), rest - most)
+        ka, kb = char_class(a), char_class(b)
+        inside = F.when((ka == kb) & ka.isin("kata", "digit", "alpha"), 8).when((ka == kb) & (ka == "kanji"), 3).when(a.rlike("^[をはがでにとへもや]") & (kb != "hira"), -3).otherwise(0)
+        mark = F.when(b.rlike("^[　 ]"), -8).when(a.rlike("^[。？！?!]"), -10).when(a.rlike("^[、，,]"), -6).when(a.rlike("^[　 ]"), -4).otherwise(0)
+        total = F.abs(i - n / 2) + over * 3 + inside + mark
+        return F.when((head <= most + 4) & (rest <= most + 4), F.struct(total.alias("score"), i.alias("i")))
+
+    scored = F.array_compact(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), score))
+    return F.coalesce(F.array_min(scored)["i"], F.floor(n / 2).cast("int"))
+
+
+def wrapped(text: Column, most: int) -> Column:
+    """In two lines where the text is longer than one."""
+    plain = F.trim(text)
+    at = best_split(plain, most)
+    return F.when(F.char_length(plain) <= most, plain).otherwise(F.concat(F.trim(F.substr(plain, F.lit(1), at)), F.lit("\n"), F.trim(F.substr(plain, at + 1))))
+
+
+def input_budget(system_chars: Column, window: Column, reserve: int = 6144, per_char: float = 0.8) -> Column:
+    """Characters that a generator's window leaves for the input, after the system's text and the answer's reserve."""
+    return F.greatest(F.lit(0), F.floor((window - reserve - F.floor(system_chars * per_char) - 64) / per_char)).cast("bigint")
+
+
+def window_size(chars: Column, limit: int = 65_536, reserve: int = 6144, least: int = 16_384, per_char: float = 0.8) -> Column:
+    """The window for an input: the least one, doubled until it holds the input and the reserve, at most the limit."""
+    need = F.floor(chars * per_char) + reserve
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2(need / least)))
+    return F.least(F.lit(limit), F.lit(least) * F.pow(F.lit(2), doublings)).cast("bigint")
 
 
 def snippet(text: Column, words: Sequence[str], around: int = 30) -> Column:

@@ -22,11 +22,33 @@ def transcript_lines(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(stamp)).select("doc_id", "line_no", (part(1) * 3600 + part(2) * 60 + part(3)).alias("sec"), "line")
 
 
+# Sections whose items are not checked, sections whose paragraphs are items too, and what begins an item.
+SKIPPED, PARAGRAPHS = "AIの意見|会議概要|考察", "要点サマリー|要約"
+ITEM = r"^\s*([-*・]|\d+[.．)])\s*"
+
+
 def sectioned(rows: DataFrame) -> DataFrame:
-    """doc_id, line_no, section, line of bullets, with the heading that stands before them ('' for none)."""
-    heading = F.when(F.col("line").rlike("^#+ "), F.trim(F.regexp_replace("line", "^#+ ", "")))
-    carried = F.last(heading, ignorenulls=True).over(W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("section", F.coalesce(carried, F.lit(""))).where(F.col("line").rlike("^- ")).select("doc_id", "line_no", "section", F.substring("line", 3, 1 << 30).alias("line"))
+    """doc_id, line_no, section, line of the items of documents, with the heading that stands before them ('' for none).
+
+    Items are bullets and numbered lines that say something, rows of tables but their heads and rules, and in
+    summaries every other line.  Headings are bracketed or have up to three signs; sections of opinion are left out.
+    """
+    order = W.partitionBy("doc_id").orderBy("line_no")
+    bare = F.trim("line")
+    bracket, signs = F.regexp_extract(bare, "^【([^】]+)】$", 1), F.regexp_extract(bare, r"^#{1,3}\s+(.+)$", 1)
+    name = F.when(bracket != "", bracket).when((signs != "") & ~bare.startswith("### 議題"), F.trim(F.regexp_replace(signs, "^[^0-9A-Za-z_一-鿿ぁ-ゖァ-ヺ]+", "")))
+    read = rows.withColumns({"_bare": bare, "_name": name})
+    carried = F.last("_name", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    part = F.sum(F.col("_name").isNotNull().cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    placed = read.withColumns({"section": F.coalesce(carried, F.lit("")), "_part": part}).where(F.col("_name").isNull() & (F.col("_bare") != "") & ~F.col("section").rlike(SKIPPED))
+    row = F.col("_bare").startswith("|") & ~F.col("_bare").rlike(r"^\|[\s\-:|]+\|$")
+    seen = F.sum(row.cast("int")).over(W.partitionBy("doc_id", "_part").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    table = row & (F.col("_seen") > 1) & (F.trim(F.replace("_bare", F.lit("|"), F.lit(""))) != "")
+    listed = F.col("_bare").rlike(ITEM + r"\S")
+    says = F.trim(F.regexp_replace(F.regexp_replace("_bare", ITEM, ""), "^[（）() ]+|[（）() ]+$", "")) != ""
+    other = F.col("section").rlike(PARAGRAPHS) & ~F.col("_bare").startswith("#")
+    kept = F.when(F.col("_bare").startswith("|"), table).when(listed, says).otherwise(other)
+    return placed.withColumn("_seen", seen).where(kept).select("doc_id", "line_no", "section", "line")
 
 
 def evidence_by_time(items: DataFrame, spoken: DataFrame, within: int = 75) -> DataFrame:
@@ -37,12 +59,79 @@ def evidence_by_time(items: DataFrame, spoken: DataFrame, within: int = 75) -> D
 
 
 def evidence_by_keyword(items: DataFrame, spoken: DataFrame, k: int = 3) -> DataFrame:
-    """item_id, utt_id, hits: the k utterances of the item's job that share most of its keywords; earlier ones first."""
-    a = items.select("item_id", "job_id", F.explode("keywords").alias("word"))
-    b = spoken.select("utt_id", "job_id", "utt_idx", F.explode("keywords").alias("word"))
-    hits = a.join(b, ["job_id", "word"]).groupBy("item_id", "utt_id", "utt_idx").agg(F.count(F.lit(1)).alias("hits"))
-    rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("hits"), "utt_idx", "utt_id"))
-    return hits.withColumn("_r", rank).where(F.col("_r") <= k).select("item_id", "utt_id", "hits")
+    """item_id, utt_id: the k lines of the item's job that hold most of its keywords, earlier ones first, and the lines beside them.
+
+    `items` has item_id, job_id, keywords; `spoken` utt_id, job_id, no (the line's place in its job) and text.  A job's
+    distinct keywords meet its lines by their first two characters; items come in only where a keyword was found.
+    """
+    wanted = items.select("item_id", "job_id", F.explode("keywords").alias("word")).distinct()
+    words = wanted.select("job_id", "word").distinct().withColumn("_head", F.substring("word", 1, 2))
+    longest = words.agg(F.max(F.char_length("word")).alias("_most"))  # one row
+    places = spoken.where(F.char_length("text") >= 2).join(F.broadcast(longest)).select("job_id", "utt_id", "no", "text", "_most", F.explode(F.sequence(F.lit(1), F.char_length("text") - 1)).alias("_at"))
+    tails = places.select("job_id", "utt_id", "no", F.substr("text", F.col("_at"), F.col("_most")).alias("_tail")).distinct().withColumn("_head", F.substring("_tail", 1, 2))
+    held = tails.join(words, ["job_id", "_head"]).where(F.startswith("_tail", F.col("word"))).select("job_id", "word", "utt_id", "no").distinct()
+    hits = wanted.join(held, ["job_id", "word"]).groupBy("item_id", "job_id", "utt_id", "no").agg(F.count(F.lit(1)).alias("hits"))
+    rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("hits"), "no"))
+    best = hits.withColumn("_r", rank).where(F.col("_r") <= k)
+    around = best.select("item_id", "job_id", F.explode(F.sequence(F.col("no") - 1, F.col("no") + 1)).alias("no"))
+    return around.join(spoken.select("job_id", "no", "utt_id"), ["job_id", "no"]).select("item_id", "utt_id").distinct()
+
+
+def supported_quotes(quotes: DataFrame, lines: DataFrame) -> DataFrame:
+    """item_id, n, supported: how many lines of the quote's stamp hold it, and whether they support it.
+
+    `quotes` has item_id, job_id, stamp, quote and claimed (the name that the item says acts, or null); `lines` job_id,
+    stamp, speaker and text.  A claimed name is supported by its own words, where it speaks of itself, or if the quote
+    names it.  A quote under six characters supports nothing.
+    """
+    said = lines.select("job_id", "stamp", "speaker", F.col("text").alias("_line"))
+    met = quotes.join(said, ["job_id", "stamp"]).where(F.contains("_line", F.col("quote")))
+    own = F.col("claimed").isNull() | F.contains("quote", F.col("claimed")) | (F.col("speaker").eqNullSafe(F.col("claimed")) & F.col("quote").rlike(X.FIRST_PERSON))
+    found = met.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce(own, F.lit(False))).alias("ok"))
+    out = quotes.select("item_id", (F.char_length(F.trim("quote")) >= 6).alias("long")).join(found, "item_id", "left")
+    return out.select("item_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), (F.col("long") & F.coalesce("ok", F.lit(False))).alias("supported"))
+
+
+def edits_applied(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """job_id, utt_idx, text, human, and error of every row of every job, after a table of edits (job_id, utt_idx, shown, new).
+
+    A job whose edits name a row twice, name one that does not exist, or leave one out is not changed, and error says
+    why (of several the first of these).  An emptied row is deleted; a row whose cell is as it was shown keeps its state.
+    """
+    keyed = edits.groupBy("job_id", "utt_idx").agg(F.count(F.lit(1)).alias("_times"), F.min("shown").alias("_shown"), F.min("new").alias("_new"))
+    both = rows.select("job_id", "utt_idx", "text", "human", F.lit(True).alias("_row")).join(keyed, ["job_id", "utt_idx"], "full")
+    whole = W.partitionBy("job_id")
+    wrong = lambda c: F.max(F.coalesce(c, F.lit(False))).over(whole)
+    edited = F.max(F.col("_times").isNotNull()).over(whole)
+    error = F.when(~edited, None).when(wrong(F.col("_times") > 1), "twice").when(wrong(F.col("_row").isNull()), "unknown").when(wrong(F.col("_times").isNull()), "missing")
+    judged = both.withColumn("error", error)
+    change = F.col("error").isNull() & F.coalesce(~F.col("_new").eqNullSafe(F.col("_shown")), F.lit(False)) & F.col("_times").isNotNull()
+    text = F.when(change, F.col("_new")).otherwise(F.col("text"))
+    kept = judged.where(F.col("_row")).select("job_id", "utt_idx", text.alias("text"), (change | F.coalesce("human", F.lit(False))).alias("human"), "error", change.alias("_change"))
+    return kept.where("NOT (_change AND coalesce(text, '') = '')").drop("_change")
+
+
+def accepted_replies(rows: DataFrame, replies: DataFrame) -> DataFrame:
+    """id, accepted: which rows (id, no, text) take the proofreader's reply (id is a group's; replies have id and reply).
+
+    A reply is lines of "[n] text", n from 1.  Lines of other forms, of unknown n and without text are passed over; of
+    several lines of one n the first that is acceptable counts.  It must be half to 1.6 times as long as the old text
+    and keep its numbers and what it denies or leaves open.  A name of the speaker before a colon is taken off.
+    """
+    from talkgrid.operators.markdown import QUALIFIERS, numbers
+
+    line = F.explode(F.split("reply", "\n")).alias("_line")
+    parsed = replies.select("id", line).select("id", F.regexp_extract("_line", r"(?s)^\s*\[(\d+)\]\s*(.*)$", 1).try_cast("bigint").alias("no"), F.trim(F.regexp_extract("_line", r"(?s)^\s*\[(\d+)\]\s*(.*)$", 2)).alias("_body")).where("no IS NOT NULL AND _body != ''")
+    met = rows.join(parsed, ["id", "no"])
+    speaker = F.coalesce(F.nullif("speaker", F.lit("")), F.lit("話者"))
+    body = F.when(F.startswith("_body", F.concat(speaker, F.lit(":"))) | F.startswith("_body", F.concat(speaker, F.lit("："))), F.trim(F.substr("_body", F.char_length(speaker) + 2))).otherwise(F.col("_body"))
+    new = met.withColumn("_new", X.strip_marks(X.from_uncertain(body)))
+    near = (F.char_length("_new") / F.greatest(F.char_length("text"), F.lit(1))).between(0.5, 1.6)
+    same = numbers(F.col("_new")) == numbers(F.col("text"))
+    for word in QUALIFIERS:
+        same = same & (F.contains("_new", F.lit(word)) == F.contains("text", F.lit(word)))
+    taken = new.where(near & same).select("id", "no").distinct().withColumn("accepted", F.lit(True))
+    return rows.select("id", "no").join(taken, ["id", "no"], "left").select("id", "no", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def within_budget(rows: DataFrame, key: str, order: Sequence[str], size: Column, budget: int) -> DataFrame:
@@ -72,7 +161,8 @@ def status(docs: DataFrame, records: DataFrame) -> DataFrame:
 
 def unambiguous_names(people: DataFrame) -> DataFrame:
     """alias, display: spellings that belong to one display name only; the display names themselves count."""
-    spelled = people.select("display_name", F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias")).where("trim(alias) != ''")
+    # Names of one character may be a part of any word.
+    spelled = people.select("display_name", F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias")).where("trim(alias) != '' AND length(alias) >= 2")
     return spelled.groupBy("alias").agg(F.min("display_name").alias("display"), F.countDistinct("display_name").alias("n")).where("n = 1").select("alias", "display")
 
 

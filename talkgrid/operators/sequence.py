@@ -6,11 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from talkgrid.operators.intervals import periods_and_gaps
 from talkgrid.operators.scan import Machine, ordered_scan
 
 
+#: Milliseconds of a slot that a job is spread over.
+SLOT_MS = 15 * 60 * 1000
+
+
 def merged_spans(rows: DataFrame, keys: Sequence[str], tolerance: int = 0) -> DataFrame:
-    """keys, s, e: spans joined where the next begins at most `tolerance` after the end of all before it."""
+    """keys, s, e: spans joined where the next begins at most `tolerance` after the end of all before it; for keys of few spans, each in one task."""
     w = W.partitionBy(*keys).orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("s") - reach > tolerance), 1).otherwise(0)
@@ -18,6 +23,13 @@ def merged_spans(rows: DataFrame, keys: Sequence[str], tolerance: int = 0) -> Da
     return islands.groupBy(*keys, "_n").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_n")
 
 
+def merged_in_slots(rows: DataFrame, keys: Sequence[str], tolerance: int = 0, slot_ms: int = SLOT_MS) -> DataFrame:
+    """The same for keys of any number of spans: they are spread over slots of time, and spans that are `tolerance` longer touch."""
+    longer = rows.where("e > s").select(*keys, "s", (F.col("e") + tolerance).alias("e"))
+    found = periods_and_gaps(longer, keys, "s", "e", slot_ms).where("kind = 'period'")
+    return found.select(*keys, F.col("from_ms").alias("s"), (F.col("to_ms") - tolerance).alias("e"))
+
+
 def uncovered(wanted: DataFrame, cover: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, s, e: the parts of `wanted` spans that no span of `cover` holds, by a sweep over all ends."""
     def edges(df: DataFrame, on: int, of: int) -> DataFrame:
@@ -30,22 +42,32 @@ def uncovered(wanted: DataFrame, cover: DataFrame, keys: Sequence[str]) -> DataF
     return held.where("a > 0 AND b = 0 AND e IS NOT NULL").select(*keys, "s", "e")
 
 
-def nearest_turn(points: DataFrame, turns: DataFrame, keys: Sequence[str]) -> DataFrame:
+def nearest_turn(points: DataFrame, turns: DataFrame, keys: Sequence[str], slot_ms: int = SLOT_MS) -> DataFrame:
     """keys, id, speaker: for each point in time `t` the turn (s, e, speaker) that holds it, else the nearer neighbour by its edge.
 
-    Both tables are brought into one order and the neighbours carried along by windows; no point meets all
-    turns.  Of turns that begin before the point the last counts; ties go to the earlier.
+    Both tables are brought into one order within slots of time, and the neighbours carried along by windows; no
+    point meets all turns.  What reaches a slot from others is one turn on each side.  Of turns that begin before
+    the point the last counts; ties go to the earlier.
     """
     p = points.select(*keys, F.col("t"), F.lit(1).alias("kind"), "id", F.lit(None).cast("struct<s:bigint,e:bigint,speaker:string>").alias("turn"))
     q = turns.where("speaker IS NOT NULL AND speaker != ''").select(*keys, F.col("s").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.struct("s", "e", "speaker").alias("turn"))
+    both = p.unionByName(q).withColumn("_slot", F.floor(F.col("t") / slot_ms))
     order = [F.col("t"), F.col("kind"), F.col("turn.e"), F.col("turn.speaker"), F.col("id")]
-    both = p.unionByName(q)
-    before = F.last("turn", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("turn", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(0, W.unboundedFollowing))
-    near = both.withColumns({"b": before, "a": after}).where("kind = 1")
+    inside = W.partitionBy(*keys, "_slot").orderBy(*order)
+    # One row per slot: its first and last turn, carried over the slots without any.
+    of_turns = F.when(F.col("turn").isNotNull(), F.struct("t", "turn.e", "turn.speaker", "turn"))
+    edges = both.groupBy(*keys, "_slot").agg(F.min(of_turns).alias("_lo"), F.max(of_turns).alias("_hi"))
+    across = W.partitionBy(*keys).orderBy("_slot")
+    carried = edges.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("_slot").alias("_at"),
+        F.last("_hi", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1))["turn"].alias("_before"), F.first("_lo", ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing))["turn"].alias("_after"),
+    )
+    near = both.withColumns({"_b": F.last("turn", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), "_a": F.first("turn", ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing))}).where("kind = 1")
+    met = near.join(carried, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_slot").eqNullSafe(F.col("_at"))])
+    placed = met.withColumns({"b": F.coalesce("_b", "_before"), "a": F.coalesce("_a", "_after")})
     gap_b, gap_a = F.greatest(F.col("t") - F.col("b.e"), F.lit(0)), F.col("a.s") - F.col("t")
     who = F.when(F.col("b").isNull(), F.col("a.speaker")).when(F.col("a").isNull() | (gap_b <= gap_a), F.col("b.speaker")).otherwise(F.col("a.speaker"))
-    return near.select(*keys, "id", who.alias("speaker"))
+    return placed.select(*keys, "id", who.alias("speaker"))
 
 
 def in_windows(points: DataFrame, windows: DataFrame, keys: Sequence[str], bucket: int) -> DataFrame:

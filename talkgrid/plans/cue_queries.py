@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talkgrid.functions import text as X
 from talkgrid.functions.text import RED_CLOSE, RED_OPEN
 from talkgrid.operators import cues as O, labels as L
 from talkgrid.plans.base import CTE, utts, words
@@ -91,10 +92,18 @@ def merge_short_cues(spark, d):
     return O.flat_map(_labelled(spark, d), lambda row: O.merged_cues(O.cues(row)), "utt_id bigint, no int, s bigint, e bigint, text string")
 
 
-@add("wrap_lines")
+_CLASS = "CASE WHEN regexp_matches({0}, '^[\u3040-\u309f]') THEN 'hira' WHEN regexp_matches({0}, '^[\u30a0-\u30ff]') THEN 'kata' WHEN regexp_matches({0}, '^[\u4e00-\u9fff々〆]') THEN 'kanji' WHEN regexp_matches({0}, '^[0-9０-９]') THEN 'digit' WHEN regexp_matches({0}, '^[A-Za-z]') THEN 'alpha' ELSE 'other' END"
+
+
+@add("wrap_lines", CTE + f""", t AS (SELECT utt_id, trim(text, ' ') AS t FROM u WHERE text IS NOT NULL), p AS (SELECT utt_id, t, unnest(range(1, greatest(length(t), 2))) AS i FROM t WHERE length(t) > 20),
+k AS (SELECT *, substr(t, i, 1) AS a, substr(t, i + 1, 1) AS b, length(trim(substr(t, 1, i), ' ')) AS head, length(trim(substr(t, i + 1), ' ')) AS rest FROM p), c AS (SELECT *, {_CLASS.format("a")} AS ka, {_CLASS.format("b")} AS kb FROM k WHERE head <= 24 AND rest <= 24),
+z AS (SELECT *, abs(i - length(t) / 2) + 3 * (greatest(0, head - 20) + greatest(0, rest - 20)) + CASE WHEN ka = kb AND ka IN ('kata', 'digit', 'alpha') THEN 8 WHEN ka = kb AND ka = 'kanji' THEN 3 WHEN contains('をはがでにとへもや', a) AND kb <> 'hira' THEN -3 ELSE 0 END
++ CASE WHEN b IN ('　', ' ') THEN -8 WHEN contains('。？！?!', a) THEN -10 WHEN contains('、，,', a) THEN -6 WHEN a IN ('　', ' ') THEN -4 ELSE 0 END AS score FROM c),
+m AS (SELECT utt_id, arg_min(i, (score, i)) AS i FROM z GROUP BY utt_id), o AS (SELECT utt_id, t, coalesce(i, length(t) // 2) AS i FROM t LEFT JOIN m USING (utt_id))
+SELECT utt_id, CASE WHEN length(t) <= 20 THEN t ELSE trim(substr(t, 1, i), ' ') || chr(10) || trim(substr(t, i + 1), ' ') END AS shown FROM o""")
 def wrap_lines(spark, d):
-    rows = utts(spark, d).where("text IS NOT NULL").select("utt_id", "text")
-    return O.flat_map(rows, lambda r: [(r["utt_id"], i, line) for i, line in enumerate(O.wrap(r["text"]))], "utt_id bigint, line_no int, line string")
+    """Texts in two lines of twenty characters, parted at the best place."""
+    return utts(spark, d).where("text IS NOT NULL").select("utt_id", X.wrapped(F.col("text"), 20).alias("shown"))
 
 
 @add("punctuate")
@@ -109,6 +118,19 @@ def remove_fillers(spark, d):
     return O.flat_map(rows, lambda r: [(r["utt_id"], *O.without_fillers(r["text"]))], "utt_id bigint, text string, removed int")
 
 
+@add("remove_word_fillers")
+def remove_word_fillers(spark, d):
+    """Words without hesitations, their times and probabilities kept; utterances of nothing else give no row."""
+    order = F.array_sort(F.collect_list(F.struct("word_idx", "s", "e", "word", "prob")))
+    rows = words(spark, d).groupBy("utt_id").agg(order.alias("words"))
+
+    def run(row):
+        kept, n = O.words_without_fillers(row["words"])
+        return [(row["utt_id"], w["word_idx"], w["s"], w["e"], w["word"], w["prob"], n) for w in kept]
+
+    return O.flat_map(rows, run, "utt_id bigint, word_idx int, s bigint, e bigint, word string, prob double, removed int")
+
+
 @add("learn_from_diff")
 def learn_from_diff(spark, d):
     """Corrections that show between a text and its marked version, with how often each was seen."""

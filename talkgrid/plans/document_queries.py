@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from talkgrid.functions import text as X
+from talkgrid.functions import clock, text as X
 from talkgrid.operators import documents as O, sequence
+from talkgrid.operators.markdown import QUALIFIERS
 from talkgrid.plans.base import CTE, utts
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import table
@@ -13,6 +14,8 @@ from talkgrid.sources.tables import table
 REGISTRY = Registry()
 add = REGISTRY.add
 
+_QUAL = " OR ".join(f"contains(text, '{q}') <> contains(new, '{q}')" for q in QUALIFIERS)
+_NUMS = "list_sort(regexp_extract_all(translate({}, '０１２３４５６７８９．，：／', '0123456789.,:/'), '[0-9]+(?:[.,:/][0-9]+)*'))"
 _LINES = """WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS x FROM documents WHERE text IS NOT NULL))"""
 
 
@@ -30,11 +33,13 @@ def transcript_lines(spark, d):
     return O.transcript_lines(_lines(spark, d))
 
 
-_ITEMS = _LINES + """, h AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^#+ ') THEN trim(regexp_replace(line, '^#+ ', '')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM l),
-item AS (SELECT doc_id, line_no, coalesce(section, '') AS section, substr(line, 3) AS line FROM h WHERE regexp_matches(line, '^- '))"""
-
-
-@add("section_items", _ITEMS + "SELECT * FROM item")
+@add("section_items", _LINES + f""", b AS (SELECT *, trim(line, ' ') AS bare FROM l),
+n AS (SELECT *, CASE WHEN regexp_matches(bare, '^【[^】]+】$') THEN substr(bare, 2, length(bare) - 2) WHEN regexp_matches(bare, '^#{{1,3}}\\s+.') AND NOT starts_with(bare, '### 議題') THEN trim(regexp_replace(regexp_replace(bare, '^#{{1,3}}\\s+', ''), '^[^0-9A-Za-z_一-鿿ぁ-ゖァ-ヺ]+', ''), ' ') END AS name FROM b),
+p AS (SELECT *, coalesce(last_value(name IGNORE NULLS) OVER w, '') AS section, count(name) OVER w AS part FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+q AS (SELECT *, starts_with(bare, '|') AND NOT regexp_matches(bare, '^\\|[\\s\\-:|]+\\|$') AS row FROM p WHERE name IS NULL AND bare <> '' AND NOT regexp_matches(section, '{O.SKIPPED}')),
+s AS (SELECT *, sum(CASE WHEN row THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, part ORDER BY line_no) AS seen FROM q)
+SELECT doc_id, line_no, section, line FROM s WHERE CASE WHEN starts_with(bare, '|') THEN row AND seen > 1 AND trim(replace(bare, '|', ''), ' ') <> ''
+WHEN regexp_matches(bare, '^\\s*([-*・]|\\d+[.．)])\\s*\\S') THEN trim(regexp_replace(regexp_replace(bare, '^\\s*([-*・]|\\d+[.．)])\\s*', ''), '^[（）() ]+|[（）() ]+$', '', 'g'), ' ') <> '' ELSE regexp_matches(section, '{O.PARAGRAPHS}') AND NOT starts_with(bare, '#') END""")
 def section_items(spark, d):
     return O.sectioned(_lines(spark, d))
 
@@ -47,18 +52,32 @@ def parse_inline_runs(spark, d):
     return x.groupBy("utt_id", F.startswith("run", F.lit("<span")).alias("red")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(F.regexp_replace("run", "<[^>]*>", ""))).alias("chars"))
 
 
-@add("parse_srt", """WITH b AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{2,}', chr(1), 'g'), chr(1))) AS block FROM documents WHERE kind = 'srt' AND text IS NOT NULL),
-p AS (SELECT doc_id, regexp_extract(block, '(\\d{2}):(\\d{2}):(\\d{2})[,.](\\d{3}) --> (\\d{2}):(\\d{2}):(\\d{2})[,.](\\d{3})\\n((?:.|\\n)*)', ['h', 'm', 's', 'x', 'h2', 'm2', 's2', 'x2', 'body']) AS r FROM b WHERE regexp_matches(block, '\\d{2}:\\d{2}:\\d{2}[,.]\\d{3} --> \\d{2}:\\d{2}:\\d{2}[,.]\\d{3}\\n'))
-SELECT doc_id, ((CAST(r.h AS BIGINT) * 60 + CAST(r.m AS BIGINT)) * 60 + CAST(r.s AS BIGINT)) * 1000 + CAST(r.x AS BIGINT) AS s, ((CAST(r.h2 AS BIGINT) * 60 + CAST(r.m2 AS BIGINT)) * 60 + CAST(r.s2 AS BIGINT)) * 1000 + CAST(r.x2 AS BIGINT) AS e, rtrim(r.body, chr(10)) AS body FROM p""")
+_TS = r"((?:\d{1,2}:)?\d{1,2}:\d{2}[,.]\d{1,3})"
+
+
+@add("parse_srt", """WITH b AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS no, unnest(x) AS block FROM (SELECT doc_id, string_split(regexp_replace(replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(65279), ''), '\\n[\\s\\x0B]*\\n', chr(1), 'g'), chr(1)) AS x FROM documents WHERE kind = 'srt' AND text IS NOT NULL)),
+p AS (SELECT doc_id, no, regexp_extract(block, '((?:\\d{1,2}:)?\\d{1,2}:\\d{2}[,.]\\d{1,3})\\s*-->\\s*((?:\\d{1,2}:)?\\d{1,2}:\\d{2}[,.]\\d{1,3})[^\\n]*\\n((?:.|\\n)*)', ['a', 'z', 'body']) AS r FROM b WHERE regexp_matches(block, '(?:\\d{1,2}:)?\\d{1,2}:\\d{2}[,.]\\d{1,3}\\s*-->\\s*(?:\\d{1,2}:)?\\d{1,2}:\\d{2}[,.]\\d{1,3}[^\\n]*\\n')),
+t AS (SELECT doc_id, no, string_split(replace(r.a, ',', '.'), ':') AS a, string_split(replace(r.z, ',', '.'), ':') AS z, regexp_replace(r.body, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS body FROM p),
+k AS (SELECT DISTINCT speaker FROM utterances WHERE speaker IS NOT NULL), v AS (SELECT *, regexp_extract(body, '^[（(]([^）)]{1,20})[）)]', 1) AS named, regexp_extract(body, '^<v ([^>]+)>', 1) AS voice FROM t),
+o AS (SELECT *, CASE WHEN named IN (SELECT speaker FROM k) AND trim(substr(body, length(named) + 3)) <> '' THEN named ELSE '' END AS who FROM v)
+SELECT doc_id, no, CAST(round_even((CASE WHEN len(a) = 3 THEN CAST(a[1] AS DOUBLE) * 3600 ELSE 0 END + CAST(a[-2] AS DOUBLE) * 60 + CAST(a[-1] AS DOUBLE)) * 1000, 0) AS BIGINT) AS s, CAST(round_even((CASE WHEN len(z) = 3 THEN CAST(z[1] AS DOUBLE) * 3600 ELSE 0 END + CAST(z[-2] AS DOUBLE) * 60 + CAST(z[-1] AS DOUBLE)) * 1000, 0) AS BIGINT) AS e,
+CASE WHEN who <> '' THEN who ELSE voice END AS speaker, CASE WHEN who <> '' THEN regexp_replace(substr(body, length(who) + 3), '^[\\s\\x0B]+', '') WHEN voice <> '' THEN regexp_replace(substr(body, length(voice) + 5), '^[\\s\\x0B]+', '') ELSE body END AS body FROM o WHERE body <> ''""")
 def parse_srt(spark, d):
-    """Cues of the subtitle documents."""
+    """Cues of the subtitle documents; a name in round brackets is the speaker if it is a known one, and one in a voice tag always."""
     docs = table(spark, d, "documents").where("kind = 'srt' AND text IS NOT NULL")
-    block = F.explode(F.split(F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "\n{2,}", "\x01"), "\x01")).alias("block")
-    times = r"(\d{2}):(\d{2}):(\d{2})[,.](\d{3}) --> (\d{2}):(\d{2}):(\d{2})[,.](\d{3})\n([\s\S]*)"
-    n = lambda i: F.regexp_extract("block", times, i).try_cast("bigint")
-    ms = lambda i: ((n(i) * 60 + n(i + 1)) * 60 + n(i + 2)) * 1000 + n(i + 3)
-    b = docs.select("doc_id", block).where(F.col("block").rlike(times))
-    return b.select("doc_id", ms(1).alias("s"), ms(5).alias("e"), F.rtrim(F.regexp_extract("block", times, 9), F.lit("\n")).alias("body"))
+    plain = F.replace(F.regexp_replace("text", "\r\n?", "\n"), F.lit("\ufeff"), F.lit(""))
+    b = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(plain, r"\n\s*\n", "\x01"), "\x01")).alias("p", "block"))
+    times = _TS + r"\s*-->\s*" + _TS + r"[^\n]*\n([\s\S]*)"
+    ms = lambda i: F.bround(clock.parse_seconds(F.replace(F.regexp_extract("block", times, i), F.lit(","), F.lit("."))) * 1000).cast("bigint")
+    body = F.regexp_replace(F.regexp_extract("block", times, 3), r"^\s+|\s+$", "")
+    cue = b.where(F.col("block").rlike(times)).select("doc_id", (F.col("p") + 1).cast("bigint").alias("no"), ms(1).alias("s"), ms(2).alias("e"), body.alias("body")).where("body != ''")
+    named, voice = F.regexp_extract("body", "^[（(]([^）)]{1,20})[）)]", 1), F.regexp_extract("body", "^<v ([^>]+)>", 1)
+    known = table(spark, d, "utterances").where("speaker IS NOT NULL").select(F.col("speaker").alias("named")).distinct().withColumn("known", F.lit(True))
+    met = cue.withColumns({"named": named, "voice": voice}).join(known, "named", "left")
+    who = F.col("known") & (F.col("named") != "") & (F.trim(F.substr("body", F.char_length("named") + 3)) != "")
+    rest = lambda n, skip: F.regexp_replace(F.substr("body", F.char_length(n) + skip), r"^\s+", "")
+    text = F.when(who, rest("named", 3)).when(F.col("voice") != "", rest("voice", 5)).otherwise(F.col("body"))
+    return met.select("doc_id", "no", "s", "e", F.when(who, F.col("named")).otherwise(F.col("voice")).alias("speaker"), text.alias("body"))
 
 
 @add("search_outputs", """WITH f AS (SELECT doc_id, source, text FROM documents WHERE contains(lower(text), '管理') AND contains(lower(text), '確認')), l AS (SELECT doc_id, source, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, source, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS x FROM f)),
@@ -130,9 +149,8 @@ def fingerprint(spark, d):
 @add("optimistic_conflict", "SELECT doc_id, md5(text) <> md5(text || CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE '' END) AS conflict FROM documents WHERE text IS NOT NULL")
 def optimistic_conflict(spark, d):
     """Whether a document has changed since an editor read it (every fourth has)."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("now"), "text")
-    read = docs.select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 4 == 0, " ").otherwise("")), 256).alias("seen"))
-    return docs.join(read, "doc_id").select("doc_id", (F.col("now") != F.col("seen")).alias("conflict"))
+    seen = F.concat("text", F.when(F.col("doc_id") % 4 == 0, " ").otherwise(""))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", (F.sha2("text", 256) != F.sha2(seen, 256)).alias("conflict"))
 
 
 _HISTORY = "WITH h AS (SELECT job_id, doc_id AS id, row_number() OVER (PARTITION BY job_id ORDER BY created_at, doc_id) AS version, count(*) OVER (PARTITION BY job_id) AS n FROM documents WHERE job_id IS NOT NULL)"
@@ -168,9 +186,14 @@ def history_coalesce(spark, d):
     return sequence.throttled(x, ["job_id"], 600_000)
 
 
-@add("name_map", """WITH s AS (SELECT display_name, unnest(list_concat([display_name], coalesce(aliases, []))) AS alias FROM people) SELECT alias, min(display_name) AS display FROM s WHERE trim(alias) <> '' GROUP BY alias HAVING count(DISTINCT display_name) = 1""")
+@add("name_map", """WITH s AS (SELECT display_name, unnest(list_concat([display_name], coalesce(aliases, []))) AS alias FROM people), m AS (SELECT alias, min(display_name) AS display FROM s WHERE trim(alias) <> '' AND length(alias) >= 2 GROUP BY alias HAVING count(DISTINCT display_name) = 1)
+SELECT * FROM m UNION ALL SELECT DISTINCT speaker, speaker FROM utterances WHERE length(speaker) >= 2 AND trim(speaker) <> '' AND speaker NOT IN (SELECT alias FROM s WHERE alias IS NOT NULL)""")
 def name_map(spark, d):
-    return O.unambiguous_names(table(spark, d, "people"))
+    """Spellings of two characters or more with the display name they stand for; other speakers stand for themselves."""
+    people = table(spark, d, "people")
+    taken = people.select(F.explode(F.concat(F.array("display_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias")).where("alias IS NOT NULL")
+    speakers = table(spark, d, "utterances").where("length(speaker) >= 2 AND trim(speaker) != ''").select(F.col("speaker").alias("alias")).distinct().join(taken, "alias", "left_anti")
+    return O.unambiguous_names(people).unionByName(speakers.withColumn("display", F.col("alias")))
 
 
 @add("people_table_roundtrip", """SELECT person_id, list_filter(list_transform(string_split(array_to_string(coalesce(aliases, []), '、'), '、'), lambda x: trim(x)), lambda x: x <> '') AS aliases FROM people WHERE trim(display_name) <> ''""")
@@ -219,10 +242,13 @@ def learnable_pair(spark, d):
     return table(spark, d, "documents").select("doc_id", X.learnable(F.col("source"), F.col("kind")).alias("learnable"))
 
 
-@add("mistake_hints", "SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT DISTINCT utt_id, word_idx, word FROM words) GROUP BY word) ORDER BY n DESC, word LIMIT 40")
+@add("mistake_hints", """WITH c AS (SELECT trim(event_type) AS wrong, CAST(user_id % 50 AS VARCHAR) || 'x' AS "right", count(*) AS n FROM events GROUP BY ALL)
+SELECT wrong, "right", n FROM c WHERE length(wrong) BETWEEN 2 AND 12 AND length("right") BETWEEN 2 AND 12 AND wrong <> "right" ORDER BY n DESC, wrong, "right" LIMIT 40""")
 def mistake_hints(spark, d):
-    w = table(spark, d, "words").select("utt_id", "word_idx", "word").distinct()
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(40)
+    """The forty corrections that were made most often, of those that may be learned (a top-k report)."""
+    c = table(spark, d, "events").select(F.trim("event_type").alias("wrong"), F.concat((F.col("user_id") % 50).cast("string"), F.lit("x")).alias("right"))
+    seen = c.groupBy("wrong", "right").agg(F.count(F.lit(1)).alias("n")).where(X.learnable(F.col("wrong"), F.col("right")))
+    return seen.orderBy(F.desc("n"), "wrong", "right").limit(40)
 
 
 @add("safe_filename", "SELECT doc_id, substr(trim(regexp_replace(coalesce(source, '') || ':' || kind || '/' || substr(coalesce(text, ''), 1, 80), '[\\\\/:*?\"<>|\\r\\n\\t]', '_', 'g'), ' '), 1, 60) AS name FROM documents")
@@ -231,10 +257,20 @@ def safe_filename(spark, d):
     return table(spark, d, "documents").select("doc_id", X.safe_name(raw).alias("name"))
 
 
-@add("estimate_tokens", "SELECT doc_id, CAST(ceil(length(text) * 0.8) AS BIGINT) AS tokens, CASE WHEN ceil(length(text) * 0.8) <= 1000 THEN 1024 WHEN ceil(length(text) * 0.8) <= 2000 THEN 2048 ELSE 4096 END AS window_size FROM documents WHERE text IS NOT NULL")
+_WINDOW = "least(65536, 16384 * CAST(pow(2, greatest(0, ceil(log2((floor(length(text) * 0.8) + 6144) / 16384)))) AS BIGINT))"
+
+
+@add("estimate_tokens", f"SELECT doc_id, CAST(ceil(length(text) * 0.8) AS BIGINT) AS tokens, {_WINDOW} AS window_size FROM documents WHERE text IS NOT NULL")
 def estimate_tokens(spark, d):
-    t = X.token_estimate(F.char_length("text"))
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", t.alias("tokens"), F.when(t <= 1000, 1024).when(t <= 2000, 2048).otherwise(4096).alias("window_size"))
+    n = F.char_length("text")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.token_estimate(n).alias("tokens"), X.window_size(n).alias("window_size"))
+
+
+@add("fits_context", "SELECT doc_id, b AS budget, length(text) <= b AS fits FROM (SELECT doc_id, text, CAST(greatest(0, floor((8192 - 6144 - floor((doc_id % 900) * 0.8) - 64) / 0.8)) AS BIGINT) AS b FROM documents WHERE text IS NOT NULL)")
+def fits_context(spark, d):
+    """Whether a document fits a window of 8,192 tokens beside a system's text of some length, and the room there is."""
+    room = X.input_budget(F.col("doc_id") % 900, F.lit(8192))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", room.alias("budget"), (F.char_length("text") <= room).alias("fits"))
 
 
 @add("numbers_multiset", CTE + "SELECT utt_id, list_sort(regexp_extract_all(text, '[0-9]+')) AS numbers FROM u WHERE text IS NOT NULL")
@@ -279,11 +315,14 @@ def evidence_time(spark, d):
 _KEYS = "list_distinct(regexp_extract_all(text, '[一-龥々]{2,}|[ァ-ヺー]{2,}|[A-Za-z0-9]{2,}'))"
 
 
-@add("evidence_keyword", CTE + f""", it AS (SELECT utt_id AS item_id, job_id, unnest({_KEYS}) AS word FROM u WHERE contains(text, '確認')), sp AS (SELECT utt_id, job_id, utt_idx, unnest({_KEYS}) AS word FROM u),
-h AS (SELECT item_id, utt_id, utt_idx, count(*) AS hits FROM it JOIN sp USING (job_id, word) GROUP BY ALL) SELECT item_id, utt_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, utt_idx, utt_id) AS r FROM h) WHERE r <= 3""")
+@add("evidence_keyword", CTE + """, it AS (SELECT utt_id AS item_id, job_id, unnest(list_filter(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '<span style="color:red">(.*?)</span>', '\\1', 'g'), '[一-鿿々]{2,}|[ァ-ヺー]{2,}|[A-Za-z0-9０-９]{2,}')), lambda k: k NOT IN ('根拠', '担当', '期限', '未定', '確認', '必要', '事項'))) AS word FROM u WHERE contains(text, '確認')),
+sp AS (SELECT utt_id, job_id, text, row_number() OVER (PARTITION BY job_id ORDER BY utt_idx, utt_id) AS no FROM u), h AS (SELECT item_id, sp.job_id, no, count(*) AS hits FROM it JOIN sp ON sp.job_id = it.job_id AND contains(sp.text, it.word) GROUP BY ALL),
+b AS (SELECT item_id, job_id, no FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, no) AS r FROM h) WHERE r <= 3)
+SELECT DISTINCT item_id, sp.utt_id FROM b JOIN sp ON sp.job_id = b.job_id AND abs(sp.no - b.no) <= 1""")
 def evidence_keyword(spark, d):
     u = utts(spark, d).withColumn("keywords", X.keywords(F.col("text")))
-    return O.evidence_by_keyword(u.where(F.contains("text", F.lit("確認"))).select(F.col("utt_id").alias("item_id"), "job_id", "keywords"), u.select("utt_id", "job_id", "utt_idx", "keywords"))
+    spoken = u.select("utt_id", "job_id", "text", F.row_number().over(W.partitionBy("job_id").orderBy("utt_idx", "utt_id")).alias("no"))
+    return O.evidence_by_keyword(u.where(F.contains("text", F.lit("確認"))).select(F.col("utt_id").alias("item_id"), "job_id", "keywords"), spoken)
 
 
 @add("evidence_budget", CTE + """, x AS (SELECT *, sum(length(text)) OVER (PARTITION BY job_id ORDER BY abs(s - 60000), utt_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM u WHERE text IS NOT NULL AND s IS NOT NULL) SELECT job_id, utt_id FROM x WHERE total <= 1400""")
@@ -292,23 +331,13 @@ def evidence_budget(spark, d):
     return O.within_budget(u, "job_id", ["far", "utt_idx"], F.char_length("text"), 1400).select("job_id", "utt_id")
 
 
-@add("quote_support", CTE + f""", q AS (SELECT DISTINCT utt_id, job_id, substr(text, 3, 12) AS quote FROM u WHERE length(text) >= 20) SELECT q.utt_id, count(*) AS n FROM q JOIN u ON u.job_id = q.job_id AND u.utt_id = q.utt_id AND contains(u.text, q.quote) GROUP BY q.utt_id""")
+@add("quote_support", CTE + f"""SELECT q.utt_id AS item_id, count(x.utt_id) AS n, length(trim(q.quote, ' ')) >= 6 AND coalesce(bool_or(x.utt_id IS NOT NULL AND (q.claimed IS NULL OR contains(q.quote, q.claimed) OR (x.speaker IS NOT DISTINCT FROM q.claimed AND regexp_matches(q.quote, '{X.FIRST_PERSON}')))), false) AS supported
+FROM (SELECT utt_id, job_id, s // 1000 AS stamp, substr(marked, 3, 12) AS quote, CASE WHEN utt_id % 2 = 0 THEN speaker END AS claimed FROM u WHERE length(marked) >= 20 AND s IS NOT NULL) q LEFT JOIN u x ON x.job_id = q.job_id AND x.s // 1000 = q.stamp AND contains(x.text, q.quote) GROUP BY q.utt_id, q.quote""")
 def quote_support(spark, d):
-    """How many lines with the quote's own stamp hold the quoted stretch."""
-    u = utts(spark, d)
-    q = u.where(F.char_length("text") >= 20).select("utt_id", "job_id", F.substring("text", 3, 12).alias("quote"))
-    return q.join(u.select("utt_id", "job_id", "text"), ["utt_id", "job_id"]).where(F.contains("text", F.col("quote"))).groupBy("utt_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@add("quote_verdict", CTE + """, q AS (SELECT utt_id, job_id, s // 1000 AS stamp, substr(marked, 3, 12) AS quote FROM u WHERE length(marked) >= 20 AND s IS NOT NULL)
-SELECT q.utt_id, count(x.utt_id) AS n, count(x.utt_id) > 0 AS supported FROM q LEFT JOIN u x ON x.job_id = q.job_id AND x.s // 1000 = q.stamp AND contains(x.text, q.quote) GROUP BY q.utt_id""")
-def quote_verdict(spark, d):
-    """Quotes from the marked text against all lines of the job with the same stamp (a second); one that no line holds is not supported."""
+    """Quotes from the marked text against all lines of the job with the same stamp (a second); every second one claims its speaker."""
     u = utts(spark, d).where("s IS NOT NULL").withColumn("stamp", F.floor(F.col("s") / 1000))
-    q = u.where(F.char_length("marked") >= 20).select("utt_id", "job_id", "stamp", F.substring("marked", 3, 12).alias("quote"))
-    held = q.join(u.select("job_id", "stamp", "text"), ["job_id", "stamp"]).where(F.contains("text", F.col("quote"))).groupBy("utt_id").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0)).cast("bigint")
-    return q.select("utt_id").join(held, "utt_id", "left").select("utt_id", n.alias("n"), (n > 0).alias("supported"))
+    q = u.where(F.char_length("marked") >= 20).select(F.col("utt_id").alias("item_id"), "job_id", "stamp", F.substring("marked", 3, 12).alias("quote"), F.when(F.col("utt_id") % 2 == 0, F.col("speaker")).alias("claimed"))
+    return O.supported_quotes(q, u.select("job_id", "stamp", "speaker", "text"))
 
 
 @add("dedupe_search_source", "SELECT doc_id FROM documents a WHERE NOT (kind = 'transcript' AND EXISTS (SELECT 1 FROM documents b WHERE b.source = a.source AND b.kind = 'summary' AND b.job_id = a.job_id))")
@@ -320,14 +349,21 @@ def dedupe_search_source(spark, d):
     return docs.where("kind != 'transcript' OR kind IS NULL").select("doc_id").unionByName(keep.select("doc_id"))
 
 
-@add("apply_edit_table", CTE + """, ed AS (SELECT job_id, utt_idx, CASE WHEN utt_idx % 14 = 0 THEN '' ELSE text || '！' END AS new FROM u WHERE utt_idx % 7 = 0)
-SELECT u.job_id, u.utt_idx, CASE WHEN ed.new IS NULL THEN u.text ELSE ed.new END AS text, ed.new IS NOT NULL AS human FROM u LEFT JOIN ed ON ed.job_id = u.job_id AND ed.utt_idx = u.utt_idx WHERE ed.new IS NULL OR ed.new <> ''""")
+@add("apply_edit_table", CTE + """, x AS (SELECT job_id, utt_idx, min(text) AS text, bool_or(coalesce(human, false)) AS human FROM u GROUP BY job_id, utt_idx),
+ed AS (SELECT job_id, utt_idx, text AS shown, CASE WHEN utt_idx % 14 = 0 THEN '' WHEN utt_idx % 7 = 0 THEN text || '！' ELSE text END AS new FROM x WHERE NOT (job_id % 4 = 1 AND utt_idx = 0) UNION ALL SELECT job_id, utt_idx, text, text FROM x WHERE job_id % 4 = 2 AND utt_idx = 1 UNION ALL SELECT job_id, utt_idx + 1000000, text, text FROM x WHERE job_id % 4 = 3 AND utt_idx = 0),
+er AS (SELECT x.job_id, CASE WHEN max(c.twice) > 1 THEN 'twice' WHEN bool_or(c.unknown) THEN 'unknown' WHEN bool_or(ed.job_id IS NULL) THEN 'missing' END AS error FROM x LEFT JOIN ed ON ed.job_id = x.job_id AND ed.utt_idx = x.utt_idx
+LEFT JOIN (SELECT job_id, max(n) AS twice, bool_or(NOT known) AS unknown FROM (SELECT ed.job_id, ed.utt_idx, count(*) AS n, bool_or(x.job_id IS NOT NULL) AS known FROM ed LEFT JOIN x ON x.job_id = ed.job_id AND x.utt_idx = ed.utt_idx GROUP BY ALL) GROUP BY job_id) c ON c.job_id = x.job_id GROUP BY x.job_id)
+SELECT x.job_id, x.utt_idx, CASE WHEN er.error IS NULL THEN n.new ELSE x.text END AS text, (er.error IS NULL AND n.new IS DISTINCT FROM n.shown) OR x.human AS human, er.error FROM x JOIN er USING (job_id) LEFT JOIN (SELECT job_id, utt_idx, min(shown) AS shown, min(new) AS new FROM ed GROUP BY ALL) n ON n.job_id = x.job_id AND n.utt_idx = x.utt_idx
+WHERE NOT (er.error IS NULL AND n.new IS DISTINCT FROM n.shown AND coalesce(n.new, '') = '')""")
 def apply_edit_table(spark, d):
-    """Edited rows replace their text; an emptied row is deleted."""
-    u = utts(spark, d).select("job_id", "utt_idx", "text")
-    edits = u.where("utt_idx % 7 = 0").select("job_id", "utt_idx", F.when(F.col("utt_idx") % 14 == 0, "").otherwise(F.concat("text", F.lit("！"))).alias("new"))
-    both = u.join(edits, ["job_id", "utt_idx"], "left").where("new IS NULL OR new != ''")
-    return both.select("job_id", "utt_idx", F.coalesce("new", "text").alias("text"), F.col("new").isNotNull().alias("human"))
+    """Tables of edits, of which one job in four leaves a row out, one names a row twice, one an unknown row."""
+    u = utts(spark, d).groupBy("job_id", "utt_idx").agg(F.min("text").alias("text"), F.max(F.coalesce("human", F.lit(False))).alias("human"))
+    i = F.col("utt_idx")
+    new = F.when(i % 14 == 0, F.lit("")).when(i % 7 == 0, F.concat("text", F.lit("！"))).otherwise(F.col("text"))
+    edits = u.where("NOT (job_id % 4 = 1 AND utt_idx = 0)").select("job_id", "utt_idx", F.col("text").alias("shown"), new.alias("new"))
+    again = u.where("job_id % 4 = 2 AND utt_idx = 1").select("job_id", "utt_idx", F.col("text").alias("shown"), F.col("text").alias("new"))
+    beyond = u.where("job_id % 4 = 3 AND utt_idx = 0").select("job_id", (i + 1_000_000).alias("utt_idx"), F.col("text").alias("shown"), F.col("text").alias("new"))
+    return O.edits_applied(u, edits.unionByName(again).unionByName(beyond))
 
 
 @add("delete_item", CTE + "SELECT utt_id FROM u WHERE utt_id NOT IN (SELECT utt_id FROM u WHERE proofread_pending)")
@@ -348,16 +384,24 @@ def context_table_validate(spark, d):
     return table(spark, d, "documents").select("doc_id", v.alias("verdict"))
 
 
-@add("proofread_accept", CTE + """, r AS (SELECT utt_id, text AS old, CASE WHEN utt_id % 3 = 0 THEN replace(text, 'の', '') WHEN utt_id % 3 = 1 THEN substr(text, 1, 3) ELSE replace(text, '1', '7') END AS new FROM u WHERE length(text) > 0)
-SELECT utt_id, length(new) BETWEEN 0.5 * length(old) AND 1.6 * length(old) AND list_sort(regexp_extract_all(old, '[0-9]+')) = list_sort(regexp_extract_all(new, '[0-9]+')) AS accepted FROM r""")
+_RATIO = "CAST(length(new) AS DOUBLE) / greatest(length(text), 1) BETWEEN 0.5 AND 1.6"
+
+
+@add("proofread_accept", CTE + f""", x AS (SELECT utt_id, job_id, utt_idx + 1 AS no, text, coalesce(nullif(speaker, ''), '話者') AS who, replace(regexp_replace(coalesce(marked, ''), '<[^>]*>', '', 'g'), chr(10), ' ') AS m FROM u WHERE text IS NOT NULL),
+ln AS (SELECT job_id, no, trim(CASE WHEN no % 5 = 0 THEN who || '：' || m WHEN no % 7 = 0 THEN substr(m, 1, 3) WHEN no % 11 = 0 THEN replace(m, '1', '7') ELSE m END, ' ') AS body FROM x UNION ALL SELECT job_id, no, trim(m, ' ') FROM x WHERE no % 11 = 0),
+y AS (SELECT x.job_id, x.no, text, CASE WHEN starts_with(body, who || ':') OR starts_with(body, who || '：') THEN trim(substr(body, length(who) + 2), ' ') ELSE body END AS new FROM x JOIN ln ON ln.job_id = x.job_id AND ln.no = x.no WHERE body <> ''),
+ok AS (SELECT DISTINCT job_id, no FROM y WHERE {_RATIO} AND {_NUMS.format("new")} = {_NUMS.format("text")} AND NOT ({_QUAL}))
+SELECT DISTINCT job_id AS id, no, (job_id, no) IN (SELECT (job_id, no) FROM ok) AS accepted FROM x""")
 def proofread_accept(spark, d):
-    """Replies are taken if their length is near the old one and no number has changed."""
-    m = F.col("utt_id") % 3
-    new = F.when(m == 0, F.replace("text", F.lit("の"), F.lit(""))).when(m == 1, F.substring("text", 1, 3)).otherwise(F.replace("text", F.lit("1"), F.lit("7")))
-    r = utts(spark, d).where("length(text) > 0").select("utt_id", F.col("text").alias("old"), new.alias("new"))
-    numbers = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
-    near = F.char_length("new").between(0.5 * F.char_length("old"), 1.6 * F.char_length("old"))
-    return r.select("utt_id", (near & (numbers(F.col("old")) == numbers(F.col("new")))).alias("accepted"))
+    """Replies made of the marked texts: some too short, some with other numbers and then a right line, some behind the speaker's name, and one of an unknown row."""
+    u = utts(spark, d).where("text IS NOT NULL").select(F.col("job_id").alias("id"), (F.col("utt_idx") + 1).cast("bigint").alias("no"), "speaker", "text", "marked")
+    plain = F.replace(F.regexp_replace(F.coalesce("marked", F.lit("")), "<[^>]*>", ""), F.lit("\n"), F.lit(" "))
+    n, who = F.col("no"), F.coalesce(F.nullif("speaker", F.lit("")), F.lit("話者"))
+    body = F.when(n % 5 == 0, F.concat(who, F.lit("："), plain)).when(n % 7 == 0, F.substring(plain, 1, 3)).when(n % 11 == 0, F.replace(plain, F.lit("1"), F.lit("7"))).otherwise(plain)
+    line = lambda text: F.concat(F.lit("["), n.cast("string"), F.lit("] "), text)
+    both = F.concat_ws("\n", line(body), F.when(n % 11 == 0, line(plain)))
+    replies = u.groupBy("id").agg(F.concat(F.lit("[99999999] nobody\nno line of an answer\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", both.alias("t")))), lambda x: x["t"]), "\n")).alias("reply"))
+    return O.accepted_replies(u.select("id", "no", "speaker", "text"), replies).distinct()
 
 
 @add("verify_report", CTE + "SELECT job_id, CAST(sum(CASE WHEN human THEN 1 ELSE 0 END) AS BIGINT) AS ok, CAST(sum(CASE WHEN human = false THEN 1 ELSE 0 END) AS BIGINT) AS fixed, CAST(sum(CASE WHEN human IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unresolved FROM u GROUP BY job_id")

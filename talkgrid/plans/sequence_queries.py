@@ -19,36 +19,39 @@ m AS (SELECT job_id, n, min(s) AS s, max(e) AS e FROM i GROUP BY ALL)"""
 
 @add("merge_spans", CTE + _SPANS.format("u", 2000) + "SELECT job_id, s, e FROM m")
 def merge_spans(spark, d):
-    return O.merged_spans(utts(spark, d).where("e > s").select("job_id", "s", "e"), ["job_id"], 2000)
+    return O.merged_in_slots(utts(spark, d).select("job_id", "s", "e"), ["job_id"], 2000)
 
 
 @add("speech_regions", CTE + _SPANS.format("w", 600) + "SELECT job_id, s, e FROM m")
 def speech_regions(spark, d):
-    return O.merged_spans(words(spark, d).where("e > s").select("job_id", "s", "e"), ["job_id"], 600)
+    return O.merged_in_slots(words(spark, d).select("job_id", "s", "e"), ["job_id"], 600)
 
 
-@add("missed_spans", CTE + """, j AS (SELECT DISTINCT job_id, s, e FROM u WHERE e > s), c AS (SELECT job_id, s - 100 AS s, e + 100 AS e FROM w WHERE e > s),
+@add("missed_spans", CTE + """, j AS (SELECT DISTINCT job_id, s, e FROM u WHERE e > s), c AS (SELECT job_id, s - 1000 AS s, e + 1000 AS e FROM w WHERE e > s),
 x AS (SELECT job_id, t, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM (SELECT job_id, s AS t, 1 AS a, 0 AS b FROM j UNION ALL SELECT job_id, e, -1, 0 FROM j UNION ALL SELECT job_id, s, 0, 1 FROM c UNION ALL SELECT job_id, e, 0, -1 FROM c) GROUP BY ALL),
 h AS (SELECT job_id, t AS s, lead(t) OVER (PARTITION BY job_id ORDER BY t) AS e, sum(a) OVER (PARTITION BY job_id ORDER BY t) AS a, sum(b) OVER (PARTITION BY job_id ORDER BY t) AS b FROM x),
 miss AS (SELECT job_id, s, e FROM h WHERE a > 0 AND b = 0 AND e IS NOT NULL), r AS (SELECT *, max(e) OVER (PARTITION BY job_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM miss),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM r)
-SELECT job_id, min(s) AS s, max(e) AS e, CAST(sum(e - s) AS BIGINT) AS voiced FROM i GROUP BY job_id, n HAVING sum(e - s) >= 3000""")
+SELECT job_id, greatest(min(s), 0) AS s, CASE WHEN total > 0 THEN least(max(e), total) ELSE max(e) END AS e, CAST(sum(e - s) AS BIGINT) AS voiced FROM i JOIN (SELECT job_id, CAST(round_even(coalesce(duration, 0) * 1000, 0) AS BIGINT) AS total FROM jobs) USING (job_id) GROUP BY job_id, n, total HAVING sum(e - s) >= 3000""")
 def missed_spans(spark, d):
-    """Speech without words: spans of utterances minus padded words; pieces two seconds apart count together, from three seconds of voice on."""
+    """Speech without words: spans of utterances minus padded words; pieces two seconds apart count together, from three seconds of voice on, inside the recording."""
     speech = utts(spark, d).where("e > s").select("job_id", "s", "e").distinct()
-    cover = words(spark, d).where("e > s").select("job_id", (F.col("s") - 100).alias("s"), (F.col("e") + 100).alias("e"))
+    cover = words(spark, d).where("e > s").select("job_id", (F.col("s") - 1000).alias("s"), (F.col("e") + 1000).alias("e"))
     miss = O.uncovered(speech, cover, ["job_id"])
     w = W.partitionBy("job_id").orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
     n = miss.withColumn("f", F.when(reach.isNull() | (F.col("s") - reach > 2000), 1).otherwise(0)).withColumn("n", F.sum("f").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return n.groupBy("job_id", "n").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum(F.col("e") - F.col("s")).alias("voiced")).where("voiced >= 3000").drop("n")
+    found = n.groupBy("job_id", "n").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum(F.col("e") - F.col("s")).alias("voiced")).where("voiced >= 3000")
+    total = table(spark, d, "jobs").select("job_id", F.bround(F.coalesce("duration", F.lit(0.0)) * 1000).cast("bigint").alias("total"))
+    end = F.when(F.col("total") > 0, F.least("e", "total")).otherwise(F.col("e"))
+    return found.join(total, "job_id").select("job_id", F.greatest("s", F.lit(0)).alias("s"), end.alias("e"), "voiced")
 
 
 @add("missed_spans_fallback", CTE + _SPANS.format("w", 0) + """, t AS (SELECT job_id, CAST(round_even(coalesce(duration, 0) * 1000, 0) AS BIGINT) AS total FROM jobs), b AS (SELECT job_id, s, e FROM m UNION ALL SELECT job_id, total, total FROM t),
 g AS (SELECT job_id, coalesce(max(e) OVER (PARTITION BY job_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, s AS z FROM b) SELECT job_id, a AS s, z AS e FROM g WHERE z - a >= 20000""")
 def missed_spans_fallback(spark, d):
     """Stretches of twenty seconds or more without any word, up to the recording's end."""
-    cover = O.merged_spans(words(spark, d).where("e > s").select("job_id", "s", "e"), ["job_id"])
+    cover = O.merged_in_slots(words(spark, d).select("job_id", "s", "e"), ["job_id"])
     total = F.bround(F.coalesce("duration", F.lit(0.0)) * 1000).cast("bigint")
     both = cover.unionByName(table(spark, d, "jobs").select("job_id", total.alias("s"), total.alias("e")))
     before = F.coalesce(F.max("e").over(W.partitionBy("job_id").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -168,7 +168,10 @@ def escape_keep_red(spark, d):
     return utts(spark, d).select("utt_id", X.escape_keep_red(F.col("marked")).alias("html"))
 
 
-@add("keywords", CTE + "SELECT utt_id, list_sort(list_distinct(regexp_extract_all(text, '[一-龥々]{2,}|[ァ-ヺー]{2,}|[A-Za-z0-9]{2,}'))) AS keywords FROM u WHERE text IS NOT NULL")
+_KEYWORDS = "list_filter(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '<span style=\"color:red\">(.*?)</span>', '\\1', 'g'), '[一-鿿々]{2,}|[ァ-ヺー]{2,}|[A-Za-z0-9０-９]{2,}')), lambda k: k NOT IN ('根拠', '担当', '期限', '未定', '確認', '必要', '事項'))"
+
+
+@add("keywords", CTE + f"SELECT utt_id, list_sort({_KEYWORDS}) AS keywords FROM u WHERE text IS NOT NULL")
 def keywords(spark, d):
     return utts(spark, d).where("text IS NOT NULL").select("utt_id", F.array_sort(X.keywords(F.col("text"))).alias("keywords"))
 
@@ -210,11 +213,20 @@ def mark_low_confidence(spark, d):
     return flagged.groupBy("utt_id").agg(F.trim(F.array_join(F.transform(parts, lambda x: x["p"]), "")).alias("marked"))
 
 
-@add("drop_repeated_neighbour", CTE + """, x AS (SELECT job_id, utt_idx, text, lag(text) OVER (PARTITION BY job_id ORDER BY utt_idx) AS before FROM u WHERE trim(text) <> '')
-SELECT job_id, utt_idx FROM x WHERE before IS NULL OR text <> before""")
+@add("drop_repeated_neighbour", "WITH RECURSIVE " + CTE[len("\nWITH ") :] + """, x AS (SELECT job_id, utt_idx, trim(coalesce(text, '')) AS t, row_number() OVER (PARTITION BY job_id ORDER BY utt_idx, utt_id) AS k FROM u),
+f AS (SELECT job_id, utt_idx, k, CASE WHEN t <> '' THEN t END AS prev, CASE WHEN t = '' THEN 1 ELSE 0 END AS bad, false AS over, t <> '' AS kept FROM x WHERE k = 1
+UNION ALL SELECT x.job_id, x.utt_idx, x.k, CASE WHEN x.t = '' OR x.t = f.prev THEN f.prev ELSE x.t END, CASE WHEN x.t = '' OR x.t = f.prev THEN f.bad + 1 ELSE 0 END, f.over OR f.bad >= 2, NOT (f.over OR f.bad >= 2) AND x.t <> '' AND x.t IS DISTINCT FROM f.prev FROM f JOIN x ON x.job_id = f.job_id AND x.k = f.k + 1)
+SELECT job_id, utt_idx FROM f WHERE kept""")
 def drop_repeated_neighbour(spark, d):
-    before = F.lag("text").over(W.partitionBy("job_id").orderBy("utt_idx"))
-    return utts(spark, d).where("trim(text) != ''").withColumn("before", before).where("before IS NULL OR text != before").select("job_id", "utt_idx")
+    """Texts that are not blank and not the same as the last that was kept; two bad ones in a row end the job."""
+    w = W.partitionBy("job_id").orderBy("utt_idx", "utt_id")
+    x = utts(spark, d).withColumn("t", F.trim(F.coalesce("text", F.lit(""))))
+    # A repeated text equals the last one kept, so the last that is not blank tells as much.
+    before = F.last(F.when(F.col("t") != "", F.col("t")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    bad = x.withColumn("bad", (F.col("t") == "") | F.coalesce(F.col("t") == before, F.lit(False)))
+    ended = bad.withColumn("twice", F.col("bad") & F.coalesce(F.lag("bad").over(w), F.lit(False)))
+    over = F.coalesce(F.max("twice").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    return ended.withColumn("over", over).where("NOT over AND NOT bad").select("job_id", "utt_idx")
 
 
 @add("repeat_loop_filter")
@@ -223,13 +235,14 @@ def repeat_loop_filter(spark, d):
     return table(spark, d, "clips").where(F.col("whisper").rlike(r"(\S{1,8}?)(?:\s*\1){3,}")).select("clip_id").distinct()
 
 
-@add("hallucination_filter", """WITH c AS (SELECT DISTINCT clip_id, whisper, (clip_id * 37) % 100 AS silent, -((clip_id * 53) % 200) AS logprob, (clip_id * 29) % 400 AS compression FROM clips)
-SELECT clip_id FROM c WHERE coalesce(trim(whisper), '') = '' OR (silent > 60 AND logprob < -100) OR compression > 260 OR (regexp_matches(whisper, 'ご視聴|Thank') AND length(trim(whisper)) <= 30 AND (silent > 30 OR logprob < -70))""")
+@add("hallucination_filter", CTE + f"""SELECT utt_id FROM (SELECT utt_id, any_value(text) AS text, avg(ln(greatest(coalesce(prob, 1), 0.001))) AS logprob, 1 - avg(coalesce(prob, 1)) AS silent, CAST(length(any_value(text)) AS DOUBLE) / count(DISTINCT word) AS compression FROM u JOIN w USING (utt_id) GROUP BY utt_id)
+WHERE coalesce(trim(text), '') = '' OR (silent > 0.6 AND logprob < -1) OR compression > 4 OR (regexp_matches(trim(text), '{X.MADE_UP}') AND length(trim(text)) <= 30 AND (silent > 0.3 OR logprob < -0.7))""")
 def hallucination_filter(spark, d):
-    """Clips whose text was made up rather than heard, by the recogniser's three figures and stock phrases."""
-    c = table(spark, d, "clips").select("clip_id", "whisper", ((F.col("clip_id") * 37) % 100).alias("silent"), (-((F.col("clip_id") * 53) % 200)).alias("logprob"), ((F.col("clip_id") * 29) % 400).alias("compression")).dropDuplicates(["clip_id"])
-    stock = F.col("whisper").rlike("ご視聴|Thank") & (F.char_length(F.trim("whisper")) <= 30) & ((F.col("silent") > 30) | (F.col("logprob") < -70))
-    return c.where((F.coalesce(F.trim("whisper"), F.lit("")) == "") | ((F.col("silent") > 60) & (F.col("logprob") < -100)) | (F.col("compression") > 260) | stock).select("clip_id")
+    """Utterances whose text was made up rather than heard, by figures of their words and stock phrases."""
+    p = F.coalesce("prob", F.lit(1.0))
+    figures = words(spark, d).groupBy("utt_id").agg(F.avg(F.log(F.greatest(p, F.lit(0.001)))).alias("logprob"), (1 - F.avg(p)).alias("silent"), F.countDistinct("word").alias("n"))
+    c = utts(spark, d).join(figures, "utt_id").withColumn("compression", F.char_length("text") / F.col("n"))
+    return c.where(X.made_up(F.col("text"), F.col("silent"), F.col("logprob"), F.col("compression"), 4.0)).select("utt_id")
 
 
 @add("option_resolution", "SELECT job_id, coalesce(CASE WHEN job_id % 3 = 0 THEN 'fast' END, nullif(meta_line, ''), 'balanced') AS mode FROM jobs")

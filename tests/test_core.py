@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkgrid.functions import clock, text as X
-from talkgrid.operators import cues, sequence, vectors
+from talkgrid.operators import cues, documents as D, sequence, vectors
 from talkgrid.operators.intervals import IntervalMap, periods_and_gaps
 from talkgrid.sources import jobs
 from tests.helpers import rows
@@ -86,8 +86,10 @@ def test_smoothing_and_cues():
     made = cues.cues({"utt_id": 1, "words": [word(i * 500, i * 500 + 400, "a", "言葉です、") for i in range(20)]})
     assert "".join(c[4] for c in made) == "言葉です、" * 20 and all(len(c[4]) <= 40 for c in made)
     assert cues.without_fillers("えー、そうですね、えーと。") == ("そうですね。", 2) and cues.without_fillers(None) == (None, 0)
+    said = [{"word": w, "s": i} for i, w in enumerate(["え", "ー", "と、", "そう、", "あー", "。", "はい", "うー", "ん"])]
+    assert cues.words_without_fillers(said) == ([{"word": "そう", "s": 3}, {"word": "。", "s": 5}, {"word": "はい", "s": 6}], 3)
+    assert cues.words_without_fillers([{"word": "えー、"}]) == ([], 1) and cues.without_fillers("答えー、へえー、じゃあー") == ("答えー、へえー、じゃあー", 0)
     assert cues.replacements("予算の話", "予山の話") == [("算", "山")]
-    assert "".join(cues.wrap("あ" * 45)) == "あ" * 45
 
 
 def test_vectors(spark):
@@ -123,11 +125,34 @@ def test_identify_ranks_everyone(spark, tmp_path):
     n = 1030
     data = [(i, str(i), [float(i % 7 + 1), float(i % 11), 1.0]) for i in range(n)]
     spark.createDataFrame(data, "vec_id long, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    probes = len(range(1, n, 25))
+    probes = len(range(0, n, 100))
     assert queries()["identify"](spark, str(tmp_path)).groupBy("probe").agg(F.count("person"), F.max("rank")).distinct().select("count(person)", "max(rank)").distinct().collect() == [(n, n)]
     assert queries()["voice_decision"](spark, str(tmp_path)).count() == probes * n
 
 
+def test_edits_replies_and_quotes(spark):
+    rows_ = spark.createDataFrame([(1, 0, "a", False), (1, 1, "b", True), (2, 0, "c", None), (3, 0, "d", None)], "job_id long, utt_idx int, text string, human boolean")
+    edits = spark.createDataFrame([(1, 0, "a", "A"), (1, 1, "b", ""), (2, 0, "c", "C"), (2, 0, "c", "D")], "job_id long, utt_idx int, shown string, new string")
+    assert rows(D.edits_applied(rows_, edits)) == [(1, 0, "A", True, None), (2, 0, "c", False, "twice"), (3, 0, "d", False, None)]
+    said = spark.createDataFrame([(1, 1, "Ada", "会議は10時です"), (1, 2, None, "今日はここまでです"), (1, 3, "", "結論は未定です")], "id long, no long, speaker string, text string")
+    reply = spark.createDataFrame([(1, "[1] Ada: 会議は11時です\n[1] Ada：会議は１０時です。\n x\n[2] 今\n[3] 結論です\n[9] y")], "id long, reply string")
+    assert rows(D.accepted_replies(said, reply)) == [(1, 1, True), (1, 2, False), (1, 3, False)]
+    quotes = spark.createDataFrame([(1, 1, 5, "私がすぐに送ります", "Ada"), (2, 1, 5, "すぐに送ります", "Ada"), (3, 1, 6, "私がすぐに送ります", None), (4, 1, 5, "すぐ", None)], "item_id long, job_id long, stamp long, quote string, claimed string")
+    lines_ = spark.createDataFrame([(1, 5, "Ada", "はい、私がすぐに送ります。"), (1, 5, "Bob", "私がすぐに送ります")], "job_id long, stamp long, speaker string, text string")
+    assert rows(D.supported_quotes(quotes, lines_)) == [(1, 2, True), (2, 2, False), (3, 0, False), (4, 2, False)]
+
+
+def test_slots_change_nothing(spark):
+    r = random.Random(3)
+    spans = [(r.choice((1, 2, None)), a, a + r.randint(-2, 30)) for a in (r.randint(0, 900) for _ in range(200))]
+    df = spark.createDataFrame(spans, "job_id long, s long, e long")
+    for tolerance in (0, 7):
+        assert rows(sequence.merged_in_slots(df, ["job_id"], tolerance, 50)) == rows(sequence.merged_spans(df.where("e > s"), ["job_id"], tolerance))
+    points = spark.createDataFrame([(1, i, r.randint(-50, 1000)) for i in range(150)], "job_id long, id long, t long")
+    turns = spark.createDataFrame([(1, a, a + r.randint(1, 40), r.choice("abc")) for a in (r.randint(0, 900) for _ in range(12))], "job_id long, s long, e long, speaker string")
+    assert rows(sequence.nearest_turn(points, turns, ["job_id"], 60)) == rows(sequence.nearest_turn(points, turns, ["job_id"], 10**9))
+
+
 def test_quotes_meet_other_lines_and_fail(spark, tmp_path):
     from __spark_entry__ import queries
 
@@ -136,4 +161,4 @@ def test_quotes_meet_other_lines_and_fail(spark, tmp_path):
     full = [(i, j, 1, n, s, s, "A", text, marked, None, None, None, None) for i, j, n, s, text, marked in data]
     schema = "utt_id long, job_id long, series_id long, utt_idx long, start double, end double, speaker string, text string, marked string, memo string, human boolean, proofread string, proofread_pending boolean"
     spark.createDataFrame(full + full[:1], schema).write.parquet(str(tmp_path / "utterances.parquet"))
-    assert rows(queries()["quote_verdict"](spark, str(tmp_path))) == [(1, 1, True), (3, 0, False), (4, 1, True), (5, 0, False)]
+    assert rows(queries()["quote_support"](spark, str(tmp_path))) == [(1, 1, True), (3, 0, False), (4, 1, False), (5, 0, False)]
