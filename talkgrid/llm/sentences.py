@@ -1,15 +1,20 @@
 """Sentence ends in many languages and scripts, by a hidden-event n-gram language model.
 
-Between two visible characters a boundary token may stand, whether or not a mark shows it.  Every gap has
-two states, boundary or none.  The model knows how often each stretch of characters stands before and
-after boundaries (n-grams of several lengths, backed off to shorter ones) and what the gap itself shows
-(marks, white space, quotes).  Forward and backward sums over the chain of gaps give each gap's posterior;
-two boundaries in a row are unlikely.  The counts come from all texts: certain marks, ends and beginnings
+Between two visible characters a boundary token may stand, whether or not a mark shows it.  The model knows how
+often each stretch of characters stands before and after boundaries (n-grams of several lengths, backed off to
+shorter ones).  The boundary token is a token of the n-grams: where one stands among the characters before a gap,
+the n-gram begins with it.  So the hidden state at a gap is how many characters there are since the last
+boundary, up to the length at which it leaves the n-grams; a boundary leads back to the beginning.  Together with
+what the gap itself shows (marks, white space, quotes; log-odds set by hand) this is a chain, and forward and
+backward sums over it give each gap's posterior.
+
+The counts come from all texts, each delivery once: certain marks, ends and beginnings
 of texts are boundaries, gaps inside clauses are none, doubtful gaps are not counted.  As marks are not
 part of the n-grams, what is learned where they are written holds where they are missing, and in scripts
 that have none.
 
-Counts are hashed into tables of fixed size, so the model can be broadcast whatever the corpus's size.
+Counts are hashed into tables of fixed size, so the model can be broadcast whatever the corpus's size; rare n-grams
+of a very large corpus share entries.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ ORDERS = (1, 2, 4, 7)
 BITS = 18
 #: Weight of the shorter n-gram in the backed-off estimate.
 BACKOFF = 2.0
-#: Log-odds charged for a boundary directly after another one.
-CROWDED = 2.0
+#: States of the chain: characters since the last boundary, the last for as many or more.
+STATES = 4
 
 _STRONG = frozenset("。｡！？!?।॥؟")
 _PERIOD, _DOTS, _COMMA = frozenset(".．"), frozenset("…‥"), frozenset("、､，,;；:：")
@@ -155,11 +160,23 @@ class Batch:
         full = filled > 0
         first = pad * (2 * np.arange(len(texts)) + 1) + np.cumsum(filled) - filled
         self.first, self.last = first[full], (first + filled)[full]
+        self.begin = first[number[1:]][kept] if len(at) else np.zeros(0, np.int64)  # of each gap's text
 
     def buckets(self, at: np.ndarray, order: int, right: bool) -> np.ndarray:
         h = self.hashes.of(at, at + order) if right else self.hashes.of(at - order, at)
         return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
+    def after_boundary(self, at: np.ndarray, since: np.ndarray) -> np.ndarray:
+        """Buckets of a boundary token and the `since` characters between it and the gap."""
+        h = (self.hashes.of(at - since, at) + np.uint64(0xB0A2D) * (since.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def known(self) -> np.ndarray:
+        """Characters between each gap and the last certain boundary of its text before it."""
+        sure = np.maximum.accumulate(np.where(self.labels == 1, self.at, 0))
+        before = np.append(0, sure[:-1]) if len(sure) else sure
+        return self.at - np.maximum(before, self.begin)
+
 
 #: What single marks show where no small letter follows: log-odds and label.
 _PLAIN_GAPS = {**{c: (9.0, 1, 1) for c in "。｡！？।॥"}, **{c: (-4.5, 0, 1) for c in "、､"}}
@@ -270,6 +287,7 @@ def _evidence(between: list[str], text: str, at: int, nxt: str, inside: bool, no
 
 
 def _tables() -> list[tuple[int, bool]]:
+    """Order and side of the tables; one more holds the n-grams that begin with a boundary."""
     return [(order, right) for right in (False, True) for order in ORDERS]
 
 
@@ -277,7 +295,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of one partition: table, bucket, boundaries, others."""
     found = automaton()
     size = 1 << BITS
-    sums = np.zeros((len(_tables()), 2, size), np.float64)
+    sums = np.zeros((len(_tables()) + 1, 2, size), np.float64)
     for batch in batches:
         texts = [t for t in batch.column("text").to_pylist() if t and t.strip()]
         for k in range(0, len(texts), 4000):
@@ -286,7 +304,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for value, row in ((1, 0), (0, 1)):
                     np.add.at(sums[n, row], b.buckets(b.at[b.labels == value], order, right), 1.0)
                 np.add.at(sums[n, 0], b.buckets(b.first if right else b.last, order, right), 1.0)
-    for n in range(len(_tables())):
+            since = b.known()
+            for value, row in ((1, 0), (0, 1)):
+                near = (b.labels == value) & (since < STATES) & (since > 0)
+                np.add.at(sums[-1, row], b.after_boundary(b.at[near], since[near]), 1.0)
+    for n in range(len(sums)):
         seen = np.flatnonzero(sums[n].sum(axis=0))
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), n, np.int32)), pa.array(seen.astype(np.int32)), pa.array(sums[n, 0, seen]), pa.array(sums[n, 1, seen])], names=["t", "bucket", "yes", "no"])
@@ -296,7 +318,7 @@ class Model:
     """Log-odds of a boundary by the n-grams before and after a gap."""
 
     def __init__(self, t: np.ndarray, bucket: np.ndarray, yes: np.ndarray, no: np.ndarray):
-        self.yes = np.zeros((len(_tables()), 1 << BITS), np.float32)
+        self.yes = np.zeros((len(_tables()) + 1, 1 << BITS), np.float32)
         self.no = np.zeros_like(self.yes)
         self.yes[t, bucket], self.no[t, bucket] = yes, no
         one = self.yes[0].sum(), self.no[0].sum()
@@ -310,19 +332,29 @@ class Model:
         return cls(*(table.column(c).to_numpy() for c in ("t", "bucket", "yes", "no")))
 
     def log_odds(self, b: Batch) -> np.ndarray:
-        base = np.log(self.base / (1 - self.base))
-        total = b.shows + base
-        for right in (False, True):
+        """Log-odds of a boundary at each gap, by the state."""
+        logit = lambda p: np.log(p / (1 - p))
+        base = logit(self.base)
+        side = {False: [], True: []}
+        for right, found in side.items():
             p = np.full(len(b.at), self.base)
-            for n, (order, side) in enumerate(_tables()):
-                if side != right:
-                    continue
-                k = b.buckets(b.at, order, right)
-                yes, no = self.yes[n, k], self.no[n, k]
-                p = (yes + BACKOFF * p) / (yes + no + BACKOFF)
-            p = np.clip(p, 2e-3, 1 - 2e-3)
-            total = total + np.log(p / (1 - p)) - base
-        return total
+            for n, (order, of) in enumerate(_tables()):
+                if of == right:
+                    k = b.buckets(b.at, order, right)
+                    yes, no = self.yes[n, k], self.no[n, k]
+                    p = (yes + BACKOFF * p) / (yes + no + BACKOFF)
+                    found.append((order, p))
+        clip = lambda p: np.clip(p, 2e-3, 1 - 2e-3)
+        known = b.shows + logit(clip(side[True][-1][1])) - base
+        out = np.empty((len(b.at), STATES))
+        out[:, -1] = known + logit(clip(side[False][-1][1]))
+        for since in range(1, STATES):
+            # The n-gram that begins with the boundary, backed off to those that are as short.
+            p = next((q for order, q in reversed(side[False]) if order <= since), np.full(len(b.at), self.base))
+            k = b.after_boundary(b.at, np.full(len(b.at), since))
+            yes, no = self.yes[-1, k], self.no[-1, k]
+            out[:, since - 1] = known + logit(clip((yes + BACKOFF * p) / (yes + no + BACKOFF)))
+        return out
 
     def ends(self, b: Batch) -> list[list[int]]:
         """Places of the sentence ends of each text, the last one included."""
@@ -331,12 +363,11 @@ class Model:
         rows = np.repeat(np.arange(len(b.counts)), b.counts)
         starts = np.cumsum(b.counts) - b.counts
         cols = np.arange(len(odds)) - np.repeat(starts, b.counts)
-        grid = np.full((len(b.counts), width), -60.0)
+        grid = np.full((len(b.counts), width, STATES), -60.0)
         grid[rows, cols] = odds
-        near = np.zeros((len(b.counts), width))
-        gap = np.diff(b.at, prepend=-99)
-        near[rows, cols] = np.where((gap > 0) & (gap <= 2), CROWDED, 0.0)
-        post = posteriors(grid, near)
+        steps = np.ones((len(b.counts), width), np.int64)
+        steps[rows, cols] = np.where(cols > 0, np.diff(b.at, prepend=0), b.at - b.begin)
+        post = posteriors(grid, steps)
         out = []
         for i, (start, n, end) in enumerate(zip(starts.tolist(), b.counts.tolist(), b.end.tolist())):
             ends = b.places[start : start + n][post[i, :n] > 0.5].tolist()
@@ -346,22 +377,38 @@ class Model:
         return out
 
 
-def posteriors(odds: np.ndarray, crowded: np.ndarray) -> np.ndarray:
-    """Forward-backward posteriors of boundaries; `crowded` is what a boundary costs after one at the gap before."""
-    rows, width = odds.shape
-    forward = np.zeros((rows, width, 2))
-    none, some = np.zeros(rows), np.full(rows, -1e9)
-    for j in range(width):
-        into_none = np.logaddexp(none, some)
-        into_some = np.logaddexp(none, some - crowded[:, j]) + odds[:, j]
-        none, some = into_none, into_some
-        forward[:, j, 0], forward[:, j, 1] = none, some
+def posteriors(odds: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Forward-backward posteriors of boundaries at the gaps of each row.
+
+    `odds` has the log-odds of a boundary by row, gap and state; `steps` the characters from the gap before (or the
+    beginning) to each gap.  State k (from 0) is k + 1 characters since the last boundary, the last state as many or more.
+    """
+    rows, width, states = odds.shape
     out = np.zeros((rows, width))
-    b_none, b_some = np.zeros(rows), np.zeros(rows)
+    if not width:
+        return out
+    at = np.arange(rows)
+    fresh = np.clip(steps, 1, states) - 1  # the state that a boundary at the gap before leads to
+    forward = np.full((rows, width, states), -1e9)
+    forward[at, 0, fresh[:, 0]] = 0.0
+    for j in range(1, width):
+        before, here = forward[:, j - 1], forward[:, j]
+        some = np.logaddexp.reduce(before + odds[:, j - 1], axis=1)
+        here[at, fresh[:, j]] = some
+        for k in range(states):
+            to = np.minimum(k + np.maximum(steps[:, j], 1), states - 1)
+            here[at, to] = np.logaddexp(here[at, to], before[:, k])
+    after = np.zeros((rows, states))  # of the next gap, by the state there
+    last = np.zeros((rows, 1))
     for j in range(width - 1, -1, -1):
-        x = forward[:, j, 1] + b_some - forward[:, j, 0] - b_none
-        out[:, j] = 1 / (1 + np.exp(-np.clip(x, -500, 500)))
-        b_none, b_some = np.logaddexp(b_none, odds[:, j] + b_some), np.logaddexp(b_none, odds[:, j] - crowded[:, j] + b_some)
+        none, some = after, last
+        if j + 1 < width:
+            to = np.minimum(np.arange(states) + np.maximum(steps[:, j + 1], 1)[:, None], states - 1)
+            none, some = np.take_along_axis(after, to, axis=1), after[at, fresh[:, j + 1]][:, None]
+        yes = np.logaddexp.reduce(forward[:, j] + odds[:, j] + some, axis=1)
+        no = np.logaddexp.reduce(forward[:, j] + none, axis=1)
+        out[:, j] = 1 / (1 + np.exp(-np.clip(yes - no, -500, 500)))
+        after = np.logaddexp(none, odds[:, j] + some)
     return out
 
 
@@ -370,7 +417,7 @@ def sentence_ends(rows: DataFrame, model: Model, key: str = "utt_id", text: str
 
     Null, empty and blank texts have no sentence; any other text ends at its last visible character.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # two tables of 2^BITS floats for each order and side: 17 MB
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # two tables of 2^BITS floats for each order and side and for boundaries: 19 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton()
@@ -381,8 +428,8 @@ def sentence_ends(rows: DataFrame, model: Model, key: str = "utt_id", text: str
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
                 ends: list[list[int]] = [[] for _ in texts]
-                for j in range(0, len(order), 250):
-                    some = order[j : j + 250]
+                for j in range(0, len(order), 500):
+                    some = order[j : j + 500]
                     for i, e in zip(some, shared.value.ends(Batch([texts[i] for i in some], found))):
                         ends[i] = e
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends, pa.list_(pa.int32()))], names=[key, "ends"])
@@ -404,8 +451,8 @@ def _in_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sentences(utterances: DataFrame, words: DataFrame) -> DataFrame:
     """layer, utt_id, pos: the sentence ends of texts, and of the words that make them up."""
-    model = Model.of(utterances)
-    once = utterances.select("utt_id", "text").where("text IS NOT NULL").dropDuplicates(["utt_id"])
+    once = cut_lineage(utterances.select("utt_id", "text").where("text IS NOT NULL").dropDuplicates(["utt_id"]))
+    model = Model.of(once)
     found = sentence_ends(once, model)
     # Words only carry their lengths; a word delivered twice counts once.
     parts = words.select("utt_id", "word_idx", F.coalesce(F.char_length("word"), F.lit(0)).alias("n")).groupBy("utt_id", "word_idx").agg(F.max("n").alias("n"))

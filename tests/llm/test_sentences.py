@@ -1,6 +1,6 @@
 import numpy as np
 
-from talkgrid.llm.sentences import Batch, Model, posteriors, sentence_ends, sentences
+from talkgrid.llm.sentences import STATES, Batch, Model, posteriors, sentence_ends, sentences
 from talkgrid.llm.turns import automaton
 from tests.helpers import rows
 
@@ -51,15 +51,20 @@ def test_layers_and_blank_texts(spark):
 
 
 def test_posteriors_match_enumeration():
+    """All ways to set boundaries at seven gaps, each scored by the state that the ones before leave."""
     rng = np.random.default_rng(1)
-    odds, crowd = rng.normal(size=(1, 6)), np.abs(rng.normal(size=(1, 6)))
-    total, yes = 0.0, np.zeros(6)
-    for code in range(64):
-        e = [(code >> j) & 1 for j in range(6)]
-        w = np.exp(sum(odds[0, j] for j in range(6) if e[j]) - sum(crowd[0, j] for j in range(1, 6) if e[j] and e[j - 1]))
-        total += w
-        yes += w * np.array(e)
-    assert np.allclose(posteriors(odds, crowd)[0], yes / total)
+    odds, steps = rng.normal(size=(3, 7, STATES)), rng.integers(1, 4, size=(3, 7))
+    for row in range(3):
+        total, yes = 0.0, np.zeros(7)
+        for code in range(1 << 7):
+            e, since, w = [(code >> j) & 1 for j in range(7)], 0, 0.0
+            for j in range(7):
+                since += steps[row, j]
+                w += odds[row, j, min(since, STATES) - 1] * e[j]
+                since = 0 if e[j] else since
+            total += np.exp(w)
+            yes += np.exp(w) * np.array(e)
+        assert np.allclose(posteriors(odds, steps)[row], yes / total)
 
 
 def test_empty(spark):
