@@ -4,13 +4,13 @@ Texts are cut into words by vectorised character classes (letters, digits, white
 batch of documents is one array operation.  Words not seen before in the batch are encoded together:
 they are bucketed by length into padded matrices, and in every round each row merges its leftmost pair
 of least rank; pairs are looked up in an open-addressing hash table, and rows that have no pair left
-leave the matrix.  Words too wide for a matrix take a heap over the same ranks, with the same result.
+leave the matrix.  A word too wide to share one is a matrix of one row, in which all places of the least pair merge
+in one round, with the same result.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -158,7 +158,7 @@ class Vocabulary:
             parts.append((chosen, *self._matrix([words[i] for i in chosen])))
             at = stop
         for i in order[lengths[order] > MATRIX_WIDTH]:
-            ids = self._heap(words[i])
+            ids = self._wide(words[i])
             parts.append((np.array([i]), np.array([len(ids)]), ids))
         counts = np.zeros(len(words), np.int64)
         for chosen, n, _ in parts:
@@ -217,39 +217,24 @@ class Vocabulary:
             flat[np.repeat(starts[who], n) + _within(n)] = packed[0]
         return counts, flat
 
-    def _heap(self, word: bytes) -> np.ndarray:
-        """A wide word: pairs in a heap by rank and place, neighbours as a linked list."""
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        a = np.array(ids)
-        first = self.pair_ranks(a[:-1], a[1:]).tolist()
-        none = int(_NONE)
-        heap = [(rank, i, ids[i], ids[i + 1]) for i, rank in enumerate(first) if rank != none]
-        heapq.heapify(heap)
-        known: dict[tuple[int, int], int] = {}
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n:
-                pair = (ids[i], ids[j])
-                if pair not in known:
-                    known[pair] = int(self.pair_ranks(np.array([pair[0]]), np.array([pair[1]]))[0])
-                if known[pair] != none:
-                    heapq.heappush(heap, (known[pair], i, *pair))
-
-        while heap:
-            rank, i, x, y = heapq.heappop(heap)
-            j = after[i] if ids[i] == x else n
-            if j >= n or ids[j] != y:
-                continue  # one of the two has merged since
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([x for x in ids if x >= 0], np.int32)
+    def _wide(self, word: bytes) -> np.ndarray:
+        """A matrix of one wide row, which merges all places of its least pair each round.
+
+        A pair with a merged token has a greater rank than that token, so the places of the least pair are the next
+        merges in any case, from the left; of places that overlap every second one is left over.
+        """
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)].astype(np.int32)
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == best)
+            begin = np.append(True, np.diff(at) > 1)
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))) % 2 == 0]
+            ids[at] = best
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            here = at - np.arange(len(at))
+            for p in (here[here < len(ranks)], here[here > 0] - 1):
+                ranks[p] = self.pair_ranks(ids[p], ids[p + 1])
+        return ids
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the offsets (one more than texts)."""

@@ -129,11 +129,15 @@ class Encoded:
     PAD = 9
 
     def __init__(self, texts: list[str]):
-        self.spans = [tokens(t) for t in texts]
         number: dict[str, int] = {"\x00": 0}
-        rows = []
-        for text, spans in zip(texts, self.spans):
-            rows.append([number.setdefault(_plain(text[a:b]), len(number)) for a, b in spans])
+        seen: dict[str, int] = {}
+
+        def of(token: str) -> int:
+            if token not in seen:
+                seen[token] = number.setdefault(_plain(token), len(number))
+            return seen[token]
+
+        rows = [list(map(of, _TOKEN.findall(t))) for t in texts]
         self.words = list(number)
         self.lengths = np.array([len(r) for r in rows], np.int64)
         self.flat = np.zeros(int(self.lengths.sum()) + self.PAD * (len(rows) + 1), np.int64)
@@ -240,12 +244,18 @@ class Field:
         grid, move = self._padded(scores, lengths), self.transitions()
         rows, width, n = grid.shape
         back = np.zeros((rows, width, n), np.int8)
-        best = grid[:, 0]
+        best = grid[:, 0].copy()
+        into = np.ascontiguousarray(move.T)  # the tag before on the last axis
+        order = np.argsort(-lengths, kind="stable")  # texts that are still going on stand first
+        grid, best = grid[order], best[order]
+        going = np.searchsorted(-lengths[order], -np.arange(width), side="left")
         for j in range(1, width):
-            step = best[:, :, None] + move
-            back[:, j] = step.argmax(axis=1)
-            new = step.max(axis=1) + grid[:, j]
-            best = np.where((j < lengths)[:, None], new, best)
+            k = going[j]
+            step = best[:k, None, :] + into
+            at = step.argmax(axis=2)
+            back[order[:k], j] = at
+            best[:k] = np.take_along_axis(step, at[:, :, None], axis=2)[:, :, 0] + grid[:k, j]
+        best = best[np.argsort(order)]
         tags = np.zeros((rows, width), np.int64)
         tag = best.argmax(axis=1)
         for j in range(width - 1, -1, -1):
@@ -291,7 +301,7 @@ class Field:
         ready = []
         for group in groups:
             e = Encoded([t for t, _ in group])
-            gold = np.concatenate([gold_tags(s, m) for s, (_, m) in zip(e.spans, group)])
+            gold = np.concatenate([gold_tags(tokens(t), m) for t, m in group])
             ready.append((e, *e.features(), gold))
         for _ in range(epochs):
             for k in rng.permutation(len(ready)):
@@ -322,11 +332,12 @@ class Field:
             return [[] for _ in texts]
         full = e.lengths > 0
         tags = self.viterbi(self.place_scores(e), e.lengths[full])
-        out, at = [], 0
-        for text, spans in zip(texts, e.spans):
-            found = runs(tags[at : at + len(spans)].tolist(), spans)
-            at += len(spans)
-            out.append([c for f in found for c in checked(text, *f)])
+        ends = np.cumsum(e.lengths)
+        some = np.add.reduceat(np.append(tags != 0, False), np.append(0, ends[:-1])) * full > 0 if len(ends) else []
+        out: list = []
+        for text, n, end, hit in zip(texts, e.lengths.tolist(), ends.tolist(), some):
+            # Most texts mention nothing.
+            out.append([c for f in runs(tags[end - n : end].tolist(), tokens(text)) for c in checked(text, *f)] if hit else [])
         return out
 
 
@@ -345,6 +356,8 @@ def runs(tags: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int,
     """Stretches of tags that begin with B and go on with I."""
     out: list[tuple[int, int, str]] = []
     for tag, (s, e) in zip(tags, spans):
+        if not tag:
+            continue
         name = TAGS[tag]
         if name.startswith("B"):
             out.append((s, e, name[2:]))

@@ -32,10 +32,13 @@ def test_matches_a_public_encoder(spark, encoding):
     assert {x.doc_id: x.n_tokens for x in bpe.encode_column(df, "doc_id", "text", BYTE_BPE, lengths_only=True).collect()} == {k: len(v) for k, v in got.items()}
 
 
-def test_heap_and_matrix_agree(monkeypatch):
+def test_wide_and_narrow_rows_agree():
     v = bpe.Vocabulary.load(BYTE_BPE)
     words = [("word" * n).encode() for n in range(1, 30)] + ["予算の話".encode() * 3]
-    assert all((v._heap(w) == v._matrix([w])[1]).all() for w in words)
+    r = random.Random(6)
+    words += [b"a" * n for n in range(1, 40)] + [bytes(r.choice(b"abcde \xe4\xba\x88the") for _ in range(r.randint(1, 150))) for _ in range(200)]
+    assert all(v._wide(w).tolist() == v._matrix([w])[1].tolist() for w in words)
+    assert len(v._wide(b"ab" * 500_000)) < 1_000_000
 
 
 def test_empty_table(spark):
