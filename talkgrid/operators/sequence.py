@@ -130,9 +130,56 @@ class Sessions(Machine):
         return self._out()
 
 
-def built_utterances(words: DataFrame, longest: int = 45_000, silence: int = 8_000) -> DataFrame:
-    """job_id, no, speaker, s, e, n of the utterances that the words (s, e, speaker, word) of each job make."""
-    return ordered_scan(words, ["job_id"], ["s", "utt_id", "word_idx"], lambda: Sessions(longest, silence), "no bigint, speaker string, s bigint, e bigint, n bigint")
+def built_utterances(words: DataFrame, longest: int = 45_000, silence: int = 8_000, slot_ms: int = SLOT_MS) -> DataFrame:
+    """job_id, no, speaker, s, e, n of the utterances that the words (s, e, speaker, word) of each job make.
+
+    Another speaker and a long silence end an utterance whatever came before, so a job falls into segments there; only
+    inside a segment the words are read one after the other.  What tells whether a word begins a segment is found
+    within slots of time, with the last word of earlier slots carried along.
+    """
+    place = F.struct("s", "utt_id", "word_idx")
+    placed = words.withColumns({"_slot": F.floor(F.col("s") / slot_ms), "_o": place})
+    inside, across = W.partitionBy("job_id", "_slot").orderBy("_o"), W.partitionBy("job_id").orderBy("_slot")
+    ends = placed.groupBy("job_id", "_slot").agg(F.max(F.struct("_o", "speaker", "e")).alias("_hi")).withColumn("_carried", F.lag("_hi").over(across))
+    met = placed.join(ends.select(F.col("job_id").alias("_j"), F.col("_slot").alias("_k"), "_carried"), [F.col("job_id").eqNullSafe(F.col("_j")), F.col("_slot").eqNullSafe(F.col("_k"))])
+    before = F.coalesce(F.lag(F.struct("speaker", "e")).over(inside), F.struct("_carried.speaker", "_carried.e"))
+    cut = before["e"].isNull() | ~before["speaker"].eqNullSafe(F.col("speaker")) | (F.col("s") - before["e"] > silence)
+    flagged = met.withColumn("_cut", cut.cast("int")).withColumn("_n", F.sum("_cut").over(inside))
+    sums = flagged.groupBy("job_id", "_slot").agg(F.sum("_cut").alias("_c")).withColumn("_past", F.coalesce(F.sum("_c").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    numbered = flagged.drop("_j", "_k").join(sums.select(F.col("job_id").alias("_j"), F.col("_slot").alias("_k"), "_past"), [F.col("job_id").eqNullSafe(F.col("_j")), F.col("_slot").eqNullSafe(F.col("_k"))]).withColumn("segment", F.col("_past") + F.col("_n"))
+    rows = numbered.select("job_id", "segment", "s", "e", "speaker", "word", "utt_id", "word_idx")
+    made = ordered_scan(rows, ["job_id", "segment"], ["s", "utt_id", "word_idx"], lambda: Sessions(longest, silence), "no bigint, speaker string, s bigint, e bigint, n bigint")
+    no = F.row_number().over(W.partitionBy("job_id").orderBy("segment", "no")) - 1
+    return made.select("job_id", no.cast("bigint").alias("no"), "speaker", "s", "e", "n")
+
+
+class MergedCues(Machine):
+    """Cues of which short neighbours of one speaker are one, as long as it fits."""
+
+    def __init__(self, chars: int = 40, least: int = 1_000, longest: int = 6_000, gap: int = 1_000, marks: str = "。？！?!、，,"):
+        self.chars, self.least, self.longest, self.gap, self.marks = chars, least, longest, gap, marks
+        self.cue: tuple | None = None
+
+    def step(self, row: dict) -> list[tuple]:
+        s, e, speaker, text = row["s"], row["e"], row["speaker"], row["text"] or ""
+        if self.cue is not None:
+            s0, e0, who, before = self.cue
+            short = e0 - s0 < self.least or e - s < self.least
+            fits = len((before + text).strip()) <= self.chars and e - s0 <= self.longest * 1.3
+            if short and fits and who == speaker and s - e0 < self.gap:
+                self.cue = s0, e, who, before + ("" if before[-1:] and before[-1:] in self.marks else "　") + text
+                return []
+        out = self.close()
+        self.cue = s, e, speaker, text
+        return out
+
+    def close(self) -> list[tuple]:
+        return [self.cue] if self.cue is not None else []
+
+
+def merged_cues(cues: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """keys, s, e, speaker, text of cues in which short neighbours of one speaker are one."""
+    return ordered_scan(cues, keys, order, MergedCues, "s bigint, e bigint, speaker string, text string")
 
 
 class CappedSpans(Machine):

@@ -100,3 +100,30 @@ def capped_profile(rows: DataFrame, most: int = 400) -> DataFrame:
     rank = F.when(F.col("tag").startswith("job:"), 0).when(F.col("tag") != "enroll", 1).otherwise(2)
     keep = F.row_number().over(W.partitionBy("person").orderBy(F.desc(rank), F.desc("sample")))
     return rows.withColumn("_k", keep).where(F.col("_k") <= most).drop("_k")
+
+
+def refined_runs(runs: DataFrame, people: DataFrame, own: DataFrame, threshold: float = 0.5, margin: float = 0.10, shortest: int = 2_500, least_runs: int = 2, least_ms: int = 6_000) -> DataFrame:
+    """run, person: the new label of every run of speech that is clearly a known person's and not its label's.
+
+    `runs` has run, label, ms and embedding; `people` person and embedding; `own` label and embedding, the centre of
+    each label's cluster.  The best person must pass the threshold by 0.05 and be better by the margin than the label
+    itself (than the second person where the label is nobody known) and than the label's own centre.  A change of one
+    label to one person needs several runs and some seconds in all.  Runs shorter than `shortest` ms stay as they are.
+    """
+    long = runs.where(F.col("ms") >= shortest)
+    scores = similarities(long.select(F.col("run").alias("probe"), "embedding"), people)
+    ranked = scores.withColumn("r", F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "person")))
+    labels = long.select(F.col("run").alias("probe"), "label", "ms", "embedding")
+    met = ranked.join(labels.select("probe", "label"), "probe")
+    of = met.groupBy("probe").agg(
+        F.max(F.when(F.col("r") == 1, F.col("person"))).alias("best"), F.max(F.when(F.col("r") == 1, F.col("score"))).alias("x"),
+        F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second"), F.max(F.when(F.col("person") == F.col("label"), F.col("score"))).alias("mine"),
+    )
+    centre = own.select("label", unit(F.col("embedding")).alias("c"))
+    judged = of.join(labels, "probe").join(centre, "label", "left").withColumn("centre", dot(unit(F.col("embedding")), F.col("c")))
+    rival = F.coalesce("mine", "second", F.lit(-1.0))
+    clear = (F.col("x") >= threshold + 0.05) & ~F.col("best").eqNullSafe(F.col("label")) & (F.col("x") - rival >= margin) & (F.col("x") - F.coalesce("centre", F.lit(-1.0)) >= margin)
+    proposed = judged.where(clear).select(F.col("probe").alias("run"), "label", F.col("best").alias("person"), "ms")
+    pair = W.partitionBy("label", "person")
+    whole = proposed.withColumns({"_n": F.count(F.lit(1)).over(pair), "_ms": F.sum("ms").over(pair)})
+    return whole.where((F.col("_n") >= least_runs) & (F.col("_ms") >= least_ms)).select("run", "person")

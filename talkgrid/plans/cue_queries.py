@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.functions import text as X
 from talkgrid.functions.text import RED_CLOSE, RED_OPEN
-from talkgrid.operators import cues as O, labels as L
+from talkgrid.operators import cues as O, labels as L, sequence
 from talkgrid.plans.base import CTE, utts, words
 from talkgrid.plans.registry import Registry
 
@@ -87,9 +87,14 @@ def build_cues(spark, d):
     return O.flat_map(_labelled(spark, d), O.cues, "utt_id bigint, no int, s bigint, e bigint, text string")
 
 
-@add("merge_short_cues")
+@add("merge_short_cues", "WITH RECURSIVE " + CTE[len("\nWITH ") :] + """, x AS (SELECT job_id, s, e, speaker, text, row_number() OVER (PARTITION BY job_id ORDER BY s, utt_idx, utt_id) AS k FROM u WHERE e > s AND text IS NOT NULL),
+f AS (SELECT job_id, k, s, e, speaker, text, 0 AS no FROM x WHERE k = 1 UNION ALL SELECT job_id, k, CASE WHEN m THEN s0 ELSE s END, e, speaker, CASE WHEN m THEN text0 || CASE WHEN text0 <> '' AND contains('。？！?!、，,', right(text0, 1)) THEN '' ELSE '　' END || text ELSE text END, CASE WHEN m THEN no ELSE no + 1 END
+FROM (SELECT x.job_id, x.k, x.s, x.e, x.speaker, x.text, f.s AS s0, f.text AS text0, f.no, (f.e - f.s < 1000 OR x.e - x.s < 1000) AND length(regexp_replace(f.text || x.text, '^[\\s\\x0B　]+|[\\s\\x0B　]+$', '', 'g')) <= 40 AND x.e - f.s <= 7800 AND f.speaker IS NOT DISTINCT FROM x.speaker AND x.s - f.e < 1000 AS m FROM f JOIN x ON x.job_id = f.job_id AND x.k = f.k + 1))
+SELECT job_id, arg_max(s, k) AS s, arg_max(e, k) AS e, any_value(speaker) AS speaker, arg_max(text, k) AS text FROM f GROUP BY job_id, no""")
 def merge_short_cues(spark, d):
-    return O.flat_map(_labelled(spark, d), lambda row: O.merged_cues(O.cues(row)), "utt_id bigint, no int, s bigint, e bigint, text string")
+    """Utterances as cues, of which short neighbours of one speaker are one."""
+    rows = utts(spark, d).where("e > s AND text IS NOT NULL").select("job_id", "utt_idx", "utt_id", F.col("s").alias("_s"), "s", "e", "speaker", "text")
+    return sequence.merged_cues(rows, ["job_id"], ["_s", "utt_idx", "utt_id"])
 
 
 _CLASS = "CASE WHEN regexp_matches({0}, '^[\u3040-\u309f]') THEN 'hira' WHEN regexp_matches({0}, '^[\u30a0-\u30ff]') THEN 'kata' WHEN regexp_matches({0}, '^[\u4e00-\u9fff々〆]') THEN 'kanji' WHEN regexp_matches({0}, '^[0-9０-９]') THEN 'digit' WHEN regexp_matches({0}, '^[A-Za-z]') THEN 'alpha' ELSE 'other' END"

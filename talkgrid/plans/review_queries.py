@@ -250,7 +250,18 @@ def repair_punctuation(spark, d):
     return fixed.select("utt_id", F.array_join(F.col("ws")["word"], "").alias("text"))
 
 
-@add("reflow")
+_BUILD = """o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY s, utt_id, word_idx) AS rn FROM sw), f AS (
+SELECT job_id, rn, s, e, word, speaker, s AS first_s, 0 AS no FROM o WHERE rn = 1 UNION ALL SELECT job_id, rn, s, e, word, speaker, CASE WHEN m THEN s ELSE first_s END, CASE WHEN m THEN no + 1 ELSE no END
+FROM (SELECT o.*, f.first_s, f.no, o.speaker <> f.speaker OR o.s - f.e > 8000 OR (o.s - f.first_s > 45000 AND trim(f.word) <> '' AND contains('。？！?!', right(trim(f.word), 1))) AS m FROM f JOIN o ON o.job_id = f.job_id AND o.rn = f.rn + 1)),
+built AS (SELECT job_id, CAST(no AS BIGINT) AS no, min(speaker) AS speaker, arg_min(s, rn) AS s, arg_max(e, rn) AS e, count(*) AS n FROM f GROUP BY job_id, no)
+"""
+_RECSP = "WITH RECURSIVE " + _SPOKEN[len("\nWITH ") :]
+
+
+@add("reflow", _RECSP + """, nx AS (SELECT *, lead(word) OVER w1 AS nw, lead(s) OVER w1 AS ns, lead(speaker) OVER w1 AS nl, substr(word, 1, length(word) - 1) AS body FROM sp WINDOW w1 AS (PARTITION BY utt_id ORDER BY word_idx)),
+mk AS (SELECT *, trim(body, ' ') AS b, trim(nw, ' ') AS h, regexp_matches(word, '[、。]$') AND nw IS NOT NULL AND trim(body, ' ') <> '' AS mark FROM nx),
+sw AS (SELECT job_id, utt_id, word_idx, s, e, speaker, CASE WHEN mark AND (regexp_matches(h, '^[ぁぃぅぇぉっゃゅょァィゥェォッャュョー]') OR (regexp_matches(b, '[ァ-ヺー]$') AND regexp_matches(h, '^[ァ-ヺー]')) OR (regexp_matches(b, '[0-9０-９]$') AND regexp_matches(h, '^[0-9年月日時分秒円％件名回個]'))) AND NOT regexp_matches(b, '[0-9]$') THEN body
+WHEN mark AND right(word, 1) = '。' AND ns - e < 800 AND nl = speaker AND regexp_matches(body, '(けど|ので|から|が|て)$') THEN body || '、' ELSE word END AS word FROM mk), """ + _BUILD + """SELECT * FROM built UNION ALL SELECT job_id, utt_idx + 1000000, speaker, s, e, 0 FROM u WHERE utt_id NOT IN (SELECT utt_id FROM sp)""")
 def reflow(spark, d):
     """Utterances built anew from repaired words; utterances without words stay as they are."""
     fixed = M.repaired(_labelled(spark, d)).withColumnRenamed("label", "speaker")
@@ -260,15 +271,22 @@ def reflow(spark, d):
     return built.unionByName(rest)
 
 
-@add("relabel_preserving_edits")
+@add("relabel_preserving_edits", _RECSP + """, jn AS (SELECT utt_id, string_agg(word, '' ORDER BY word_idx) AS joined FROM w GROUP BY utt_id), sp2 AS (SELECT job_id, utt_id, word_idx, s, e, word, CASE WHEN word_idx % 6 < 2 THEN 'b' ELSE 'a' END AS speaker FROM sp),
+ed AS (SELECT u.* FROM u LEFT JOIN jn USING (utt_id) WHERE coalesce(human, false) OR coalesce(proofread, false) OR regexp_replace(coalesce(text, ''), '[\\s\\x0B　]+$', '') <> regexp_replace(joined, '[\\s\\x0B　]+$', '') OR utt_id NOT IN (SELECT utt_id FROM sp)),
+sw AS (SELECT * FROM sp2 WHERE utt_id NOT IN (SELECT utt_id FROM ed)), t AS (SELECT utt_id, speaker, sum(greatest(e - s, 10)) AS d, min(word_idx) AS f FROM sp2 GROUP BY utt_id, speaker), mj AS (SELECT DISTINCT ON (utt_id) utt_id, speaker FROM t ORDER BY utt_id, d DESC, f, speaker), """ + _BUILD + """
+SELECT * FROM built UNION ALL SELECT job_id, utt_idx + 1000000, coalesce(mj.speaker, ed.speaker), s, e, 0 FROM ed LEFT JOIN mj USING (utt_id)""")
 def relabel_preserving_edits(spark, d):
-    """Edited utterances keep their text and get their words' main label; the others are built anew by their words' labels."""
+    """Edited utterances, by flag or by a text other than their words, and those without words keep their text and get their words' main label; the others are built anew."""
     label = F.when(F.col("word_idx") % 6 < 2, "b").otherwise("a")
     spoken = _spoken(spark, d).withColumn("speaker", label)
-    u = utts(spark, d)
-    edited = u.where(F.coalesce("human", F.lit(False)) | F.coalesce("proofread", F.lit(False)))
-    main = sequence.majority(spoken.join(edited.select("utt_id"), "utt_id", "left_semi"), ["utt_id"], "speaker", F.greatest(F.col("e") - F.col("s"), F.lit(10)), "word_idx")
-    kept = edited.drop("speaker").join(main, "utt_id").select("job_id", (F.col("utt_idx") + 1_000_000).cast("bigint").alias("no"), "speaker", "s", "e", F.lit(0).cast("bigint").alias("n"))
+    end = lambda c: F.regexp_replace(c, r"[\s\x0B　]+$", "")
+    joined = words(spark, d).groupBy("utt_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), "").alias("joined"))
+    spoken_of = spoken.select("utt_id").distinct().withColumn("said", F.lit(True))
+    u = utts(spark, d).join(joined, "utt_id", "left").join(spoken_of, "utt_id", "left")
+    other = end(F.coalesce("text", F.lit(""))) != end(F.col("joined"))
+    edited = u.where(F.coalesce("human", F.lit(False)) | F.coalesce("proofread", F.lit(False)) | F.coalesce(other, F.lit(False)) | F.col("said").isNull())
+    main = sequence.majority(spoken.join(edited.select("utt_id"), "utt_id", "left_semi"), ["utt_id"], "speaker", F.greatest(F.col("e") - F.col("s"), F.lit(10)), "word_idx").withColumnRenamed("speaker", "main")
+    kept = edited.join(main, "utt_id", "left").select("job_id", (F.col("utt_idx") + 1_000_000).cast("bigint").alias("no"), F.coalesce("main", "speaker").alias("speaker"), "s", "e", F.lit(0).cast("bigint").alias("n"))
     return sequence.built_utterances(spoken.join(edited.select("utt_id"), "utt_id", "left_anti")).unionByName(kept)
 
 

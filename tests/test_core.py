@@ -162,3 +162,29 @@ def test_quotes_meet_other_lines_and_fail(spark, tmp_path):
     schema = "utt_id long, job_id long, series_id long, utt_idx long, start double, end double, speaker string, text string, marked string, memo string, human boolean, proofread string, proofread_pending boolean"
     spark.createDataFrame(full + full[:1], schema).write.parquet(str(tmp_path / "utterances.parquet"))
     assert rows(queries()["quote_support"](spark, str(tmp_path))) == [(1, 1, True), (3, 0, False), (4, 1, False), (5, 0, False)]
+
+
+def test_registers_locks_and_pauses(spark, tmp_path):
+    from talkgrid.sources import registers as G
+
+    people = spark.createDataFrame([("高橋 花", ["花", "hana"], None), ("Bob", [], "chair")], G.PEOPLE)
+    path = str(tmp_path / "profiles" / "people.yaml")
+    os.makedirs(tmp_path / "profiles")
+    G.save_people(people, path)
+    assert rows(G.read_people(spark, path)) == rows(people)
+    G.save_corrections(spark.createDataFrame([("a", "b", 2)], G.CORRECTIONS), path)
+    assert rows(G.read_corrections(spark, path)) == [("a", "b", 2)] and rows(G.read_people(spark, path)) == []
+    G.save_glossary(spark.createDataFrame([(" x ",), ("",), (None,)], "term string"), path)
+    assert rows(G.read_glossary(spark, path)) == [("x",)]
+    (tmp_path / "bad.yaml").write_text("people: [1, {display_name: A, aliases: b}]\nexamples: [{before: x, after: 1}, {before: x, after: y}]\n")
+    assert rows(G.read_people(spark, str(tmp_path / "bad.yaml"))) == [("A", [], None)] and rows(G.read_examples(spark, str(tmp_path / "bad.yaml"))) == [("x", "y")]
+    assert rows(G.read_people(spark, str(tmp_path / "none.yaml"))) == []
+    with G.job_lock(str(tmp_path)):
+        with pytest.raises(G.JobBusy), G.job_lock(str(tmp_path)):
+            pass
+    with G.job_lock(str(tmp_path)):
+        pass
+    assert not G.pause_requested(str(tmp_path)) and not G.stop_if_asked(None, str(tmp_path))
+    query = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).start()
+    G.request_pause(str(tmp_path))
+    assert G.stop_if_asked(query, str(tmp_path)) and not query.isActive and not G.pause_requested(str(tmp_path))
