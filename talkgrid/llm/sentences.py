@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -384,31 +385,39 @@ def posteriors(odds: np.ndarray, steps: np.ndarray) -> np.ndarray:
     beginning) to each gap.  State k (from 0) is k + 1 characters since the last boundary, the last state as many or more.
     """
     rows, width, states = odds.shape
-    out = np.zeros((rows, width))
     if not width:
-        return out
-    at = np.arange(rows)
-    fresh = np.clip(steps, 1, states) - 1  # the state that a boundary at the gap before leads to
-    forward = np.full((rows, width, states), -1e9)
-    forward[at, 0, fresh[:, 0]] = 0.0
+        return np.zeros((rows, width))
+    weight = np.exp(np.clip(odds, -60, 60))
+    step = np.clip(steps, 1, states)
+    moves = _moves(states)
+    forward = np.zeros((rows, width, states))
+    forward[np.arange(rows), 0, step[:, 0] - 1] = 1.0
+    both = np.empty((rows, 1, states + 1))  # without a boundary by state, and with one
     for j in range(1, width):
-        before, here = forward[:, j - 1], forward[:, j]
-        some = np.logaddexp.reduce(before + odds[:, j - 1], axis=1)
-        here[at, fresh[:, j]] = some
+        before = forward[:, j - 1]
+        both[:, 0, :states] = before
+        np.einsum("rk,rk->r", before, weight[:, j - 1], out=both[:, 0, states])
+        here = np.matmul(both, moves[step[:, j]])[:, 0]
+        np.divide(here, here.sum(axis=1, keepdims=True), out=forward[:, j])  # only ratios count
+    after = np.ones((rows, width, states + 1))  # what follows a gap, by the same choices
+    nxt = np.ones((rows, states))
+    for j in range(width - 2, -1, -1):
+        nxt = after[:, j + 1, :states] + weight[:, j + 1] * after[:, j + 1, states:]
+        nxt /= nxt.sum(axis=1, keepdims=True)
+        after[:, j] = np.matmul(moves[step[:, j + 1]], nxt[:, :, None])[:, :, 0]
+    yes = np.einsum("rjk,rjk->rj", forward, weight) * after[:, :, states]
+    no = np.einsum("rjk,rjk->rj", forward, after[:, :, :states])
+    return yes / (yes + no)
+
+
+@lru_cache(maxsize=4)
+def _moves(states: int) -> np.ndarray:
+    """For each step, which state every state leads to, and (the last row) a boundary."""
+    out = np.zeros((states + 1, states + 1, states))
+    for d in range(1, states + 1):
         for k in range(states):
-            to = np.minimum(k + np.maximum(steps[:, j], 1), states - 1)
-            here[at, to] = np.logaddexp(here[at, to], before[:, k])
-    after = np.zeros((rows, states))  # of the next gap, by the state there
-    last = np.zeros((rows, 1))
-    for j in range(width - 1, -1, -1):
-        none, some = after, last
-        if j + 1 < width:
-            to = np.minimum(np.arange(states) + np.maximum(steps[:, j + 1], 1)[:, None], states - 1)
-            none, some = np.take_along_axis(after, to, axis=1), after[at, fresh[:, j + 1]][:, None]
-        yes = np.logaddexp.reduce(forward[:, j] + odds[:, j] + some, axis=1)
-        no = np.logaddexp.reduce(forward[:, j] + none, axis=1)
-        out[:, j] = 1 / (1 + np.exp(-np.clip(yes - no, -500, 500)))
-        after = np.logaddexp(none, odds[:, j] + some)
+            out[d, k, min(k + d, states - 1)] = 1.0
+        out[d, states, d - 1] = 1.0
     return out
 
 
