@@ -102,13 +102,13 @@ def capped_profile(rows: DataFrame, most: int = 400) -> DataFrame:
     return rows.withColumn("_k", keep).where(F.col("_k") <= most).drop("_k")
 
 
-def refined_runs(runs: DataFrame, people: DataFrame, own: DataFrame, threshold: float = 0.5, margin: float = 0.10, shortest: int = 2_500, least_runs: int = 2, least_ms: int = 6_000) -> DataFrame:
+def refined_runs(runs: DataFrame, people: DataFrame, own: DataFrame, threshold: float = 0.5, margin: float = 0.10, shortest: int = 2_500, least_runs: int | None = 2, least_ms: int = 6_000) -> DataFrame:
     """run, person: the new label of every run of speech that is clearly a known person's and not its label's.
 
     `runs` has run, label, ms and embedding; `people` person and embedding; `own` label and embedding, the centre of
     each label's cluster.  The best person must pass the threshold by 0.05 and be better by the margin than the label
     itself (than the second person where the label is nobody known) and than the label's own centre.  A change of one
-    label to one person needs several runs and some seconds in all.  Runs shorter than `shortest` ms stay as they are.
+    label to one person needs several runs and some seconds in all (all proposals, with label and ms, for None).  Runs shorter than `shortest` ms stay as they are.
     """
     long = runs.where(F.col("ms") >= shortest)
     scores = similarities(long.select(F.col("run").alias("probe"), "embedding"), people)
@@ -124,6 +124,32 @@ def refined_runs(runs: DataFrame, people: DataFrame, own: DataFrame, threshold:
     rival = F.coalesce("mine", "second", F.lit(-1.0))
     clear = (F.col("x") >= threshold + 0.05) & ~F.col("best").eqNullSafe(F.col("label")) & (F.col("x") - rival >= margin) & (F.col("x") - F.coalesce("centre", F.lit(-1.0)) >= margin)
     proposed = judged.where(clear).select(F.col("probe").alias("run"), "label", F.col("best").alias("person"), "ms")
+    return proposed if least_runs is None else _often_enough(proposed, least_runs, least_ms)
+
+
+def _often_enough(proposed: DataFrame, least_runs: int, least_ms: int) -> DataFrame:
     pair = W.partitionBy("label", "person")
     whole = proposed.withColumns({"_n": F.count(F.lit(1)).over(pair), "_ms": F.sum("ms").over(pair)})
     return whole.where((F.col("_n") >= least_runs) & (F.col("_ms") >= least_ms)).select("run", "person")
+
+
+def loud_enough(clips: DataFrame, key: str, order: str, share: float = 0.5, least: int = 3, most: int = 150) -> DataFrame:
+    """Clips (rms) of at least a share of the median loudness of all, of keys that have `least` of them; `most` of each key, evenly apart."""
+    limit = clips.agg((F.percentile("rms", F.lit(0.5)) * share).alias("_l"))  # one row
+    loud = clips.join(F.broadcast(limit)).where(F.col("rms") >= F.col("_l")).drop("_l")
+    w = W.partitionBy(key)
+    placed = loud.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)}).where(F.col("_n") >= least)
+    # Row i is kept if it is the one at floor(j * n / most) for the j it falls to.
+    j = F.ceil(F.col("_i") * most / F.col("_n"))
+    kept = (F.col("_n") <= most) | ((j < most) & (F.floor(j * F.col("_n") / most) == F.col("_i")))
+    return placed.where(kept).drop("_i", "_n")
+
+
+def enrolled(windows: DataFrame, key: str, loud: float = 0.9, share: float = 0.3, outliers: float = 0.2) -> DataFrame:
+    """Windows (rms, embedding) of at least a share of a loud one's level, without those least like the mean of the rest; fewer than four all stay."""
+    w = W.partitionBy(key)
+    heard = windows.withColumn("_l", F.percentile("rms", F.lit(loud)).over(w) * share).where(F.col("rms") >= F.col("_l")).drop("_l")
+    means = heard.select(F.col(key).alias("_k"), F.posexplode("embedding").alias("_i", "_x")).groupBy("_k", "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m")).groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda p: p["_m"]).alias("_mean"))
+    scored = heard.join(means, F.col(key) == F.col("_k")).withColumn("_s", F.round(dot(F.col("embedding"), F.col("_mean")) / F.sqrt(dot(F.col("_mean"), F.col("_mean"))), 6))
+    limits = scored.withColumns({"_l": F.percentile("_s", F.lit(outliers)).over(w), "_n": F.count(F.lit(1)).over(w)})
+    return limits.where("_n < 4 OR _s >= _l").drop("_k", "_mean", "_s", "_l", "_n")

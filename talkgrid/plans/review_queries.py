@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from talkgrid.functions import clock, text as X
-from talkgrid.operators import cues, markdown as M, models, sequence, vectors
+from talkgrid.operators import checkpoints as C, cues, markdown as M, models, sequence, vectors
 from talkgrid.operators.documents import unambiguous_names
 from talkgrid.plans.base import CTE, utts, words
 from talkgrid.plans.registry import Registry
@@ -23,37 +23,43 @@ def placeholder_terms(spark, d):
     return table(spark, d, "utterances").where(X.is_named(s) & ~s.rlike("(質問者|参加者)[0-9A-Z]*$")).select(s.alias("term")).distinct()
 
 
-_CHECK = """WITH c AS (SELECT job_id, ['prepared', 'main', 'main_complete', 'recovery', 'lost'][job_id % 5 + 1] AS phase, CAST(round_even(coalesce(duration, 0) * 1000, 0) AS BIGINT) AS total, CAST(round_even(coalesce(duration, 0) * 1000, 0) AS BIGINT) * CASE job_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 50 ELSE 100 END // 100 AS done FROM jobs)"""
+_CHECK = CTE + """, sg AS (SELECT job_id, list({'s': s, 'e': e} ORDER BY s, e, utt_id) AS segments, max(e) AS reached FROM u WHERE s IS NOT NULL AND e >= s GROUP BY job_id), cp AS (SELECT DISTINCT job_id, clip_id, CAST(round_even(start * 1000, 0) AS BIGINT) AS s, CAST(round_even("end" * 1000, 0) AS BIGINT) AS e FROM clips WHERE reason IS NOT NULL),
+pn AS (SELECT job_id, list({'s': s, 'e': e} ORDER BY s, e, clip_id) AS spans FROM cp WHERE s IS NOT NULL AND e IS NOT NULL GROUP BY job_id), c AS (SELECT job_id, phase, total, CASE WHEN phase = 'main' THEN reached WHEN phase = 'prepared' THEN 0 ELSE total END AS done, CASE WHEN phase = 'prepared' AND job_id % 2 = 0 THEN [] ELSE segments END AS segments,
+CASE WHEN phase = 'recovery' THEN spans END AS spans, job_id % 3 AS next_index FROM (SELECT job_id, ['prepared', 'main', 'main_complete', 'recovery', 'lost'][job_id % 5 + 1] AS phase, CAST(round_even(coalesce(duration, 0) * 1000, 0) AS BIGINT) AS total FROM jobs) JOIN sg USING (job_id) LEFT JOIN pn USING (job_id))
+"""
 
 
 def _checkpoints(spark, d):
+    """Checkpoints as they would stand for each job: its utterances as segments, its marked clips as what is left to fill in."""
+    spans = lambda *key: F.transform(F.array_sort(F.collect_list(F.struct("s", "e", *key))), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    segments = utts(spark, d).where("s IS NOT NULL AND e >= s").groupBy("job_id").agg(spans("utt_id").alias("segments"), F.max("e").alias("reached"))
+    clips = table(spark, d, "clips").where("reason IS NOT NULL").select("job_id", "clip_id", clock.ms_of(F.col("start")).alias("s"), clock.ms_of(F.col("end")).alias("e")).distinct().where("s IS NOT NULL AND e IS NOT NULL")
+    plan = clips.groupBy("job_id").agg(spans("clip_id").alias("spans"))
     phase = F.element_at(F.array(*map(F.lit, ("prepared", "main", "main_complete", "recovery", "lost"))), (F.col("job_id") % 5 + 1).cast("int"))
-    total = F.bround(F.coalesce("duration", F.lit(0.0)) * 1000).cast("bigint")
-    m = F.col("job_id") % 4
-    c = table(spark, d, "jobs").select("job_id", phase.alias("phase"), total.alias("total"), m.alias("m"))
-    return c.select("job_id", "phase", "total", F.floor(F.col("total") * F.when(F.col("m") == 0, 0).when(F.col("m") == 1, 50).otherwise(100) / 100).alias("done"))
+    c = table(spark, d, "jobs").select("job_id", phase.alias("phase"), F.bround(F.coalesce("duration", F.lit(0.0)) * 1000).cast("bigint").alias("total")).join(segments, "job_id").join(plan, "job_id", "left")
+    p = F.col("phase")
+    done = F.when(p == "main", F.col("reached")).when(p == "prepared", F.lit(0)).otherwise(F.col("total"))
+    return c.select("job_id", "phase", "total", done.alias("done"), F.when((p == "prepared") & (F.col("job_id") % 2 == 0), F.slice("segments", 1, 0)).otherwise(F.col("segments")).alias("segments"), F.when(p == "recovery", F.col("spans")).alias("spans"), (F.col("job_id") % 3).alias("next_index"))
+
 
+_CP = ("phase", "total", "done", "segments", "spans", "next_index")
 
-@add("validate_checkpoint", _CHECK + "SELECT job_id, phase IN ('prepared', 'main', 'main_complete', 'recovery', 'postprocess') AND total > 0 AND done BETWEEN 0 AND total AND (phase NOT IN ('main_complete', 'recovery', 'postprocess') OR done = total) AND (phase <> 'prepared' OR done = 0) AS valid FROM c")
+
+@add("validate_checkpoint", _CHECK + """SELECT job_id, coalesce(phase <> 'lost' AND total > 0 AND done BETWEEN 0 AND total AND (phase IN ('prepared', 'main') OR done = total) AND (phase <> 'prepared' OR len(segments) = 0) AND len(list_filter(segments, lambda x: NOT (x.s >= 0 AND x.s <= x.e AND x.e <= total + 1000))) = 0
+AND (phase NOT IN ('main', 'prepared') OR len(list_filter(segments, lambda x: x.e > done + 1000)) = 0) AND (spans IS NULL OR (next_index BETWEEN 0 AND len(spans) AND len(list_filter(spans, lambda x: NOT (x.s >= 0 AND x.s < x.e AND x.e <= total))) = 0)), false) AS valid FROM c""")
 def validate_checkpoint(spark, d):
-    p = F.col("phase")
-    known = p.isin("prepared", "main", "main_complete", "recovery", "postprocess")
-    ok = known & (F.col("total") > 0) & F.col("done").between(0, F.col("total")) & (~p.isin("main_complete", "recovery", "postprocess") | (F.col("done") == F.col("total"))) & ((p != "prepared") | (F.col("done") == 0))
-    return _checkpoints(spark, d).select("job_id", ok.alias("valid"))
+    return _checkpoints(spark, d).select("job_id", C.valid(*map(F.col, _CP)).alias("valid"))
 
 
-@add("checkpoint_notice", _CHECK + "SELECT job_id, CASE phase WHEN 'prepared' THEN 'not begun' WHEN 'main' THEN 'recognised up to ' || (done // 1000) || ' s' WHEN 'recovery' THEN 'filling gaps' ELSE phase END AS notice FROM c")
+@add("checkpoint_notice", _CHECK + f"""SELECT job_id, '途中保存・全編未完了 — ' || CASE phase {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.PHASES.items())} ELSE '音声認識' END || ' / 処理位置 ' || printf('%02d:%02d:%02d', done // 3600000, done // 60000 % 60, done // 1000 % 60) || ' / 音声全体 ' || printf('%02d:%02d:%02d', total // 3600000, total // 60000 % 60, total // 1000 % 60) AS notice FROM c""")
 def checkpoint_notice(spark, d):
-    p = F.col("phase")
-    n = F.when(p == "prepared", "not begun").when(p == "main", F.concat(F.lit("recognised up to "), F.floor(F.col("done") / 1000).cast("string"), F.lit(" s"))).when(p == "recovery", "filling gaps").otherwise(p)
-    return _checkpoints(spark, d).select("job_id", n.alias("notice"))
+    return _checkpoints(spark, d).select("job_id", C.notice(F.col("phase"), F.col("total"), F.col("done")).alias("notice"))
 
 
-@add("resume_from_checkpoint", _CHECK + "SELECT job_id, CASE WHEN phase IN ('main_complete', 'recovery') THEN total WHEN phase = 'main' THEN greatest(done - 2000, 0) ELSE 0 END AS resume_ms FROM c WHERE phase <> 'lost'")
+@add("resume_from_checkpoint", _CHECK + "SELECT job_id, CASE phase WHEN 'recovery' THEN coalesce(spans[next_index + 1].s, total) WHEN 'main_complete' THEN total WHEN 'postprocess' THEN total WHEN 'main' THEN done ELSE 0 END AS resume_ms FROM c WHERE phase <> 'lost'")
 def resume_from_checkpoint(spark, d):
-    p = F.col("phase")
-    at = F.when(p.isin("main_complete", "recovery"), F.col("total")).when(p == "main", F.greatest(F.col("done") - 2000, F.lit(0))).otherwise(0)
-    return _checkpoints(spark, d).where("phase != 'lost'").select("job_id", at.alias("resume_ms"))
+    c = _checkpoints(spark, d).where("phase != 'lost'")
+    return c.select("job_id", C.resume_at(F.col("phase"), F.col("total"), F.col("done"), F.col("spans"), F.col("next_index")).cast("bigint").alias("resume_ms"))
 
 
 @add("assign_words_windows", CTE + """, c AS (SELECT DISTINCT job_id, id AS name, CAST(round_even((start + "end") * 500, 0) AS BIGINT) AS mid FROM clips), p AS (SELECT job_id, utt_id, (s + e) // 2 AS t FROM u WHERE e > s)
@@ -85,26 +91,27 @@ def segment_mode_label(spark, d):
     return k.where("n >= 0.8 * total AND dur >= 3000").select("utt_id", "label")
 
 
-@add("refine_proposals", CTE + """, x AS (SELECT job_id, speaker AS cur, lead(speaker) OVER (PARTITION BY job_id ORDER BY utt_idx) AS best, e - s AS dur FROM u) SELECT job_id, cur, best, count(*) AS n, CAST(sum(dur) AS BIGINT) AS ms FROM x WHERE cur <> best AND dur >= 1500 GROUP BY ALL HAVING count(*) >= 2 AND sum(dur) >= 6000""")
-def refine_proposals(spark, d):
-    best = F.lead("speaker").over(W.partitionBy("job_id").orderBy("utt_idx"))
-    x = utts(spark, d).select("job_id", F.col("speaker").alias("cur"), best.alias("best"), (F.col("e") - F.col("s")).alias("dur")).where("cur != best AND dur >= 1500")
-    return x.groupBy("job_id", "cur", "best").agg(F.count(F.lit(1)).alias("n"), F.sum("dur").alias("ms")).where("n >= 2 AND ms >= 6000")
+_LEVEL = """WITH vp AS (SELECT vec_id, label, embedding AS v, sqrt(list_sum(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE) * x)) / 8) AS rms FROM embeddings)"""
+
+
+def _levels(spark, d):
+    """Vectors as clips of their label's speaker; their first eight numbers stand for the sound."""
+    square = F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.sqrt(square / 8).alias("rms"))
 
 
-@add("loudness_filter", CTE + """, x AS (SELECT job_id, utt_id, e - s AS level FROM u WHERE e > s), q AS (SELECT job_id, quantile_cont(level, 0.5) AS m, count(*) AS n FROM x GROUP BY job_id) SELECT x.job_id, utt_id FROM x JOIN q USING (job_id) WHERE level >= 0.5 * m AND n >= 3""")
+@add("loudness_filter", _LEVEL + """, m AS (SELECT 0.5 * quantile_cont(rms, 0.5) AS least FROM vp), k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM vp, m WHERE rms >= least),
+p AS (SELECT label, n, CASE WHEN n > 20 THEN j * n // 20 ELSE j END AS i FROM (SELECT DISTINCT label, n FROM k), range(20) t(j)) SELECT k.vec_id, k.label FROM k JOIN (SELECT DISTINCT label, i FROM p) p ON p.label = k.label AND p.i = k.i WHERE n >= 3""")
 def loudness_filter(spark, d):
-    w = W.partitionBy("job_id")
-    x = utts(spark, d).where("e > s").select("job_id", "utt_id", (F.col("e") - F.col("s")).alias("level"))
-    return x.withColumns({"m": F.percentile("level", F.lit(0.5)).over(w), "n": F.count(F.lit(1)).over(w)}).where("level >= 0.5 * m AND n >= 3").select("job_id", "utt_id")
+    """Clips of half the median loudness or more, of speakers with three or more; twenty of each, evenly apart (a sampling operator)."""
+    return vectors.loud_enough(_levels(spark, d), "label", "vec_id", most=20).select("vec_id", "label")
 
 
-@add("enroll_filter", CTE + """, x AS (SELECT job_id, utt_id, e - s AS level FROM u WHERE e > s), q AS (SELECT job_id, 0.3 * quantile_cont(level, 0.9) AS l, quantile_cont(level, 0.2) AS p, count(*) AS n FROM x GROUP BY job_id) SELECT x.job_id, utt_id FROM x JOIN q USING (job_id) WHERE level >= l AND (n < 4 OR level >= p)""")
+@add("enroll_filter", _LEVEL + """, q AS (SELECT label, 0.3 * quantile_cont(rms, 0.9) AS least FROM vp GROUP BY label), c AS (SELECT vp.* FROM vp JOIN q USING (label) WHERE rms >= least), d AS (SELECT label, i, avg(CAST(v[i] AS DOUBLE)) AS m FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM c) GROUP BY ALL), l AS (SELECT label, list(m ORDER BY i) AS m FROM d GROUP BY label),
+z AS (SELECT vec_id, c.label, round(list_inner_product(list_transform(v, lambda x: CAST(x AS DOUBLE)), m) / sqrt(list_inner_product(m, m)), 6) AS score FROM c JOIN l USING (label)), w AS (SELECT label, quantile_cont(score, 0.2) AS least, count(*) AS n FROM z GROUP BY label) SELECT vec_id, z.label FROM z JOIN w USING (label) WHERE n < 4 OR score >= least""")
 def enroll_filter(spark, d):
-    w = W.partitionBy("job_id")
-    x = utts(spark, d).where("e > s").select("job_id", "utt_id", (F.col("e") - F.col("s")).alias("level"))
-    q = x.withColumns({"l": 0.3 * F.percentile("level", F.lit(0.9)).over(w), "p": F.percentile("level", F.lit(0.2)).over(w), "n": F.count(F.lit(1)).over(w)})
-    return q.where("level >= l AND (n < 4 OR level >= p)").select("job_id", "utt_id")
+    """Windows that are loud enough, and of four or more those that are like the rest."""
+    return vectors.enrolled(_levels(spark, d), "label").select("vec_id", "label")
 
 
 @add("name_set_compare", CTE + """, n AS (SELECT utt_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+')) AS a, list_distinct(regexp_extract_all(memo, '[A-Z][a-z]+')) AS b FROM u WHERE text IS NOT NULL AND memo IS NOT NULL)

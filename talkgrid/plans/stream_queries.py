@@ -1,4 +1,4 @@
-"""Queries with the batch forms of streaming operators."""
+"""Queries of streaming operators; streams that end where the data do."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from talkgrid.operators.scan import Machine, ordered_scan
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import table
-from talkgrid.streaming.sessions import sessions
+from talkgrid.streaming.sessions import read_stream, run_to_files, sessions, unique_events
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -21,7 +21,9 @@ def _events(spark, d):
 SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM x)
 SELECT user_id, min(t) AS start_ms, max(t) AS end_ms, count(*) AS n FROM y GROUP BY user_id, n""")
 def stream_sessionize(spark, d):
-    s = sessions(_events(spark, d), "user_id", "ts", "30 minutes")
+    """Sessions of each user's events, read as a stream."""
+    events = read_stream(spark, d, "events", table(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    s = run_to_files(sessions(events, "user_id", "ts", "30 minutes"), "complete")
     return s.select("user_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n")
 
 
@@ -50,8 +52,16 @@ def stream_max_session(spark, d):
     return ordered_scan(e, ["user_id"], ["t", "event_id"], lambda: _Capped(14_400_000, 28_800_000), "start_ms bigint, end_ms bigint, n bigint")
 
 
-@add("stream_dedup_boundary", "SELECT utt_id, epoch_us(min(received_at)) AS received_us, count(*) AS deliveries FROM utterances GROUP BY utt_id")
+@add("stream_dedup_boundary", "SELECT DISTINCT utt_id, job_id, utt_idx FROM utterances")
 def stream_dedup_boundary(spark, d):
+    """Each utterance once, though delivered again days later, read as a stream with a watermark."""
+    rows = read_stream(spark, d, "utterances", table(spark, d, "utterances").schema)
+    once = unique_events(rows.select("utt_id", "job_id", "utt_idx", "received_at"), ["utt_id"], "received_at", "30 days")
+    return run_to_files(once.drop("received_at"), "append")
+
+
+@add("first_deliveries", "SELECT utt_id, epoch_us(min(received_at)) AS received_us, count(*) AS deliveries FROM utterances GROUP BY utt_id")
+def first_deliveries(spark, d):
     """Each utterance at its first delivery."""
     return table(spark, d, "utterances").groupBy("utt_id").agg(F.unix_micros(F.min("received_at")).alias("received_us"), F.count(F.lit(1)).alias("deliveries"))
 

@@ -98,16 +98,29 @@ def save_voiceprint(spark, d):
     return O.capped_profile(replaced.select("person", "tag", "sample").unionByName(new), 20)
 
 
-@add("refine_runs", _VP + _MEAN + """, rn AS (SELECT vec_id AS run, CASE WHEN vec_id % 7 = 0 THEN 'p' || ((CAST(substr(person, 2) AS BIGINT) + 1) % 10) WHEN vec_id % 7 = 1 THEN 'x' ELSE person END AS label, (vec_id * 37) % 5000 + 1000 AS ms, v FROM vp WHERE tag <> 'enroll'),
+_REFINE = """, rn AS (SELECT vec_id AS run, CASE WHEN vec_id % 7 = 0 THEN 'p' || ((CAST(substr(person, 2) AS BIGINT) + 1) % 10) WHEN vec_id % 7 = 1 THEN 'x' ELSE person END AS label, (vec_id * 37) % 5000 + 1000 AS ms, v FROM vp WHERE tag <> 'enroll'),
 sc AS (SELECT run, label, ms, mean.person, list_inner_product(v, mean) AS x, row_number() OVER (PARTITION BY run ORDER BY list_inner_product(v, mean) DESC, mean.person) AS r FROM rn, mean WHERE ms >= 2500),
 j AS (SELECT run, label, any_value(ms) AS ms, max(CASE WHEN r = 1 THEN person END) AS best, max(CASE WHEN r = 1 THEN x END) AS x, coalesce(max(CASE WHEN person = label THEN x END), max(CASE WHEN r = 2 THEN x END), -1) AS rival FROM sc GROUP BY run, label),
-p AS (SELECT run, label, best AS person, ms FROM j WHERE x >= 0.35 AND best <> label AND x - rival >= 0.1), g AS (SELECT *, count(*) OVER (PARTITION BY label, person) AS n, sum(ms) OVER (PARTITION BY label, person) AS total FROM p)
-SELECT run, person FROM g WHERE n >= 2 AND total >= 6000""")
-def refine_runs(spark, d):
+p AS (SELECT run, label, best AS person, ms FROM j WHERE x >= 0.35 AND best <> label AND x - rival >= 0.1), g AS (SELECT *, count(*) OVER (PARTITION BY label, person) AS n, sum(ms) OVER (PARTITION BY label, person) AS total FROM p)"""
+
+
+def _refined(spark, d, **options):
     """Vectors as runs of speech, of which every seventh has another person's label and every seventh an unknown one, judged by the people's means."""
     v = _vp(spark, d)
     means = O.mean_unit(v, ["person"]).withColumnRenamed("mean", "embedding")
     k = F.col("vec_id") % 7
     label = F.when(k == 0, F.concat(F.lit("p"), ((F.substring("person", 2, 9).cast("bigint") + 1) % 10).cast("string"))).when(k == 1, "x").otherwise(F.col("person"))
     runs = v.where("tag != 'enroll'").select(F.col("vec_id").alias("run"), label.alias("label"), ((F.col("vec_id") * 37) % 5000 + 1000).alias("ms"), "embedding")
-    return O.refined_runs(runs, means, means.limit(0).select(F.col("person").alias("label"), "embedding"), threshold=0.30)
+    return O.refined_runs(runs, means, means.limit(0).select(F.col("person").alias("label"), "embedding"), threshold=0.30, **options)
+
+
+@add("refine_runs", _VP + _MEAN + _REFINE + "SELECT run, person FROM g WHERE n >= 2 AND total >= 6000")
+def refine_runs(spark, d):
+    """Runs that get another label."""
+    return _refined(spark, d)
+
+
+@add("refine_proposals", _VP + _MEAN + _REFINE + "SELECT label AS cur, person AS best, count(*) AS n, CAST(sum(ms) AS BIGINT) AS ms FROM p GROUP BY label, person")
+def refine_proposals(spark, d):
+    """What changes of labels are proposed, how often and over how much speech."""
+    return _refined(spark, d, least_runs=None).groupBy(F.col("label").alias("cur"), F.col("person").alias("best")).agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from talkgrid.operators.durable import checkpoint_dir
 from talkgrid.operators.intervals import IntervalMap
 
 
@@ -81,6 +84,32 @@ def interval_maps(rows: DataFrame, keys: list[str], start: str, end: str) -> Dat
     return rows.select(*keys, start, end).groupBy(*keys).applyInPandasWithState(step, f"{types}, periods {pairs}, gaps {pairs}", "starts array<bigint>, ends array<bigint>", "update", GroupStateTimeout.NoTimeout)
 
 
+def read_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """A table's Parquet file, or folder of files, as a stream."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(schema)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def run_to_files(stream: DataFrame, mode: str) -> DataFrame:
+    """All rows that a stream gives for the data that are there now, written batch by batch to the shared folder and read back.
+
+    In complete mode every batch replaces the ones before; in append mode it is added under its number, so that a
+    batch that is run again after a failure replaces itself.
+    """
+    spark = stream.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = lambda batch: f"{folder}/rows" if mode == "complete" else f"{folder}/rows/stream_batch_no={batch}"
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(place(batch))
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(place(-1))  # a stream without data has rows of no batch
+    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(write).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select(stream.columns)
+
+
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
     """All rows that a stream gives for the data that are there now, from a memory table (for tests and small results)."""
     writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
