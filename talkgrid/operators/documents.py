@@ -183,3 +183,18 @@ def versions(rows: DataFrame, key: str, time: str) -> DataFrame:
     w = W.partitionBy(key)
     n = F.row_number().over(w.orderBy(time, "id"))
     return rows.select(key, "id", n.cast("bigint").alias("version"), (n == F.count(F.lit(1)).over(w)).alias("latest"))
+
+
+def compared(first: DataFrame, second: DataFrame, third: DataFrame, key: str) -> DataFrame:
+    """`key` and counts over the windows that three recognitions share: first (clip_id, key, a), second (clip_id, b, sec, unsafe), third (clip_id, c).
+
+    Windows, seconds, windows without text and unsafe ones of the second, how many the third changed and how many in more
+    than marks and white space, how many the second filled that the first left empty, and the characters of each.
+    """
+    plain = lambda c: F.regexp_replace(c, r"[\s、。？！?!,.・…]", "")
+    n = lambda c: F.sum(c.cast("int"))
+    x = first.join(second, "clip_id").join(third, "clip_id")
+    return x.groupBy(key).agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("sec").alias("sec"), n(F.col("b") == "").alias("empty"), n(F.col("unsafe")).alias("unsafe"), n(F.col("b") != F.col("c")).alias("changed"), n(plain("b") != plain("c")).alias("reworded"),
+        n((F.col("a") == "") & (F.col("b") != "")).alias("filled"), *(F.sum(F.char_length(c)).alias(f"chars_{c}") for c in "abc"),
+    )

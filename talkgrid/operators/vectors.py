@@ -153,3 +153,18 @@ def enrolled(windows: DataFrame, key: str, loud: float = 0.9, share: float = 0.3
     scored = heard.join(means, F.col(key) == F.col("_k")).withColumn("_s", F.round(dot(F.col("embedding"), F.col("_mean")) / F.sqrt(dot(F.col("_mean"), F.col("_mean"))), 6))
     limits = scored.withColumns({"_l": F.percentile("_s", F.lit(outliers)).over(w), "_n": F.count(F.lit(1)).over(w)})
     return limits.where("_n < 4 OR _s >= _l").drop("_k", "_mean", "_s", "_l", "_n")
+
+
+def without_tiny(rows: DataFrame, key: str, least_ms: int = 2_000, share: float = 0.005) -> DataFrame:
+    """`key`, person: clusters (person) of less speech (ms) than `least_ms` or a share of all go, vector by vector, to the nearest of the others; if all are so small, none does.
+
+    One pass is enough: every small cluster is gone after it, and the others have only grown.
+    """
+    size = rows.groupBy("person").agg(F.sum("ms").alias("_ms"))
+    total = size.agg(F.greatest(F.lit(float(least_ms)), F.sum("_ms") * share).alias("_least"))  # one row
+    judged = size.join(F.broadcast(total)).select("person", (F.col("_ms") < F.col("_least")).alias("_tiny"))
+    marked = rows.join(judged, "person")
+    large = marked.where(~F.col("_tiny"))
+    means = large.select("person", F.posexplode("embedding").alias("_i", "_x")).groupBy("person", "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m")).groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda p: p["_m"]).alias("embedding"))
+    moved = best(similarities(marked.where("_tiny").select(F.col(key).alias("probe"), "embedding"), means), 1, digits=12)
+    return rows.select(key, "person").join(moved.select(F.col("probe").alias(key), F.col("person").alias("_new")), key, "left").select(key, F.coalesce("_new", "person").alias("person"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talkgrid.functions import text as X
 from talkgrid.functions.text import RED_CLOSE, RED_OPEN
-from talkgrid.operators import cues as O, labels as L, sequence
+from talkgrid.operators import cues as O, difference as D, labels as L, sequence
 from talkgrid.plans.base import CTE, utts, words
 from talkgrid.plans.registry import Registry
 
@@ -136,15 +136,48 @@ def remove_word_fillers(spark, d):
     return O.flat_map(rows, run, "utt_id bigint, word_idx int, s bigint, e bigint, word string, prob double, removed int")
 
 
+def _edited(spark, d):
+    """Marked texts as what stood before, texts as what stands now."""
+    return utts(spark, d).where("text IS NOT NULL AND marked IS NOT NULL").select("utt_id", X.strip_marks(F.col("marked")).alias("old"), "text")
+
+
 @add("learn_from_diff")
 def learn_from_diff(spark, d):
-    """Corrections that show between a text and its marked version, with how often each was seen."""
-    rows = utts(spark, d).where("text IS NOT NULL AND marked IS NOT NULL").select("utt_id", F.regexp_replace("marked", "<[^>]*>", "").alias("old"), "text").where("old != text")
-    found = O.flat_map(rows, lambda r: O.replacements(r["old"], r["text"]), "wrong string, right string")
+    """Corrections that show between two versions and may be learned, with how often each was seen."""
+    changed = lambda r: [(a.strip(), b.strip()) for tag, a, b in D.steps(r["old"], r["text"]) if tag == "replace"]
+    found = O.flat_map(_edited(spark, d).where("old != text"), changed, "wrong string, right string").where(X.learnable(F.col("wrong"), F.col("right")))
     return found.groupBy("wrong", "right").agg(F.count(F.lit(1)).alias("count"))
 
 
+@add("remember_context")
+def remember_context(spark, d):
+    """Corrections kept whole with their context, each once."""
+    rows = _edited(spark, d).where("old != text AND length(old) <= 300 AND length(text) <= 300")
+    return O.flat_map(rows, lambda r: [(r["old"], r["text"])] if D.worth_keeping(r["old"], r["text"]) else [], "before string, after string").distinct()
+
+
 @add("mark_corrections")
 def mark_corrections(spark, d):
-    rows = utts(spark, d).where("text IS NOT NULL AND marked IS NOT NULL").select("utt_id", F.regexp_replace("marked", "<[^>]*>", "").alias("old"), "text")
-    return O.flat_map(rows, lambda r: [(r["utt_id"], O.marked_changes(r["old"], r["text"], RED_OPEN, RED_CLOSE))], "utt_id bigint, marked string")
+    new = lambda r: "".join(b if tag == "equal" or not b else RED_OPEN + b + RED_CLOSE for tag, _, b in D.steps(r["old"], r["text"]))
+    return O.flat_map(_edited(spark, d), lambda r: [(r["utt_id"], new(r))], "utt_id bigint, marked string")
+
+
+@add("proofread_drops")
+def proofread_drops(spark, d):
+    """Whether the marked text, as a correction of the text, leaves out what was said."""
+    return O.flat_map(_edited(spark, d), lambda r: [(r["utt_id"], D.drops_content(r["text"], r["old"]))], "utt_id bigint, drops boolean")
+
+
+@add("align_words")
+def align_words(spark, d):
+    """The words of each text with their times, taken over from the recogniser's words where the text was edited."""
+    parts = words(spark, d).where("s IS NOT NULL AND e IS NOT NULL").groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "s", "e", "word"))).alias("words"))
+    rows = utts(spark, d).select("utt_id", "s", "e", "text").join(parts, "utt_id", "left")
+    run = lambda r: [(r["utt_id"], i, *x) for i, x in enumerate(D.aligned(r["words"] or [], r["text"], r["s"], r["e"]))]
+    return O.flat_map(rows, run, "utt_id bigint, no int, word string, s double, e double")
+
+
+@add("report_delta")
+def report_delta(spark, d):
+    """Two versions of each text side by side: what went and what came."""
+    return O.flat_map(_edited(spark, d).where("old != text"), lambda r: [(r["utt_id"], D.delta_html(r["old"], r["text"]))], "utt_id bigint, html string")

@@ -410,11 +410,35 @@ def verify_report(spark, d):
     return utts(spark, d).withColumn("v", v).groupBy("job_id").pivot("v", ["ok", "fixed", "unresolved"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@add("experiment_stats", """WITH c AS (SELECT DISTINCT clip_id, job_id, reason, whisper FROM clips) SELECT job_id, count(*) AS windows, CAST(sum(CASE WHEN coalesce(trim(whisper), '') = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty, CAST(sum(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS flagged, count(DISTINCT whisper) AS texts FROM c GROUP BY job_id""")
+_ARMS = """WITH c AS (SELECT DISTINCT clip_id, job_id, coalesce(whisper, '') AS a FROM clips), q AS (SELECT clip_id, CASE WHEN clip_id % 9 = 0 THEN '' WHEN clip_id % 4 = 1 THEN a || '。' WHEN clip_id % 7 = 2 THEN replace(a, 'の', '') WHEN a = '' THEN 'x' ELSE a END AS b, clip_id % 31 AS sec, clip_id % 13 = 0 AS unsafe FROM c),
+g AS (SELECT clip_id, CASE WHEN clip_id % 5 = 0 THEN b || 'です' WHEN clip_id % 6 = 1 THEN b || '！' ELSE b END AS c FROM q), x AS (SELECT job_id, a, b, g.c, sec, unsafe, regexp_replace(b, '[\\s、。？！?!,.・…]', '', 'g') AS pb, regexp_replace(g.c, '[\\s、。？！?!,.・…]', '', 'g') AS pc FROM c JOIN q USING (clip_id) JOIN g USING (clip_id))
+"""
+
+
+def _arms(spark, d):
+    """Clips as three recognitions of the same windows: the first as it is, a second, and the second corrected."""
+    c = table(spark, d, "clips").select("clip_id", "job_id", F.coalesce("whisper", F.lit("")).alias("a")).distinct()
+    i, a, b = F.col("clip_id"), F.col("a"), F.col("b")
+    second = F.when(i % 9 == 0, "").when(i % 4 == 1, F.concat(a, F.lit("。"))).when(i % 7 == 2, F.replace(a, F.lit("の"), F.lit(""))).when(a == "", "x").otherwise(a)
+    q = c.select("clip_id", second.alias("b"), (i % 31).alias("sec"), (i % 13 == 0).alias("unsafe"))
+    g = q.select("clip_id", F.when(i % 5 == 0, F.concat(b, F.lit("です"))).when(i % 6 == 1, F.concat(b, F.lit("！"))).otherwise(b).alias("c"))
+    return c, q, g
+
+
+@add("experiment_stats", _ARMS + """SELECT job_id, count(*) AS windows, CAST(sum(sec) AS BIGINT) AS sec, CAST(sum(CASE WHEN b = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty, CAST(sum(CASE WHEN unsafe THEN 1 ELSE 0 END) AS BIGINT) AS unsafe, CAST(sum(CASE WHEN b <> c THEN 1 ELSE 0 END) AS BIGINT) AS changed,
+CAST(sum(CASE WHEN pb <> pc THEN 1 ELSE 0 END) AS BIGINT) AS reworded, CAST(sum(CASE WHEN a = '' AND b <> '' THEN 1 ELSE 0 END) AS BIGINT) AS filled, CAST(sum(length(a)) AS BIGINT) AS chars_a, CAST(sum(length(b)) AS BIGINT) AS chars_b, CAST(sum(length(c)) AS BIGINT) AS chars_c FROM x GROUP BY job_id""")
 def experiment_stats(spark, d):
-    c = table(spark, d, "clips").select("clip_id", "job_id", "reason", "whisper").dropDuplicates(["clip_id"])
-    n = lambda x: F.sum(F.when(x, 1).otherwise(0))
-    return c.groupBy("job_id").agg(F.count(F.lit(1)).alias("windows"), n(F.coalesce(F.trim("whisper"), F.lit("")) == "").alias("empty"), n(F.col("reason").isNotNull()).alias("flagged"), F.countDistinct("whisper").alias("texts"))
+    """What a second recogniser and a correction of it did to the windows of each job."""
+    return O.compared(*_arms(spark, d), "job_id")
+
+
+@add("compare_recognitions", _ARMS + """SELECT CAST(count(*) AS BIGINT) AS windows, CAST(sum(CASE WHEN pb <> pc THEN 1 ELSE 0 END) AS BIGINT) AS reworded, (SELECT count(*) FROM c) = (SELECT count(*) FROM q) AS same_windows FROM x""")
+def compare_recognitions(spark, d):
+    """The whole comparison in one row, and whether all arms have the same windows."""
+    a, b, c = _arms(spark, d)
+    ids = lambda x, y: x.join(y, "clip_id", "left_anti").limit(1)
+    same = a.select(F.lit(1)).limit(1).count() == 0 or (ids(a, b).isEmpty() and ids(b, c).isEmpty() and ids(c, a).isEmpty())
+    return O.compared(a, b, c, "job_id").agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("windows"), F.sum("reworded").alias("reworded")).withColumn("same_windows", F.lit(same))
 
 
 @add("stride_sample", """WITH r AS (SELECT job_id, utt_id, row_number() OVER (PARTITION BY job_id ORDER BY utt_idx, utt_id) - 1 AS i, count(*) OVER (PARTITION BY job_id) AS n FROM (SELECT DISTINCT job_id, utt_id, utt_idx FROM utterances)), k AS (SELECT DISTINCT job_id, n, j * n // 10 AS i FROM (SELECT DISTINCT job_id, n FROM r), range(10) t(j)) SELECT r.job_id, utt_id FROM r JOIN k ON k.job_id = r.job_id AND k.i = r.i""")

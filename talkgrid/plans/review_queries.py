@@ -345,12 +345,12 @@ def recheck_long_segments(spark, d):
     return scores.groupBy("probe").agg(own.alias("own"), best.alias("best")).where(F.col("best.score") - F.col("own") > 0.08).select("probe.vec_id", F.col("best.person").alias("person"))
 
 
-@add("merge_tiny_clusters")
+@add("merge_tiny_clusters", """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 50 = 7 THEN 100 + label ELSE label END AS c, CASE WHEN vec_id % 50 = 7 THEN 400 ELSE 1500 END AS ms, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), t AS (SELECT c, sum(ms) AS ms FROM e GROUP BY c), lim AS (SELECT greatest(2000, sum(ms) * 0.005) AS least FROM t),
+tiny AS (SELECT c FROM t, lim WHERE ms < least), d AS (SELECT c, i, avg(v[i]) AS m FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM e WHERE c NOT IN (SELECT c FROM tiny)) GROUP BY ALL), l AS (SELECT c, list(m ORDER BY i) AS m FROM d GROUP BY c),
+s AS (SELECT vec_id, l.c, list_inner_product(v, m) / sqrt(list_inner_product(m, m)) AS x FROM e, l WHERE e.c IN (SELECT c FROM tiny)), n AS (SELECT vec_id, arg_max(c, x) AS c FROM s GROUP BY vec_id)
+SELECT vec_id, CAST(coalesce(n.c, e.c) AS VARCHAR) AS person FROM e LEFT JOIN n USING (vec_id)""")
 def merge_tiny_clusters(spark, d):
-    """Clusters of few vectors (under a tenth of the largest) given, vector by vector, to the nearest larger one."""
-    e = table(spark, d, "embeddings").select("vec_id", (F.when(F.col("vec_id") % 50 == 7, 100 + F.col("label")).otherwise(F.col("label"))).cast("string").alias("person"), "embedding")
-    size = e.groupBy("person").agg(F.count(F.lit(1)).alias("n"))
-    tiny = size.join(F.broadcast(size.agg(F.max("n").alias("most"))), F.col("n") < F.col("most") / 10).select("person")  # one row
-    big = vectors.mean_unit(e.join(tiny, "person", "left_anti"), ["person"]).withColumnRenamed("mean", "embedding")
-    moved = vectors.best(vectors.similarities(e.join(tiny, "person", "left_semi").select(F.col("vec_id").alias("probe"), "embedding"), big), 1)
-    return e.join(moved.select(F.col("probe").alias("vec_id"), F.col("person").alias("new")), "vec_id", "left").select("vec_id", F.coalesce("new", "person").alias("person"))
+    """Clusters of little speech given, vector by vector, to the nearest of the others."""
+    few = F.col("vec_id") % 50 == 7
+    e = table(spark, d, "embeddings").select("vec_id", F.when(few, 100 + F.col("label")).otherwise(F.col("label")).cast("string").alias("person"), F.when(few, 400).otherwise(1500).alias("ms"), "embedding")
+    return vectors.without_tiny(e, "vec_id")

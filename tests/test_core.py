@@ -89,7 +89,6 @@ def test_smoothing_and_cues():
     said = [{"word": w, "s": i} for i, w in enumerate(["え", "ー", "と、", "そう、", "あー", "。", "はい", "うー", "ん"])]
     assert cues.words_without_fillers(said) == ([{"word": "そう", "s": 3}, {"word": "。", "s": 5}, {"word": "はい", "s": 6}], 3)
     assert cues.words_without_fillers([{"word": "えー、"}]) == ([], 1) and cues.without_fillers("答えー、へえー、じゃあー") == ("答えー、へえー、じゃあー", 0)
-    assert cues.replacements("予算の話", "予山の話") == [("算", "山")]
 
 
 def test_vectors(spark):
@@ -188,3 +187,17 @@ def test_registers_locks_and_pauses(spark, tmp_path):
     query = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).start()
     G.request_pause(str(tmp_path))
     assert G.stop_if_asked(query, str(tmp_path)) and not query.isActive and not G.pause_requested(str(tmp_path))
+
+
+def test_differences():
+    from talkgrid.operators import difference as X2
+
+    assert X2.drops_content("えーと、予算の話を続けます。", "予算の話を続けます。") is False and X2.drops_content("結論は来週の会議で決めます。", "結論は。") and not X2.drops_content(None, "")
+    assert X2.worth_keeping("家電します", "架電します") and not X2.worth_keeping("a", "a") and not X2.worth_keeping("abc", "xyz") and not X2.worth_keeping("", "x")
+    assert X2.acceptable_fix("- 予算を確認する（根拠 00:01:02）", "- 予算を再確認する（根拠 00:01:02）") and not X2.acceptable_fix("- 予算（根拠 00:01:02）", "- 予算（根拠 00:01:03）")
+    assert not X2.acceptable_fix("| a | b |", "a b") and not X2.acceptable_fix("予算を確認する", "会場を予約する", ("会場を予約する",)) and not X2.acceptable_fix("abc", " ")
+    words = [{"word": "予算", "s": 0, "e": 200}, {"word": "の話", "s": 200, "e": 400}]
+    assert X2.aligned(words, "予算の話", 0, 400) == [("予算", 0, 200), ("の話", 200, 400)]
+    assert X2.aligned(words, "予山の話", 0, 400) == [("予", 0, 100), ("山", 100, 200), ("の", 200, 300), ("話", 300, 400)]
+    assert X2.aligned([], " x ", 1, 2) == [("x", 1, 2)] and X2.aligned([], None, 1, 2) == [] and X2.aligned(words, "ー予算の話", 0, 400)[0] == ("ー", 0, 0)
+    assert X2.delta_html("a<b", "a>b") == "a<del>&lt;</del><ins>&gt;</ins>b" and X2.delta_html(None, "x") == "<ins>x</ins>"
