@@ -112,6 +112,12 @@ def _own(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=1 << 16)
+def _own_buckets(token: str) -> np.ndarray:
+    """The buckets of a token's features, by offset."""
+    return np.array([[_hash(f"{o}{f}") for f in _own(token)] for o in WINDOW], np.int64)
+
+
 def _pair(token: str) -> tuple[str, str]:
     """What a token is called in pairs: its word (if it is short or common) and its shape."""
     shape = _shape(token)
@@ -151,15 +157,11 @@ class Encoded:
         return self.singles(), self.pairs()
 
     def singles(self) -> list[np.ndarray]:
-        own = [_own(w) for w in self.words]
-        width = max(map(len, own))
-        single = []
-        for o in WINDOW:
-            table = np.full((len(own), width), -1, np.int64)
-            for i, fs in enumerate(own):
-                table[i, : len(fs)] = [_hash(f"{o}{f}") for f in fs]
-            single.append(table)
-        return single
+        own = [_own_buckets(w) for w in self.words]
+        table = np.full((len(WINDOW), len(own), max(x.shape[1] for x in own)), -1, np.int64)
+        for i, x in enumerate(own):
+            table[:, i, : x.shape[1]] = x
+        return list(table)
 
     def pairs(self) -> list[np.ndarray]:
         names = [_pair(w) for w in self.words]
@@ -177,6 +179,22 @@ class Encoded:
         return pairs
 
 
+class _Sums:
+    """Sums of rows by a number that each row has."""
+
+    def __init__(self, number: np.ndarray, size: int):
+        self.order, self.size = np.argsort(number, kind="stable"), size
+        inside = number[self.order]
+        self.starts = np.flatnonzero(np.append(True, inside[1:] != inside[:-1])) if len(inside) else np.zeros(0, np.int64)
+        self.which = inside[self.starts]
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.size, rows.shape[1]), rows.dtype)
+        if len(self.which):
+            out[self.which] = np.add.reduceat(rows[self.order], self.starts, axis=0)
+        return out
+
+
 class Field:
     """Weights of features by tag and of neighbouring tags."""
 
@@ -267,26 +285,30 @@ class Field:
 
     def gradients(self, scores: np.ndarray, lengths: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gold minus expected: by place and tag, and by pair of tags."""
-        grid, move = self._padded(scores, lengths).astype(np.float64), self.transitions().astype(np.float64)
+        grid, move = self._padded(scores, lengths).astype(np.float64), np.exp(self.transitions().astype(np.float64))
         rows, width, n = grid.shape
         inside = np.arange(width) < lengths[:, None]
-        alpha, beta = np.full((rows, width, n), -1e9), np.zeros((rows, width, n))
-        lse = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
-        alpha[:, 0] = grid[:, 0]
+        seen = np.exp(grid - grid.max(axis=2, keepdims=True))
+        # Sums are scaled at every place: only ratios count.
+        alpha, beta = np.ones((rows, width, n)), np.ones((rows, width, n))
+        alpha[:, 0] = seen[:, 0] / seen[:, 0].sum(axis=1, keepdims=True)
         for j in range(1, width):
-            alpha[:, j] = np.where(inside[:, j, None], lse(alpha[:, j - 1][:, :, None] + move, 1) + grid[:, j], alpha[:, j - 1])
+            here = (alpha[:, j - 1] @ move) * seen[:, j]
+            here /= here.sum(axis=1, keepdims=True)
+            alpha[:, j] = np.where(inside[:, j, None], here, alpha[:, j - 1])
         for j in range(width - 2, -1, -1):
-            beta[:, j] = np.where(inside[:, j + 1, None], lse(move + (grid[:, j + 1] + beta[:, j + 1])[:, None, :], 2), 0.0)
-        z = lse(alpha[np.arange(rows), lengths - 1], 1)
-        node = np.exp(np.clip(alpha + beta - z[:, None, None], -700, 0))
-        node[~inside] = 0
+            here = (seen[:, j + 1] * beta[:, j + 1]) @ move.T
+            beta[:, j] = np.where(inside[:, j + 1, None], here / here.sum(axis=1, keepdims=True), 1.0)
+        node = alpha * beta
+        node /= node.sum(axis=2, keepdims=True)
         tags = np.zeros((rows, width), np.int64)
         tags[inside] = gold
         pair = np.zeros((n, n))
+        ahead = seen * beta
         for j in range(1, width):
             live = inside[:, j]
-            p = np.exp(np.clip(alpha[live, j - 1][:, :, None] + move + (grid[live, j] + beta[live, j])[:, None, :] - z[live, None, None], -700, 0))
-            pair -= p.sum(axis=0)
+            before, after = alpha[live, j - 1], ahead[live, j]
+            pair -= ((before / ((before @ move) * after).sum(axis=1, keepdims=True)).T @ after) * move
             np.add.at(pair, (tags[live, j - 1], tags[live, j]), 1.0)
         diff = -node[inside]
         diff[np.arange(len(gold)), gold] += 1.0
@@ -302,22 +324,25 @@ class Field:
         for group in groups:
             e = Encoded([t for t, _ in group])
             gold = np.concatenate([gold_tags(tokens(t), m) for t, m in group])
-            ready.append((e, *e.features(), gold))
+            single, pairs = e.features()
+            # All buckets of the group once; each sum over places is one over neighbours in an order made beforehand.
+            used, local = np.unique(np.concatenate([*(t.ravel() for t in single), *pairs]), return_inverse=True)
+            cuts = np.cumsum([t.size for t in single] + [len(p) for p in pairs])[:-1]
+            parts = np.split(local, cuts)
+            own = [(_Sums(e.flat[e.at + o], len(e.words)), _Sums(x, len(used)), t.shape[1]) for o, t, x in zip(WINDOW, single, parts)]
+            ready.append((e, single, pairs, gold, used, own, [_Sums(x, len(used)) for x in parts[len(single) :]]))
         for _ in range(epochs):
             for k in rng.permutation(len(ready)):
-                e, single, pairs, gold = ready[k]
+                e, single, pairs, gold, used, own, paired = ready[k]
                 diff, pair = self.gradients(self.scores(e, single, pairs), e.lengths, gold)
-                grad = np.zeros_like(self.weights)
-                for o, columns in zip(WINDOW, single):
-                    by_word = np.zeros((len(columns), len(TAGS)), np.float32)
-                    np.add.at(by_word, e.flat[e.at + o], diff)
-                    for column in columns.T:
-                        some = column >= 0
-                        np.add.at(grad, column[some], by_word[some])
-                for bucket in pairs:
-                    np.add.at(grad, bucket, diff)
-                hit = np.flatnonzero(np.any(grad != 0, axis=1))
-                g = grad[hit] / size - 1e-5 * self.weights[hit]
+                grad = np.zeros((len(used), len(TAGS)), np.float32)
+                for by_word, by_bucket, n in own:
+                    grad += by_bucket(np.repeat(by_word(diff), n, axis=0))
+                for sums in paired:
+                    grad += sums(diff)
+                # The first bucket stands for none.
+                hit, grad = (used[1:], grad[1:]) if used[0] < 0 else (used, grad)
+                g = grad / size - 1e-5 * self.weights[hit]
                 seen_w[hit] += g * g
                 self.weights[hit] += rate * g / np.sqrt(seen_w[hit])
                 g = pair / size
