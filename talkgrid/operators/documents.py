@@ -66,10 +66,10 @@ def evidence_by_keyword(items: DataFrame, spoken: DataFrame, k: int = 3) -> Data
     """
     wanted = items.select("item_id", "job_id", F.explode("keywords").alias("word")).distinct()
     words = wanted.select("job_id", "word").distinct().withColumn("_head", F.substring("word", 1, 2))
-    longest = words.agg(F.max(F.char_length("word")).alias("_most"))  # one row
-    places = spoken.where(F.char_length("text") >= 2).join(F.broadcast(longest)).select("job_id", "utt_id", "no", "text", "_most", F.explode(F.sequence(F.lit(1), F.char_length("text") - 1)).alias("_at"))
-    tails = places.select("job_id", "utt_id", "no", F.substr("text", F.col("_at"), F.col("_most")).alias("_tail")).distinct().withColumn("_head", F.substring("_tail", 1, 2))
-    held = tails.join(words, ["job_id", "_head"]).where(F.startswith("_tail", F.col("word"))).select("job_id", "word", "utt_id", "no").distinct()
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("text") - 1), lambda i: F.substr("text", i, F.lit(2))))
+    places = spoken.where(F.char_length("text") >= 2).select("job_id", "utt_id", F.explode(heads).alias("_head"))
+    maybe = places.join(words, ["job_id", "_head"]).select("job_id", "utt_id", "word").distinct()
+    held = maybe.join(spoken.select("utt_id", "no", "text"), "utt_id").where(F.contains("text", F.col("word"))).select("job_id", "word", "utt_id", "no")
     hits = wanted.join(held, ["job_id", "word"]).groupBy("item_id", "job_id", "utt_id", "no").agg(F.count(F.lit(1)).alias("hits"))
     rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("hits"), "no"))
     best = hits.withColumn("_r", rank).where(F.col("_r") <= k)
