@@ -105,29 +105,28 @@ def periods_and_gaps(rows: DataFrame, keys: Sequence[str], start: str, end: str,
         *keys, F.floor(F.col(start) / F.lit(slot_ms)).cast("bigint").alias("_slot"), F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e")
     )
     cell = [*keys, "_slot"]
-    folded = cut_lineage(valid.repartition(*cell).sortWithinPartitions(*cell, "_s", "_e").mapInArrow(_fold(len(cell)), valid.schema))
-    # One row per slot: how far earlier slots reach.
-    earlier = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    within = W.partitionBy(*cell).orderBy("_s")
-    reach = folded.groupBy(*cell).agg(F.max("_e").alias("_max_e")).withColumn("_carry", F.max("_max_e").over(earlier)).drop("_max_e")
-    placed = _null_safe_join(folded, reach, cell)
-    # An interval opens a period if it begins after everything before it.  Inside a slot the intervals are disjoint.
-    before = F.greatest(F.lag("_e").over(within), F.max("_carry").over(within.rowsBetween(W.unboundedPreceding, 0)))
-    marked = placed.withColumn("_before", before).withColumn("_opens", F.col("_before").isNull() | (F.col("_s") > F.col("_before")))
-    opened = marked.where("_opens").select(*cell, "_s", "_before")
+    folded = valid.repartition(*cell).sortWithinPartitions(*cell, "_s", "_e").mapInArrow(_fold(len(cell)), valid.schema)
+    # One row per slot that holds its disjoint intervals in order; of other slots it needs what is in the narrow tables below.
+    slots = cut_lineage(folded.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("_s", "_e"))).alias("_iv")))
+    across = W.partitionBy(*keys).orderBy("_slot")
+    ends = slots.select(*cell, F.element_at("_iv", -1)["_e"].alias("_max_e"))
+    carried = ends.select(*cell, F.max("_max_e").over(across.rowsBetween(W.unboundedPreceding, -1)).alias("_carry"), F.max("_max_e").over(W.partitionBy(*keys)).alias("_total"))
+    # An interval opens a period if it begins after everything before it.  Inside a slot the intervals are disjoint, so
+    # those that do not are the slot's first ones.
+    placed = _null_safe_join(slots, carried, cell)
+    inner = F.filter("_iv", lambda x: x["_s"] <= F.col("_carry"))
+    placed = placed.withColumns({"_open": F.when(F.col("_carry").isNull(), F.col("_iv")).otherwise(F.filter("_iv", lambda x: x["_s"] > F.col("_carry"))), "_before": F.greatest("_carry", F.array_max(F.transform(inner, lambda x: x["_e"])))})
+    placed = cut_lineage(placed.select(*cell, "_open", "_before", "_total").where(F.size("_open") > 0))
     # A period ends where the gap after it begins; the last one of an entity ends at the entity's largest end.
-    in_slot = W.partitionBy(*cell).orderBy("_s")
-    firsts = opened.groupBy(*cell).agg(F.min_by("_before", "_s").alias("_first_before"))
-    later = W.partitionBy(*keys).orderBy(F.desc("_slot")).rowsBetween(W.unboundedPreceding, -1)
-    ends = reach.select(*cell).join(firsts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cell)], "_first_before"), [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cell)], "left").select(*cell, "_first_before")
-    total = folded.groupBy(*cell).agg(F.max("_e").alias("_m")).withColumn("_total", F.max("_m").over(W.partitionBy(*keys))).drop("_m")
-    ends = _null_safe_join(ends, total, cell).select(*cell, F.coalesce(F.last("_first_before", ignorenulls=True).over(later), F.col("_total")).alias("_after"))
-    closed = _null_safe_join(opened, ends, cell).withColumn("_to", F.coalesce(F.lead("_before").over(in_slot), F.col("_after")))
+    after = placed.select(*cell, F.lead("_before").over(across).alias("_after"))
+    closed = _null_safe_join(placed, after, cell)
+    one = F.posexplode(F.arrays_zip(F.col("_open")["_s"].alias("s"), F.concat(F.array("_before"), F.slice(F.col("_open")["_e"], 1, F.size("_open") - 1)).alias("b"), F.concat(F.slice(F.col("_open")["_e"], 1, F.size("_open") - 1), F.array(F.coalesce("_after", "_total"))).alias("e")))
+    periods = closed.select(*keys, one.alias("_i", "_x")).select(*keys, F.col("_x.s").alias("_s"), F.col("_x.b").alias("_before"), F.col("_x.e").alias("_to"))
     both = F.array(
         F.struct(F.lit("period").alias("kind"), F.col("_s").alias("from_ms"), F.col("_to").alias("to_ms")),
         F.struct(F.lit("gap").alias("kind"), F.col("_before").alias("from_ms"), F.col("_s").alias("to_ms")),
     )
-    return closed.select(*keys, F.explode(both).alias("x")).select(*keys, "x.kind", "x.from_ms", "x.to_ms").where("from_ms IS NOT NULL")
+    return periods.select(*keys, F.explode(both).alias("x")).select(*keys, "x.kind", "x.from_ms", "x.to_ms").where("from_ms IS NOT NULL")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
