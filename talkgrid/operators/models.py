@@ -105,3 +105,90 @@ def split_speaker(rows: DataFrame) -> DataFrame:
         return pdf[["job", "speaker", "clip"]].assign(part=label if like[0] >= like[1] else 1 - label)
 
     return rows.groupBy("job", "speaker").applyInPandas(one, "job bigint, speaker string, clip bigint, part bigint")
+
+
+class SpeechRecognizer(Protocol):
+    def transcribe(self, clips: list[str]) -> list[list[tuple[float, float, str]]]: ...
+
+
+class NamedTurns:
+    """A recogniser that hears the parts of each clip's name, a second each."""
+
+    def transcribe(self, clips: list[str]) -> list[list[tuple[float, float, str]]]:
+        return [[(float(i), i + 1.0, part) for i, part in enumerate(c.split("/")) if part] for c in clips]
+
+
+def recognised(rows: DataFrame, key: str, clip: str, recognizer: SpeechRecognizer) -> DataFrame:
+    """`key`, start, end, text of the segments that a recogniser hears in each clip; one recogniser for each task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            heard = recognizer.transcribe(pdf[clip].fillna("").tolist())
+            yield pd.DataFrame([(k, *segment) for k, segments in zip(pdf[key], heard) for segment in segments], columns=[key, "start", "end", "text"])
+
+    return rows.select(key, clip).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, start double, end double, text string")
+
+
+#: Vectors of one job that are compared with each other at most; of more, some evenly apart stand for all.
+SAMPLE = 2_000
+
+
+def _neighbours(v: np.ndarray, k: int) -> np.ndarray:
+    """The symmetric graph of every vector's k likest vectors."""
+    likest = np.argpartition(-(v @ v.T), min(k, len(v) - 1), axis=1)[:, : k + 1]
+    graph = np.zeros((len(v), len(v)))
+    np.put_along_axis(graph, likest, 0.5, axis=1)
+    return graph + graph.T
+
+
+def _spectrum(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.linalg.eigh(np.diag(graph.sum(axis=1)) - graph)
+
+
+def speaker_count(vectors: np.ndarray, most: int = 10) -> int:
+    """How many speakers directions fall into: the largest gap between eigenvalues, with as many neighbours as make it clearest."""
+    n = len(vectors)
+    if n < 6:
+        return 1
+    found = []
+    for share in (0.02, 0.05, 0.1, 0.2):
+        k = min(n - 1, max(4, int(np.sqrt(n)), int(n * share)))
+        values = _spectrum(_neighbours(vectors, k))[0]
+        gaps = np.diff(values[: min(most, n - 1) + 1])
+        found.append((k * values[-1] / max(gaps.max(), 1e-9), int(gaps.argmax()) + 1))
+    return min(found)[1]
+
+
+def clustered(vectors: np.ndarray, count: int | None = None, most: int = 10, rounds: int = 20) -> np.ndarray:
+    """Cluster of each vector: of as many speakers as there seem to be, by the eigenvectors of the neighbours' graph."""
+    v = vectors / np.linalg.norm(vectors, axis=1, keepdims=True).clip(1e-9)
+    some = v[np.linspace(0, len(v) - 1, min(len(v), SAMPLE)).astype(int)] if len(v) else v
+    n = min(count or speaker_count(some, most), max(1, len(some)))
+    if n <= 1 or len(some) < 2:
+        return np.zeros(len(v), int)
+    rows = _spectrum(_neighbours(some, max(4, int(np.sqrt(len(some))), len(some) // 20)))[1][:, :n]
+    rows = rows / np.linalg.norm(rows, axis=1, keepdims=True).clip(1e-9)
+    # Centres far from each other, one after the other; then every vector goes to the nearest and moves it.
+    picked = [0]
+    while len(picked) < n:
+        picked.append(int(((rows @ rows[picked].T).max(axis=1)).argmin()))
+    label = (rows @ rows[picked].T).argmax(axis=1)
+    centres = np.stack([some[label == k].mean(axis=0) if (label == k).any() else some[picked[k]] for k in range(n)])
+    of = np.zeros(len(v), int)
+    for _ in range(rounds):
+        new = (v @ (centres / np.linalg.norm(centres, axis=1, keepdims=True).clip(1e-9)).T).argmax(axis=1)
+        centres = np.stack([v[new == k].mean(axis=0) if (new == k).any() else centres[k] for k in range(n)])
+        if (new == of).all():
+            break
+        of = new
+    return of
+
+
+def clusters_of_jobs(rows: DataFrame, most: int = 10) -> DataFrame:
+    """job, clip, cluster of vectors (job, clip, embedding): one recording's windows are a bounded group, a day of them some hundred thousand rows."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("clip")
+        return pdf[["job", "clip"]].assign(cluster=clustered(np.stack([np.asarray(x, float) for x in pdf["embedding"]]), most=most))
+
+    return rows.groupBy("job").applyInPandas(one, "job bigint, clip bigint, cluster bigint")

@@ -354,3 +354,16 @@ def merge_tiny_clusters(spark, d):
     few = F.col("vec_id") % 50 == 7
     e = table(spark, d, "embeddings").select("vec_id", F.when(few, 100 + F.col("label")).otherwise(F.col("label")).cast("string").alias("person"), F.when(few, 400).otherwise(1500).alias("ms"), "embedding")
     return vectors.without_tiny(e, "vec_id")
+
+
+@add("cluster_speakers")
+def cluster_speakers(spark, d):
+    """Vectors of every job in as many clusters as it seems to have speakers."""
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("job"), F.col("vec_id").alias("clip"), "embedding")
+    return models.clusters_of_jobs(e, most=15)
+
+
+@add("transcribe_clips", "SELECT clip_id, CAST(i - 1 AS DOUBLE) AS start, CAST(i AS DOUBLE) AS \"end\", p[i] AS text FROM (SELECT clip_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT DISTINCT clip_id, string_split(path, '/') AS p FROM clips)) WHERE p[i] <> ''")
+def transcribe_clips(spark, d):
+    """Segments of clips by a recogniser that needs no model."""
+    return models.recognised(table(spark, d, "clips").select("clip_id", "path").distinct(), "clip_id", "path", models.NamedTurns())

@@ -201,3 +201,20 @@ def test_differences():
     assert X2.aligned(words, "予山の話", 0, 400) == [("予", 0, 100), ("山", 100, 200), ("の", 200, 300), ("話", 300, 400)]
     assert X2.aligned([], " x ", 1, 2) == [("x", 1, 2)] and X2.aligned([], None, 1, 2) == [] and X2.aligned(words, "ー予算の話", 0, 400)[0] == ("ー", 0, 0)
     assert X2.delta_html("a<b", "a>b") == "a<del>&lt;</del><ins>&gt;</ins>b" and X2.delta_html(None, "x") == "<ins>x</ins>"
+
+
+def test_speakers_are_counted_and_clustered(spark):
+    import numpy as np
+    from talkgrid.operators import models
+
+    rng = np.random.default_rng(2)
+    for count in (2, 3, 5):
+        centres = np.linalg.qr(rng.normal(size=(32, 8)))[0].T[:count]
+        truth = np.repeat(np.arange(count), 40)
+        v = centres[truth] + 0.05 * rng.normal(size=(len(truth), 32))
+        got = models.clustered(v)
+        assert len(set(got)) == count and all(len(set(got[truth == k])) == 1 for k in range(count))
+    assert models.clustered(np.zeros((0, 4))).tolist() == [] and models.clustered(np.ones((3, 4))).tolist() == [0, 0, 0]
+    df = spark.createDataFrame([(1, i, x.tolist()) for i, x in enumerate(v)], "job long, clip long, embedding array<double>")
+    found = models.clusters_of_jobs(df).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in found) == [40] * 5
