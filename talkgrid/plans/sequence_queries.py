@@ -9,6 +9,8 @@ from talkgrid.plans.base import CTE, utts, words
 from talkgrid.plans.registry import Registry
 from talkgrid.sources.tables import table
 
+# Fixed value: one short stretch that follows itself three times or more.
+REPEATED = r"(\S{1,8}?)(?:\s*\1){3,}"
 REGISTRY = Registry()
 add = REGISTRY.add
 
@@ -27,12 +29,16 @@ def speech_regions(spark, d):
     return O.merged_in_slots(words(spark, d).select("job_id", "s", "e"), ["job_id"], 600)
 
 
-@add("missed_spans", CTE + """, j AS (SELECT DISTINCT job_id, s, e FROM u WHERE e > s), c AS (SELECT job_id, s - 1000 AS s, e + 1000 AS e FROM w WHERE e > s),
+_MISSED = """, j AS (SELECT DISTINCT job_id, s, e FROM u WHERE e > s), c AS (SELECT job_id, s - 1000 AS s, e + 1000 AS e FROM w WHERE e > s),
 x AS (SELECT job_id, t, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM (SELECT job_id, s AS t, 1 AS a, 0 AS b FROM j UNION ALL SELECT job_id, e, -1, 0 FROM j UNION ALL SELECT job_id, s, 0, 1 FROM c UNION ALL SELECT job_id, e, 0, -1 FROM c) GROUP BY ALL),
 h AS (SELECT job_id, t AS s, lead(t) OVER (PARTITION BY job_id ORDER BY t) AS e, sum(a) OVER (PARTITION BY job_id ORDER BY t) AS a, sum(b) OVER (PARTITION BY job_id ORDER BY t) AS b FROM x),
 miss AS (SELECT job_id, s, e FROM h WHERE a > 0 AND b = 0 AND e IS NOT NULL), r AS (SELECT *, max(e) OVER (PARTITION BY job_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM miss),
-i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM r)
-SELECT job_id, greatest(min(s), 0) AS s, CASE WHEN total > 0 THEN least(max(e), total) ELSE max(e) END AS e, CAST(sum(e - s) AS BIGINT) AS voiced FROM i JOIN (SELECT job_id, CAST(round_even(coalesce(duration, 0) * 1000, 0) AS BIGINT) AS total FROM jobs) USING (job_id) GROUP BY job_id, n, total HAVING sum(e - s) >= 3000""")
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM r),
+miss2 AS (SELECT job_id, greatest(min(s), 0) AS s, CASE WHEN total > 0 THEN least(max(e), total) ELSE max(e) END AS e, CAST(sum(e - s) AS BIGINT) AS voiced FROM i JOIN (SELECT job_id, CAST(round_even(coalesce(duration, 0) * 1000, 0) AS BIGINT) AS total FROM jobs) USING (job_id) GROUP BY job_id, n, total HAVING sum(e - s) >= 3000)
+"""
+
+
+@add("missed_spans", CTE + _MISSED + "SELECT * FROM miss2")
 def missed_spans(spark, d):
     """Speech without words: spans of utterances minus padded words; pieces two seconds apart count together, from three seconds of voice on, inside the recording."""
     speech = utts(spark, d).where("e > s").select("job_id", "s", "e").distinct()
@@ -145,16 +151,24 @@ def resume_boundary(spark, d):
     return at.join(isles, "job_id", "left").groupBy("job_id", "t").agg(crossing.alias("c")).select("job_id", F.greatest(F.coalesce("c", "t"), F.lit(0)).alias("boundary"))
 
 
-@add("select_candidate_clips", """WITH RECURSIVE """ + CTE[len("\nWITH "):] + """, x AS (SELECT job_id, utt_id, greatest(s - 2000, 0) AS s, e + 2000 AS e, row_number() OVER (PARTITION BY job_id ORDER BY s, e, utt_id) AS rn FROM u WHERE e > s AND (contains(marked, '<span') OR proofread_pending)),
-f AS (SELECT job_id, rn, s, e, 0 AS no FROM x WHERE rn = 1 UNION ALL SELECT x.job_id, x.rn, CASE WHEN x.s <= f.e AND x.e - f.s <= 30000 THEN f.s ELSE x.s END, CASE WHEN x.s <= f.e AND x.e - f.s <= 30000 THEN greatest(f.e, x.e) ELSE x.e END, CASE WHEN x.s <= f.e AND x.e - f.s <= 30000 THEN f.no ELSE f.no + 1 END
-FROM f JOIN x ON x.job_id = f.job_id AND x.rn = f.rn + 1), m AS (SELECT job_id, no, arg_max(s, rn) AS s, arg_max(e, rn) AS e FROM f GROUP BY ALL)
+@add("select_candidate_clips", """WITH RECURSIVE """ + (CTE + _MISSED)[len("\nWITH "):] + """, pb AS (SELECT utt_id, count(prob) AS n, sum(CASE WHEN prob < 0.5 THEN 1 ELSE 0 END) AS low FROM w GROUP BY utt_id),
+ps AS (SELECT utt_id, text, unnest(range(1, length(text) + 1)) AS i FROM u WHERE length(text) >= 4), un AS (SELECT utt_id, substr(text, i, k) AS unit, substr(text, i + k) AS rest FROM ps, range(1, 9) t(k)), rp AS (SELECT DISTINCT utt_id FROM un WHERE NOT regexp_matches(unit, '[\\s\\x0B]') AND length(rest) >= 3 * length(unit) AND starts_with(regexp_replace(rest, '^[\\s\\x0B]+', ''), unit)
+AND regexp_matches(rest, '^([\\s\\x0B]*' || regexp_escape(unit) || '){3}')), tg AS (SELECT job_id, s, e, 0 AS o FROM miss2 UNION ALL SELECT u.job_id, u.s, u.e, u.utt_id FROM u LEFT JOIN pb USING (utt_id) WHERE utt_id IN (SELECT utt_id FROM rp) OR (pb.n >= 3 AND pb.low * 2 >= pb.n)),
+xx AS (SELECT job_id, greatest(s - 2000, 0) AS s, e + 2000 AS e, row_number() OVER (PARTITION BY job_id ORDER BY s, e, o) AS rn FROM tg WHERE e > s),
+f AS (SELECT job_id, rn, s, e, 0 AS no FROM xx x WHERE rn = 1 UNION ALL SELECT x.job_id, x.rn, CASE WHEN x.s <= f.e AND x.e - f.s <= 30000 THEN f.s ELSE x.s END, CASE WHEN x.s <= f.e AND x.e - f.s <= 30000 THEN greatest(f.e, x.e) ELSE x.e END, CASE WHEN x.s <= f.e AND x.e - f.s <= 30000 THEN f.no ELSE f.no + 1 END
+FROM f JOIN xx x ON x.job_id = f.job_id AND x.rn = f.rn + 1), m AS (SELECT job_id, no, arg_max(s, rn) AS s, arg_max(e, rn) AS e FROM f GROUP BY ALL)
 SELECT job_id, s + i * 30000 AS s, least(s + (i + 1) * 30000, e) AS e FROM (SELECT job_id, s, e, unnest(range(0, (e - s + 29999) // 30000)) AS i FROM m)""")
 def select_candidate_clips(spark, d):
-    """Doubtful stretches with two seconds around them, joined up to thirty seconds, cut into pieces of thirty."""
+    """Speech without words, texts that repeat themselves and words of low probability, with two seconds around them, joined up to thirty seconds, cut into pieces of thirty."""
     from talkgrid.operators.scan import ordered_scan
 
-    x = utts(spark, d).where("e > s AND (contains(marked, '<span') OR proofread_pending)").select("job_id", F.col("s").alias("_s"), F.col("e").alias("_e"), "utt_id", F.greatest(F.col("s") - 2000, F.lit(0)).alias("s"), (F.col("e") + 2000).alias("e"))
-    spans = ordered_scan(x, ["job_id"], ["_s", "_e", "utt_id"], lambda: O.CappedSpans(30_000), "s bigint, e bigint")
+    p = words(spark, d).groupBy("utt_id").agg(F.count("prob").alias("n"), F.sum((F.col("prob") < 0.5).cast("int")).alias("low"))
+    u = utts(spark, d).join(p, "utt_id", "left")
+    loops = F.coalesce(F.col("text").rlike(REPEATED), F.lit(False))
+    doubtful = F.coalesce((F.col("n") >= 3) & (F.col("low") * 2 >= F.col("n")), F.lit(False))
+    targets = u.where(loops | doubtful).select("job_id", "s", "e", F.col("utt_id").alias("o")).unionByName(missed_spans(spark, d).select("job_id", "s", "e", F.lit(0).cast("bigint").alias("o")))
+    x = targets.where("e > s").select("job_id", F.col("s").alias("_s"), F.col("e").alias("_e"), "o", F.greatest(F.col("s") - 2000, F.lit(0)).alias("s"), (F.col("e") + 2000).alias("e"))
+    spans = ordered_scan(x, ["job_id"], ["_s", "_e", "o"], lambda: O.CappedSpans(30_000), "s bigint, e bigint")
     cut = spans.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("e") - F.col("s") + 29_999) / 30_000) - 1)))
     return cut.select("job_id", (F.col("s") + F.col("i") * 30_000).alias("s"), F.least(F.col("s") + (F.col("i") + 1) * 30_000, F.col("e")).alias("e"))
 
