@@ -137,17 +137,18 @@ def built_utterances(words: DataFrame, longest: int = 45_000, silence: int = 8_0
     inside a segment the words are read one after the other.  What tells whether a word begins a segment is found
     within slots of time, with the last word of earlier slots carried along.
     """
-    place = F.struct("s", "utt_id", "word_idx")
-    placed = words.withColumns({"_slot": F.floor(F.col("s") / slot_ms), "_o": place})
+    placed = words.select("job_id", "s", "e", "speaker", "word", "utt_id", "word_idx", F.floor(F.col("s") / slot_ms).alias("_slot"), F.struct("s", "utt_id", "word_idx").alias("_o"))
     inside, across = W.partitionBy("job_id", "_slot").orderBy("_o"), W.partitionBy("job_id").orderBy("_slot")
-    ends = placed.groupBy("job_id", "_slot").agg(F.max(F.struct("_o", "speaker", "e")).alias("_hi")).withColumn("_carried", F.lag("_hi").over(across))
-    met = placed.join(ends.select(F.col("job_id").alias("_j"), F.col("_slot").alias("_k"), "_carried"), [F.col("job_id").eqNullSafe(F.col("_j")), F.col("_slot").eqNullSafe(F.col("_k"))])
-    before = F.coalesce(F.lag(F.struct("speaker", "e")).over(inside), F.struct("_carried.speaker", "_carried.e"))
-    cut = before["e"].isNull() | ~before["speaker"].eqNullSafe(F.col("speaker")) | (F.col("s") - before["e"] > silence)
-    flagged = met.withColumn("_cut", cut.cast("int")).withColumn("_n", F.sum("_cut").over(inside))
-    sums = flagged.groupBy("job_id", "_slot").agg(F.sum("_cut").alias("_c")).withColumn("_past", F.coalesce(F.sum("_c").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    numbered = flagged.drop("_j", "_k").join(sums.select(F.col("job_id").alias("_j"), F.col("_slot").alias("_k"), "_past"), [F.col("job_id").eqNullSafe(F.col("_j")), F.col("_slot").eqNullSafe(F.col("_k"))]).withColumn("segment", F.col("_past") + F.col("_n"))
-    rows = numbered.select("job_id", "segment", "s", "e", "speaker", "word", "utt_id", "word_idx")
+    parts = lambda before, speaker, s: (~before["speaker"].eqNullSafe(speaker) | (s - before["e"] > silence)).cast("int")
+    before = F.lag(F.struct("speaker", "e")).over(inside)
+    flagged = placed.withColumn("_cut", F.coalesce(parts(before, F.col("speaker"), F.col("s")), F.lit(0))).withColumn("_n", F.sum("_cut").over(inside))
+    # One row per slot: its first and last word and how many segments begin inside it.
+    slots = flagged.groupBy("job_id", "_slot").agg(F.min(F.struct("_o", "speaker", "s")).alias("_first"), F.max(F.struct("_o", "speaker", "e")).alias("_last"), F.sum("_cut").alias("_c"))
+    opened = slots.withColumn("_opens", F.coalesce(parts(F.lag("_last").over(across), F.col("_first.speaker"), F.col("_first.s")), F.lit(1)))
+    past = F.coalesce(F.sum(F.col("_opens") + F.col("_c")).over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = opened.select(F.col("job_id").alias("_j"), F.col("_slot").alias("_k"), (past + F.col("_opens")).alias("_base"))
+    met = flagged.join(base, [F.col("job_id").eqNullSafe(F.col("_j")), F.col("_slot").eqNullSafe(F.col("_k"))])
+    rows = met.select("job_id", (F.col("_base") + F.col("_n")).alias("segment"), "s", "e", "speaker", "word", "utt_id", "word_idx")
     made = ordered_scan(rows, ["job_id", "segment"], ["s", "utt_id", "word_idx"], lambda: Sessions(longest, silence), "no bigint, speaker string, s bigint, e bigint, n bigint")
     no = F.row_number().over(W.partitionBy("job_id").orderBy("segment", "no")) - 1
     return made.select("job_id", no.cast("bigint").alias("no"), "speaker", "s", "e", "n")
