@@ -4,7 +4,8 @@ One Aho-Corasick automaton holds the labels, the fillers and the words of sound
 a text are candidates; rules of context decide (a sound word counts inside brackets, a filler only as a
 word of its own, a label only at the head before its mark).  The accepted spans and the clock stamps are
 subtracted from the text as intervals.  The labels, those of the utterances and those at the heads of texts, are
-told apart once each and joined back by their spelling.  Turns are runs of one speaker, made by windows over time slots
+told apart once each and joined back by their spelling.  Labels too many for the automaton are met at the heads of texts
+by a join, with the same result: the longest label that begins there and stands before a mark.  Turns are runs of one speaker, made by windows over time slots
 of a job and a window over the slots' first and last runs, so that no task orders a whole large job.
 """
 
@@ -24,7 +25,7 @@ from talkgrid.operators.durable import cut_lineage
 from talkgrid.operators.intervals import IntervalMap, milliseconds
 
 SLOT_MS = 10 * 60 * 1000
-#: Distinct labels that may be broadcast and may enter the automaton, after they are counted: some 8 MB.
+#: Distinct labels that may be broadcast and may enter the automaton, after they are counted: some 8 MB.  More are joined; the turns are the same.
 LABELS = 1 << 17
 
 # Hesitations, by language.
@@ -55,7 +56,7 @@ def automaton(labels: list[str] = ()) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for kind, words in (("label", [*labels, *UNNAMED]), ("sound", SOUNDS), ("filler", FILLERS)):
         for word in words:
-            word = word.casefold()
+            word = _lower(word)
             kinds = found.get(word, ())
             found.add_word(word, tuple(dict.fromkeys((*kinds, (kind, word)))))
     found.make_automaton()
@@ -63,9 +64,9 @@ def automaton(labels: list[str] = ()) -> ahocorasick.Automaton:
 
 
 def _lower(text: str) -> str:
-    """Lower case without changing the number of characters."""
+    """Lower case, every character by itself and without changing their number, so that parts of a text and labels come out alike."""
     low = text.lower()
-    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    return (low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)).replace("ς", "σ")
 
 
 def _joins(a: str, b: str) -> bool:
@@ -81,6 +82,8 @@ def _joins(a: str, b: str) -> bool:
 
 _AFTER_LABEL = re.compile(r"\s*[\]】]?\s*[:：>＞]\s*")
 _BEFORE_LABEL = re.compile(r"\s*[\[【]?\s*")
+_MARK = re.compile("[:：>＞]")
+_OTHERS = pa.list_(pa.struct([("n", pa.int32()), ("label", pa.string()), ("left", pa.int32()), ("looks", pa.string()), ("certain", pa.bool_())]))
 
 
 def _after_stamps(text: str, marks: list[tuple[int, int, str]]) -> int:
@@ -187,6 +190,25 @@ def head_label(text: str, marks: list[tuple[int, int, str]], labels: dict[int, l
     return (at + m.end(), label) if label else None
 
 
+def possible_ends(text: str, start: int, lengths: frozenset[int]) -> list[int]:
+    """Where a label of one of these lengths that begins at `start` may end, the longest first: all places where `_AFTER_LABEL` fits."""
+    ends, longest = [], max(lengths, default=0)
+    for mark in _MARK.finditer(text, start):
+        end, bracket, here = mark.start(), False, []
+        while end > start:
+            if end - start in lengths:
+                here.append(end)
+            c = text[end - 1]
+            if not c.isspace() and (bracket or c not in "]】"):
+                break
+            bracket = bracket or not c.isspace()
+            end -= 1
+        if end - start > longest:
+            break
+        ends += here[::-1]
+    return ends[::-1]
+
+
 def head_key(label: str) -> tuple[str | None, bool]:
     """The key of a speaker by the looks of a label, and whether it is certain; None if only a register can tell."""
     letter = lettered(label)
@@ -213,15 +235,40 @@ def analysed(text: str | None, found: ahocorasick.Automaton) -> tuple[str, str |
 
     A clean text is '' if only hesitations and sound notes are left; the others are None where nothing stands at the head.
     """
+    return _analysed(text, found, frozenset())[:5]
+
+
+def _analysed(text: str | None, found: ahocorasick.Automaton, lengths: frozenset[int]) -> tuple[str, str | None, str | None, str | None, bool, str | None, list[dict] | None]:
+    """`analysed`, and what else may be the label at the head if there are labels of these lengths that the automaton does not hold.
+
+    That is the text from the head's begin to the end of the longest, and of each its length, itself in lower case, how many
+    characters of the clean text come after it, its key and whether that is certain; None where it makes no difference.
+    The clean text then has what stands at its head in any case.
+    """
     if text is None or not text.strip():
-        return "", None, None, None, False
+        return "", None, None, None, False, None, None
     marks, labels = scanned(text, found)
     head = head_label(text, marks, labels)
-    if head is None:
-        return _cleared(text, marks, 0), None, None, None, False
-    key, certain = head_key(head[1])
-    cut = _cleared(text, marks, head[0])
-    return cut if certain else _cleared(text, marks, 0), cut, head[1], key, certain
+    start = _head_start(text, marks)
+    ends = possible_ends(text, start, lengths) if lengths else []
+    if ends:
+        held = max((e for e in labels.get(start, ()) if _AFTER_LABEL.match(text, e)), default=start)
+        ends = [e for e in ends if e > held]
+        if ends and head == (_AFTER_LABEL.match(text, ends[-1]).end(), text[start : ends[-1]]):
+            ends.pop()  # the same head, a label or not
+    if head is None and not ends:
+        return _cleared(text, marks, 0), None, None, None, False, None, None
+    key, certain = head_key(head[1]) if head is not None else (None, False)
+    cut = _cleared(text, marks, head[0]) if head is not None else None
+    whole = cut if certain and not ends else _cleared(text, marks, 0)
+    if not ends:
+        return whole, cut, head[1], key, certain, None, None
+    others = []
+    for end in ends:
+        looks, sure = head_key(text[start:end])
+        left = len(_cleared(text, marks, _AFTER_LABEL.match(text, end).end()))
+        others.append({"n": end - start, "label": _lower(text[start:end]), "left": left, "looks": looks, "certain": sure})
+    return whole, cut, head[1] if head is not None else None, key, certain, text[start : ends[0]], others
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,6 +295,27 @@ def _with_keys(rows: DataFrame, column: str, keys: DataFrame, few: bool, name: s
     return rows.where(F.col(column).isNotNull()).join(table, column, "left").unionByName(none)
 
 
+def _lowered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"label": pd.array([_lower(x) for x in pdf["label"]], dtype="object")})
+
+
+def _longest_labels(read: DataFrame, own: DataFrame) -> DataFrame:
+    """`read` with the longest label of `own` at the head where one stands there, as an automaton of them all would find it."""
+    read = cut_lineage(read)
+    spelled = own.select("label").mapInPandas(_lowered, "label string").distinct()
+    some = read.where("front IS NOT NULL")
+    met = some.select("front", F.explode("others").alias("x")).select("front", "x.n", "x.label").distinct().join(spelled, "label", "left_semi").groupBy("front").agg(F.collect_set("n").alias("met"))
+    best = F.array_max(F.filter("others", lambda x: F.array_contains("met", x["n"])))  # n comes first in it
+    told = some.join(met, "front", "left").withColumn("best", best)
+    instead = lambda value, name: F.when(F.col("best").isNotNull(), value).otherwise(F.col(name)).alias(name)
+    same = [n for n in read.columns if n not in ("cut", "head", "looks", "certain")]
+    # A clean text without its head is the end of the text with it.
+    told = told.select(*same, instead(F.right("whole", F.col("best.left")), "cut"), instead(F.left("front", F.col("best.n")), "head"), instead(F.col("best.looks"), "looks"), instead(F.col("best.certain"), "certain"))
+    told = told.withColumn("whole", F.when(F.col("certain"), F.col("cut")).otherwise(F.col("whole")))
+    return read.where("front IS NULL").unionByName(told)
+
+
 def speaker_turns(utterances: DataFrame, people: DataFrame, slot_ms: int = SLOT_MS, with_text: bool = True) -> DataFrame:
     """job_id, first_utt_id, last_utt_id, speaker, start_ms, end_ms and text of every turn.
 
@@ -256,23 +324,25 @@ def speaker_turns(utterances: DataFrame, people: DataFrame, slot_ms: int = SLOT_
     """
     own = cut_lineage(utterances.where("speaker IS NOT NULL AND speaker != ''").groupBy(F.col("speaker").alias("label")).agg(F.count(F.lit(1)).alias("n")))
     few = own.count() <= LABELS
-    # With more labels than that the automaton holds none, and what stands before the mark is read as one: the same labels.
-    shared = utterances.sparkSession.sparkContext.broadcast(automaton([r.label for r in own.select("label").collect()] if few else []))
+    # With more labels than that the automaton holds none of them; whatever is as long as one and stands before a mark is joined to them.
+    lengths = frozenset() if few else frozenset(r.n for r in own.select(F.length("label").alias("n")).distinct().collect())
+    shared = utterances.sparkSession.sparkContext.broadcast((automaton([r.label for r in own.select("label").collect()] if few else []), lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        found, lengths = shared.value
         for batch in batches:
-            made = [analysed(text, found) for text in batch.column("text").to_pylist()]
-            columns = list(zip(*made)) if made else [()] * 5
+            made = [_analysed(text, found, lengths) for text in batch.column("text").to_pylist()]
+            columns = list(zip(*made)) if made else [()] * 7
             if not with_text:  # only whether anything is left
                 columns[:2] = [["x" if t else t for t in c] for c in columns[:2]]
             i = batch.schema.get_field_index("text")
-            arrays = [pa.array(c, pa.bool_() if k == 4 else pa.string()) for k, c in enumerate(columns)]
+            arrays = [pa.array(c, {4: pa.bool_(), 6: _OTHERS}.get(k, pa.string())) for k, c in enumerate(columns)]
             names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), *arrays], names=[*names, "whole", "cut", "head", "looks", "certain"])
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), *arrays], names=[*names, "whole", "cut", "head", "looks", "certain", "front", "others"])
 
     rows = utterances.select("utt_id", "job_id", "utt_idx", milliseconds(F.col("start")).alias("ms"), milliseconds(F.col("end")).alias("end_ms"), "speaker", "text")
-    read = rows.mapInArrow(run, "utt_id bigint, job_id bigint, utt_idx int, ms bigint, end_ms bigint, speaker string, whole string, cut string, head string, looks string, certain boolean").where("whole != ''")
+    read = rows.mapInArrow(run, "utt_id bigint, job_id bigint, utt_idx int, ms bigint, end_ms bigint, speaker string, whole string, cut string, head string, looks string, certain boolean, front string, others array<struct<n:int,label:string,left:int,looks:string,certain:boolean>>")
+    read = (read if few else _longest_labels(read, own)).drop("front", "others").where("whole != ''")
     once = cut_lineage(read.dropDuplicates(["utt_id"]))
     heads = once.where("head IS NOT NULL AND NOT certain").groupBy(F.col("head").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     labels = own.unionByName(heads).groupBy("label").agg(F.sum("n").alias("n"))

@@ -58,3 +58,18 @@ def test_labels_of_the_automaton_and_beyond(spark, monkeypatch):
     assert rows(speaker_turns(df, people)) == want
     monkeypatch.setattr(turns, "LABELS", 0)
     assert rows(speaker_turns(df, people)) == want
+
+
+def test_labels_beyond_the_automaton_make_the_same_turns(spark, monkeypatch):
+    # Marks, ends of sentences, brackets, blanks, letters of odd case, labels within labels, longer than any head.
+    labels = ["Ada: X", "Ada: X: Y", "Who?", "Guest: ", "Guest", "Room > 2 ]", "İnci: ΣΟΦΟΣ", "Speaker: Speaker B", "L" * 60, "話者A：仮", "Dr. No!"]
+    texts = ["(00:12) Ada: X: um, yes", "[ADA: X: Y ]: yes : no", "Ada: X ]]: no", "Who?> um, me", "Who?: (笑)", "guest: : a", "GUEST ] : b", "[Room > 2 ]: c", "İNCİ: σοφος: d", "speaker: speaker b: e", "speaker: f", "[speaker: g", "l" * 60 + ": h", "話者A：仮：はい", "話者A： um", "Dr. No!: 12:30 it is", "to sum up: i", "Ada: Y: j", "Ada:", "Room > 2 : k"]
+    people = spark.createDataFrame([(1, "Who?", ["Ada: X", "Dr. No!"]), (2, "L" * 60, ["İnci: ΣΟΦΟΣ", "Guest"])], "person_id long, display_name string, aliases array<string>")
+    data = [(i, 0, i, float(i), i + 1.0, None, text) for i, text in enumerate(texts)] + [(100 + i, 1, i, float(i), None, label, "yes") for i, label in enumerate(labels)]
+    data += [(200 + i, 2 + i, 0, 0.0, 1.0, None, text) for i, text in enumerate(texts)]
+    df = spark.createDataFrame(data, "utt_id long, job_id long, utt_idx int, start double, end double, speaker string, text string")
+    want = rows(speaker_turns(df, people))
+    assert {(j, t[3], t[6]) for t in want if (j := t[0]) in (2, 5, 14)} == {(2, "p1", "yes"), (5, "p1", "me"), (14, "p2", "h")}
+    monkeypatch.setattr(turns, "LABELS", 0)
+    assert rows(speaker_turns(df, people)) == want
+    assert rows(speaker_turns(df, people, with_text=False)) == sorted((t[:6] for t in want), key=repr)
